@@ -153,22 +153,26 @@ def check_pass_counts(records: DataFrame) -> DataFrame:
 def exact_median(df: DataFrame, group_cols: list[str], value: str, tiebreak: str, out_col: str) -> DataFrame:
     """Exact (interpolated) median per group from distributed positions.
 
-    Positions come from :func:`sequence_within`; the middle one or two rows are picked
-    by position and averaged — no group is ever gathered in one task.
+    Positions and group sizes come from :func:`sequence_within`; the middle one or two
+    rows are picked by position and averaged — no group is gathered in one task.
     """
-    ranked = sequence_within(df.select(*group_cols, value, tiebreak), group_cols, [value, tiebreak], "_pos")
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
-    if sizes.count() <= BROADCAST_ROWS:
-        sizes = F.broadcast(sizes)
-    mid = ranked.join(sizes, group_cols).filter(
-        (F.col("_pos") == F.floor((F.col("_cnt") + 1) / 2)) | (F.col("_pos") == F.floor(F.col("_cnt") / 2) + 1))
+    ranked = sequence_within(df.select(*group_cols, value, tiebreak), group_cols, [value, tiebreak], "_pos",
+                             size_col="_cnt")
+    mid = ranked.filter((F.col("_pos") == F.floor((F.col("_cnt") + 1) / 2))
+                        | (F.col("_pos") == F.floor(F.col("_cnt") / 2) + 1))
     return mid.groupBy(*group_cols).agg(F.avg(value).alias(out_col))
 
 
-def provider_summary(records: DataFrame) -> DataFrame:
-    """N, failed, clean outputs, latency median/max, mean words and tokens."""
+SUMMARY_COLUMNS = ["provider", "n", "failed", "clean_outputs", "median_latency", "max_latency", "avg_words",
+                   "avg_input_tokens", "avg_output_tokens", "tokens_estimated"]
+
+
+def _metric_aggs() -> list[Column]:
+    """Every per-provider number, as aggregate expressions over one pass of the records."""
     ok = _ok()
-    base = records.groupBy("provider").agg(
+    hit = {a: ok & (F.col(a) == F.col(f"g_{a}")) for a in ("category", "priority", "sentiment")}
+    length = F.col("checks").getItem("length_50_60")
+    return [
         F.count(F.lit(1)).alias("n"),
         F.count_if(~ok).alias("failed"),
         F.count_if(ok & (F.col("format_repairs") == 0)).alias("clean_outputs"),
@@ -177,12 +181,26 @@ def provider_summary(records: DataFrame) -> DataFrame:
         F.coalesce(F.avg(F.when(ok, F.col("input_tokens"))), F.lit(0.0)).alias("avg_input_tokens"),
         F.coalesce(F.avg(F.when(ok, F.col("output_tokens"))), F.lit(0.0)).alias("avg_output_tokens"),
         F.coalesce(F.bool_or(F.when(ok, F.col("tokens_estimated"))), F.lit(False)).alias("tokens_estimated"),
-    )
-    med = exact_median(records.filter(ok), ["provider"], "latency_s", "complaint_id", "median_latency")
-    return base.join(med, "provider", "left").select(
-        "provider", "n", "failed", "clean_outputs",
-        F.coalesce(F.col("median_latency"), F.lit(0.0)).alias("median_latency"),
-        "max_latency", "avg_words", "avg_input_tokens", "avg_output_tokens", "tokens_estimated")
+        *[F.count_if(hit[a]).alias(f"{a}_correct") for a in hit],
+        (F.lit(100.0) * (F.count_if(hit["category"]) + F.count_if(hit["priority"]) + F.count_if(hit["sentiment"]))
+         / (F.lit(3) * F.count(F.lit(1)))).alias("triage_accuracy"),
+        F.coalesce(F.lit(100.0) * F.avg(F.when(ok, _check_ratio())), F.lit(0.0)).alias("quality_score"),
+        F.count_if(ok & length).alias("length_pass"),
+        F.count_if(ok & length.isNotNull()).alias("length_relevant"),
+    ]
+
+
+def provider_metrics(records: DataFrame) -> DataFrame:
+    """Every per-provider number of the comparison: one aggregation pass + the median."""
+    base = records.groupBy("provider").agg(*_metric_aggs())
+    med = exact_median(records.filter(_ok()), ["provider"], "latency_s", "complaint_id", "median_latency")
+    return base.join(med, "provider", "left").withColumn(
+        "median_latency", F.coalesce(F.col("median_latency"), F.lit(0.0)))
+
+
+def provider_summary(records: DataFrame) -> DataFrame:
+    """N, failed, clean outputs, latency median/max, mean words and tokens."""
+    return provider_metrics(records).select(*SUMMARY_COLUMNS)
 
 
 def fraud_marked_high(records: DataFrame) -> DataFrame:
@@ -228,19 +246,6 @@ def cost_and_breakeven(summary: DataFrame, server_monthly: float = D.SERVER_MONT
                           cost.alias("cost_per_1000"), breakeven(server_monthly, cost).alias("breakeven_requests"))
 
 
-def provider_metrics(records: DataFrame) -> DataFrame:
-    """Every per-provider number of the comparison, one row per provider."""
-    s = provider_summary(records)
-    acc = triage_accuracy(records)
-    q = quality_score(records)
-    c = correct_counts(records)
-    length = (records.filter(_ok()).groupBy("provider").agg(
-        F.count_if(F.col("checks").getItem("length_50_60")).alias("length_pass"),
-        F.count_if(F.col("checks").getItem("length_50_60").isNotNull()).alias("length_relevant")))
-    return (s.join(acc, "provider").join(q, "provider").join(c, "provider")
-            .join(length, "provider", "left"))
-
-
 COMPARISON_ROWS = [
     ("Reply quality", "category_correct"), ("Reply quality", "priority_correct"),
     ("Reply quality", "sentiment_correct"), ("Reply quality", "failed"),

@@ -34,10 +34,13 @@ def _num_partitions(df: DataFrame) -> int:
 
 
 def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                    out_col: str = "seq", partitions: int | None = None) -> DataFrame:
+                    out_col: str = "seq", partitions: int | None = None,
+                    size_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = 1-based position of each row inside its group, by ``order_cols``.
 
     ``order_cols`` must make the order total within a group (end with a unique key).
+    With ``size_col``, also add the group's row count (taken from the small offsets
+    table, so it costs no extra pass over the data).
     """
     n = partitions or _num_partitions(df)
     keys = [*group_cols, *order_cols]
@@ -52,9 +55,11 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     counts = stamped.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*group_cols)
     renamed = {g: f"_og{i}" for i, g in enumerate(group_cols)}
     offsets = counts.select(F.col("_pid").alias("_opid"), *[F.col(g).alias(renamed[g]) for g in group_cols],
-                            "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+                            "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+                            F.sum("_n").over(whole).alias("_gsize"))
     offsets = materialize(offsets)
     if offsets.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
@@ -62,4 +67,5 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     cond = [F.col("_pid") == F.col("_opid")] + [F.col(g).eqNullSafe(F.col(renamed[g])) for g in group_cols]
     joined = stamped.join(offsets, cond, "inner")
     seq = F.col("_before") + F.col("_local") - F.col("_first") + 1
-    return joined.select(*df.columns, seq.cast("bigint").alias(out_col))
+    extra = [F.col("_gsize").cast("bigint").alias(size_col)] if size_col else []
+    return joined.select(*df.columns, seq.cast("bigint").alias(out_col), *extra)

@@ -28,7 +28,7 @@ from plaint.plans import oracle as O
 from plaint.plans import views as V
 from plaint.session import checkpoint_dir
 from plaint.sources import fixtures as FX
-from plaint.sources.tables import table
+from plaint.sources.tables import spread, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -42,7 +42,7 @@ def query(name: str, sql: str | None, extra_ctes: str | None = None):
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _records(spark, d):

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plaint import domains as D
 from plaint.functions.text import ustrip
-from plaint.sources.tables import table
+from plaint.sources.tables import spread, table
 
 # Fixed reference instant for every time-relative query (events span January 2024).
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -113,7 +113,7 @@ def as_of() -> Column:
 
 def complaints_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, ts, tid, customer_name, raw_text): one raw complaint per event."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     t = F.broadcast(templates(spark).select("tid", "txt"))
     joined = e.join(t, t["tid"] == (e["event_id"] * 7 + e["user_id"]) % 20)
     tail = (

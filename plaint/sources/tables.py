@@ -46,3 +46,17 @@ LEXICON_SCHEMA = T.StructType([
 def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(r.rule, r.label, r.weight, r.keyword, r.whole_word) for r in D.lexicon()], LEXICON_SCHEMA)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy text stages enough tasks.
+
+    A small input (one parquet file, one row group) arrives as one partition and would
+    run the whole text pipeline in one task.  Only then is it spread round-robin over
+    the cluster's cores; a large input already has at least that many splits and is
+    left alone, so at scale this adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
