@@ -1,7 +1,9 @@
 """The complaint store as a parquet table plus an append-only status-change log.
 
-* Layout: ``<path>`` partitioned by ``year`` (from ``created_at``); ``created_at`` is
-  TIMESTAMP_NTZ at whole seconds.  Reads add a ``year`` predicate for ``created_at``
+* Layout: ``<path>`` partitioned by ``year`` (from ``created_at``) and ``batch`` (the
+  load that wrote the rows); ``created_at`` is TIMESTAMP_NTZ at whole seconds.  A batch
+  is written with dynamic partition overwrite, so replaying it (a retried streaming
+  micro-batch, a re-run job) replaces its own rows instead of duplicating them.  Reads add a ``year`` predicate for ``created_at``
   ranges so that partition pruning and parquet min/max skipping both apply.
 * One writer per table (it replaces the reference's database lock); IDs continue from
   the stored per-year maximum.
@@ -36,6 +38,8 @@ COMPLAINT_SCHEMA = T.StructType([
     T.StructField("mode", T.StringType(), False),
 ])
 COLUMNS = [f.name for f in COMPLAINT_SCHEMA.fields]
+STORED_SCHEMA = T.StructType(COMPLAINT_SCHEMA.fields + [T.StructField("year", T.IntegerType(), True),
+                                                       T.StructField("batch", T.StringType(), True)])
 CREATED_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -46,22 +50,23 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     try:
-        stored = T.StructType(COMPLAINT_SCHEMA.fields + [T.StructField("year", T.IntegerType(), True)])
-        return spark.read.schema(stored).parquet(path).drop("year")
+        return spark.read.schema(STORED_SCHEMA).parquet(path).drop("year", "batch")
     except Exception as exc:  # missing table -> empty, like a fresh database
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return empty(spark)
         raise
 
 
-def append(df: DataFrame, path: str, key: str = "source_id") -> DataFrame:
-    """Assign IDs after the stored maximum and append; returns the appended rows.
+def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> DataFrame:
+    """Assign IDs after the stored maximum and write the rows as load ``batch``.
 
     ``df`` carries the complaint columns except ``complaint_id`` plus a unique ``key``
     (arrival order for ties in ``created_at``).  Defaults: status Open, mode ai, name ''.
+    Rows already stored under the same ``batch`` are ignored for the maximum and
+    replaced, which makes a retried load idempotent.  Returns the written rows.
     """
     spark = df.sparkSession
-    existing = read(spark, path)
+    existing = _read_stored(spark, path).filter(~F.col("batch").eqNullSafe(batch))
     staged = df.select(
         key,
         F.date_trunc("second", F.col("created_at")).cast("timestamp_ntz").alias("created_at"),
@@ -72,14 +77,24 @@ def append(df: DataFrame, path: str, key: str = "source_id") -> DataFrame:
         (F.col("mode") if "mode" in df.columns else F.lit("ai")).alias("mode"),
     )
     with_ids = assign_ids(staged, key=key, existing=existing).select(*COLUMNS)
-    (with_ids.withColumn("year", F.year("created_at"))
-     .write.mode("append").partitionBy("year").parquet(path))
-    return with_ids
+    (with_ids.withColumn("year", F.year("created_at")).withColumn("batch", F.lit(batch))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("year", "batch").parquet(path))
+    return _read_stored(spark, path).filter(F.col("batch") == batch).select(*COLUMNS)
+
+
+def _read_stored(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(STORED_SCHEMA).parquet(path)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return spark.createDataFrame([], STORED_SCHEMA)
+        raise
 
 
 def clear(spark: SparkSession, path: str) -> None:
     """Replace the table with the typed empty table."""
-    empty(spark).withColumn("year", F.lit(None).cast("int")).write.mode("overwrite").partitionBy("year").parquet(path)
+    spark.createDataFrame([], STORED_SCHEMA).write.mode("overwrite").partitionBy("year", "batch").parquet(path)
 
 
 # ------------------------------------------------------------------------------ reads

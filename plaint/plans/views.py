@@ -26,7 +26,12 @@ def validated_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def complaints_triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted raw complaints, cleaned, masked, rule-labelled, with a seeded status."""
-    v = validated_raw(spark, sf_dir).filter(F.col("ok"))
+    return triage_raw(FX.complaints_raw(spark, sf_dir))
+
+
+def triage_raw(raw: DataFrame, seeded_status: bool = True) -> DataFrame:
+    """Validate, mask and rule-triage a raw complaint frame (batch or streaming)."""
+    v = validate(raw, "raw_text").filter(F.col("ok"))
     base = v.select(
         "source_id",
         FX.whole_seconds(F.col("ts")).alias("created_at"),
@@ -34,7 +39,8 @@ def complaints_triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("cleaned").alias("complaint"),
     )
     t = rule_triage(base, "complaint")
-    status = FX.seeded_status(FX.age_days(F.col("created_at")), F.col("source_id") % 20)
+    status = (FX.seeded_status(FX.age_days(F.col("created_at")), F.col("source_id") % 20)
+              if seeded_status else F.lit("Open"))
     return t.withColumn("status", status).select(
         "source_id", "created_at", "customer_name", "complaint", "category", "priority",
         "sentiment", "response", "status", "mode")

@@ -113,8 +113,16 @@ def as_of() -> Column:
 
 def complaints_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_id, ts, tid, customer_name, raw_text): one raw complaint per event."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    t = F.broadcast(templates(spark).select("tid", "txt"))
+    return raw_from_events(spreaded_events(spark, sf_dir))
+
+
+def spreaded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+
+
+def raw_from_events(e: DataFrame) -> DataFrame:
+    """The raw-complaint projection of an events frame (batch or streaming)."""
+    t = F.broadcast(templates(e.sparkSession).select("tid", "txt"))
     joined = e.join(t, t["tid"] == (e["event_id"] * 7 + e["user_id"]) % 20)
     tail = (
         F.when(F.col("event_type") == "purchase",
@@ -165,7 +173,12 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     Targets are exact-match IDs; some do not exist, every tenth is lower-cased (so it
     does not match, updates are case-sensitive) and every fourth status is invalid.
     """
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "click").select("event_id", "ts")
+    return changes_from_events(table(spark, sf_dir, "events"))
+
+
+def changes_from_events(events: DataFrame) -> DataFrame:
+    """The status-change projection of an events frame (batch or streaming)."""
+    e = events.filter(F.col("event_type") == "click").select("event_id", "ts")
     target = F.format_string("CMP-%d-%03d", F.lit(2024), (F.col("event_id") * 13) % 12000)
     target = F.when(F.col("event_id") % 10 == 9, F.lower(target)).otherwise(target)
     new_status = F.element_at(F.array(*[F.lit(s) for s in ["Closed", "In Progress", "Open", "Nonsense"]]),
