@@ -11,12 +11,23 @@ from pyspark.sql import functions as F
 from plaint.domains import CARD_MASK_PREFIX, WHITESPACE
 
 
-def _java_class(chars: str) -> str:
-    return "[" + "".join(f"\\u{ord(c):04x}" for c in chars) + "]"
-
-
-# Regex class of every character str.isspace() accepts (Java syntax).
+def _java_class(chars: str, negate: bool = False) -> str:
+    """A regex character class for ``chars``, consecutive code points merged into ranges."""
+    points = sorted(ord(c) for c in chars)
+    parts, start, prev = [], points[0], points[0]
+    for p in points[1:] + [None]:
+        if p is not None and p == prev + 1:
+            prev = p
+            continue
+        parts.append(f"\\u{start:04x}" if start == prev else f"\\u{start:04x}-\\u{prev:04x}")
+        if p is not None:
+            start = prev = p
+    return "[" + ("^" if negate else "") + "".join(parts) + "]"
+
+
+# Regex class of every character str.isspace() accepts (Java syntax), and its complement.
 WS_CLASS = _java_class(WHITESPACE)
+NON_WS_CLASS = _java_class(WHITESPACE, negate=True)
 # Python's \w: Unicode letters, digits and underscore.  Written out so that the
 # result does not depend on the JVM's default for \b (it changed in Java 19).
 WORD = r"[\p{L}\p{N}_]"
@@ -61,8 +72,8 @@ def letter_count(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """``len(text.split())``: pieces between runs of Unicode whitespace."""
-    return F.size(F.filter(F.split(c, WS_CLASS + "+"), lambda x: x != ""))
+    """``len(text.split())``: the number of maximal runs of non-whitespace characters."""
+    return F.regexp_count(c, F.lit(NON_WS_CLASS + "+"))
 
 
 def preview(c: Column, n: int = 70) -> Column:

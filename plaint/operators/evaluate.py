@@ -17,6 +17,7 @@ from plaint import domains as D
 from plaint.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, preview, ustrip, word_count
 from plaint.operators.sequence import BROADCAST_ROWS, sequence_within
 from plaint.operators.triage import repair_labels
+from plaint.session import materialize
 from plaint.sources.fixtures import ERROR_TEXT
 
 PROMISE_REGEX = "(?i)" + NOT_WORD_BEFORE + D.PROMISE_PATTERN[2:-2] + NOT_WORD_AFTER
@@ -49,10 +50,14 @@ def estimate_tokens(text: Column, company: str, cat: Column, priority: Column, s
             F.bround(out_chars / F.lit(4.0), 0).cast("bigint"))
 
 
-def quality_checks(response: Column, company: str, gold_category: Column) -> dict[str, Column]:
-    """The 7-rule reply rubric; ``fraud_team`` is NULL (absent) unless gold is fraud."""
+def quality_checks(response: Column, company: str, gold_category: Column,
+                   words: Column | None = None) -> dict[str, Column]:
+    """The 7-rule reply rubric; ``fraud_team`` is NULL (absent) unless gold is fraud.
+
+    ``words`` may pass an already computed word count of ``response``.
+    """
     low = F.lower(response)
-    words = word_count(response)
+    words = word_count(response) if words is None else words
     return {
         "length_50_60": (words >= 50) & (words <= 60),
         "investigation": low.contains("investigat"),
@@ -83,7 +88,7 @@ def model_run_records(raw: DataFrame, company: str = D.DEFAULT_COMPANY) -> DataF
     est_in, est_out = estimate_tokens(F.col("text"), company, F.col("category"), F.col("priority"),
                                       F.col("sentiment"), F.col("raw_response"))
     estimated = (F.col("input_tokens") == 0) & (F.col("output_tokens") == 0)
-    checks = quality_checks(F.col("response"), company, F.col("g_category"))
+    checks = quality_checks(F.col("response"), company, F.col("g_category"), F.col("response_words"))
     error = F.concat(F.lit("TimeoutError: "), F.substring(F.concat(
         F.lit("complaint "), F.col("source_id").cast("string"), F.lit(": "), F.lit(ERROR_TEXT),
         F.repeat(F.lit("retrying; "), 12)), 1, 160))
@@ -102,6 +107,7 @@ def model_run_records(raw: DataFrame, company: str = D.DEFAULT_COMPANY) -> DataF
         F.when(ok, F.col("format_repairs")).otherwise(F.lit(0)).cast("int").alias("format_repairs"),
         F.when(ok, F.lit("")).otherwise(error).alias("error"),
     )
+    staged = staged.withColumn("response_words", word_count(F.col("response")))
     return staged.withColumn(
         "checks", F.when(ok, checks_map(checks)).otherwise(F.create_map().cast("map<string,boolean>")))
 
@@ -177,7 +183,7 @@ def _metric_aggs() -> list[Column]:
         F.count_if(~ok).alias("failed"),
         F.count_if(ok & (F.col("format_repairs") == 0)).alias("clean_outputs"),
         F.coalesce(F.max(F.when(ok, F.col("latency_s"))), F.lit(0.0)).alias("max_latency"),
-        F.coalesce(F.avg(F.when(ok, word_count(F.col("response")))), F.lit(0.0)).alias("avg_words"),
+        F.coalesce(F.avg(F.when(ok, F.col("response_words"))), F.lit(0.0)).alias("avg_words"),
         F.coalesce(F.avg(F.when(ok, F.col("input_tokens"))), F.lit(0.0)).alias("avg_input_tokens"),
         F.coalesce(F.avg(F.when(ok, F.col("output_tokens"))), F.lit(0.0)).alias("avg_output_tokens"),
         F.coalesce(F.bool_or(F.when(ok, F.col("tokens_estimated"))), F.lit(False)).alias("tokens_estimated"),
@@ -190,10 +196,20 @@ def _metric_aggs() -> list[Column]:
     ]
 
 
+METRIC_INPUTS = ["provider", "complaint_id", "ok", "latency_s", "format_repairs", "response_words",
+                 "input_tokens", "output_tokens", "tokens_estimated", "category", "priority", "sentiment",
+                 "g_category", "g_priority", "g_sentiment", "checks"]
+
+
 def provider_metrics(records: DataFrame) -> DataFrame:
-    """Every per-provider number of the comparison: one aggregation pass + the median."""
-    base = records.groupBy("provider").agg(*_metric_aggs())
-    med = exact_median(records.filter(_ok()), ["provider"], "latency_s", "complaint_id", "median_latency")
+    """Every per-provider number of the comparison: one aggregation pass + the median.
+
+    The records are evaluated once into a narrow checkpoint (labels, numbers, rubric map —
+    no texts), which both the aggregation and the median read.
+    """
+    narrow = materialize(records.select(*METRIC_INPUTS))
+    base = narrow.groupBy("provider").agg(*_metric_aggs())
+    med = exact_median(narrow.filter(_ok()), ["provider"], "latency_s", "complaint_id", "median_latency")
     return base.join(med, "provider", "left").withColumn(
         "median_latency", F.coalesce(F.col("median_latency"), F.lit(0.0)))
 
