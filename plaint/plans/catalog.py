@@ -731,6 +731,14 @@ def q_gold_join(spark, d):
     return _gold(spark, d).drop("text").join(preds, "complaint_id", "left")
 
 
+PROBE_ID = 9
+
+
+@query("injection_probe", f"SELECT provider, category FROM records WHERE ok AND complaint_id = {PROBE_ID}")
+def q_injection_probe(spark, d):
+    return EV.injection_probe(_records(spark, d), PROBE_ID)
+
+
 @query("provider_union", "SELECT provider, CAST(count(*) AS BIGINT) AS n, CAST(count_if(ok) AS BIGINT) AS ok_n "
                          "FROM records GROUP BY provider")
 def q_provider_union(spark, d):
@@ -795,3 +803,55 @@ def q_results_json_roundtrip(spark, d):
     X.write_results(recs, path)
     back = X.read_results(spark, path).withColumnRenamed("key", "provider")
     return _flat(back)
+
+
+# ===================================================================== streaming
+def _scratch(spark) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("stream_intake", f"SELECT complaint_id, created_at, customer_name, complaint, category, priority, sentiment, "
+                        f"response, 'Open' AS status, mode FROM complaints")
+def q_stream_intake(spark, d):
+    from plaint.streaming import intake as S
+    base = _scratch(spark)
+    q = S.start_intake(S.raw_complaint_stream(spark, d), f"{base}/store", f"{base}/quarantine", f"{base}/ckpt")
+    q.awaitTermination()
+    return ST.read(spark, f"{base}/store")
+
+
+@query("stream_daily_counts", "SELECT CAST(created_at AS DATE) AS day, CAST(count(*) AS BIGINT) AS complaints "
+                              "FROM triaged GROUP BY 1")
+def q_stream_daily_counts(spark, d):
+    from plaint.streaming import intake as S
+    base = _scratch(spark)
+    q = S.start_complete(S.daily_counts(V.triage_raw(S.raw_complaint_stream(spark, d))), f"{base}/out",
+                         f"{base}/ckpt")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_rolling_week", """
+SELECT CAST(ws AS TIMESTAMP) AS window_start, CAST(ws + INTERVAL 7 DAY AS TIMESTAMP) AS window_end, category,
+  CAST(count(*) AS BIGINT) AS n
+FROM (SELECT category, unnest(generate_series(date_trunc('day', created_at) - INTERVAL 6 DAY,
+        date_trunc('day', created_at), INTERVAL 1 DAY)) AS ws FROM triaged)
+GROUP BY ws, category""")
+def q_stream_rolling_week(spark, d):
+    from plaint.streaming import intake as S
+    base = _scratch(spark)
+    agg = S.rolling_category_counts(V.triage_raw(S.raw_complaint_stream(spark, d)))
+    q = S.start_complete(agg, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "category", "n")
+
+
+@query("stream_latest_status", "SELECT complaint_id, status, changed_at FROM latest_status")
+def q_stream_latest_status(spark, d):
+    from plaint.streaming import intake as S
+    base = _scratch(spark)
+    q = S.start_status_fold(FX.changes_from_events(S.events_stream(spark, d)), f"{base}/state", f"{base}/ckpt")
+    q.awaitTermination()
+    return S.latest_status_table(spark, f"{base}/state")

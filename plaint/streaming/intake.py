@@ -131,3 +131,21 @@ def start_status_fold(changes_stream: DataFrame, state_path: str, checkpoint: st
 def raw_complaint_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The raw-complaint projection of the events file stream."""
     return FX.raw_from_events(events_stream(spark, sf_dir, max_files_per_trigger))
+
+
+def _overwrite_batch(path: str):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+    return run
+
+
+def start_complete(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep a bounded streaming aggregate (one row per window/key) as a parquet table.
+
+    Complete mode hands every micro-batch the whole current result, which replaces the
+    table, so a replayed batch rewrites the same content.
+    """
+    writer = (agg.writeStream.outputMode("complete").foreachBatch(_overwrite_batch(path))
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
