@@ -223,7 +223,13 @@ def q_mode_counts(spark, d):
 
 # ===================================================================== analytics
 def _t(spark, d):
-    return V.complaints_triaged(spark, d)
+    """Reports read the materialised intake table (see ``views.complaints_store``)."""
+    return V.complaints_store(spark, d)
+
+
+def _c(spark, d):
+    """The stored complaint table with the store's 10 columns."""
+    return V.complaints_store(spark, d).select(*ST.COLUMNS)
 
 
 KPI_SQL = ("SELECT CAST(count(*) AS BIGINT) AS total, " + ", ".join(
@@ -396,14 +402,14 @@ def q_intake_append(spark, d):
 
 @query("scan_newest_first", f"SELECT {COLS10} FROM complaints ORDER BY created_at DESC, complaint_id DESC")
 def q_scan_newest_first(spark, d):
-    return ST.newest_first(V.complaints(spark, d))
+    return ST.newest_first(_c(spark, d))
 
 
 @query("parse_created_at", "SELECT complaint_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_text, "
                            "strptime(strftime(created_at, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS created_at "
                            "FROM complaints")
 def q_parse_created_at(spark, d):
-    c = V.complaints(spark, d).select("complaint_id", F.date_format("created_at", ST.CREATED_FORMAT).alias("t"))
+    c = _c(spark, d).select("complaint_id", F.date_format("created_at", ST.CREATED_FORMAT).alias("t"))
     return c.select("complaint_id", F.col("t").alias("created_text"),
                     F.to_timestamp_ntz(F.col("t"), F.lit(ST.CREATED_FORMAT)).alias("created_at"))
 
@@ -433,7 +439,7 @@ def _filter_sql(categories=None, priorities=None, statuses=None, search=None) ->
 for _name, _kw in FILTERS.items():
     def _mkf(kw):
         def fn(spark, d):
-            return ST.list_complaints(V.complaints(spark, d), **kw)
+            return ST.list_complaints(_c(spark, d), **kw)
         return fn
     query(_name, _filter_sql(**_kw))(_mkf(_kw))
 
@@ -445,7 +451,7 @@ TRACK_ID = " cmp-2024-007 "
                       f"strftime(created_at, '%Y-%m-%d %H:%M:%S') AS logged FROM complaints "
                       f"WHERE lower(complaint_id) = {O.lit(TRACK_ID.strip().lower())}")
 def q_track_by_id(spark, d):
-    return ST.tracking_card(ST.get(V.complaints(spark, d), TRACK_ID))
+    return ST.tracking_card(ST.get(_c(spark, d), TRACK_ID))
 
 
 @query("complaint_detail", f"SELECT complaint_id, created_at, CASE WHEN customer_name = '' THEN 'Not provided' "
@@ -453,7 +459,7 @@ def q_track_by_id(spark, d):
                            f"{O.label_of('category', 'category')} AS category_label, priority, sentiment, status, "
                            f"mode, response FROM complaints")
 def q_complaint_detail(spark, d):
-    c = V.complaints(spark, d)
+    c = _c(spark, d)
     return c.select("complaint_id", "created_at",
                     F.when(F.col("customer_name") == "", "Not provided").otherwise(F.col("customer_name"))
                     .alias("customer"), "complaint", label_of(F.col("category"), "category").alias("category_label"),
@@ -474,14 +480,14 @@ _CONSOLE_SQL = (f"SELECT complaint_id AS \"ID\", created_at AS \"Date\", {O.labe
 
 @query("console_view", _CONSOLE_SQL)
 def q_console_view(spark, d):
-    return console_view(ST.newest_first(V.complaints(spark, d)))
+    return console_view(ST.newest_first(_c(spark, d)))
 
 
 @query("latest_10", f"SELECT complaint_id AS \"ID\", created_at AS \"Date\", "
                     f"{O.label_of('category', 'category')} AS \"Category\", priority AS \"Priority\", "
                     f"status AS \"Status\" FROM complaints ORDER BY created_at DESC, complaint_id DESC LIMIT 10")
 def q_latest_10(spark, d):
-    top = ST.newest_first(V.complaints(spark, d)).limit(10)
+    top = ST.newest_first(_c(spark, d)).limit(10)
     return top.select(F.col("complaint_id").alias("ID"), F.col("created_at").alias("Date"),
                       label_of(F.col("category"), "category").alias("Category"), F.col("priority").alias("Priority"),
                       F.col("status").alias("Status"))
@@ -507,7 +513,7 @@ def q_csv_safe(spark, d):
     for c in ["ID", "Date", "Category", "Priority", "Sentiment", "Status", "Complaint"])
     + f" FROM ({_CONSOLE_SQL})")
 def q_csv_report_rows(spark, d):
-    return X.csv_safe(console_view(V.complaints(spark, d)))
+    return X.csv_safe(console_view(_c(spark, d)))
 
 
 @query("status_update_rejects", "SELECT change_id, complaint_id, new_status, 'Invalid status: ''' || new_status "
@@ -526,7 +532,7 @@ def q_latest_status(spark, d):
                                "AS status, l.status IS NOT NULL AS updated FROM complaints c "
                                "LEFT JOIN latest_status l ON l.complaint_id = c.complaint_id")
 def q_apply_status_updates(spark, d):
-    out = ST.apply_status_updates(V.complaints(spark, d), FX.status_changes(spark, d))
+    out = ST.apply_status_updates(_c(spark, d), FX.status_changes(spark, d))
     return out.select("complaint_id", "previous_status", "status", "updated")
 
 
@@ -534,7 +540,7 @@ def q_apply_status_updates(spark, d):
                                    "WHERE new_status IN ('Open', 'In Progress', 'Closed') AND NOT EXISTS "
                                    "(SELECT 1 FROM complaints c WHERE c.complaint_id = s.complaint_id)")
 def q_status_updates_unmatched(spark, d):
-    return ST.unmatched_changes(V.complaints(spark, d), FX.status_changes(spark, d))
+    return ST.unmatched_changes(_c(spark, d), FX.status_changes(spark, d))
 
 
 # ==================================================================== evaluation

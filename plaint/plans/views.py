@@ -7,6 +7,8 @@ only shuffle of the intake path.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from plaint.functions.text import ustrip
 from plaint.functions.validate import validate
 from plaint.operators.ids import assign_ids
 from plaint.operators.triage import rule_triage
+from plaint.session import checkpoint_dir
 from plaint.sources import fixtures as FX
 
 COMPLAINT_COLUMNS = ["complaint_id", "created_at", "customer_name", "complaint", "category",
@@ -51,3 +54,36 @@ def complaints(spark: SparkSession, sf_dir: str, keep_source: bool = False) -> D
     t = assign_ids(complaints_triaged(spark, sf_dir), key="source_id")
     cols = COMPLAINT_COLUMNS + (["source_id"] if keep_source else [])
     return t.select(*cols)
+
+
+# One materialised intake per (application, input, input version): reports read the stored
+# table, as the dashboards read the store, instead of re-running text triage every time.
+_STORES: dict[tuple, str] = {}
+
+
+def _fingerprint(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    st = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hpath)
+    return (st.getPath().toString(), st.getLen(), st.getModificationTime())
+
+
+def complaints_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intake result (IDs, labels, status, ``source_id``) as a parquet table.
+
+    Written once into the shared checkpoint folder, partitioned by ``year``; later calls
+    with the same input read it back (column pruning and filter pushdown apply).
+    """
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    path = _STORES.get(key)
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/complaints-{uuid.uuid4().hex}"
+        (complaints(spark, sf_dir, keep_source=True).withColumn("year", F.year("created_at"))
+         .write.mode("overwrite").partitionBy("year").parquet(path))
+        _STORES[key] = path
+    return spark.read.parquet(path).select(*COMPLAINT_COLUMNS, "source_id")
+
+
+def forget_stores() -> None:
+    """Drop the in-session registry (the next call rebuilds the table)."""
+    _STORES.clear()
