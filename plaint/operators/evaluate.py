@@ -201,22 +201,25 @@ METRIC_INPUTS = ["provider", "complaint_id", "ok", "latency_s", "format_repairs"
                  "g_category", "g_priority", "g_sentiment", "checks"]
 
 
-def provider_metrics(records: DataFrame) -> DataFrame:
+def provider_metrics(records: DataFrame, stored: bool = False) -> DataFrame:
     """Every per-provider number of the comparison: one aggregation pass + the median.
 
-    The records are evaluated once into a narrow checkpoint (labels, numbers, rubric map —
-    no texts), which both the aggregation and the median read.
+    Unless ``records`` is already a stored table, it is evaluated once into a narrow
+    checkpoint (labels, numbers, rubric map — no texts) that the aggregation and the
+    median both read.
     """
-    narrow = materialize(records.select(*METRIC_INPUTS))
+    narrow = records.select(*METRIC_INPUTS)
+    if not stored:
+        narrow = materialize(narrow)
     base = narrow.groupBy("provider").agg(*_metric_aggs())
     med = exact_median(narrow.filter(_ok()), ["provider"], "latency_s", "complaint_id", "median_latency")
     return base.join(med, "provider", "left").withColumn(
         "median_latency", F.coalesce(F.col("median_latency"), F.lit(0.0)))
 
 
-def provider_summary(records: DataFrame) -> DataFrame:
+def provider_summary(records: DataFrame, stored: bool = False) -> DataFrame:
     """N, failed, clean outputs, latency median/max, mean words and tokens."""
-    return provider_metrics(records).select(*SUMMARY_COLUMNS)
+    return provider_metrics(records, stored).select(*SUMMARY_COLUMNS)
 
 
 def fraud_marked_high(records: DataFrame) -> DataFrame:
@@ -272,9 +275,10 @@ COMPARISON_ROWS = [
 ]
 
 
-def provider_comparison(records: DataFrame, hosted: str = "hosted", local: str = "local") -> DataFrame:
+def provider_comparison(records: DataFrame, hosted: str = "hosted", local: str = "local",
+                        stored: bool = False) -> DataFrame:
     """(section, dimension, hosted, local) numeric comparison rows."""
-    m = provider_metrics(records).withColumn(
+    m = provider_metrics(records, stored).withColumn(
         "cost_per_1000", cost_per_1000(F.col("avg_input_tokens"), F.col("avg_output_tokens")))
     long = m.select("provider", F.inline(F.array(*[
         F.struct(F.lit(sec).alias("section"), F.lit(dim).alias("dimension"),
@@ -285,9 +289,9 @@ def provider_comparison(records: DataFrame, hosted: str = "hosted", local: str =
 
 
 def provider_verdict(records: DataFrame, hosted: str = "hosted", local: str = "local",
-                     server_monthly: float = D.SERVER_MONTHLY_USD) -> DataFrame:
+                     server_monthly: float = D.SERVER_MONTHLY_USD, stored: bool = False) -> DataFrame:
     """Accuracy gap band, latency ratio band, recommended tail, faster back-end."""
-    m = provider_metrics(records)
+    m = provider_metrics(records, stored)
 
     def pick(col: str, who: str) -> Column:
         return F.max(F.when(F.col("provider") == who, F.col(col)))

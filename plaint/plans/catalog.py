@@ -46,6 +46,11 @@ def _docs(spark, d):
 
 
 def _records(spark, d):
+    """Evaluation reports read the stored, scored run records (see ``views.model_runs_store``)."""
+    return V.model_runs_store(spark, d)
+
+
+def _records_raw(spark, d):
     return EV.model_run_records(FX.model_runs_raw(spark, d))
 
 
@@ -555,7 +560,7 @@ def _flat(records: DataFrame) -> DataFrame:
 
 @query("model_run_records", f"SELECT {REC_COLS}, {CHK} FROM scored")
 def q_model_run_records(spark, d):
-    return _flat(_records(spark, d))
+    return _flat(_records_raw(spark, d))
 
 
 @query("reply_quality_checks", f"SELECT provider, complaint_id, {CHK} FROM scored WHERE ok")
@@ -634,7 +639,7 @@ _SUMMARY = (f"SELECT r.provider, CAST(count(*) AS BIGINT) AS n, CAST(count_if(NO
 
 @query("eval_provider_summary", _SUMMARY)
 def q_eval_provider_summary(spark, d):
-    return EV.provider_summary(_records(spark, d))
+    return EV.provider_summary(_records(spark, d), stored=True)
 
 
 @query("fraud_marked_high", "SELECT provider, CAST(count_if(ok AND g_category = 'fraud' AND priority = 'high') AS "
@@ -652,7 +657,7 @@ _COST = (f"(avg_input_tokens * {O.dbl(D.PRICE_IN_PER_M)} + avg_output_tokens * {
                              f"CASE WHEN {_COST} > 0 THEN {O.dbl(D.SERVER_MONTHLY_USD)} / ({_COST}) * "
                              f"{O.dbl(1000.0)} ELSE CAST('inf' AS DOUBLE) END AS breakeven_requests FROM ({_SUMMARY})")
 def q_cost_and_breakeven(spark, d):
-    return EV.cost_and_breakeven(EV.provider_summary(_records(spark, d)))
+    return EV.cost_and_breakeven(EV.provider_summary(_records(spark, d), stored=True))
 
 
 _METRICS = (f"SELECT s.*, a.triage_accuracy, q.quality_score, c.category_correct, c.priority_correct, "
@@ -671,7 +676,7 @@ _METRICS = (f"SELECT s.*, a.triage_accuracy, q.quality_score, c.category_correct
     f"round(max(CASE WHEN provider = 'local' THEN CAST({dim} AS DOUBLE) END), 9) AS local FROM ({_METRICS})"
     for sec, dim in EV.COMPARISON_ROWS))
 def q_provider_comparison(spark, d):
-    out = EV.provider_comparison(_records(spark, d))
+    out = EV.provider_comparison(_records(spark, d), stored=True)
     return out.select("section", "dimension", F.round("hosted", 9).alias("hosted"), F.round("local", 9).alias("local"))
 
 
@@ -700,7 +705,7 @@ FROM (SELECT *, acc_h - acc_l AS gap,
 
 @query("provider_verdict", _VERDICT)
 def q_provider_verdict(spark, d):
-    return EV.provider_verdict(_records(spark, d))
+    return EV.provider_verdict(_records(spark, d), stored=True)
 
 
 def _gold(spark, d):
@@ -800,7 +805,7 @@ def q_prompt_insights(spark, d):
 
 @query("results_json_roundtrip", f"SELECT {REC_COLS}, {CHK} FROM scored")
 def q_results_json_roundtrip(spark, d):
-    recs = _records(spark, d).select(
+    recs = _records_raw(spark, d).select(
         F.col("provider").alias("key"), F.col("provider").alias("label"),
         F.concat(F.lit("model-"), F.col("provider")).alias("model"), F.lit(D.DEFAULT_COMPANY).alias("company"),
         F.lit(0.0).alias("cold_start_s"), F.lit("2024-01-31 00:00").alias("generated_at"),

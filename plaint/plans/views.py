@@ -87,3 +87,17 @@ def complaints_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forget_stores() -> None:
     """Drop the in-session registry (the next call rebuilds the table)."""
     _STORES.clear()
+
+
+def model_runs_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored model-run records as a parquet table, written once per input (like the
+    saved results file the evaluation reports are rendered from)."""
+    from plaint.operators.evaluate import model_run_records
+    key = ("runs", spark.sparkContext.applicationId,
+           _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    path = _STORES.get(key)
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/model-runs-{uuid.uuid4().hex}"
+        model_run_records(FX.model_runs_raw(spark, sf_dir)).write.mode("overwrite").parquet(path)
+        _STORES[key] = path
+    return spark.read.parquet(path)
