@@ -56,7 +56,9 @@ def spread(df: DataFrame) -> DataFrame:
     the cluster's cores; a large input already has at least that many splits and is
     left alone, so at scale this adds no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a remote session): leave it to AQE
+        return df
+    return df.repartition(target) if splits < target else df
