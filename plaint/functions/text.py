@@ -74,9 +74,12 @@ def letter_count(c: Column) -> Column:
 def word_count(c: Column) -> Column:
     """``len(text.split())``: pieces between runs of Unicode whitespace.
 
-    (split + filter measured 7x faster than ``regexp_count`` over the non-space class.)
+    Stripping first leaves no empty pieces, so no ``filter`` (a higher-order function
+    that would stop whole-stage codegen) is needed; empty text has 0 words.  (split
+    measured 7x faster than ``regexp_count`` over the non-space class.)
     """
-    return F.size(F.filter(F.split(c, WS_CLASS + "+"), lambda x: x != ""))
+    s = ustrip(c)
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, WS_CLASS + "+")))
 
 
 def preview(c: Column, n: int = 70) -> Column:
