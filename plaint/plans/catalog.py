@@ -91,12 +91,21 @@ SELECT src, error_code, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'conversations', {O.error_code('text', O.clean('text'))} FROM conversations)
 WHERE error_code IS NOT NULL GROUP BY src, error_code""")
 def q_rejects_by_reason(spark, d):
+    """Reject counts per source and reason: conditional counts, unpivoted, zero rows dropped.
+
+    (Filtering ``error_code`` before aggregating would let Catalyst push the expensive
+    validation below ``spread`` into the single scan task.)
+    """
+    from plaint.functions.validate import ERROR_CODES
     parts = [validate(FX.complaints_raw(spark, d), "raw_text").select(F.lit("complaints").alias("src"), "error_code"),
              validate(_docs(spark, d), "text").select(F.lit("documents").alias("src"), "error_code"),
-             validate(table(spark, d, "conversations"), "text").select(F.lit("conversations").alias("src"),
-                                                                        "error_code")]
+             validate(spread(table(spark, d, "conversations")), "text").select(
+                 F.lit("conversations").alias("src"), "error_code")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.filter(F.col("error_code").isNotNull()).groupBy("src", "error_code").agg(F.count(F.lit(1)).alias("n"))
+    counts = u.groupBy("src").agg(*[F.count_if(F.col("error_code") == c).alias(c) for c in ERROR_CODES])
+    long = counts.select("src", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("error_code"), F.col(c).alias("n")) for c in ERROR_CODES])))
+    return long.filter(F.col("n") > 0)
 
 
 @query("intake_accepted", "SELECT source_id, created_at, customer_name, complaint FROM accepted")

@@ -55,6 +55,10 @@ def spread(df: DataFrame) -> DataFrame:
     run the whole text pipeline in one task.  Only then is it spread round-robin over
     the cluster's cores; a large input already has at least that many splits and is
     left alone, so at scale this adds no shuffle.
+
+    Catalyst pushes deterministic filters through a round-robin repartition, so a
+    selective filter on an expensive expression placed right after ``spread`` would run
+    before it; keep such filters behind a join or aggregate (as the intake does).
     """
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
