@@ -242,6 +242,14 @@ def token_usage(records: DataFrame) -> DataFrame:
         F.count_if(F.col("tokens_estimated")).alias("estimated_records"))
 
 
+def usage_per_complaint(calls: DataFrame, keys: tuple[str, ...] = ("complaint_id",)) -> DataFrame:
+    """Tokens summed over the model calls of each complaint (per-call rows, e.g. the
+    scorer's output) and the number of calls."""
+    return calls.groupBy(*keys).agg(
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.count(F.lit(1)).alias("calls"))
+
+
 def label_repairs(records: DataFrame) -> DataFrame:
     """How many successful records needed 0, 1, 2 or 3 label repairs."""
     return records.filter(_ok()).groupBy("provider", "format_repairs").agg(F.count(F.lit(1)).alias("n"))

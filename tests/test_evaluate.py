@@ -108,3 +108,13 @@ def test_scorer_isolates_row_failures(spark):
     out = {r.complaint_id: r for r in score_prompts(prompts, answer).collect()}
     assert out[1].answer == "Loan." and out[1].error is None
     assert out[2].answer is None and out[2].error.startswith("RuntimeError")
+
+
+def test_usage_summed_over_the_four_calls(spark):
+    from plaint.operators import prompts as PR
+    df = spark.createDataFrame([(1, "My EMI payment was deducted twice.", "loan", "medium", "neutral")],
+                               "complaint_id bigint, complaint string, category string, priority string, "
+                               "sentiment string")
+    calls = score_prompts(PR.prompts(df, PR.STAGE1 + PR.STAGE2), lambda step, system, human: ("x", 100, 10))
+    u = EV.usage_per_complaint(calls).first()
+    assert (u.input_tokens, u.output_tokens, u.calls) == (400, 40, 4)
