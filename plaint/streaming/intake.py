@@ -5,8 +5,9 @@
   (dynamic overwrite), so a replayed batch id replaces rather than duplicates.
 * R2 ``daily_counts`` / R3 ``rolling_category_counts``: event-time windows with a
   watermark (late rows inside the watermark still update their window).
-* R4 ``start_status_fold``: a status-change stream folded into a latest-status table,
-  one versioned state folder per batch id (replays overwrite their own version).
+* R4 ``start_status_fold``: a status-change stream folded by a stateful ``max_by``
+  aggregation; each batch writes only the complaints it changed (replays overwrite
+  their own partition) and readers fold the deltas.
 
 Streaming needs TIMESTAMP (not TIMESTAMP_NTZ) for watermarks; the session time zone
 is UTC, so the cast does not move the instants.
@@ -14,7 +15,7 @@ is UTC, so the cast does not move the instants.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -77,57 +78,48 @@ def rolling_category_counts(triaged: DataFrame, watermark: str = "1 day") -> Dat
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category", "n"))
 
 
-def _fold_batch(state_path: str):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        changes = ST.valid_changes(batch).select("complaint_id", F.col("new_status").alias("status"),
-                                                 "changed_at", "change_id")
-        prev = _latest_state(spark, state_path, before=batch_id)
-        if prev is not None:
-            changes = changes.unionByName(prev)
-        folded = changes.groupBy("complaint_id").agg(
-            F.max_by(F.struct("status", "changed_at", "change_id"), F.struct("changed_at", "change_id")).alias("_l"))
-        (folded.select("complaint_id", "_l.status", "_l.changed_at", "_l.change_id")
-         .write.mode("overwrite").parquet(f"{state_path}/v={batch_id:09d}"))
-    return run
-
-
-def _latest_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame | None:
-    """The newest committed state version (optionally older than ``before``)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return None
-    versions = []
-    for st in fs.listStatus(hpath):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if before is None or v < before:
-                versions.append(v)
-    if not versions:
-        return None
-    return spark.read.parquet(f"{state_path}/v={max(versions):09d}").select(
-        "complaint_id", "status", "changed_at", "change_id")
+def _latest() -> Column:
+    return F.max_by(F.struct("status", "changed_at", "change_id"), F.struct("changed_at", "change_id"))
 
 
-def latest_status_table(spark: SparkSession, state_path: str) -> DataFrame:
-    """(complaint_id, status, changed_at) as of the last committed fold."""
-    s = _latest_state(spark, state_path)
-    if s is None:
-        return spark.createDataFrame([], "complaint_id string, status string, changed_at timestamp_ntz")
-    return s.select("complaint_id", "status", "changed_at")
+def _write_delta(state_path: str):
+    def run(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch").parquet(state_path))
+    return run
 
 
 def start_status_fold(changes_stream: DataFrame, state_path: str, checkpoint: str,
                       available_now: bool = True) -> StreamingQuery:
-    """Fold a status-change stream into the latest status per complaint."""
-    writer = changes_stream.writeStream.foreachBatch(_fold_batch(state_path)).option("checkpointLocation", checkpoint)
+    """Fold a status-change stream into the latest status per complaint.
+
+    A stateful streaming aggregation (``max_by`` per complaint, update mode) keeps one row
+    per complaint in the state store; each micro-batch writes only the complaints it
+    changed, as its own partition (a replayed batch id overwrites itself).
+    """
+    valid = ST.valid_changes(changes_stream).select(
+        "complaint_id", F.col("new_status").alias("status"), "changed_at", "change_id")
+    folded = valid.groupBy("complaint_id").agg(_latest().alias("_l")).select(
+        "complaint_id", "_l.status", "_l.changed_at", "_l.change_id")
+    writer = (folded.writeStream.outputMode("update").foreachBatch(_write_delta(state_path))
+              .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
+def latest_status_table(spark: SparkSession, state_path: str) -> DataFrame:
+    """(complaint_id, status, changed_at): the per-batch deltas folded with the same max_by."""
+    try:
+        deltas = spark.read.parquet(state_path)
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER" in str(exc):
+            return spark.createDataFrame([], "complaint_id string, status string, changed_at timestamp_ntz")
+        raise
+    return deltas.groupBy("complaint_id").agg(_latest().alias("_l")).select(
+        "complaint_id", "_l.status", "_l.changed_at")
+
+
 def raw_complaint_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The raw-complaint projection of the events file stream."""
     return FX.raw_from_events(events_stream(spark, sf_dir, max_files_per_trigger))

@@ -58,3 +58,19 @@ def test_status_fold_equals_batch_latest(spark, tmpdir_path):
     want = ST.latest_status(FX.status_changes(spark, SF001))
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
+
+
+def test_status_fold_across_micro_batches(spark, tmpdir_path):
+    changes = FX.status_changes(spark, SF001)
+    src = f"{tmpdir_path}/changes"
+    # two files, later changes second: each becomes its own micro-batch
+    changes.filter("change_id % 2 = 0").coalesce(1).write.parquet(f"{src}/part=a")
+    changes.filter("change_id % 2 = 1").coalesce(1).write.parquet(f"{src}/part=b")
+    stream = (spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = S.start_status_fold(stream, f"{tmpdir_path}/state", f"{tmpdir_path}/ckpt3")
+    q.awaitTermination(300)
+    assert spark.read.parquet(f"{tmpdir_path}/state").select("batch").distinct().count() >= 2
+    got = S.latest_status_table(spark, f"{tmpdir_path}/state")
+    want = ST.latest_status(changes)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
