@@ -24,16 +24,19 @@ def max_seq_per_year(existing: DataFrame) -> DataFrame:
 
 
 def assign_ids(df: DataFrame, key: str = "source_id", existing: DataFrame | None = None,
-               ts: str = "created_at") -> DataFrame:
+               ts: str = "created_at", maxes: DataFrame | None = None) -> DataFrame:
     """Add ``complaint_id``: per year of ``ts`` in (ts, key) order, after the stored max.
 
-    The per-year numbering is distributed (see :mod:`plaint.operators.sequence`); the
-    stored maxima are one row per year, so that table is broadcast.
+    The per-year numbering is distributed (see :mod:`plaint.operators.sequence`).  The
+    stored maxima — from ``maxes`` ``(_year, _max)`` or computed from ``existing`` IDs —
+    are one row per year, so that table is broadcast.
     """
     staged = df.withColumn("_year", F.year(F.col(ts)))
     numbered = sequence_within(staged, ["_year"], [ts, key], out_col="_seq")
-    if existing is not None:
-        maxes = F.broadcast(max_seq_per_year(existing))
+    if maxes is None and existing is not None:
+        maxes = max_seq_per_year(existing)
+    if maxes is not None:
+        maxes = F.broadcast(maxes)
         numbered = numbered.join(maxes, "_year", "left").withColumn(
             "_seq", F.col("_seq") + F.coalesce(F.col("_max"), F.lit(0)))
     return numbered.withColumn("complaint_id", id_text(F.col("_year"), F.col("_seq"))).drop(

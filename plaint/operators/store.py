@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from plaint import domains as D
 from plaint.functions.respond import label_of
 from plaint.functions.text import ustrip
-from plaint.operators.ids import assign_ids
+from plaint.operators.ids import assign_ids, max_seq_per_year
 
 COMPLAINT_SCHEMA = T.StructType([
     T.StructField("complaint_id", T.StringType(), False),
@@ -66,7 +66,6 @@ def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> Data
     replaced, which makes a retried load idempotent.  Returns the written rows.
     """
     spark = df.sparkSession
-    existing = _read_stored(spark, path).filter(~F.col("batch").eqNullSafe(batch))
     staged = df.select(
         key,
         F.date_trunc("second", F.col("created_at")).cast("timestamp_ntz").alias("created_at"),
@@ -76,11 +75,37 @@ def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> Data
         (F.col("status") if "status" in df.columns else F.lit("Open")).alias("status"),
         (F.col("mode") if "mode" in df.columns else F.lit("ai")).alias("mode"),
     )
-    with_ids = assign_ids(staged, key=key, existing=existing).select(*COLUMNS)
+    with_ids = assign_ids(staged, key=key, maxes=_stored_maxima(spark, path, batch)).select(*COLUMNS)
     (with_ids.withColumn("year", F.year("created_at")).withColumn("batch", F.lit(batch))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "batch").parquet(path))
-    return _read_stored(spark, path).filter(F.col("batch") == batch).select(*COLUMNS)
+    written = _read_stored(spark, path).filter(F.col("batch") == batch)
+    # High-water marks: one (year, max_seq) row per year of this batch, written after the
+    # rows (a replay of the batch rewrites both), so the next load reads a few rows
+    # instead of every stored ID.
+    (max_seq_per_year(written).withColumn("batch", F.lit(batch))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch").parquet(f"{path.rstrip('/')}/_hwm"))
+    return written.select(*COLUMNS)
+
+
+def _stored_maxima(spark: SparkSession, path: str, batch: str) -> DataFrame:
+    """(_year, _max) over every stored batch except ``batch``: from the high-water marks,
+    or from the stored IDs when the table has none (a table written by other means)."""
+    marks = _read_marks(spark, path)
+    stored = _read_stored(spark, path).filter(~F.col("batch").eqNullSafe(batch))
+    if marks is None:
+        return max_seq_per_year(stored)
+    return marks.filter(~F.col("batch").eqNullSafe(batch)).groupBy("_year").agg(F.max("_max").alias("_max"))
+
+
+def _read_marks(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("_year int, _max bigint, batch string").parquet(f"{path.rstrip('/')}/_hwm")
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return None
+        raise
 
 
 def _read_stored(spark: SparkSession, path: str) -> DataFrame:
