@@ -79,7 +79,7 @@ def word_count(c: Column) -> Column:
     measured 7x faster than ``regexp_count`` over the non-space class.)
     """
     s = ustrip(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, WS_CLASS + "+")))
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, WS_CLASS + "+"))).cast("bigint")
 
 
 def preview(c: Column, n: int = 70) -> Column:
