@@ -42,6 +42,14 @@ def _norm(v):
     return ("s", str(v))
 
 
+def _duck_type(spark_type) -> str:
+    from pyspark.sql import types as T
+    names = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+             T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.DateType: "DATE",
+             T.TimestampType: "TIMESTAMP WITH TIME ZONE"}
+    return names.get(type(spark_type), spark_type.simpleString())
+
+
 def rows_of(columns: list[str], rows: list[tuple]) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = [tuple(_norm(r[i]) for i in order) for r in rows]
@@ -65,6 +73,11 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     if sorted(s_cols) != sorted(d_cols):
         res["status"] = f"COLUMNS differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
         return res
+    s_types = {f.name: _duck_type(f.dataType) for f in sdf.schema.fields}
+    d_types = {c: str(t) for c, t in zip(d_cols, rel.types)}
+    if s_types != d_types:
+        res["status"] = f"TYPES differ: {[(c, s_types[c], d_types[c]) for c in s_types if s_types[c] != d_types[c]]}"
+        return res
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if len(a) != len(b):
         res["status"] = "ROWCOUNT differs"
