@@ -9,7 +9,7 @@ character instead, which is equivalent for presence tests.
 from __future__ import annotations
 
 from plaint import domains as D
-from plaint.operators.evaluate import COMPARISON_ROWS, prompt_char_model
+from plaint.operators.evaluate import prompt_char_model
 from plaint.sources import fixtures as FX
 
 W = r"[^\p{L}\p{N}_]"           # a non-word character (Python's \W, Unicode)

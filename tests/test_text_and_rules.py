@@ -123,3 +123,15 @@ def test_response_and_signature(spark):
 def test_preview(spark):
     assert one(spark, preview(F.col("t")), "a" * 71) == "a" * 70 + "..."
     assert one(spark, preview(F.col("t")), "short") == "short"
+
+
+def test_lexicon_and_domain_tables(spark):
+    from plaint.sources import tables
+    lex = tables.lexicon(spark)
+    counts = {(r.rule, r.label): r["count"] for r in lex.groupBy("rule", "label").count().collect()}
+    assert counts == {("category", "fraud"): 16, ("category", "loan"): 10, ("category", "billing"): 15,
+                      ("category", "app_issue"): 17, ("high", "high"): 10, ("angry", "angry"): 16,
+                      ("frustrated", "frustrated"): 12, ("positive", "positive"): 5}
+    whole = {r.keyword for r in lex.filter("whole_word").collect()}
+    assert whole == {"hack", "scam", "emi", "loan", "fee", "fees", "bill", "app", "hang"}
+    assert tables.domains(spark).count() == 14
