@@ -2,7 +2,8 @@
 
 ``rule_triage`` is one narrow stage: no shuffle, no Python.  ``triage_with_model``
 joins model outputs back to the complaints by key; the model output table is as large
-as the complaint table, so it is a regular (AQE-chosen) equi-join, never a broadcast.
+as the complaint table, so it carries no broadcast hint — AQE picks the strategy from
+the runtime sizes (sort-merge at scale, broadcast only when a side turns out small).
 """
 
 from __future__ import annotations
@@ -62,21 +63,21 @@ def triage_with_model(complaints: DataFrame, outputs: DataFrame, key: str = "com
     """
     joined = complaints.join(outputs, key, "left")
     called = F.coalesce(F.col("call_ok"), F.lit(False))
-    repaired = repair_labels(joined, text_col)
-    offline = rule_triage(repaired.select(*[c for c in repaired.columns
-                                            if c not in ("category", "priority", "sentiment")],
-                                          F.col("category").alias("_m_cat"),
-                                          F.col("priority").alias("_m_pri"),
-                                          F.col("sentiment").alias("_m_sen")),
-                          text_col, company)
-    return offline.select(
-        *[c for c in complaints.columns],
-        F.when(called, F.col("_m_cat")).otherwise(F.col("category")).alias("category"),
-        F.when(called, F.col("_m_pri")).otherwise(F.col("priority")).alias("priority"),
-        F.when(called, F.col("_m_sen")).otherwise(F.col("sentiment")).alias("sentiment"),
-        F.when(called, ensure_signature(F.trim(F.col("raw_response"), F.lit(D.WHITESPACE)), company))
-        .otherwise(F.col("response")).alias("response"),
-        F.when(called, F.lit("ai")).otherwise(F.lit("offline")).alias("mode"),
-        F.when(called, F.lit(None).cast("string")).otherwise(F.lit(D.FALLBACK_WARNING)).alias("warning"),
-        F.when(called, F.col("format_repairs")).otherwise(F.lit(0)).alias("format_repairs"),
+    model = repair_labels(joined, text_col).withColumnsRenamed(
+        {"category": "_m_cat", "priority": "_m_pri", "sentiment": "_m_sen"})
+    both = rule_triage(model, text_col, company)        # adds the rule labels and reply
+
+    def pick(model_value, rule_value):
+        return F.when(called, model_value).otherwise(rule_value)
+
+    return both.select(
+        *complaints.columns,
+        pick(F.col("_m_cat"), F.col("category")).alias("category"),
+        pick(F.col("_m_pri"), F.col("priority")).alias("priority"),
+        pick(F.col("_m_sen"), F.col("sentiment")).alias("sentiment"),
+        pick(ensure_signature(F.trim(F.col("raw_response"), F.lit(D.WHITESPACE)), company),
+             F.col("response")).alias("response"),
+        pick(F.lit("ai"), F.lit("offline")).alias("mode"),
+        pick(F.lit(None).cast("string"), F.lit(D.FALLBACK_WARNING)).alias("warning"),
+        pick(F.col("format_repairs"), F.lit(0)).alias("format_repairs"),
     )
