@@ -97,12 +97,19 @@ def all_distributions(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------ C6, J2
 def daily_trend(df: DataFrame) -> DataFrame:
-    """(day, complaints): per-day counts, gap-filled from the first to the last day."""
+    """(day, complaints): per-day counts, gap-filled from the first to the last day.
+
+    One scan: per-day counts (partial aggregation), then one row holding the bounds and a
+    day -> count map — at most one entry per calendar day of the span, independent of the
+    row count — from which the gap-free calendar is generated.  No self-join.
+    """
     counts = df.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("_n"))
-    bounds = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    calendar = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    return (calendar.join(counts, "day", "left")
-            .select("day", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("complaints")))
+    span = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"),
+                      F.map_from_entries(F.collect_list(F.struct("day", "_n"))).alias("m"))
+    days = F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 1 DAY"))
+    filled = F.transform(days, lambda d: F.struct(
+        d.alias("day"), F.coalesce(F.try_element_at(F.col("m"), d), F.lit(0)).cast("bigint").alias("complaints")))
+    return span.select(F.inline(filled))
 
 
 # ------------------------------------------------------------------------------ C7

@@ -37,6 +37,6 @@ def test_latest_10_is_top_k(spark):
 
 
 def test_one_scan_for_all_distributions_and_week_windows(spark):
-    for name in ("all_distributions", "week_over_week_counts", "stats_text", "insights"):
+    for name in ("all_distributions", "week_over_week_counts", "stats_text", "insights", "daily_trend"):
         plan = _plan(REGISTRY[name][0](spark, SF001))
         assert plan.count("FileScan parquet") == 1, name
