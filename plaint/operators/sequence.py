@@ -28,9 +28,14 @@ BROADCAST_ROWS = 200_000
 
 
 def _num_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(configured, 1)
+    """At least ``spark.sql.shuffle.partitions`` and at least as many as the input has
+    splits, so range partitions stay about the size of the scan's splits at any scale."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:
+        splits = 1
+    return max(configured, splits, 1)
 
 
 def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
