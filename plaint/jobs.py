@@ -20,7 +20,8 @@ from plaint.functions.validate import validate
 from plaint.operators import analytics as A
 from plaint.operators import export as X
 from plaint.operators import store as ST
-from plaint.plans.views import label_accepted, accept_raw
+from plaint.plans.views import accept_raw, label_accepted
+from plaint.sources.fixtures import ntz
 
 
 def intake(raw: DataFrame, store_path: str, quarantine_path: str, batch: str) -> DataFrame:
@@ -36,7 +37,7 @@ def intake(raw: DataFrame, store_path: str, quarantine_path: str, batch: str) ->
 def reports(spark: SparkSession, store_path: str, out_dir: str, as_of: dt.datetime) -> dict[str, str]:
     """Write every dashboard report of the stored complaints; returns name -> path."""
     df = ST.read(spark, store_path)
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = ntz(as_of)
     out = out_dir.rstrip("/")
     frames = {
         "kpi_summary": A.kpi_summary(df),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from plaint import domains as D
 from plaint.sources import tables
 from plaint.sources.fixtures import as_of as default_as_of
-from plaint.sources.fixtures import age_days
+from plaint.sources.fixtures import age_days, ntz
 
 def _closed() -> Column:
     return F.col("status").eqNullSafe("Closed")
@@ -31,7 +31,7 @@ def _now(now: dt.datetime | Column | None) -> Column:
     if now is None:
         return default_as_of()
     if isinstance(now, dt.datetime):
-        return F.lit(now).cast("timestamp_ntz")
+        return ntz(now)
     return now
 
 

@@ -863,9 +863,7 @@ def q_stream_rolling_week(spark, d):
     agg = S.rolling_category_counts(V.triage_raw(S.raw_complaint_stream(spark, d)))
     q = S.start_complete(agg, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "category", "n")
+    return spark.read.parquet(f"{base}/out").select("window_start", "window_end", "category", "n")
 
 
 @query("stream_latest_status", "SELECT complaint_id, status, changed_at FROM latest_status")

@@ -107,8 +107,14 @@ def replies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REPLIES, "reply_id int, raw_response string")
 
 
+def ntz(value: dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal from a naive datetime, independent of any time zone
+    (``lit(datetime)`` would go through a zoned TIMESTAMP and shift by the session zone)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def as_of() -> Column:
-    return F.lit(AS_OF).cast("timestamp_ntz")
+    return ntz(AS_OF)
 
 
 def complaints_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

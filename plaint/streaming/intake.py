@@ -9,8 +9,8 @@
   aggregation; each batch writes only the complaints it changed (replays overwrite
   their own partition) and readers fold the deltas.
 
-Streaming needs TIMESTAMP (not TIMESTAMP_NTZ) for watermarks; the session time zone
-is UTC, so the cast does not move the instants.
+Streaming needs TIMESTAMP (not TIMESTAMP_NTZ) for watermarks; wall-clock times are read
+as UTC explicitly, so results do not depend on the session time zone.
 """
 
 from __future__ import annotations
@@ -55,15 +55,26 @@ def start_intake(raw_stream: DataFrame, store_path: str, quarantine_path: str, c
     return writer.start()
 
 
+_EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def _event_time(df: DataFrame, col: str = "created_at") -> DataFrame:
-    return df.withColumn("event_time", F.col(col).cast("timestamp"))
+    """TIMESTAMP_NTZ -> TIMESTAMP read as UTC, whatever the session time zone (watermarks
+    need TIMESTAMP; a plain cast would shift wall-clock times by the session zone)."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"), F.col(col))
+    return df.withColumn("event_time", F.timestamp_micros(micros))
+
+
+def _as_ntz(ts: Column) -> Column:
+    """The inverse of ``_event_time`` for window bounds: TIMESTAMP -> UTC wall clock NTZ."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit(_EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def daily_counts(triaged: DataFrame, watermark: str = "1 day") -> DataFrame:
     """R2: complaints per day (tumbling 1-day windows), late data within the watermark."""
     t = _event_time(triaged).withWatermark("event_time", watermark)
     return t.groupBy(F.window("event_time", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("complaints")) \
-        .select(F.to_date(F.col("w.start")).alias("day"), "complaints")
+        .select(F.to_date(_as_ntz(F.col("w.start"))).alias("day"), "complaints")
 
 
 def rolling_category_counts(triaged: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -75,7 +86,8 @@ def rolling_category_counts(triaged: DataFrame, watermark: str = "1 day") -> Dat
     t = _event_time(triaged).withWatermark("event_time", watermark)
     return (t.groupBy(F.window("event_time", "7 days", "1 day").alias("w"), "category")
             .agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category", "n"))
+            .select(_as_ntz(F.col("w.start")).alias("window_start"), _as_ntz(F.col("w.end")).alias("window_end"),
+                    "category", "n"))
 
 
 def _latest() -> Column:

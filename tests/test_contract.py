@@ -41,3 +41,20 @@ def test_query_matches_duckdb(spark, con, name):
     fn, sql = REGISTRY[name]
     res = compare(spark, con, name, fn, sql, SF001)
     assert res["status"] == "ok", res
+
+
+TIME_SENSITIVE = ["week_over_week_counts", "insights", "ageing_by_status", "kpi_summary", "daily_trend",
+                  "stream_daily_counts", "stream_rolling_week", "display_time"]
+
+
+@pytest.mark.parametrize("name", TIME_SENSITIVE)
+def test_results_do_not_depend_on_the_session_time_zone(spark, con, name):
+    from plaint.plans.catalog import REGISTRY
+    fn, sql = REGISTRY[name]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        res = compare(spark, con, name, fn, sql, SF001)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert res["status"] == "ok", res
