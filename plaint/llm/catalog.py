@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plaint.llm import bpe, decontaminate, minhash, ngram, simhash
+from plaint.llm import bpe, decontaminate, html, language, minhash, ngram, pii, simhash, toxicity, urls
 from plaint.llm.common import LOWER, UPPER, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -19,6 +19,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_pii")
+def op1(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op3_minhash_dedup", f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -74,6 +84,21 @@ def op6(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+@query("op7_url_filter")
+def op7(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @query("op8_simhash")
 def op8(spark, sf_dir):
     return simhash.edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text")
+def op9(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -89,13 +89,17 @@ class Words:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps))
 
-    def split(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first byte, end byte, hash, row) of each word; ``offsets`` are absolute in ``data``."""
+    def split(self, data: np.ndarray, offsets: np.ndarray, stems: tuple[int, ...] = ()):
+        """(first byte, end byte, hash, row) of each word; ``offsets`` are absolute in ``data``.
+
+        ``stems`` adds a list: for each length the hashes of the words' first bytes.
+        """
         low = int(offsets[0])
         buf, rows = data[low : int(offsets[-1])], offsets - low
         n = len(buf)
         if not n:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64), np.zeros(0, np.int64))
+            nothing = (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U64), np.zeros(0, np.int64))
+            return (*nothing, [np.zeros(0, U64)] * len(stems)) if stems else nothing
         inside = self.word[buf]
         before, after = np.empty_like(inside), np.empty_like(inside)
         before[0], before[1:] = False, inside[:-1]
@@ -107,8 +111,12 @@ class Words:
         self._grow(n)
         prefix = np.zeros(n + 1, U64)
         np.cumsum(self.values[buf] * self.power[:n], out=prefix[1:])
-        h = splitmix((prefix[end] - prefix[first]) * self.inverse[first] + (end - first).astype(U64))
-        return first + low, end + low, h, np.searchsorted(rows, first, "right") - 1
+
+        def hashed(stop: np.ndarray, salt: int) -> np.ndarray:
+            return splitmix((prefix[stop] - prefix[first]) * self.inverse[first] + (stop - first + salt).astype(U64))
+
+        out = first + low, end + low, hashed(end, 0), np.searchsorted(rows, first, "right") - 1
+        return (*out, [hashed(np.minimum(first + n, end), n << 32) for n in stems]) if stems else out
 
 
 def spaced() -> Words:

@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaint.llm.common import U64, alphanumeric, chunks, splitmix, utf8
+from plaint.session import materialize
 
 WINDOW = 10
 #: Bytes of item text that one broadcast set of tables is built from; more items take more scans.
@@ -93,28 +94,43 @@ class Windows:
         self.tables = [Table(n, found, hashes) for n, found in sorted(by_length.items())]
 
 
+def _keep(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(batch.schema.names.index(text_col))
+        clean = [not marks for _, marks, _ in _matches(column, shared.value.tables)]
+        yield batch.filter(pa.array(clean, pa.bool_()))
+
+
+def _matches(column: pa.Array, tables: list[Table]) -> Iterator[tuple[int, list[int], list[str]]]:
+    """(words, positions of words inside occurrences, items) of each text."""
+    words = _words()
+    data, offsets = utf8(column)
+    raw = data.data
+    for i, j in chunks(offsets):
+        first, end, h, row = words.split(data, offsets[i : j + 1])
+        bounds = np.searchsorted(row, np.arange(j - i + 1))
+        hit: dict[int, set[int]] = defaultdict(set)
+        found: dict[int, set[str]] = defaultdict(set)
+
+        def word_at(k: int) -> bytes:
+            return bytes(raw[first[k] : end[k]]).lower()
+
+        for table in tables:
+            for d, last, names in table.search(h, bounds, word_at):
+                hit[d].update(range(last - table.length + 1, last + 1))
+                found[d].update(names)
+        for d, n in enumerate(np.diff(bounds).tolist()):
+            yield n, sorted(x - int(bounds[d]) for x in hit[d]) if d in hit else [], sorted(found[d]) if d in found else []
+
+
+@lru_cache(1)
+def _words():
+    return alphanumeric()
+
+
 def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    words, tables = alphanumeric(), shared.value.tables
     for batch in batches:
-        counts, marks, items = [], [], []
-        data, offsets = utf8(batch.column("text"))
-        raw = data.data
-        for i, j in chunks(offsets):
-            first, end, h, row = words.split(data, offsets[i : j + 1])
-            bounds = np.searchsorted(row, np.arange(j - i + 1))
-            hit: dict[int, set[int]] = defaultdict(set)
-            found: dict[int, set[str]] = defaultdict(set)
-
-            def word_at(k: int) -> bytes:
-                return bytes(raw[first[k] : end[k]]).lower()
-
-            for table in tables:
-                for d, last, names in table.search(h, bounds, word_at):
-                    hit[d].update(range(last - table.length + 1, last + 1))
-                    found[d].update(names)
-            counts.extend(np.diff(bounds).tolist())
-            marks.extend(sorted(x - int(bounds[d]) for x in hit[d]) if d in hit else [] for d in range(j - i))
-            items.extend(sorted(found[d]) if d in found else [] for d in range(j - i))
+        counts, marks, items = map(list, zip(*_matches(batch.column("text"), shared.value.tables))) if batch.num_rows else ([], [], [])
         kept = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] not in ("hits", "items", "n_words")]
         names = [n for n in batch.schema.names if n not in ("hits", "items", "n_words")]
         if "hits" in batch.schema.names:
@@ -124,6 +140,26 @@ def _scan(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
                                pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "hits", "items"])
 
 
+def table_sets(benchmark: DataFrame, window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> list:
+    """Broadcast search tables; items are dealt to as many sets as their text needs."""
+    spark = benchmark.sparkSession
+    texts = benchmark.select("item_id", "text")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // table_bytes))
+    dealt = (texts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect() for part in range(parts))
+    return [spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in rows], window)) for rows in dealt]
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any word inside an occurrence, unchanged."""
+    parts = table_sets(benchmark, window)
+    for shared in parts:
+        docs = docs.mapInArrow(partial(_keep, shared=shared, text_col=text_col), docs.schema)
+        if len(parts) > 1:
+            docs = materialize(docs)
+    return docs
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          window: int = WINDOW, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """(doc_id, n_words, hits, items) of each row: positions of the words inside occurrences, and the items found.
@@ -131,19 +167,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     Benchmark text beyond ``table_bytes`` is dealt by item to several table sets, each of a
     bounded size and scanned in turn, so the broadcast does not grow with the benchmark.
     """
-    spark = docs.sparkSession
-    texts = benchmark.select(F.col("item_id"), F.col("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // table_bytes))
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
-    for part in range(parts):
-        rows = texts.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in rows], window))
+    parts = table_sets(benchmark, window, table_bytes)
+    for shared in parts:
         out = out.mapInArrow(partial(_scan, shared=shared),
                              f"doc_id {kind}, text string, n_words long, hits array<int>, items array<string>")
-        if parts > 1:
-            out = out.checkpoint()
+        if len(parts) > 1:
+            out = materialize(out)
     return out.drop("text")
 
 
