@@ -1,6 +1,6 @@
 """Byte-level BPE by replaying the merges over a block of the corpus.
 
-A block (one Arrow batch of documents) is split into its distinct words.  All words lie
+A block (a run of Arrow batches of documents) is split into its distinct words.  All words lie
 in one symbol array with an inverted index from pair rank to the positions where that
 pair stands.  Ranks are taken in ascending order; each merge is applied to all its
 positions at once and only the pairs that touch a merged symbol are looked up again.
@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import chunks, utf8
+from plaint.llm.common import small_batches
 
 NONE = np.int64(1) << 40
 #: Bytes of text whose distinct words are replayed together.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -214,25 +214,33 @@ def load(path: str) -> Replay:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     replay, split = load(path), splitter(pattern)
-    for batch in batches:
-        column = batch.column("text")
-        offsets = utf8(column)[1]
+
+    def blocks() -> Iterator[tuple[list[pa.Array], list[np.ndarray], dict[str, int]]]:
+        ids, spelt, number, size = [], [], defaultdict(count().__next__), 0
+        for batch in batches:
+            ids.append(batch.column("doc_id"))
+            spelt.extend(np.fromiter(map(number.__getitem__, split(text or "")), np.int32) for text in batch.column("text").to_pylist())
+            size += batch.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield ids, spelt, number
+                ids, spelt, number, size = [], [], defaultdict(count().__next__), 0
+        if ids:
+            yield ids, spelt, number
+
+    for doc_ids, spelt, number in blocks():
         n_tokens, ids_hash, text_hash, all_ids = [], [], [], []
-        for i, j in chunks(offsets, BLOCK_BYTES):
-            number: dict[str, int] = defaultdict(count().__next__)
-            spelt = [np.fromiter(map(number.__getitem__, split(text or "")), np.int32) for text in column.slice(i, j - i).to_pylist()]
-            encoded = replay.encode([w.encode() for w in number])
-            written = [",".join(map(str, ids)) for ids in encoded]
-            decoded = [replay.decode(ids) for ids in encoded]
-            size = np.array([len(x) for x in encoded], np.int64)
-            for words in spelt:
-                at = words.tolist()
-                n_tokens.append(int(size[words].sum()) if at else 0)
-                ids_hash.append(hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join(map(decoded.__getitem__, at))).hexdigest())
-                if with_ids:
-                    all_ids.append([t for k in at for t in encoded[k]])
-        columns = [batch.column("doc_id"), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+        encoded = replay.encode([w.encode() for w in number])
+        written = [",".join(map(str, ids)) for ids in encoded]
+        decoded = [replay.decode(ids) for ids in encoded]
+        size = np.array([len(x) for x in encoded], np.int64)
+        for words in spelt:
+            at = words.tolist()
+            n_tokens.append(int(size[words].sum()) if at else 0)
+            ids_hash.append(hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest())
+            text_hash.append(hashlib.sha256(b"".join(map(decoded.__getitem__, at))).hexdigest())
+            if with_ids:
+                all_ids.append([t for k in at for t in encoded[k]])
+        columns = [pa.concat_arrays(doc_ids), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
             columns.append(pa.array(all_ids, pa.list_(pa.int32())))
@@ -248,7 +256,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     pieces that are encoded separately; text that no piece covers has no ids.  The decoded
     bytes come from the ids.  Null and empty texts have no ids; rows are independent.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return out.mapInArrow(partial(_encode, path=path, pattern=pattern, with_ids=with_ids), schema)

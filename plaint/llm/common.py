@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ U64 = np.uint64
 #: Rows up to which a key set may be broadcast (longs: a few tens of MB); beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of text that a worker is given at a time (a longer row comes alone).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,6 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded: whole texts of a batch lie in a worker's memory."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", conf.get(name)).group())
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def remainder(id_col: str, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, alphanumeric, chunks, splitmix, utf8
+from plaint.llm.common import U64, alphanumeric, chunks, small_batches, splitmix, utf8
 from plaint.session import materialize
 
 WINDOW = 10
@@ -154,7 +154,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", wi
     """The rows of ``docs`` without any word inside an occurrence, unchanged."""
     parts = table_sets(benchmark, window)
     for shared in parts:
-        docs = docs.mapInArrow(partial(_keep, shared=shared, text_col=text_col), docs.schema)
+        docs = small_batches(docs).mapInArrow(partial(_keep, shared=shared, text_col=text_col), docs.schema)
         if len(parts) > 1:
             docs = materialize(docs)
     return docs
@@ -167,7 +167,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     Benchmark text beyond ``table_bytes`` is dealt by item to several table sets, each of a
     bounded size and scanned in turn, so the broadcast does not grow with the benchmark.
     """
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
     parts = table_sets(benchmark, window, table_bytes)
     for shared in parts:

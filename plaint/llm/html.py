@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plaint.llm.common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never shown.
@@ -350,5 +352,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, n_chars, n_lines, text) of each row of ``pages``; null and empty pages have an empty text."""
-    out = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
+    out = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     return out.mapInArrow(_extract, f"page_id {out.schema['page_id'].dataType.simpleString()}, n_chars long, n_lines long, text string")

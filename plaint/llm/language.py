@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, remainder
+from plaint.llm.common import U64, remainder, small_batches
 
 ORDER, BITS = 4, 16
 #: Rows of each language that the models are fitted on, and one in how many of them calibrates.
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Rows whose crc32(id) modulo 4 is 2, and rows without a language, an id or a letter,
     are never read for it.
     """
-    able = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
+    able = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
                        (remainder(id_col, 4) != 2).alias("learn")).where("learn and lang is not null and text is not null")
     able = able.withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(1_000_000)))
     number = able.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows)) / F.count("*")).alias("share"))
@@ -250,7 +250,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     models = models or fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(remainder(id_col, 4) == 2, F.lit(True)).alias("held_out"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(remainder(id_col, 4) == 2, F.lit(True)).alias("held_out"))
     kind = out.schema["doc_id"].dataType.simpleString()
     return out.mapInArrow(partial(_identify, shared=shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
@@ -266,4 +266,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` whose text a model accepts, unchanged."""
     models = models or fit(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)
-    return docs.mapInArrow(partial(_keep, shared=shared, text_col=text_col), docs.schema)
+    return small_batches(docs).mapInArrow(partial(_keep, shared=shared, text_col=text_col), docs.schema)

@@ -13,14 +13,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, constants, group_bounds, remainder, runs, spaced, splitmix, utf8, chunks
+from plaint.llm.common import U64, constants, group_bounds, remainder, runs, small_batches, spaced, splitmix, utf8, chunks
 from plaint.session import materialize
 
 #: Text bytes for each hash shard, and the fewest shards.
@@ -32,22 +32,22 @@ TOKEN_BITS, PAIR_BITS, ENTRY_BITS, PROBES = 1 << 26, 1 << 28, 10, 6
 #: Weight, in pairs, of the token distribution when it smooths the pair distribution.
 PRIOR = 200.0
 END, START = constants(2, 5)
-BLOCK_BYTES = 24 << 20
+#: Tokens that are counted together before they are sent to the shards.
+BLOCK_TOKENS = 2_000_000
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(token hashes with an end after each row, first token of each row and the end) of blocks of rows."""
-    words = spaced()
     data, offsets = utf8(column)
-    for i, j in chunks(offsets, BLOCK_BYTES):
-        hashes, sizes = [], []
-        inner = offsets[i : j + 1]
-        for a, b in chunks(inner):
-            _, _, h, row = words.split(data, inner[a : b + 1])
-            n = np.bincount(row, minlength=b - a)
-            hashes.append(np.insert(h, np.cumsum(n), END))
-            sizes.append(n + 1)
-        yield np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    for i, j in chunks(offsets):
+        _, _, h, row = _words().split(data, offsets[i : j + 1])
+        n = np.bincount(row, minlength=j - i)
+        yield np.insert(h, np.cumsum(n), END), np.concatenate(([0], np.cumsum(n + 1)))
+
+
+@lru_cache(1)
+def _words():
+    return spaced()
 
 
 def _pairs(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -69,9 +69,7 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _sliced(kind: int, keys: np.ndarray, counts: np.ndarray, width: int, shards: int) -> pa.RecordBatch | None:
-    if not len(keys):
-        return None
+def _sliced(kind: int, keys: np.ndarray, counts: np.ndarray, width: int, shards: int) -> pa.RecordBatch:
     shard = shard_of(keys, shards)
     cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(keys))
     low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
@@ -89,11 +87,21 @@ _WIDTH = {1: 8, 2: 7}
 
 
 def _count(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for kind, parts in held.items():
+            if parts:
+                yield _sliced(kind, *_counted(np.concatenate(parts)), _WIDTH[kind], shards)
+                parts.clear()
+
     for batch in batches:
         for h, bounds in _tokens(batch.column(0)):
-            for kind, keys in ((1, h), (2, _pairs(h, bounds))):
-                if (out := _sliced(kind, *_counted(keys), _WIDTH[kind], shards)) is not None:
-                    yield out
+            held[1].append(h)
+            held[2].append(_pairs(h, bounds))
+            if sum(map(len, held[1])) >= BLOCK_TOKENS:
+                yield from out()
+    yield from out()
 
 
 def _keys(blobs: list[bytes], width: int) -> np.ndarray:
@@ -294,7 +302,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     rows every token is unknown.  Repeated rows are trained on and scored as often as they stand.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        F.coalesce(remainder(id_col, folds) == 0, F.lit(True)).alias("held_out"))
     amount = rows.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     shards = max(LEAST_SHARDS, -(-(amount[0] or 0) // SHARD_BYTES))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import utf8
+from plaint.llm.common import small_batches, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -274,7 +274,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
     """A field trained on the pattern matches of about ``rows`` rows with candidates, chosen by a hash of the text."""
-    able = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    able = small_batches(docs).select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     total = able.count()
     if not total:
         return Field.prior()
@@ -357,7 +357,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fiel
     field, else one is fitted on ``docs``.
     """
     field = field or fit(docs, id_col, text_col)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return out.mapInArrow(partial(_detect, field=field), f"doc_id {out.schema['doc_id'].dataType.simpleString()}, n_email long, "
                           "n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

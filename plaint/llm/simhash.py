@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, chunks, spaced, splitmix, utf8
+from plaint.llm.common import U64, chunks, small_batches, spaced, splitmix, utf8
 
 BITS = 128
 #: Rows of a neighbouring-document bucket, and the most buckets.
@@ -61,7 +61,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint as hexadecimal text) of each row."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return out.mapInArrow(_fingerprint, f"doc_id {out.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
@@ -154,7 +154,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     before it, so there is one shuffle and no global order.  Null texts are empty.  Rows
     of equal id follow one another by text; null ids come first; a single row follows itself.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total, first, nulls = rows.agg(F.count("*"), F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     n = min(MOST_BUCKETS, max(1, total // BUCKET_ROWS))
     cuts = rows.agg(F.percentile_approx("doc_id", F.lit([k / n for k in range(1, n)]), 100_000)).first()[0] if n > 1 else []

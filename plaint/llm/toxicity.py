@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, alphanumeric, chunks, remainder, utf8
+from plaint.llm.common import U64, alphanumeric, chunks, remainder, small_batches, utf8
 
 #: Rows of either sample, the most features, and how far a word must stand out (standard errors).
 POSITIVE_ROWS, UNLABELLED_ROWS, FEATURES, OUTSTANDING = 3000, 12_000, 1024, 6.0
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     learn = F.coalesce(remainder("doc_id", 3) != 1, F.lit(False))
     known = labels.select(F.col("doc_id"), F.col("toxic")).where(learn & F.col("toxic").isNotNull())
     total, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     everything = texts.where(learn).agg(F.count("*")).first()[0]
     nothing = Classifier(np.zeros(0, np.int64), np.zeros(0), float(np.log((toxic or 0) + 0.5) - np.log((total or 0) - (toxic or 0) + 0.5)))
     if not toxic or not everything:
@@ -167,6 +167,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     the prior.  Repeated rows and labels are taken as often as they stand.
     """
     classifier = classifier or fit(docs, labels, id_col, text_col)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(remainder(id_col, 3) == 1, F.lit(True)).alias("held_out"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(remainder(id_col, 3) == 1, F.lit(True)).alias("held_out"))
     return out.mapInArrow(partial(_score, classifier=classifier),
                           f"doc_id {out.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
