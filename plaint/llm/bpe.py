@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import small_batches
+from plaint.llm.common import release, small_batches
 
 NONE = np.int64(1) << 40
 #: Bytes of text whose distinct words are replayed together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,16 +100,22 @@ class Replay:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word: lowest rank first, leftmost first, a whole token at once."""
-        out = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        todo = [i for i, x in enumerate(out) if x is None and words[i]]
-        if todo:
-            for i, ids in zip(todo, self._replay([words[i] for i in todo])):
-                out[i] = ids
-        return [x or [] for x in out]
-
-    def _replay(self, words: list[bytes]) -> list[list[int]]:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in one array, and where each word's begin (and the end):
+        lowest rank first, leftmost first, a whole token at once."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int32)
+        todo = [i for i in np.flatnonzero(whole < 0).tolist() if words[i]]
+        ids, starts = self._replay([words[i] for i in todo]) if todo else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+        size = (whole >= 0).astype(np.int64)
+        size[todo] = np.diff(starts)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(begin[-1], np.int32)
+        out[begin[:-1][whole >= 0]] = whole[whole >= 0]
+        own = np.repeat(begin[:-1][todo] - starts[:-1], np.diff(starts))
+        out[own + np.arange(len(ids))] = ids
+        return out, begin
+
+    def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([len(w) for w in words], np.int64)
         end = np.cumsum(size)
         n = int(end[-1])
@@ -176,12 +182,15 @@ class Replay:
                     queued.add(k)
                     heapq.heappush(heap, k)
         alive = symbol >= 0
-        ids, starts = symbol[alive].tolist(), np.concatenate(([0], np.cumsum(np.add.reduceat(alive, end - size)))).tolist()
-        out = [ids[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        ids, starts = symbol[alive].astype(np.int32), np.concatenate(([0], np.cumsum(np.add.reduceat(alive, end - size))))
         # A merge that gives rise to a lower rank must come before equal merges further right in its word.
-        for w in {int(x) for a in again for x in np.searchsorted(end, a, "right")}:
-            out[w] = self.encode_alone(words[w])
-        return out
+        redo = sorted({int(x) for a in again for x in np.searchsorted(end, a, "right")})
+        if redo:
+            parts = np.split(ids, starts[1:-1])
+            for w in redo:
+                parts[w] = np.array(self.encode_alone(words[w]), np.int32)
+            ids, starts = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, starts
 
     def encode_alone(self, word: bytes) -> list[int]:
         """One word, one merge at a time."""
@@ -227,23 +236,27 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids
         if ids:
             yield ids, spelt, number
 
+    release()
     for doc_ids, spelt, number in blocks():
-        n_tokens, ids_hash, text_hash, all_ids = [], [], [], []
-        encoded = replay.encode([w.encode() for w in number])
-        written = [",".join(map(str, ids)) for ids in encoded]
-        decoded = [replay.decode(ids) for ids in encoded]
-        size = np.array([len(x) for x in encoded], np.int64)
+        flat, begin = replay.encode([w.encode() for w in number])
+        ids, cuts = flat.tolist(), begin.tolist()
+        written = [",".join(map(str, ids[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        decoded = [replay.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        del ids, cuts
+        size = np.diff(begin)
+        n_tokens, ids_hash, text_hash = [], [], []
         for words in spelt:
             at = words.tolist()
-            n_tokens.append(int(size[words].sum()) if at else 0)
+            n_tokens.append(int(size[words].sum()))
             ids_hash.append(hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest())
             text_hash.append(hashlib.sha256(b"".join(map(decoded.__getitem__, at))).hexdigest())
-            if with_ids:
-                all_ids.append([t for k in at for t in encoded[k]])
         columns = [pa.concat_arrays(doc_ids), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+            words = np.concatenate(spelt)
+            ends = np.cumsum(size[words])
+            places = np.repeat(begin[words] - (ends - size[words]), size[words]) + np.arange(ends[-1] if len(ends) else 0)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_tokens))), pa.int32()), pa.array(flat[places])))
             names.append("ids")
         yield pa.record_batch(columns, names=names)
 

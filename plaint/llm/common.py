@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -36,6 +38,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Hands memory that earlier work of this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder(id_col: str, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % divisor

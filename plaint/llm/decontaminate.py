@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, alphanumeric, chunks, small_batches, splitmix, utf8
+from plaint.llm.common import U64, alphanumeric, chunks, release, small_batches, splitmix, utf8
 from plaint.session import materialize
 
 WINDOW = 10
@@ -95,6 +95,7 @@ class Windows:
 
 
 def _keep(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         column = batch.column(batch.schema.names.index(text_col))
         clean = [not marks for _, marks, _ in _matches(column, shared.value.tables)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, remainder, small_batches
+from plaint.llm.common import U64, release, remainder, small_batches
 
 ORDER, BITS = 4, 16
 #: Rows of each language that the models are fitted on, and one in how many of them calibrates.
@@ -256,6 +256,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _keep(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         column = batch.column(batch.schema.names.index(text_col))
         _, _, rejected = shared.value.decide([t or "" for t in column.to_pylist()])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import small_batches, utf8
+from plaint.llm.common import release, small_batches, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -378,6 +378,7 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def _mask(batches: Iterator[pa.RecordBatch], field: Field, text_col: str, length_col: str | None) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         names = batch.schema.names
         column = batch.column(names.index(text_col)).cast(pa.string())
