@@ -270,6 +270,8 @@ def render(root: Node) -> str:
     while stack:
         node, parent, leaving = stack.pop()
         if isinstance(node, str):
+            if parent.tag == "details" and "open" not in parent.attributes:
+                continue
             if tables and parent.tag in ("table", "thead", "tbody", "tfoot", "tr") and not node.strip():
                 continue
             (flow.verbatim if quiet else flow.text)(unescape(node))
