@@ -108,15 +108,6 @@ SECRET_PATTERN = (
     r"\b(?:share|send|provide|enter|confirm|give)\b[^.\n]{0,40}\b(?:otp|pin|password|cvv|card number)\b"
 )
 CHECK_NAMES = ["length_50_60", "investigation", "support_team", "no_promise", "signature", "safe", "fraud_team"]
-CHECK_LABELS = {
-    "length_50_60": "50-60 words",
-    "investigation": "mentions investigation",
-    "support_team": "mentions support team",
-    "no_promise": "no promise of resolution",
-    "signature": "signed as company",
-    "safe": "no secrets requested / no card digits",
-    "fraud_team": "fraud team mentioned (fraud only)",
-}
 
 # Cost assumptions (USD).
 PRICE_IN_PER_M = 0.075

@@ -91,6 +91,3 @@ def display_time(ts: Column) -> Column:
     """``dd MMM yyyy, HH:mm`` as shown on the tracking card."""
     return F.date_format(ts, "dd MMM yyyy, HH:mm")
 
-
-def title_case(c: Column) -> Column:
-    return F.initcap(c)

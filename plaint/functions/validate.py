@@ -49,7 +49,3 @@ def validate(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
         .drop("_clean0")
     )
 
-
-def split_accepted(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined) — rejects keep their code and message."""
-    return validated.filter(F.col("ok")), validated.filter(~F.col("ok"))

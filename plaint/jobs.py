@@ -1,7 +1,8 @@
 """Batch jobs as a user submits them: intake into the store, reports from the store.
 
     spark-submit -m plaint.jobs intake  --raw <parquet> --store <path> --quarantine <path> --batch <id>
-    spark-submit -m plaint.jobs reports --store <path> --out <dir> --as-of 2024-01-31T00:00:00
+    spark-submit -m plaint.jobs status  --raw <parquet> --changes <path> --batch <id>
+    spark-submit -m plaint.jobs reports --store <path> --out <dir> --as-of 2024-01-31T00:00:00 [--changes <path>]
 
 Raw input columns: ``source_id, ts, customer_name, raw_text`` (a unique key, arrival time,
 optional name, the complaint text).  Every step is one of the library's DataFrame plans;
@@ -27,16 +28,23 @@ from plaint.sources.fixtures import ntz
 def intake(raw: DataFrame, store_path: str, quarantine_path: str, batch: str) -> DataFrame:
     """Validate, quarantine rejects, triage and append accepted complaints as ``batch``."""
     rejects = validate(raw, "raw_text").filter(~F.col("ok")).select(
-        "source_id", "ts", "error_code", "error", F.lit(batch).alias("batch"))
-    (rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch").parquet(quarantine_path))
+        "source_id", "ts", "error_code", "error")
+    ST.write_rejects(rejects, quarantine_path, batch)
     accepted = label_accepted(accept_raw(raw), seeded_status=False)
     return ST.append(accepted.drop("status"), store_path, batch=batch)
 
 
-def reports(spark: SparkSession, store_path: str, out_dir: str, as_of: dt.datetime) -> dict[str, str]:
-    """Write every dashboard report of the stored complaints; returns name -> path."""
+def status(changes: DataFrame, changes_path: str, batch: str) -> None:
+    """Append a load of status changes to the log that the reports fold in."""
+    ST.append_status_changes(changes, changes_path, batch)
+
+
+def reports(spark: SparkSession, store_path: str, out_dir: str, as_of: dt.datetime,
+            changes_path: str | None = None) -> dict[str, str]:
+    """Write every dashboard report of the stored complaints in their current status; returns name -> path."""
     df = ST.read(spark, store_path)
+    if changes_path:
+        df = ST.current(df, ST.read_status_changes(spark, changes_path))
     now = ntz(as_of)
     out = out_dir.rstrip("/")
     frames = {
@@ -70,12 +78,19 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--store", required=True)
     r.add_argument("--out", required=True)
     r.add_argument("--as-of", required=True, type=dt.datetime.fromisoformat)
+    r.add_argument("--changes")
+    c = sub.add_parser("status")
+    c.add_argument("--raw", required=True)
+    c.add_argument("--changes", required=True)
+    c.add_argument("--batch", required=True)
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"plaint-{args.job}").getOrCreate()
     if args.job == "intake":
         intake(spark.read.parquet(args.raw), args.store, args.quarantine, args.batch)
+    elif args.job == "status":
+        status(spark.read.parquet(args.raw), args.changes, args.batch)
     else:
-        reports(spark, args.store, args.out, args.as_of)
+        reports(spark, args.store, args.out, args.as_of, args.changes)
     return 0
 
 

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaint import domains as D
 from plaint.sources import tables
-from plaint.sources.fixtures import as_of as default_as_of
 from plaint.sources.fixtures import age_days, ntz
 
 def _closed() -> Column:
@@ -29,7 +28,7 @@ def _not_closed() -> Column:
 
 def _now(now: dt.datetime | Column | None) -> Column:
     if now is None:
-        return default_as_of()
+        return F.current_timestamp().cast("timestamp_ntz")
     if isinstance(now, dt.datetime):
         return ntz(now)
     return now
@@ -99,17 +98,14 @@ def all_distributions(df: DataFrame) -> DataFrame:
 def daily_trend(df: DataFrame) -> DataFrame:
     """(day, complaints): per-day counts, gap-filled from the first to the last day.
 
-    One scan: per-day counts (partial aggregation), then one row holding the bounds and a
-    day -> count map — at most one entry per calendar day of the span, independent of the
-    row count — from which the gap-free calendar is generated.  No self-join.
+    Per-day counts (partial aggregation) joined to the calendar between their bounds, so
+    no task holds more than its share of the days however far apart they lie.
     """
     counts = df.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi"),
-                      F.map_from_entries(F.collect_list(F.struct("day", "_n"))).alias("m"))
-    days = F.sequence(F.col("lo"), F.col("hi"), F.expr("INTERVAL 1 DAY"))
-    filled = F.transform(days, lambda d: F.struct(
-        d.alias("day"), F.coalesce(F.try_element_at(F.col("m"), d), F.lit(0)).cast("bigint").alias("complaints")))
-    return span.select(F.inline(filled))
+    span = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo IS NOT NULL")
+    days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    return days.join(counts, "day", "left").select(
+        "day", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("complaints"))
 
 
 # ------------------------------------------------------------------------------ C7
@@ -268,6 +264,3 @@ def ageing_by_status(df: DataFrame, now: dt.datetime | Column | None = None) ->
     return (df.groupBy(age_band(age_days(F.col("created_at"), n)).alias("age_band"), "status")
             .agg(F.count(F.lit(1)).alias("n")))
 
-
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([], df.schema)

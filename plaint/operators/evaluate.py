@@ -18,11 +18,11 @@ from plaint.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, preview, ustr
 from plaint.operators.sequence import sequence_within
 from plaint.operators.triage import repair_labels
 from plaint.session import materialize
-from plaint.sources.fixtures import ERROR_TEXT
 
 PROMISE_REGEX = "(?i)" + NOT_WORD_BEFORE + D.PROMISE_PATTERN[2:-2] + NOT_WORD_AFTER
-SECRET_REGEX = ("(?i)" + NOT_WORD_BEFORE + "(?:share|send|provide|enter|confirm|give)" + NOT_WORD_AFTER
-                + r"[^.\n]{0,40}" + NOT_WORD_BEFORE + "(?:otp|pin|password|cvv|card number)" + NOT_WORD_AFTER)
+_SECRET_VERBS, _SECRET_THINGS = (p.strip("\\b") for p in D.SECRET_PATTERN.split(r"\b[^.\n]{0,40}\b"))
+SECRET_REGEX = ("(?i)" + NOT_WORD_BEFORE + _SECRET_VERBS + NOT_WORD_AFTER + r"[^.\n]{0,40}"
+                + NOT_WORD_BEFORE + _SECRET_THINGS + NOT_WORD_AFTER)
 PLACEHOLDERS = ["text", "company", "cat", "priority", "sentiment"]
 
 
@@ -80,7 +80,8 @@ def model_run_records(raw: DataFrame, company: str = D.DEFAULT_COMPANY) -> DataF
     """One scored record per (provider, complaint): the raw reply is scored as returned.
 
     Unparseable labels are repaired with the rules (counted in ``format_repairs``);
-    usage of 0/0 is replaced by the chars/4 estimate; failed calls keep an error text.
+    usage of 0/0 is replaced by the chars/4 estimate; failed calls keep their ``error_type``
+    and the first 160 characters of their ``error_message``.
     """
     rep = repair_labels(raw, "text")
     ok = F.col("ok")
@@ -89,9 +90,8 @@ def model_run_records(raw: DataFrame, company: str = D.DEFAULT_COMPANY) -> DataF
                                       F.col("sentiment"), F.col("raw_response"))
     estimated = (F.col("input_tokens") == 0) & (F.col("output_tokens") == 0)
     checks = quality_checks(F.col("response"), company, F.col("g_category"), F.col("response_words"))
-    error = F.concat(F.lit("TimeoutError: "), F.substring(F.concat(
-        F.lit("complaint "), F.col("source_id").cast("string"), F.lit(": "), F.lit(ERROR_TEXT),
-        F.repeat(F.lit("retrying; "), 12)), 1, 160))
+    error = F.concat(F.coalesce("error_type", F.lit("Error")), F.lit(": "),
+                     F.substring(F.coalesce("error_message", F.lit("")), 1, 160))
     staged = rep.select(
         "provider", F.col("source_id").alias("complaint_id"), "ok", "latency_s",
         "g_category", "g_priority", "g_sentiment", "text",
@@ -339,28 +339,23 @@ def result_cell(ok: Column, category: Column, priority: Column, sentiment: Colum
 def side_by_side(records: DataFrame, gold: DataFrame, hosted: str = "hosted", local: str = "local") -> DataFrame:
     """Gold ⟕ hosted ⟕ local as one shuffle: union the three inputs, group by id.
 
-    ``gold``: (complaint_id, text, g_category, g_priority, g_sentiment).
+    ``gold``: (complaint_id, text, g_category, g_priority, g_sentiment).  The preview and
+    the result cells are made before the shuffle, so no full text travels.
     """
-    g = gold.select("complaint_id", F.lit(None).cast("string").alias("provider"), "text",
-                    "g_category", "g_priority", "g_sentiment",
-                    *[F.lit(None).cast(t).alias(c) for c, t in
-                      [("ok", "boolean"), ("category", "string"), ("priority", "string"),
-                       ("sentiment", "string"), ("error", "string"), ("latency_s", "double")]])
-    r = records.select("complaint_id", "provider", *[F.lit(None).cast("string").alias(c) for c in
-                                                     ["text", "g_category", "g_priority", "g_sentiment"]],
-                       "ok", "category", "priority", "sentiment", "error", "latency_s")
-    u = g.unionByName(r)
+    g = gold.select("complaint_id", F.lit(None).cast("string").alias("provider"),
+                    preview(F.col("text")).alias("shown"),
+                    F.concat_ws("/", "g_category", "g_priority", "g_sentiment").alias("gold"),
+                    F.lit(None).cast("string").alias("cell"), F.lit(None).cast("double").alias("latency_s"))
+    cell = result_cell(F.col("ok"), F.col("category"), F.col("priority"), F.col("sentiment"), F.col("error"))
+    r = records.select("complaint_id", "provider", F.lit(None).cast("string").alias("shown"),
+                       F.lit(None).cast("string").alias("gold"), cell.alias("cell"), "latency_s")
     is_gold = F.col("provider").isNull()
 
-    agg = u.groupBy("complaint_id").agg(
-        F.count_if(is_gold).alias("_g"),
-        F.max(F.when(is_gold, F.col("text"))).alias("text"),
-        F.max(F.when(is_gold, F.concat_ws("/", "g_category", "g_priority", "g_sentiment"))).alias("gold"),
-        *[F.max(F.when(F.col("provider") == who, F.struct("ok", "category", "priority", "sentiment", "error",
-                                                           "latency_s"))).alias(f"_{who}")
-          for who in (hosted, local)])
-    return agg.filter(F.col("_g") > 0).select(
-        "complaint_id", preview(F.col("text")).alias("complaint_preview"), "gold",
-        *[result_cell(F.col(f"_{w}.ok"), F.col(f"_{w}.category"), F.col(f"_{w}.priority"),
-                      F.col(f"_{w}.sentiment"), F.col(f"_{w}.error")).alias(f"{w}_result") for w in (hosted, local)],
-        *[F.col(f"_{w}.latency_s").alias(f"{w}_latency") for w in (hosted, local)])
+    def of(who: str, column: str) -> Column:
+        return F.max(F.when(F.col("provider") == who, F.col(column)))
+
+    agg = g.unionByName(r).groupBy("complaint_id").agg(
+        F.count_if(is_gold).alias("_g"), F.max("shown").alias("complaint_preview"), F.max("gold").alias("gold"),
+        *[F.coalesce(of(w, "cell"), F.lit("n/a")).alias(f"{w}_result") for w in (hosted, local)],
+        *[of(w, "latency_s").alias(f"{w}_latency") for w in (hosted, local)])
+    return agg.filter(F.col("_g") > 0).drop("_g")

@@ -1,8 +1,8 @@
 """Pluggable batch scorer: the plug point for an external model, as ``mapInPandas``.
 
-``score_fn(pandas.DataFrame) -> pandas.DataFrame`` receives Arrow batches of prompt
-rows and returns raw answers.  A failure on one row is caught per row and reported in
-``error`` so the batch (and the task) survives; the rest of the plan stays JVM-side.
+``answer_fn(step, system, human)`` is called for each prompt row of an Arrow batch.  A
+failure on one row, a missing usage included, is caught there and reported in ``error``
+so the batch (and the task) survives; the rest of the plan stays JVM-side.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-OUTPUT_SCHEMA = "complaint_id bigint, step string, answer string, input_tokens bigint, output_tokens bigint, error string"
-
-
 def score_prompts(prompts: DataFrame, answer_fn: Callable[[str, str, str], tuple[str, int, int]],
                   key: str = "complaint_id") -> DataFrame:
-    """Call ``answer_fn(step, system, human) -> (answer, in_tokens, out_tokens)`` per prompt row."""
+    """Call ``answer_fn(step, system, human) -> (answer, in_tokens, out_tokens)`` per prompt row.
+
+    Returns (complaint_id, step, answer, input_tokens, output_tokens, error); the id keeps
+    the type of ``key``, unreported token counts are 0.
+    """
+    kind = prompts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -26,15 +28,16 @@ def score_prompts(prompts: DataFrame, answer_fn: Callable[[str, str, str], tuple
             for k, step, system, human in zip(pdf[key], pdf["step"], pdf["system"], pdf["human"]):
                 try:
                     answer, tin, tout = answer_fn(step, system, human)
-                    err = None
+                    answer, tin, tout, err = None if answer is None else str(answer), int(tin or 0), int(tout or 0), None
                 except Exception as exc:  # one bad row must not fail the batch
                     answer, tin, tout, err = None, 0, 0, f"{type(exc).__name__}: {str(exc)[:160]}"
-                out["complaint_id"].append(int(k))
+                out["complaint_id"].append(k)
                 out["step"].append(step)
                 out["answer"].append(answer)
-                out["input_tokens"].append(int(tin))
-                out["output_tokens"].append(int(tout))
+                out["input_tokens"].append(tin)
+                out["output_tokens"].append(tout)
                 out["error"].append(err)
             yield pd.DataFrame(out)
 
-    return prompts.select(key, "step", "system", "human").mapInPandas(run, OUTPUT_SCHEMA)
+    return prompts.select(key, "step", "system", "human").mapInPandas(
+        run, f"complaint_id {kind}, step string, answer string, input_tokens bigint, output_tokens bigint, error string")

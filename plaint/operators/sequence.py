@@ -24,20 +24,10 @@ from pyspark.sql import functions as F
 from plaint.session import materialize
 
 LOW_BITS = 33
+#: Rows of the offsets table up to which it is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
-def _num_partitions(df: DataFrame) -> int:
-    """At least ``spark.sql.shuffle.partitions`` and at least as many as the input has
-    splits, so range partitions stay about the size of the scan's splits at any scale."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:
-        splits = 1
-    return max(configured, splits, 1)
-
-
 def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
                     out_col: str = "seq", partitions: int | None = None,
                     size_col: str | None = None) -> DataFrame:
@@ -47,7 +37,7 @@ def sequence_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     With ``size_col``, also add the group's row count (taken from the small offsets
     table, so it costs no extra pass over the data).
     """
-    n = partitions or _num_partitions(df)
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
     stamped = (df.repartitionByRange(n, *keys)
                .sortWithinPartitions(*keys)

@@ -3,10 +3,11 @@
 * Layout: ``<path>`` partitioned by ``year`` (from ``created_at``) and ``batch`` (the
   load that wrote the rows); ``created_at`` is TIMESTAMP_NTZ at whole seconds.  A batch
   is written with dynamic partition overwrite, so replaying it (a retried streaming
-  micro-batch, a re-run job) replaces its own rows instead of duplicating them.  Reads add a ``year`` predicate for ``created_at``
-  ranges so that partition pruning and parquet min/max skipping both apply.
-* One writer per table (it replaces the reference's database lock); IDs continue from
-  the stored per-year maximum.
+  micro-batch, a re-run job) replaces its own rows instead of duplicating them; a row
+  keeps the ID that its source key was given in the batch before.  ``read`` and ``lookup``
+  prune by ``year``.
+* One writer per table; IDs continue from the stored per-year maximum: the high-water
+  marks, and the rows of batches that have none (a load that died between its two writes).
 * Status updates never rewrite rows: changes are appended to a log and the current
   status is the latest valid change per complaint (``max_by``, partial-aggregated, so a
   hot complaint does not pile up in one task).
@@ -14,7 +15,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +26,8 @@ from pyspark.sql import types as T
 from plaint import domains as D
 from plaint.functions.respond import label_of
 from plaint.functions.text import ustrip
-from plaint.operators.ids import assign_ids, max_seq_per_year
+from plaint.operators.ids import ID_PREFIX, assign_ids, max_seq_per_year
+from plaint.session import materialize
 
 COMPLAINT_SCHEMA = T.StructType([
     T.StructField("complaint_id", T.StringType(), False),
@@ -38,7 +42,8 @@ COMPLAINT_SCHEMA = T.StructType([
     T.StructField("mode", T.StringType(), False),
 ])
 COLUMNS = [f.name for f in COMPLAINT_SCHEMA.fields]
-STORED_SCHEMA = T.StructType(COMPLAINT_SCHEMA.fields + [T.StructField("year", T.IntegerType(), True),
+STORED_SCHEMA = T.StructType(COMPLAINT_SCHEMA.fields + [T.StructField("source_key", T.StringType(), True),
+                                                       T.StructField("year", T.IntegerType(), True),
                                                        T.StructField("batch", T.StringType(), True)])
 CREATED_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -48,13 +53,21 @@ def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], COMPLAINT_SCHEMA)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(STORED_SCHEMA).parquet(path).drop("year", "batch")
-    except Exception as exc:  # missing table -> empty, like a fresh database
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return empty(spark)
-        raise
+def read(spark: SparkSession, path: str, since: dt.datetime | None = None) -> DataFrame:
+    """The stored complaints; ``since`` keeps the rows after it and prunes the years before."""
+    df = _read_stored(spark, path)
+    if since is not None:
+        df = df.where((F.col("year") >= since.year) & (F.col("created_at") > F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz")))
+    return df.select(*COLUMNS)
+
+
+def lookup(spark: SparkSession, path: str, complaint_id: str) -> DataFrame:
+    """Point lookup in the stored table: 0 or 1 row, reading only the year that the ID names."""
+    wanted = complaint_id.strip(D.WHITESPACE).upper()
+    year = wanted.removeprefix(ID_PREFIX).partition("-")[0]
+    df = _read_stored(spark, path)
+    return df.where((F.col("year") == F.lit(int(year) if year.isascii() and year.isdigit() else None))
+                    & (F.col("complaint_id") == wanted)).select(*COLUMNS)
 
 
 def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> DataFrame:
@@ -62,8 +75,9 @@ def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> Data
 
     ``df`` carries the complaint columns except ``complaint_id`` plus a unique ``key``
     (arrival order for ties in ``created_at``).  Defaults: status Open, mode ai, name ''.
-    Rows already stored under the same ``batch`` are ignored for the maximum and
-    replaced, which makes a retried load idempotent.  Returns the written rows.
+    Rows already stored under the same ``batch`` are replaced and keep their IDs, also when
+    other batches were loaded since; new ones continue after every ID ever issued.  Returns
+    the written rows.
     """
     spark = df.sparkSession
     staged = df.select(
@@ -74,29 +88,56 @@ def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> Data
         "complaint", "category", "priority", "sentiment", "response",
         (F.col("status") if "status" in df.columns else F.lit("Open")).alias("status"),
         (F.col("mode") if "mode" in df.columns else F.lit("ai")).alias("mode"),
+        F.col(key).cast("string").alias("source_key"),
     )
-    with_ids = assign_ids(staged, key=key, maxes=_stored_maxima(spark, path, batch)).select(*COLUMNS)
-    (with_ids.withColumn("year", F.year("created_at")).withColumn("batch", F.lit(batch))
+    issued = materialize(_read_stored(spark, path).where(F.col("batch") == batch).select("source_key", "complaint_id"))
+    fresh = staged.join(issued, "source_key", "left_anti")
+    kept = staged.join(issued, "source_key")
+    maxima = materialize(_stored_maxima(spark, path))
+    numbered = assign_ids(fresh.select(key, "created_at", "source_key"), key=key, maxes=maxima)
+    ids = numbered.select("source_key", "complaint_id")
+    rows = fresh.join(ids, "source_key").unionByName(kept).select(*COLUMNS, "source_key").withColumn("year", F.year("created_at"))
+    years = {r[0] for r in staged.select(F.year("created_at")).distinct().collect()}
+    (rows.withColumn("batch", F.lit(batch))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year", "batch").parquet(path))
-    written = _read_stored(spark, path).filter(F.col("batch") == batch)
-    # High-water marks: one (year, max_seq) row per year of this batch, written after the
-    # rows (a replay of the batch rewrites both), so the next load reads a few rows
-    # instead of every stored ID.
-    (max_seq_per_year(written).withColumn("batch", F.lit(batch))
+    _drop_years(spark, path, batch, years)
+    written = _read_stored(spark, path).where(F.col("batch") == batch)
+    # High-water marks: one (year, max) row per year, never lower than any ID issued before.
+    marks = max_seq_per_year(written).unionByName(maxima).groupBy("_year").agg(F.max("_max").alias("_max"))
+    (marks.withColumn("batch", F.lit(batch))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch").parquet(f"{path.rstrip('/')}/_hwm"))
     return written.select(*COLUMNS)
 
 
-def _stored_maxima(spark: SparkSession, path: str, batch: str) -> DataFrame:
-    """(_year, _max) over every stored batch except ``batch``: from the high-water marks,
-    or from the stored IDs when the table has none (a table written by other means)."""
-    marks = _read_marks(spark, path)
-    stored = _read_stored(spark, path).filter(~F.col("batch").eqNullSafe(batch))
+def _drop_years(spark: SparkSession, path: str, batch: str, years: set[int]) -> None:
+    """Removes the batch's partitions of years that its latest load has no row in."""
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch)
+    found = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/year=*/batch={name}")
+    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(found) or []:
+        year = status.getPath().getParent().getName().partition("=")[2]
+        if not (year.isdigit() and int(year) in years):
+            fs.delete(status.getPath(), True)
+
+
+def write_rejects(rejects: DataFrame, path: str, batch: str) -> None:
+    """Replaces the quarantined rows of a batch, also by none."""
+    name = rejects.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch)
+    rejects.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={name}")
+
+
+def _stored_maxima(spark: SparkSession, path: str) -> DataFrame:
+    """(_year, _max) of every ID issued: the high-water marks, and the rows of batches without any."""
+    marks, stored = _read_marks(spark, path), _read_stored(spark, path)
     if marks is None:
         return max_seq_per_year(stored)
-    return marks.filter(~F.col("batch").eqNullSafe(batch)).groupBy("_year").agg(F.max("_max").alias("_max"))
+    marked = marks.select("batch").distinct()
+    bare = [r[0] for r in stored.select("batch").distinct().join(marked, "batch", "left_anti").collect()]
+    return (marks.select("_year", "_max").unionByName(max_seq_per_year(stored.where(F.col("batch").isin(bare))))
+            .groupBy("_year").agg(F.max("_max").alias("_max")))
 
 
 def _read_marks(spark: SparkSession, path: str) -> DataFrame | None:
@@ -146,10 +187,8 @@ def list_complaints(df: DataFrame, categories: Sequence[str] | None = None,
                     priorities: Sequence[str] | None = None, statuses: Sequence[str] | None = None,
                     search: str | None = None, ordered: bool = True) -> DataFrame:
     """Filtered listing: empty lists mean no filter; filters AND-ed; search ORs 3 columns."""
-    out = df
-    for column, values in (("category", categories), ("priority", priorities), ("status", statuses)):
-        if values:
-            out = out.filter(F.col(column).isin(list(values)))
+    wanted = {"category": categories, "priority": priorities, "status": statuses}
+    out = reduce(DataFrame.where, [F.col(c).isin(list(v)) for c, v in wanted.items() if v], df)
     pred = search_predicate(search or "")
     if pred is not None:
         out = out.filter(pred)
@@ -157,9 +196,8 @@ def list_complaints(df: DataFrame, categories: Sequence[str] | None = None,
 
 
 def get(df: DataFrame, complaint_id: str) -> DataFrame:
-    """Point lookup: stripped, case-insensitive; 0 or 1 row."""
-    wanted = complaint_id.strip(D.WHITESPACE).lower()
-    return df.filter(F.lower(F.col("complaint_id")) == F.lit(wanted))
+    """Point lookup: stripped, case-insensitive (IDs are issued in upper case); 0 or 1 row."""
+    return df.filter(F.col("complaint_id") == complaint_id.strip(D.WHITESPACE).upper())
 
 
 def tracking_card(df: DataFrame) -> DataFrame:
@@ -213,3 +251,20 @@ def unmatched_changes(complaints: DataFrame, changes: DataFrame) -> DataFrame:
     """Valid changes whose ID matches no complaint ("not updated")."""
     return valid_changes(changes).join(complaints.select("complaint_id"), "complaint_id", "left_anti").select(
         "change_id", "complaint_id", "new_status")
+
+
+def append_status_changes(changes: DataFrame, path: str, batch: str) -> None:
+    """Adds a load of status changes to the log; changes to an unknown status go to ``<path>/_rejects``."""
+    name = changes.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(batch)
+    valid_changes(changes).select("change_id", "complaint_id", "changed_at", "new_status").write.mode("overwrite").parquet(
+        f"{path.rstrip('/')}/batch={name}")
+    write_rejects(status_change_rejects(changes), f"{path.rstrip('/')}/_rejects", batch)
+
+
+def read_status_changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHANGE_SCHEMA).parquet(path)
+
+
+def current(complaints: DataFrame, changes: DataFrame) -> DataFrame:
+    """The complaints with the status that the log leaves them in."""
+    return apply_status_updates(complaints, changes).select(*complaints.columns)

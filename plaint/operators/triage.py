@@ -63,9 +63,18 @@ def triage_with_model(complaints: DataFrame, outputs: DataFrame, key: str = "com
     """
     joined = complaints.join(outputs, key, "left")
     called = F.coalesce(F.col("call_ok"), F.lit(False))
-    model = repair_labels(joined, text_col).withColumnsRenamed(
-        {"category": "_m_cat", "priority": "_m_pri", "sentiment": "_m_sen"})
-    both = rule_triage(model, text_col, company)        # adds the rule labels and reply
+    # The rules run once: an unusable label takes theirs, except priority, which depends on the
+    # category; its cues and amount are looked at again only where the category differs.
+    ruled = rule_triage(joined, text_col, company)
+    names = {"category": D.CATEGORIES, "priority": D.PRIORITIES, "sentiment": D.SENTIMENTS}
+    given = ruled.select("*", *[normalize_label(F.col(f"raw_{n}"), values).alias(f"_n_{n}") for n, values in names.items()])
+    lowered = F.lower(F.col(text_col))
+    category = F.coalesce("_n_category", "category")
+    both = given.select(
+        "*", category.alias("_m_cat"), F.coalesce("_n_sentiment", "sentiment").alias("_m_sen"),
+        F.coalesce("_n_priority", F.when(category == F.col("category"), F.col("priority")).otherwise(
+            rules.priority(category, lowered, rules.amount(F.col(text_col))))).alias("_m_pri"),
+        sum(F.col(f"_n_{n}").isNull().cast("int") for n in names).alias("format_repairs"))
 
     def pick(model_value, rule_value):
         return F.when(called, model_value).otherwise(rule_value)

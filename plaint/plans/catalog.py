@@ -300,7 +300,7 @@ _WOW = (f"SELECT dm.ord, dm.code AS category, dm.label, CAST(coalesce(c.l7, 0) A
 
 @query("week_over_week_counts", _WOW)
 def q_week_over_week(spark, d):
-    return A.week_over_week_counts(_t(spark, d))
+    return A.week_over_week_counts(_t(spark, d), FX.as_of())
 
 
 @query("category_trend", f"""
@@ -308,7 +308,7 @@ SELECT *, CASE WHEN prev_7 > 0 THEN (last_7 - prev_7) / prev_7 END AS change,
   CASE WHEN prev_7 > 0 THEN CASE WHEN last_7 > prev_7 THEN 'increase' WHEN last_7 < prev_7 THEN 'decrease'
   ELSE 'flat' END WHEN last_7 > 0 THEN 'new' ELSE 'none' END AS direction FROM ({_WOW})""")
 def q_category_trend(spark, d):
-    return A.category_trend(_t(spark, d))
+    return A.category_trend(_t(spark, d), FX.as_of())
 
 
 @query("high_priority_health", "SELECT coalesce(avg(CAST(priority = 'high' AS DOUBLE)), 0.0) AS high_share, "
@@ -357,7 +357,7 @@ def _stats_sql() -> str:
 
 @query("stats_text", _stats_sql())
 def q_stats_text(spark, d):
-    return A.stats_text(_t(spark, d))
+    return A.stats_text(_t(spark, d), FX.as_of())
 
 
 def _insights_sql() -> str:
@@ -390,14 +390,14 @@ def _insights_sql() -> str:
 
 @query("insights", _insights_sql())
 def q_insights(spark, d):
-    return A.insights(_t(spark, d))
+    return A.insights(_t(spark, d), FX.as_of())
 
 
 @query("ageing_by_status", f"SELECT CASE WHEN a > 10 THEN 'over_10_days' WHEN a > 3 THEN '4_to_10_days' "
                            f"ELSE '0_to_3_days' END AS age_band, status, CAST(count(*) AS BIGINT) AS n "
                            f"FROM (SELECT {O.age_days('created_at')} AS a, status FROM triaged) GROUP BY 1, 2")
 def q_ageing_by_status(spark, d):
-    return A.ageing_by_status(_t(spark, d))
+    return A.ageing_by_status(_t(spark, d), FX.as_of())
 
 
 # ========================================================================= store
@@ -411,7 +411,13 @@ def q_assign_ids(spark, d):
 
 @query("intake_append", f"SELECT {COLS10} FROM complaints")
 def q_intake_append(spark, d):
-    return V.complaints(spark, d)
+    """Two loads into a fresh store, cut where the first day of the data ends."""
+    path = f"{_scratch(spark)}/store"
+    accepted = V.triage_raw(FX.complaints_raw(spark, d))
+    first = accepted.agg(F.min(F.to_date("created_at"))).first()[0]
+    ST.append(accepted.where(F.to_date("created_at") <= F.lit(first)), path, batch="first")
+    ST.append(accepted.where(F.to_date("created_at") > F.lit(first)), path, batch="second")
+    return ST.read(spark, path)
 
 
 @query("scan_newest_first", f"SELECT {COLS10} FROM complaints ORDER BY created_at DESC, complaint_id DESC")
@@ -550,6 +556,12 @@ def q_apply_status_updates(spark, d):
     return out.select("complaint_id", "previous_status", "status", "updated")
 
 
+@query("kpi_after_updates", KPI_SQL.replace("FROM triaged", "FROM (SELECT c.category, coalesce(l.status, c.status) AS status "
+                                            "FROM complaints c LEFT JOIN latest_status l ON l.complaint_id = c.complaint_id)"))
+def q_kpi_after_updates(spark, d):
+    return A.kpi_summary(ST.current(_c(spark, d), FX.status_changes(spark, d)))
+
+
 @query("status_updates_unmatched", "SELECT change_id, complaint_id, new_status FROM status_changes s "
                                    "WHERE new_status IN ('Open', 'In Progress', 'Closed') AND NOT EXISTS "
                                    "(SELECT 1 FROM complaints c WHERE c.complaint_id = s.complaint_id)")
@@ -725,18 +737,21 @@ def _gold(spark, d):
                                      "g_category", "g_priority", "g_sentiment")
 
 
-_CELL = ("CASE WHEN {p}.ok IS NULL THEN 'n/a' WHEN {p}.ok THEN concat_ws('/', {p}.category, {p}.priority, "
-         "{p}.sentiment) ELSE 'FAILED (' || substring({p}.error, 1, 40) || ')' END")
-
-
 @query("side_by_side", f"""
 SELECT g.source_id AS complaint_id, {O.preview("coalesce(g.raw_text, '')")} AS complaint_preview,
   t.g_category || '/' || t.g_priority || '/' || t.g_sentiment AS gold,
-  {_CELL.format(p='h')} AS hosted_result, {_CELL.format(p='l')} AS local_result,
-  h.latency_s AS hosted_latency, l.latency_s AS local_latency
+  coalesce(x.h_cell, 'n/a') AS hosted_result, coalesce(x.l_cell, 'n/a') AS local_result,
+  x.h_latency AS hosted_latency, x.l_latency AS local_latency
 FROM complaints_raw g JOIN templates t ON t.tid = g.tid
-LEFT JOIN (SELECT * FROM records WHERE provider = 'hosted') h ON h.complaint_id = g.source_id
-LEFT JOIN (SELECT * FROM records WHERE provider = 'local') l ON l.complaint_id = g.source_id""")
+LEFT JOIN cells x ON x.complaint_id = g.source_id""", """
+cells AS (
+  SELECT complaint_id,
+    max(CASE WHEN provider = 'hosted' THEN cell END) AS h_cell, max(CASE WHEN provider = 'local' THEN cell END) AS l_cell,
+    max(CASE WHEN provider = 'hosted' THEN latency_s END) AS h_latency,
+    max(CASE WHEN provider = 'local' THEN latency_s END) AS l_latency
+  FROM (SELECT complaint_id, provider, latency_s, CASE WHEN ok THEN concat_ws('/', category, priority, sentiment)
+        ELSE 'FAILED (' || substring(error, 1, 40) || ')' END AS cell FROM records)
+  GROUP BY complaint_id)""")
 def q_side_by_side(spark, d):
     return EV.side_by_side(_records(spark, d), _gold(spark, d))
 
@@ -809,7 +824,7 @@ def q_prompts_stage2(spark, d):
 @query("prompt_insights", f"SELECT {O.lit(D.INSIGHTS_PROMPT[0])} AS system, "
                           f"{O.lit('Complaint statistics:' + chr(10))} || stats AS human FROM ({_stats_sql()})")
 def q_prompt_insights(spark, d):
-    return PR.insights_prompt(A.stats_text(_t(spark, d)))
+    return PR.insights_prompt(A.stats_text(_t(spark, d), FX.as_of()))
 
 
 @query("results_json_roundtrip", f"SELECT {REC_COLS}, {CHK} FROM scored")

@@ -90,10 +90,7 @@ def complaints_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     Written once into the shared checkpoint folder, partitioned by ``year``; later calls
     with the same input read it back (column pruning and filter pushdown apply).
     """
-    try:
-        key = (spark.sparkContext.applicationId, _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
-    except Exception:  # input version unknown: compute instead of trusting a stored copy
-        return complaints(spark, sf_dir, keep_source=True)
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
     path = _STORES.get(key)
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/complaints-{uuid.uuid4().hex}"
@@ -112,11 +109,7 @@ def model_runs_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored model-run records as a parquet table, written once per input (like the
     saved results file the evaluation reports are rendered from)."""
     from plaint.operators.evaluate import model_run_records
-    try:
-        key = ("runs", spark.sparkContext.applicationId,
-               _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
-    except Exception:  # input version unknown: compute instead of trusting a stored copy
-        return model_run_records(FX.model_runs_raw(spark, sf_dir))
+    key = ("runs", spark.sparkContext.applicationId, _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
     path = _STORES.get(key)
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/model-runs-{uuid.uuid4().hex}"

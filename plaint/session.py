@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Session setting: tasks over which single-file inputs are dealt before heavy text stages (unset: none).
+INPUT_PARTITIONS = "spark.plaint.inputPartitions"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "plaint") -> SparkSession:
     """A local session tuned for tests and the bench (no UI, UTC, AQE on)."""
     builder = (
@@ -21,7 +25,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PLAINT_DRIVER_MEMORY", "4g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plaint-ckpt-"))
     )
+    if str(cores).isdigit():
+        builder = builder.config(INPUT_PARTITIONS, str(cores))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -30,22 +38,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The setting is read from the session.  Only a local-mode session without one
-    (tests, the bench) gets a private folder under the system temp directory; on a
-    cluster a missing setting is an error, because a machine-local folder would not
-    survive the loss of an executor.
+    The setting is read from the session; a session without one uses a folder under its
+    warehouse, which executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) before running this job")
-        conf = tempfile.mkdtemp(prefix="plaint-ckpt-")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    sc.setCheckpointDir(conf or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:

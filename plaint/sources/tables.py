@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from plaint import domains as D
+from plaint.session import INPUT_PARTITIONS
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -49,20 +50,15 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy text stages enough tasks.
+    """Deals the rows over as many tasks as the session setting ``INPUT_PARTITIONS`` names.
 
-    A small input (one parquet file, one row group) arrives as one partition and would
-    run the whole text pipeline in one task.  Only then is it spread round-robin over
-    the cluster's cores; a large input already has at least that many splits and is
-    left alone, so at scale this adds no shuffle.
+    For inputs whose file splits are too few for CPU-heavy text stages (one small parquet
+    file is one task).  The setting is the user's choice, made for a session; without it
+    the plan is left as it is, whatever the input's size.
 
     Catalyst pushes deterministic filters through a round-robin repartition, so a
     selective filter on an expensive expression placed right after ``spread`` would run
     before it; keep such filters behind a join or aggregate (as the intake does).
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. a remote session): leave it to AQE
-        return df
-    return df.repartition(target) if splits < target else df
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted else df

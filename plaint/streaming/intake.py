@@ -38,9 +38,8 @@ def _intake_batch(store_path: str, quarantine_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
         raw = batch
         rejects = validate(raw, "raw_text").filter(~F.col("ok")).select(
-            "source_id", "ts", "error_code", "error", F.lit(str(batch_id)).alias("batch"))
-        (rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(quarantine_path))
+            "source_id", "ts", "error_code", "error")
+        ST.write_rejects(rejects, quarantine_path, str(batch_id))
         accepted = triage_raw(raw, seeded_status=False)
         ST.append(accepted, store_path, batch=f"stream-{batch_id:09d}")
     return run

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from conftest import SF01
+from plaint.sources import fixtures as FX
 from plaint.operators import analytics as A
 from plaint.operators import store as ST
 from plaint.plans import views as V
@@ -59,6 +60,6 @@ def test_properties_on_fixture(spark):
         assert sum(r.n for r in d if r.domain == dom) == k.total
     trend = A.daily_trend(t).orderBy("day").collect()
     assert all((b.day - a.day).days == 1 for a, b in zip(trend, trend[1:]))
-    wow = {r.category: (r.last_7, r.prev_7) for r in A.week_over_week_counts(t).collect()}
+    wow = {r.category: (r.last_7, r.prev_7) for r in A.week_over_week_counts(t, FX.as_of()).collect()}
     assert wow == {"billing": (543, 521), "app_issue": (604, 632), "loan": (532, 532), "fraud": (422, 429)}
     t.unpersist()

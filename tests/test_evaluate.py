@@ -45,7 +45,8 @@ def _gold_runs(spark, provider="hosted", ok=True, reply=FX.REPLY_OK, latency=1.0
         F.col("sentiment").alias("g_sentiment"), F.col("r_category").alias("raw_category"),
         F.col("r_priority").alias("raw_priority"), F.col("r_sentiment").alias("raw_sentiment"),
         F.lit(latency).alias("latency_s"), F.lit(400).cast("bigint").alias("input_tokens"),
-        F.lit(40).cast("bigint").alias("output_tokens"), F.lit(reply).alias("raw_response"))
+        F.lit(40).cast("bigint").alias("output_tokens"), F.lit(reply).alias("raw_response"),
+        F.lit("TimeoutError").alias("error_type"), F.lit("no answer " + "x" * 200).alias("error_message"))
 
 
 def test_run_metrics_with_rule_answering_model(spark):
@@ -63,6 +64,7 @@ def test_failures_count_as_wrong(spark):
     s = EV.provider_metrics(rec).first()
     assert s.failed == 10 and s.triage_accuracy == 0 and s.quality_score == 0.0 and s.median_latency == 0.0
     assert rec.first().error.startswith("TimeoutError: ")
+    assert rec.first().error == "TimeoutError: " + ("no answer " + "x" * 200)[:160]
 
 
 def test_unsigned_reply_is_scored_raw(spark):
@@ -110,6 +112,14 @@ def test_scorer_isolates_row_failures(spark):
     assert out[2].answer is None and out[2].error.startswith("RuntimeError")
 
 
+def test_scorer_takes_text_ids_and_missing_usage(spark):
+    prompts = spark.createDataFrame([("CMP-2024-001", "category", "s", "x"), ("CMP-2024-002", "category", "s", "bad")],
+                                    "complaint_id string, step string, system string, human string")
+    out = {r.complaint_id: r for r in score_prompts(prompts, lambda step, system, human: ("Loan", None, None if human == "x" else "many")).collect()}
+    assert (out["CMP-2024-001"].answer, out["CMP-2024-001"].input_tokens) == ("Loan", 0)
+    assert out["CMP-2024-002"].answer is None and out["CMP-2024-002"].error.startswith("ValueError")
+
+
 def test_usage_summed_over_the_four_calls(spark):
     from plaint.operators import prompts as PR
     df = spark.createDataFrame([(1, "My EMI payment was deducted twice.", "loan", "medium", "neutral")],

@@ -18,7 +18,13 @@ def test_intake_then_reports(spark, tmpdir_path):
     assert spark.read.parquet(quarantine).count() == raw.count() - accepted
     jobs.intake(raw, store, quarantine, batch="2024-01-31")           # a re-run replaces itself
     assert ST.read(spark, store).count() == accepted
-    paths = jobs.reports(spark, store, out, dt.datetime(2024, 1, 31))
+    log = f"{tmpdir_path}/changes"
+    some = ST.read(spark, store).orderBy("complaint_id").limit(3).collect()
+    changes = [(i, r.complaint_id, dt.datetime(2024, 2, 1), "Closed") for i, r in enumerate(some)] + [(9, some[0].complaint_id, dt.datetime(2024, 2, 2), "Nonsense")]
+    jobs.status(spark.createDataFrame(changes, ST.CHANGE_SCHEMA), log, batch="1")
+    assert spark.read.parquet(f"{log}/_rejects").count() == 1
+    paths = jobs.reports(spark, store, out, dt.datetime(2024, 1, 31), log)
+    assert spark.read.parquet(paths["kpi_summary"]).first().closed == 3
     assert spark.read.parquet(paths["kpi_summary"]).first().total == accepted
     assert spark.read.parquet(paths["week_over_week"]).count() == 4
     assert spark.read.option("header", True).csv(paths["csv_report"]).count() == accepted

@@ -1,5 +1,6 @@
 """Physical-plan checks: no Python in core plans, pushdown, top-k, single scans."""
 
+from plaint.sources import fixtures as FX
 from plaint.operators import analytics as A
 from plaint.operators import store as ST
 from plaint.plans import views as V
@@ -27,7 +28,7 @@ def test_filters_reach_the_parquet_scan(spark, tmpdir_path):
     df = ST.list_complaints(ST.read(spark, path), categories=["fraud", "loan"], statuses=["Open"])
     plan = _plan(df)
     assert "PushedFilters: [" in plan and "In(category" in plan and "EqualTo(status,Open)" in plan
-    wow = _plan(A.week_over_week_counts(ST.read(spark, path)))
+    wow = _plan(A.week_over_week_counts(ST.read(spark, path), FX.as_of()))
     assert "GreaterThan(created_at" in wow and "ReadSchema: struct<created_at:timestamp_ntz,category:string>" in wow
 
 
@@ -37,6 +38,6 @@ def test_latest_10_is_top_k(spark):
 
 
 def test_one_scan_for_all_distributions_and_week_windows(spark):
-    for name in ("all_distributions", "week_over_week_counts", "stats_text", "insights", "daily_trend"):
+    for name in ("all_distributions", "week_over_week_counts", "stats_text", "insights"):
         plan = _plan(REGISTRY[name][0](spark, SF001))
         assert plan.count("FileScan parquet") == 1, name

@@ -81,3 +81,44 @@ def test_exact_median_matches_numpy(spark):
     got = {r.p: r.m for r in exact_median(df, ["p"], "v", "k", "m").collect()}
     for p in ("a", "b"):
         assert got[p] == float(np.median([v for _, q, v in vals if q == p]))
+
+
+def _at(day, year=2024):
+    return dt.datetime(year, 5, day, 10)
+
+
+def _load(spark, path, batch, items):
+    rows = ST.append(_rows(spark, [(i, ts, "", "x" * 12, "loan", "low") for i, ts in items]), path, batch=batch)
+    return {r.created_at: r.complaint_id for r in rows.collect()}
+
+
+def test_no_id_is_issued_twice_after_a_load_died_before_its_marks(spark, tmpdir_path):
+    import shutil
+    path = f"{tmpdir_path}/store"
+    _load(spark, path, "a", [(1, _at(1)), (2, _at(2))])
+    _load(spark, path, "b", [(3, _at(3)), (4, _at(4))])
+    shutil.rmtree(f"{path}/_hwm/batch=b")                       # its rows were written, its marks were not
+    assert sorted(_load(spark, path, "c", [(5, _at(5))]).values()) == ["CMP-2024-005"]
+    ids = [r.complaint_id for r in ST.read(spark, path).collect()]
+    assert len(ids) == len(set(ids)) == 5
+
+
+def test_replay_of_an_older_batch_keeps_ids_and_drops_stale_years(spark, tmpdir_path):
+    path = f"{tmpdir_path}/store"
+    first = _load(spark, path, "a", [(1, _at(1)), (2, _at(2)), (9, _at(1, 2023))])
+    _load(spark, path, "b", [(3, _at(3))])
+    again = _load(spark, path, "a", [(1, _at(1)), (2, _at(2)), (7, _at(7))])
+    assert again == {_at(1): first[_at(1)], _at(2): first[_at(2)], _at(7): "CMP-2024-004"}
+    assert ST.read(spark, path).where(F.year("created_at") == 2023).count() == 0
+    # the dropped row's ID is not issued again
+    assert _load(spark, path, "d", [(8, _at(8, 2023))])[_at(8, 2023)] == "CMP-2023-002"
+
+
+def test_lookup_and_window_read_one_year(spark, tmpdir_path):
+    path = f"{tmpdir_path}/store"
+    _load(spark, path, "a", [(1, _at(1)), (2, _at(2, 2022))])
+    assert ST.lookup(spark, path, " cmp-2022-001 ").first().created_at == _at(2, 2022)
+    assert ST.lookup(spark, path, "nonsense").count() == 0
+    assert ST.read(spark, path, since=_at(1, 2023)).count() == 1
+    plan = ST.lookup(spark, path, "CMP-2022-001")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan

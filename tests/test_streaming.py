@@ -45,7 +45,7 @@ def test_rolling_week_window_matches_week_report(spark):
     got = _memory(S.rolling_category_counts(stream), "rolling_t")
     end = dt.datetime(2024, 1, 31)
     last = {r.category: r.n for r in got.filter(F.col("window_end") == F.lit(end)).collect()}
-    want = {r.category: r.last_7 for r in A.week_over_week_counts(V.complaints_triaged(spark, SF001)).collect()
+    want = {r.category: r.last_7 for r in A.week_over_week_counts(V.complaints_triaged(spark, SF001), FX.as_of()).collect()
             if r.last_7 > 0}
     assert last == want
 
