@@ -55,6 +55,26 @@ def bounded(keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(rows + 1).count() <= rows else keys
 
 
+#: Parts that a join deals its rows into; also the most frequent keys that it may broadcast.
+SPREAD_PARTS = 10_000
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """Joins ``rows`` with ``per_key`` (one row a key, n: its rows) on ``key``; no task gets one key's rows.
+
+    ``total`` is at least the sum of n.  A key of more than total / SPREAD_PARTS rows is dealt
+    by ``by`` into parts of about that size and its ``per_key`` row is repeated once a part.
+    There are fewer than SPREAD_PARTS such keys, whatever the input: they are broadcast.
+    """
+    share = max(1, -(-total // SPREAD_PARTS))
+    parts = per_key.withColumn("parts", F.ceil(F.col("n") / F.lit(share)))
+    often = F.broadcast(parts.where("parts > 1").select(key, "parts"))
+    dealt = rows.join(often, key, "left").withColumn(
+        "part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -10,7 +10,7 @@ from html import unescape
 import pytest
 from pyspark.sql import functions as F
 
-from plaint.llm import bpe, catalog, decontaminate, html, language, minhash, ngram, pii, simhash, toxicity, urls
+from plaint.llm import bpe, catalog, common, decontaminate, html, language, minhash, ngram, pii, simhash, toxicity, urls
 from plaint.llm.common import table
 from plaint.llm.components import components
 
@@ -51,6 +51,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_star_centre_is_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD_PARTS", 20)
+    star = spark.range(1, 3001).selectExpr("id as u", "0L as v").union(spark.range(5000, 5010).selectExpr("id as u", "id + 1 as v"))
+    got = dict(components(star).collect())
+    assert got == {**{i: 0 for i in range(3001)}, **{i: 5000 for i in range(5000, 5011)}}
+    rows = star.selectExpr("v as k", "u").union(spark.sql("select null, 7L"))
+    per_key = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"))
+    joined = common.spread_join(rows, per_key, "k", "u", 3011)
+    assert sorted(joined.collect()) == sorted(rows.join(per_key, "k").select(joined.columns).collect())
+
+
 def shingles(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOW)) if x]
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
