@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaint import domains as D
-from plaint.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE
+from plaint.functions.text import NOT_WORD_AFTER, NOT_WORD_BEFORE, ascii_digits
 
 AMOUNT_REGEX = "(?iU)" + D.AMOUNT_PATTERN.replace(r"rs\b", "rs" + NOT_WORD_AFTER)
 
@@ -61,7 +61,7 @@ def amount(text: Column) -> Column:
     suffix = F.regexp_extract_all(text, F.lit(AMOUNT_REGEX), 2)
     values = F.transform(
         F.zip_with(prefix, suffix, lambda x, y: F.concat(x, y)),
-        lambda z: F.replace(z, F.lit(","), F.lit("")).try_cast("double"),
+        lambda z: ascii_digits(F.replace(z, F.lit(","), F.lit(""))).try_cast("double"),
     )
     return F.coalesce(F.array_max(values), F.lit(0.0))
 

@@ -5,6 +5,9 @@ All functions map ``Column -> Column`` and stay JVM-side (no Python UDF).
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,15 +37,19 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD_BEFORE = rf"(?<!{WORD})"
 NOT_WORD_AFTER = rf"(?!{WORD})"
 
+# The decimal digits of every script (what Python's \d and float() accept), and their ASCII values.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
 # Card-like numbers.  Each branch captures the last four digits, also when they
 # straddle the final separator, so one regexp_replace does the whole masking.
 CARD_PATTERN = (
     NOT_WORD_BEFORE
-    + r"(?:(?:\d{4}[ -]){3}\d{0,3}(\d{4})"
-    + r"|(?:\d{4}[ -]){2}\d(\d{3})[ -](\d)"
-    + r"|(?:\d{4}[ -]){2}\d{2}(\d{2})[ -](\d{2})"
-    + r"|(?:\d{4}[ -]){2}\d{3}(\d)[ -](\d{3})"
-    + r"|\d{9,15}(\d{4}))"
+    + r"(?:(?:\p{Nd}{4}[ -]){3}\p{Nd}{0,3}(\p{Nd}{4})"
+    + r"|(?:\p{Nd}{4}[ -]){2}\p{Nd}(\p{Nd}{3})[ -](\p{Nd})"
+    + r"|(?:\p{Nd}{4}[ -]){2}\p{Nd}{2}(\p{Nd}{2})[ -](\p{Nd}{2})"
+    + r"|(?:\p{Nd}{4}[ -]){2}\p{Nd}{3}(\p{Nd})[ -](\p{Nd}{3})"
+    + r"|\p{Nd}{9,15}(\p{Nd}{4}))"
     + NOT_WORD_AFTER
 )
 CARD_REPLACEMENT = CARD_MASK_PREFIX + "$1$2$3$4$5$6$7$8"
@@ -67,6 +74,11 @@ def mask_cards(c: Column) -> Column:
     return F.regexp_replace(c, CARD_PATTERN, CARD_REPLACEMENT)
 
 
+def ascii_digits(c: Column) -> Column:
+    """Decimal digits of any script as 0-9."""
+    return F.translate(c, DIGITS, DIGIT_VALUES)
+
+
 def letter_count(c: Column) -> Column:
     return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
 

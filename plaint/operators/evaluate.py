@@ -65,7 +65,7 @@ def quality_checks(response: Column, company: str, gold_category: Column,
         "no_promise": ~response.rlike(PROMISE_REGEX),
         "signature": F.right(F.lower(ustrip(response)), F.lit(len(company) + 20)).contains(company.lower()),
         "safe": ~response.rlike(SECRET_REGEX)
-        & ~F.regexp_replace(response, "[ -]", "").rlike(r"\d{13,19}"),
+        & ~F.regexp_replace(response, "[ -]", "").rlike(r"\p{Nd}{13,19}"),
         "fraud_team": F.when(gold_category == "fraud", low.contains("fraud")),
     }
 

@@ -62,6 +62,20 @@ def q_mask_cards(spark, d):
     return _docs(spark, d).select("doc_id", mask_cards(F.col("text")).alias("masked"))
 
 
+# The same texts with the digits of another script: masking and amounts do not depend on the script.
+DEVANAGARI = "०१२३४५६७८९"
+
+
+def _other_digits(c):
+    return F.translate(c, "0123456789", DEVANAGARI)
+
+
+@query("mask_cards_other_digits",
+       f"SELECT doc_id, translate({O.mask('text')}, '0123456789', '{DEVANAGARI}') AS masked FROM documents")
+def q_mask_cards_other_digits(spark, d):
+    return _docs(spark, d).select("doc_id", mask_cards(_other_digits(F.col("text"))).alias("masked"))
+
+
 @query("clean_text", f"SELECT doc_id, {O.clean('text')} AS cleaned FROM documents")
 def q_clean_text(spark, d):
     return _docs(spark, d).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
@@ -154,6 +168,12 @@ def q_extract_amount(spark, d):
     return q_intake_accepted(spark, d).select("source_id", rules.amount(F.col("complaint")).alias("amount"))
 
 
+@query("extract_amount_other_digits", f"SELECT source_id, {O.amount('complaint')} AS amount FROM accepted")
+def q_extract_amount_other_digits(spark, d):
+    return q_intake_accepted(spark, d).select(
+        "source_id", rules.amount(_other_digits(F.col("complaint"))).alias("amount"))
+
+
 @query("rule_priority", "SELECT source_id, priority FROM triaged")
 def q_rule_priority(spark, d):
     return V.complaints_triaged(spark, d).select("source_id", "priority")
@@ -860,10 +880,10 @@ def q_stream_intake(spark, d):
 def q_stream_daily_counts(spark, d):
     from plaint.streaming import intake as S
     base = _scratch(spark)
-    q = S.start_complete(S.daily_counts(V.triage_raw(S.raw_complaint_stream(spark, d))), f"{base}/out",
-                         f"{base}/ckpt")
+    q = S.start_windows(S.daily_counts(V.triage_raw(S.raw_complaint_stream(spark, d))), f"{base}/out",
+                        f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return S.current_windows(spark, f"{base}/out", "complaints")
 
 
 @query("stream_rolling_week", """
@@ -876,9 +896,9 @@ def q_stream_rolling_week(spark, d):
     from plaint.streaming import intake as S
     base = _scratch(spark)
     agg = S.rolling_category_counts(V.triage_raw(S.raw_complaint_stream(spark, d)))
-    q = S.start_complete(agg, f"{base}/out", f"{base}/ckpt")
+    q = S.start_windows(agg, f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("window_start", "window_end", "category", "n")
+    return S.current_windows(spark, f"{base}/out", "n").select("window_start", "window_end", "category", "n")
 
 
 @query("stream_latest_status", "SELECT complaint_id, status, changed_at FROM latest_status")

@@ -4,7 +4,8 @@
   micro-batch with ``foreachBatch``; each batch is written as its own store partition
   (dynamic overwrite), so a replayed batch id replaces rather than duplicates.
 * R2 ``daily_counts`` / R3 ``rolling_category_counts``: event-time windows with a
-  watermark (late rows inside the watermark still update their window).
+  watermark; ``start_windows`` runs them in update mode, so late rows inside the watermark
+  update their window, later ones are dropped, and closed windows leave the state store.
 * R4 ``start_status_fold``: a status-change stream folded by a stateful ``max_by``
   aggregation; each batch writes only the complaints it changed (replays overwrite
   their own partition) and readers fold the deltas.
@@ -136,19 +137,20 @@ def raw_complaint_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger
     return FX.raw_from_events(events_stream(spark, sf_dir, max_files_per_trigger))
 
 
-def _overwrite_batch(path: str):
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-    return run
-
+def start_windows(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep a windowed aggregate as per-batch deltas (update mode, read by ``current_windows``).
 
-def start_complete(agg: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep a bounded streaming aggregate (one row per window/key) as a parquet table.
-
-    Complete mode hands every micro-batch the whole current result, which replaces the
-    table, so a replayed batch rewrites the same content.
+    Each micro-batch writes the windows it changed as its own partition; a replayed batch
+    overwrites itself.  State holds only windows that the watermark has not passed.
     """
-    writer = (agg.writeStream.outputMode("complete").foreachBatch(_overwrite_batch(path))
+    writer = (agg.writeStream.outputMode("update").foreachBatch(_write_delta(path))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def current_windows(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """The newest ``value`` of each window and key of a ``start_windows`` table."""
+    deltas = spark.read.parquet(path)
+    keys = [c for c in deltas.columns if c not in (value, "batch")]
+    return deltas.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))

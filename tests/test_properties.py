@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF01
 from plaint import domains as D
+from plaint.functions.rules import amount
 from plaint.functions.text import mask_cards
 from plaint.plans import views as V
 
@@ -28,7 +29,10 @@ def _texts(n=3000, seed=11):
                 parts.append(sep.join(groups + [tail]))
             else:
                 parts.append("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 30))))
-        out.append(rnd.choice([" ", " card ", "/"]).join(parts))
+        text = rnd.choice([" ", " card ", "/"]).join(parts)
+        if rnd.random() < 0.2:  # the digits of another script
+            text = text.translate(str.maketrans("0123456789", rnd.choice(["०१२३४५६७८९", "٠١٢٣٤٥٦٧٨٩", "０１２３４５６７８９"])))
+        out.append(text)
     return out
 
 
@@ -48,6 +52,11 @@ def test_mask_properties(spark):
     assert total > 500
 
 
+def test_amounts_in_any_script(spark):
+    df = spark.createDataFrame([("₹ ५०००",), ("Rs. १,२३४.५ paid",), ("٧٠٠ rupees",), ("₹ 5०0",), ("𝟗𝟗 rs",)], "t string")
+    assert [r.a for r in df.select(amount(F.col("t")).alias("a")).collect()] == [5000.0, 1234.5, 700.0, 500.0, 99.0]
+
+
 def test_labels_are_in_their_domains_and_ids_are_gap_free(spark):
     c = V.complaints(spark, SF01, keep_source=True).cache()
     assert c.filter(~F.col("category").isin(D.CATEGORIES) | ~F.col("priority").isin(D.PRIORITIES)

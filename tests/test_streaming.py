@@ -1,6 +1,7 @@
 """Stream = batch for the intake, window and status-fold jobs (availableNow)."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,3 +75,20 @@ def test_status_fold_across_micro_batches(spark, tmpdir_path):
     got = S.latest_status_table(spark, f"{tmpdir_path}/state")
     want = ST.latest_status(changes)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_windows_take_late_rows_inside_the_watermark_only(spark, tmpdir_path):
+    src = f"{tmpdir_path}/late"
+    batches = [["2024-01-02 10:00:00", "2024-01-09 08:00:00", "2024-01-10 12:00:00"],
+               ["2024-01-09 23:00:00"],  # late, inside the watermark of one day
+               ["2024-01-11 00:00:00", "2024-01-02 11:00:00"]]  # the second is too late: Spark drops by the watermark of the batch before
+    for i, times in enumerate(batches):
+        df = spark.createDataFrame([(t,) for t in times], "t string").selectExpr("cast(t as timestamp_ntz) as created_at")
+        df.coalesce(1).write.parquet(f"{src}/part={i}")
+        time.sleep(1.1)  # the file source takes older files first
+    stream = (spark.readStream.schema("created_at timestamp_ntz").option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = S.start_windows(S.daily_counts(stream), f"{tmpdir_path}/days", f"{tmpdir_path}/ckpt4")
+    q.awaitTermination(300)
+    got = {r.day.day: r.complaints for r in S.current_windows(spark, f"{tmpdir_path}/days", "complaints").collect()}
+    assert got == {2: 1, 9: 2, 10: 1, 11: 1}
