@@ -30,6 +30,12 @@ def render(template: str, values: dict[str, Column | str]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def step_prompt(step: str, values: dict[str, Column | str]) -> tuple[Column, Column]:
+    """The system and human text of one step."""
+    system, human = next((s, h) for name, s, h in D.PROMPTS if name == step)
+    return render(system, values), render(human, values)
+
+
 def prompts(df: DataFrame, steps: list[str], key: str = "complaint_id", text: str = "complaint",
             company: str = D.DEFAULT_COMPANY) -> DataFrame:
     """(key, step, system, human) for the given steps; a fixed-size fan-out per row."""

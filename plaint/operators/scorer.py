@@ -12,6 +12,17 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+
+def ask(answer_fn: Callable[[str, str, str], tuple[str, int, int]], step: str, system: str,
+        human: str) -> tuple[str | None, int, int, str | None]:
+    """(answer, input_tokens, output_tokens, error) of one call; it never raises."""
+    try:
+        answer, tin, tout = answer_fn(step, system, human)
+        return None if answer is None else str(answer), int(tin or 0), int(tout or 0), None
+    except Exception as exc:  # one bad row must not fail the batch
+        return None, 0, 0, f"{type(exc).__name__}: {str(exc)[:160]}"
+
+
 def score_prompts(prompts: DataFrame, answer_fn: Callable[[str, str, str], tuple[str, int, int]],
                   key: str = "complaint_id") -> DataFrame:
     """Call ``answer_fn(step, system, human) -> (answer, in_tokens, out_tokens)`` per prompt row.
@@ -26,11 +37,7 @@ def score_prompts(prompts: DataFrame, answer_fn: Callable[[str, str, str], tuple
             out = {"complaint_id": [], "step": [], "answer": [], "input_tokens": [], "output_tokens": [],
                    "error": []}
             for k, step, system, human in zip(pdf[key], pdf["step"], pdf["system"], pdf["human"]):
-                try:
-                    answer, tin, tout = answer_fn(step, system, human)
-                    answer, tin, tout, err = None if answer is None else str(answer), int(tin or 0), int(tout or 0), None
-                except Exception as exc:  # one bad row must not fail the batch
-                    answer, tin, tout, err = None, 0, 0, f"{type(exc).__name__}: {str(exc)[:160]}"
+                answer, tin, tout, err = ask(answer_fn, step, system, human)
                 out["complaint_id"].append(k)
                 out["step"].append(step)
                 out["answer"].append(answer)

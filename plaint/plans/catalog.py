@@ -23,6 +23,7 @@ from plaint.operators import evaluate as EV
 from plaint.operators import export as X
 from plaint.operators import prompts as PR
 from plaint.operators import store as ST
+from plaint.operators.model_pipeline import model_triage
 from plaint.operators.triage import triage_with_model
 from plaint.plans import oracle as O
 from plaint.plans import views as V
@@ -255,6 +256,57 @@ def q_mode_counts(spark, d):
     return _triage_with_model(spark, d).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stand_in(step: str, system: str, human: str) -> tuple[str, int, int]:
+    """Stands in for a model: answers follow from the prompt, some fail and some are unusable."""
+    n = len(human)
+    if step == "category":
+        if n % 5 == 0:
+            raise TimeoutError("no answer")
+        return "Fraud." if n % 5 == 1 else "unsure", n, 1
+    if step == "priority":
+        return "HIGH" if human.startswith("Category: fraud") and n % 3 == 0 else "??", n, 2
+    if step == "sentiment":
+        return "neutral" if n % 2 else "", n, 3
+    return human.split("\n\n")[0], n, 4
+
+
+_PIPELINE_SQL = f"""
+mp0 AS (SELECT *, length(complaint) + 11 AS n1, (length(complaint) + 11) % 5 <> 0 AS ai,
+    CASE WHEN (length(complaint) + 11) % 5 = 1 THEN 'fraud' END AS n_cat FROM triaged),
+mp1 AS (SELECT *, coalesce(n_cat, category) AS m_cat, n1 + 11 + length(coalesce(n_cat, category)) AS n2 FROM mp0),
+mp2 AS (SELECT *, CASE WHEN m_cat = 'fraud' AND n2 % 3 = 0 THEN 'high' END AS n_pri,
+    CASE WHEN n1 % 2 = 1 THEN 'neutral' END AS n_sen FROM mp1),
+mp3 AS (SELECT *, coalesce(n_pri, {O.priority('m_cat', 'lower(complaint)', O.amount('complaint'))}) AS m_pri,
+    coalesce(n_sen, sentiment) AS m_sen FROM mp2),
+mp4 AS (SELECT *, n1 + 35 + length(m_cat) + length(m_pri) + length(m_sen) AS n4,
+    'Category: ' || m_cat || chr(10) || 'Priority: ' || m_pri || chr(10) || 'Sentiment: ' || m_sen AS reply FROM mp3),
+mp AS (
+  SELECT source_id, CASE WHEN ai THEN m_cat ELSE category END AS category,
+    CASE WHEN ai THEN m_pri ELSE priority END AS priority, CASE WHEN ai THEN m_sen ELSE sentiment END AS sentiment,
+    CASE WHEN ai THEN {O.signature('reply')} ELSE response END AS response,
+    CASE WHEN ai THEN 'ai' ELSE 'offline' END AS mode,
+    CASE WHEN NOT ai THEN {O.lit(D.FALLBACK_WARNING)} END AS warning,
+    CASE WHEN ai THEN CAST(n_cat IS NULL AS INTEGER) + CAST(n_pri IS NULL AS INTEGER) + CAST(n_sen IS NULL AS INTEGER)
+      ELSE 0 END AS format_repairs,
+    CAST(CASE WHEN ai THEN n1 + n2 + n1 + n4 ELSE 0 END AS BIGINT) AS input_tokens,
+    CAST(CASE WHEN ai THEN 10 ELSE 0 END AS BIGINT) AS output_tokens,
+    CAST(CASE WHEN ai THEN 4 ELSE 1 END AS BIGINT) AS calls,
+    CASE WHEN NOT ai THEN 'TimeoutError: no answer' END AS error
+  FROM mp4)
+"""
+
+
+@query("model_pipeline", "SELECT * FROM mp", _PIPELINE_SQL)
+def q_model_pipeline(spark, d):
+    complaints = V.accept_raw(FX.complaints_raw(spark, d)).select("source_id", "complaint")
+    return model_triage(complaints, _stand_in).drop("complaint")
+
+
+@query("usage_per_complaint", "SELECT source_id, input_tokens, output_tokens, calls FROM mp", _PIPELINE_SQL)
+def q_usage_per_complaint(spark, d):
+    return q_model_pipeline(spark, d).select("source_id", "input_tokens", "output_tokens", "calls")
+
+
 # ===================================================================== analytics
 def _t(spark, d):
     """Reports read the materialised intake table (see ``views.complaints_store``)."""
