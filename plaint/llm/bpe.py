@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import release, small_batches
+from plaint.llm.common import chunks, release, small_batches, utf8
 
-NONE = np.int64(1) << 40
+NONE = np.int32(1 << 30)
 #: Bytes of text whose distinct words are replayed together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,7 +84,7 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         keys, values = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -93,10 +93,10 @@ class Replay:
                     keys.append(a << 24 | b)
                     values.append(rank)
         order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 24) | b
+        key = (a.astype(np.int64) << 24) | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
@@ -120,10 +120,10 @@ class Replay:
         end = np.cumsum(size)
         n = int(end[-1])
         symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[end - 1], before[end - size] = -1, -1
         rank = np.full(n, NONE)
-        inner = np.flatnonzero(after >= 0)
+        inner = np.flatnonzero(after >= 0).astype(np.int32)
         rank[inner] = self.pair_ranks(symbol[inner], symbol[inner + 1])
         index: dict[int, list[np.ndarray]] = defaultdict(list)
 
@@ -227,17 +227,19 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids
     def blocks() -> Iterator[tuple[list[pa.Array], list[np.ndarray], dict[str, int]]]:
         ids, spelt, number, size = [], [], defaultdict(count().__next__), 0
         for batch in batches:
-            ids.append(batch.column("doc_id"))
-            spelt.extend(np.fromiter(map(number.__getitem__, split(text or "")), np.int32) for text in batch.column("text").to_pylist())
-            size += batch.column("text").nbytes
-            if size >= BLOCK_BYTES:
-                yield ids, spelt, number
-                ids, spelt, number, size = [], [], defaultdict(count().__next__), 0
+            _, offsets = utf8(batch.column("text"))
+            for i, j in chunks(offsets):
+                ids.append(batch.column("doc_id").slice(i, j - i))
+                spelt.extend(np.fromiter(map(number.__getitem__, split(text or "")), np.int32) for text in batch.column("text").slice(i, j - i).to_pylist())
+                size += int(offsets[j] - offsets[i])
+                if size >= BLOCK_BYTES:
+                    yield ids, spelt, number
+                    ids, spelt, number, size = [], [], defaultdict(count().__next__), 0
         if ids:
             yield ids, spelt, number
 
-    release()
     for doc_ids, spelt, number in blocks():
+        release()
         flat, begin = replay.encode([w.encode() for w in number])
         ids, cuts = flat.tolist(), begin.tolist()
         written = [",".join(map(str, ids[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
