@@ -9,6 +9,7 @@
 * R4 ``start_status_fold``: a status-change stream folded by a stateful ``max_by``
   aggregation; each batch writes only the complaints it changed (replays overwrite
   their own partition) and readers fold the deltas.
+* ``compact`` folds the deltas of R2-R4 into one partition, so readers need not fold all history.
 
 Streaming needs TIMESTAMP (not TIMESTAMP_NTZ) for watermarks; wall-clock times are read
 as UTC explicitly, so results do not depend on the session time zone.
@@ -16,6 +17,8 @@ as UTC explicitly, so results do not depend on the session time zone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from plaint.functions.validate import validate
 from plaint.operators import store as ST
 from plaint.plans.views import triage_raw
+from plaint.session import materialize
 from plaint.sources import fixtures as FX
 
 
@@ -128,8 +132,13 @@ def latest_status_table(spark: SparkSession, state_path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER" in str(exc):
             return spark.createDataFrame([], "complaint_id string, status string, changed_at timestamp_ntz")
         raise
+    return newest_status(deltas).drop("change_id")
+
+
+def newest_status(deltas: DataFrame) -> DataFrame:
+    """The last change of each complaint in the deltas of ``start_status_fold``."""
     return deltas.groupBy("complaint_id").agg(_latest().alias("_l")).select(
-        "complaint_id", "_l.status", "_l.changed_at")
+        "complaint_id", "_l.status", "_l.changed_at", "_l.change_id")
 
 
 def raw_complaint_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -151,6 +160,30 @@ def start_windows(agg: DataFrame, path: str, checkpoint: str, available_now: boo
 
 def current_windows(spark: SparkSession, path: str, value: str) -> DataFrame:
     """The newest ``value`` of each window and key of a ``start_windows`` table."""
-    deltas = spark.read.parquet(path)
+    return newest_windows(spark.read.parquet(path), value)
+
+
+def newest_windows(deltas: DataFrame, value: str) -> DataFrame:
     keys = [c for c in deltas.columns if c not in (value, "batch")]
     return deltas.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
+def compact(spark: SparkSession, path: str, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Fold the deltas at ``path`` (``newest_status``, or ``newest_windows`` with its value) into one partition.
+
+    The newest batch stays as it is, since a restarted stream may write it again; all before
+    it are committed and go into the partition of the last of them.  Folding is idempotent:
+    a run that dies before it has removed the old partitions leaves the same result, and the
+    next run removes them.  Fewer than three batches are left alone.
+    """
+    deltas = spark.read.parquet(path)
+    batches = sorted(r[0] for r in deltas.select("batch").distinct().collect())
+    if len(batches) < 3:
+        return
+    *old, last, _ = batches
+    folded = materialize(fold(deltas.where(F.col("batch") <= last)))
+    _write_delta(path)(folded, last)
+    jvm = spark._jvm
+    for batch in old:
+        gone = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch={batch}")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)

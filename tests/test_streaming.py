@@ -2,6 +2,7 @@
 
 import datetime as dt
 import time
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -92,3 +93,31 @@ def test_windows_take_late_rows_inside_the_watermark_only(spark, tmpdir_path):
     q.awaitTermination(300)
     got = {r.day.day: r.complaints for r in S.current_windows(spark, f"{tmpdir_path}/days", "complaints").collect()}
     assert got == {2: 1, 9: 2, 10: 1, 11: 1}
+    before = S.current_windows(spark, f"{tmpdir_path}/days", "complaints").collect()
+    S.compact(spark, f"{tmpdir_path}/days", partial(S.newest_windows, value="complaints"))
+    assert sorted(S.current_windows(spark, f"{tmpdir_path}/days", "complaints").collect()) == sorted(before)
+
+
+def test_compacted_deltas_keep_the_latest_status(spark, tmpdir_path):
+    path = f"{tmpdir_path}/deltas"
+
+    def write(batch, rows):
+        S._write_delta(path)(spark.createDataFrame(rows, "complaint_id string, status string, changed_at string, change_id long")
+                             .withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz")), batch)
+
+    def state():
+        return {r.complaint_id: r.status for r in S.latest_status_table(spark, path).collect()}
+
+    write(0, [("A", "Open", "2024-01-01 00:00:00", 1), ("B", "Open", "2024-01-01 00:00:00", 2)])
+    write(1, [("A", "Closed", "2024-01-03 00:00:00", 4), ("C", "Open", "2024-01-01 00:00:00", 3)])
+    S.compact(spark, path, S.newest_status)
+    assert {r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()} == {0, 1}
+    write(2, [("A", "Open", "2024-01-02 00:00:00", 5), ("B", "Closed", "2024-01-04 00:00:00", 6)])
+    want = {"A": "Closed", "B": "Closed", "C": "Open"}
+    assert state() == want
+    for _ in range(2):
+        S.compact(spark, path, S.newest_status)
+        assert state() == want
+        assert {r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()} == {1, 2}
+    write(2, [("B", "Open", "2024-01-04 00:00:00", 7)])  # the newest batch is written again
+    assert state() == {"A": "Closed", "B": "Open", "C": "Open"}
