@@ -3,10 +3,11 @@
 Training counts every token and every pair of neighbouring tokens of all training rows.
 A count c is quantised to the level 1 + floor(log2 c), and an n-gram enters the filter
 once for each level up to its own; a reader probes level after level until one is absent.
-The filter is made of segments, one for each hash shard, so its size is fixed: a shard
-that holds more n-grams than its segment can take keeps those above the smallest count
-that fits.  Token counts for the base score are exact and never leave the shards, except
-for the tokens so frequent that at most ``HOT`` of them can exist.
+The filter is made of segments, one for each hash shard, and a segment is sized from the
+entries counted in its shard, so no n-gram is dropped.  A filter within its broadcast bound
+goes to the workers; beyond it the segments stay in the shards, and probes are sent to them.
+Token counts for the base score are exact and never leave the shards, except for the tokens
+so frequent that at most ``HOT`` of them can exist; so it is with probes of frequent pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from plaint.session import materialize
 SHARD_BYTES, LEAST_SHARDS = 2 << 20, 64
 #: Tokens that make up at least 1 / HOT of all are counted in memory; there are at most HOT.
 HOT = 1 << 18
-#: Bits of the filter for tokens and for pairs, and for each entry; probes of an entry.
+#: A pair is frequent for a shard that holds it if it makes up at least 1 / SHARD_HOT of the shard.
+SHARD_HOT = 4096
+#: Bits up to which the filter of tokens, and that of pairs, is broadcast (and has at least);
+#: bits for each entry; probes of an entry.
 TOKEN_BITS, PAIR_BITS, ENTRY_BITS, PROBES = 1 << 26, 1 << 28, 10, 6
 #: Weight, in pairs, of the token distribution when it smooths the pair distribution.
 PRIOR = 200.0
@@ -125,21 +129,23 @@ def _probes(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """A filter segment; where the n-grams don't fit, those above the smallest count that does."""
+    """A filter segment of all n-grams, of ``bits`` or as many more as its entries need."""
     level = levels(counts)
-    entries = np.bincount(level, weights=level)[::-1].cumsum()[::-1]
-    fits = np.flatnonzero(entries * ENTRY_BITS <= bits)
-    least = int(fits[0]) if len(fits) else len(entries)
-    kept, level = keys[level >= least], level[level >= least]
+    bits = max(bits, -(-int(level.sum()) * ENTRY_BITS // 8) * 8)
     field = np.zeros(bits, bool)
     for k in range(1, int(level.max(initial=0)) + 1):
-        for at in _probes(kept[level >= k], k, bits):
+        for at in _probes(keys[level >= k], k, bits):
             field[at] = True
     return np.packbits(field, bitorder="little").tobytes()
 
 
-def _merge(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Adds up each (kind, shard): token counts, and a filter segment of either kind."""
+def _named(keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """One key of the bits of a pair that are kept and of its shard."""
+    return splitmix((keys & U64((1 << 8 * _WIDTH[2]) - 1)) + splitmix(shard.astype(U64) + U64(1)))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Adds up each (kind, shard): token counts, frequent pairs, and a filter segment of either kind (of ``least`` bits)."""
     for batch in runs(batches, ["kind", "shard"]):
         kind, shard = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
         bounds = group_bounds([kind, shard])
@@ -151,30 +157,38 @@ def _merge(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             keys, counts = keys[first], np.add.reduceat(counts, first)
-            bits = max(8, (TOKEN_BITS if k == 1 else PAIR_BITS) // shards // 8 * 8)
-            field = segment(keys & U64((1 << 8 * _WIDTH[2]) - 1), counts, bits)
+            field = segment(keys & U64((1 << 8 * _WIDTH[2]) - 1), counts, least[k])
+            total, distinct = int(counts.sum()), len(keys)
+            level = None
+            if k == 2:
+                often = counts * SHARD_HOT >= total
+                keys, counts = keys[often], counts[often]
+                level = Filter({0: field}, 1, 8).levels(keys).astype(np.uint8).tobytes()
+                keys = _named(keys, np.full(len(keys), shard[a]))
             yield pa.record_batch(
                 [pa.array([k], pa.int32()), pa.array([int(shard[a])], pa.int64()), pa.array([field], pa.binary()),
-                 pa.array([keys.astype("<u8").tobytes() if k == 1 else None], pa.binary()),
-                 pa.array([counts.astype("<i8").tobytes() if k == 1 else None], pa.binary()),
-                 pa.array([int(counts.sum())], pa.int64()), pa.array([len(keys)], pa.int64())],
-                names=["kind", "shard", "field", "keys", "counts", "total", "distinct"])
+                 pa.array([keys.astype("<u8").tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()),
+                 pa.array([level], pa.binary()), pa.array([total], pa.int64()), pa.array([distinct], pa.int64())],
+                names=["kind", "shard", "field", "keys", "counts", "levels", "total", "distinct"])
 
 
-_MERGED = "kind int, shard long, field binary, keys binary, counts binary, total long, distinct long"
+_MERGED = "kind int, shard long, field binary, keys binary, counts binary, levels binary, total long, distinct long"
 
 
 class Filter:
     """Quantised counts of n-grams, from the segments of a kind."""
 
     def __init__(self, fields: dict[int, bytes], shards: int, bits: int):
-        self.shards, self.bits, size = shards, bits, bits // 8
-        held = b"".join(fields.get(s, bytes(size)) for s in range(shards))
-        self.field = np.frombuffer(held, np.uint8)
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts of each key's level; 0 for absent keys."""
-        base = shard_of(keys, self.shards) * self.bits
+        """``bits``: of the segments that are not there; the others have their own sizes."""
+        held = [fields.get(s, bytes(bits // 8)) for s in range(shards)]
+        self.shards, self.sizes = shards, np.array([8 * len(x) for x in held])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.field = np.frombuffer(b"".join(held), np.uint8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key; 0 for absent keys."""
+        shard = shard_of(keys, self.shards)
+        base, bits = self.starts[shard], self.sizes[shard].astype(U64)
         low = keys & U64((1 << 8 * _WIDTH[2]) - 1)
         level = np.zeros(len(keys), np.int64)
         there = np.arange(len(keys))
@@ -182,50 +196,108 @@ class Filter:
         while len(there):
             k += 1
             for part in range(PROBES):
-                at = base[there] + self._position(low[there], k, part)
+                at = base[there] + self._position(low[there], k, part, bits[there])
                 there = there[(self.field[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             level[there] = k
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level.astype(float))
+        return level
 
-    def _position(self, keys: np.ndarray, level: int, part: int) -> np.ndarray:
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The middle of the range of counts of each key's level; 0 for absent keys."""
+        return middle(self.levels(keys))
+
+    @staticmethod
+    def _position(keys: np.ndarray, level: int, part: int, bits: np.ndarray) -> np.ndarray:
         x = splitmix(keys ^ U64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         x = x + ((x >> U64(32)) | U64(1)) * U64(part)
-        return ((x & U64(0xFFFFFFFF)) * U64(self.bits) >> U64(32)).astype(np.int64)
+        return ((x & U64(0xFFFFFFFF)) * bits >> U64(32)).astype(np.int64)
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    level = level.astype(np.int64)
+    return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level.astype(float))
+
+
+#: In place of the context's level: the token is its row's first.
+FIRST = 255
 
 
 class Model:
-    """What a worker needs to score: the filters, the totals and the frequent tokens."""
+    """What a worker needs to score: totals, frequent tokens and pairs, and the filters that are broadcast."""
 
-    def __init__(self, tokens: Filter, pairs: Filter, total: int, distinct: int, rows: int, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: Filter | None, pairs: Filter | None, total: int, distinct: int, rows: int, keys: np.ndarray, counts: np.ndarray,
+                 pair_keys: np.ndarray, pair_levels: np.ndarray, shards: int):
+        self.shards = shards
         self.tokens, self.pairs, self.total, self.distinct, self.rows = tokens, pairs, total, distinct, rows
-        self.hot_keys, self.hot_counts = keys, counts
+        self.hot_keys, self.hot_counts, self.pair_keys, self.pair_levels = keys, counts, pair_keys, pair_levels
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
-    def log10(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Smoothed log10 probability of each token after the one before it."""
-        own, back = np.unique(h, return_inverse=True)
-        seen = self.tokens.counts(own)
-        alone = ((seen + 0.1) / (self.total + 0.1 * (self.distinct + 1)))[back]
-        context = np.empty(len(h))
-        context[1:] = seen[back[:-1]]
-        context[bounds[:-1]] = self.rows
-        keys, back = np.unique(_pairs(h, bounds), return_inverse=True)
-        together = np.minimum(self.pairs.counts(keys)[back], context)
-        return np.log10(np.minimum((together + PRIOR * alone) / (context + PRIOR), 1.0))
+    def log10(self, pair: np.ndarray, own: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Smoothed log10 probability of a token after the one before it, from the levels of the pair and of both."""
+        alone = (middle(own) + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+        context = np.where(before == FIRST, float(self.rows), middle(np.where(before == FIRST, 0, before)))
+        return np.log10(np.minimum((np.minimum(middle(pair), context) + PRIOR * alone) / (context + PRIOR), 1.0))
+
+    def scores(self, h: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes, bytes, bytes]]]:
+        """Score of each row, from the levels of its tokens, and the probes of pairs that only their shards can answer.
+
+        A probe: (shard, keys of pairs, rows of all their places, for each key the levels of both tokens and its places).
+        """
+        before = np.empty_like(own)
+        before[1:] = own[:-1]
+        before[bounds[:-1]] = FIRST
+        pair = _pairs(h, bounds)
+        if self.pairs is not None:
+            keys, back = np.unique(pair, return_inverse=True)
+            return np.add.reduceat(self.log10(self.pairs.levels(keys)[back], own, before), bounds[:-1]), []
+        n = len(bounds) - 1
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        name = _named(pair, shard_of(pair, self.shards))
+        place = np.minimum(np.searchsorted(self.pair_keys, name), max(len(self.pair_keys) - 1, 0))
+        hot = self.pair_keys[place] == name if len(self.pair_keys) else np.zeros(len(pair), bool)
+        score = np.bincount(row[hot], weights=self.log10(self.pair_levels[place[hot]], own[hot], before[hot]), minlength=n)
+        pair, row, own, before = pair[~hot], row[~hot].astype("<u4"), own[~hot], before[~hot]
+        if not len(pair):
+            return score, []
+        order = np.argsort(pair, kind="stable")
+        pair, row, own, before = pair[order], row[order], own[order], before[order]
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        ends = np.append(first, len(pair))
+        keys, sides, often = pair[first], np.stack([own[first], before[first]]).astype(np.uint8), np.diff(ends).astype("<u4")
+        shard = shard_of(keys, self.shards)
+        cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(keys))
+        return score, [(int(shard[a]), keys[a:b].astype("<u8").tobytes(), row[ends[a] : ends[b]].tobytes(), sides[:, a:b].tobytes() + often[a:b].tobytes())
+                       for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _asked(kind: int, uid: int, ids: pa.DataType, shards: list[int], keys: list[bytes], rows: list[bytes | None], more: list[bytes | None]) -> pa.RecordBatch:
+    """Rows for shards; a block's rows are numbered from its first, whose id is ``uid``."""
+    m = len(shards)
+    return pa.record_batch(
+        [pa.array(np.full(m, kind, np.int32)), pa.array(shards, pa.int64()), pa.array(np.full(m, uid, np.int64)), pa.nulls(m, ids), pa.nulls(m, pa.bool_()),
+         *(pa.nulls(m, pa.int64()),) * 2, *(pa.nulls(m, pa.float64()),) * 2, pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), pa.array(more, pa.binary())],
+        names=_SCORED_NAMES)
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and its rarer tokens for each shard (kind 1)."""
+    """A row for each document, its rarer tokens for each shard (kind 1), and what the filters' shards must answer.
+
+    Pairs for their shards (kind 2), or, without a filter of tokens either, the tokens of a
+    block for their shards (kind 3) and the block itself (kind 4).
+    """
     model: Model = shared.value
     hot_log = model.base(model.hot_counts)
     for batch in batches:
         uid = batch.column("uid").to_numpy()
+        kind_of_id = batch.column("doc_id").type
         at = 0
         for h, bounds in _tokens(batch.column("text")):
             n = len(bounds) - 1
-            score = np.add.reduceat(model.log10(h, bounds), bounds[:-1])
+            own, back = np.unique(h, return_inverse=True)
+            score, probes = np.zeros(n), []
+            if model.tokens is not None:
+                score, probes = model.scores(h, bounds, model.tokens.levels(own)[back])
             place = np.minimum(np.searchsorted(model.hot_keys, h), max(len(model.hot_keys) - 1, 0))
             hot = model.hot_keys[place] == h if len(model.hot_keys) else np.zeros(len(h), bool)
             some = np.zeros(len(h))
@@ -235,7 +307,7 @@ def _score(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[p
             yield pa.record_batch(
                 [pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(ids), *(batch.column(c).slice(at, n) for c in ("doc_id", "held_out")),
                  pa.array(np.diff(bounds)), pa.array(np.add.reduceat(hot.astype(np.int64), bounds[:-1])),
-                 pa.array(np.add.reduceat(some, bounds[:-1])), pa.array(score), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+                 pa.array(np.add.reduceat(some, bounds[:-1])), pa.array(score), *(pa.nulls(n, pa.binary()),) * 3],
                 names=_SCORED_NAMES)
             rare, row = h[~hot], row[~hot]
             if len(rare):
@@ -244,18 +316,20 @@ def _score(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[p
                 shard = shard_of(rare, shards)
                 cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(rare))
                 keys, rows = rare.astype("<u8"), row.astype("<u4")
+                yield _asked(1, ids[0], kind_of_id, shard[cut[:-1]], [keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])],
+                             [rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], [None] * (len(cut) - 1))
+            if probes:
+                yield _asked(2, ids[0], kind_of_id, *map(list, zip(*probes)))
+            if model.tokens is None:
+                shard = shard_of(own, shards)
+                cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(own))
                 m = len(cut) - 1
-                # The rows of a block are numbered from its first: uid holds that block's ids once, in the counts column's order.
-                yield pa.record_batch(
-                    [pa.array(np.ones(m, np.int32)), pa.array(shard[cut[:-1]]), pa.array(np.full(m, ids[0])), pa.nulls(m, batch.column("doc_id").type), pa.nulls(m, pa.bool_()),
-                     *(pa.nulls(m, pa.int64()),) * 2, *(pa.nulls(m, pa.float64()),) * 2,
-                     pa.array([keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                     pa.array([rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                    names=_SCORED_NAMES)
+                yield _asked(3, ids[0], kind_of_id, shard[cut[:-1]], [own[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:])], [None] * m, [None] * m)
+                yield _asked(4, ids[0], kind_of_id, [-1], [h.astype("<u8").tobytes()], [bounds.astype("<i8").tobytes()], [None])
             at += n
 
 
-_SCORED_NAMES = ["kind", "shard", "uid", "doc_id", "held_out", "n_tokens", "hot_tokens", "hot_score", "score", "keys", "rows"]
+_SCORED_NAMES = ["kind", "shard", "uid", "doc_id", "held_out", "n_tokens", "hot_tokens", "hot_score", "score", "keys", "rows", "more"]
 
 
 def _answer(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
@@ -292,6 +366,70 @@ def _answer(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Ite
                                       names=["uid", "known", "rest"])
 
 
+def _token_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of the tokens that blocks ask a shard for (kind 0: the shard's segment)."""
+    for batch in runs(batches, ["shard"]):
+        bounds = group_bounds([batch.column("shard").to_numpy()])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            part = batch.slice(a, b - a)
+            kind, held = part.column("kind").to_numpy(), part.column("keys").to_pylist()
+            f = Filter({0: held[i] for i in np.flatnonzero(kind == 0)}, 1, 8)
+            asked = [i for i in range(len(kind)) if kind[i] != 0]
+            if asked:
+                level = [f.levels(np.frombuffer(held[i], "<u8").astype(U64)).astype(np.uint8).tobytes() for i in asked]
+                yield pa.record_batch([pa.array(np.ones(len(asked), np.int32)), part.column("shard").take(pa.array(asked)), part.column("uid").take(pa.array(asked)),
+                                       pa.array(level, pa.binary()), pa.nulls(len(asked), pa.binary())], names=["kind", "shard", "uid", "keys", "rows"])
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The pair probes of each block, and the scores that need none (kind 0), from the block and its tokens' levels by shard."""
+    model: Model = shared.value
+    for batch in runs(batches, ["uid"]):
+        groups = group_bounds([batch.column("uid").to_numpy()])
+        for a, b in zip(groups[:-1], groups[1:]):
+            part = batch.slice(a, b - a)
+            uid, held = part.column("uid")[0].as_py(), part.column("keys").to_pylist()
+            h, bounds = np.frombuffer(held[0], "<u8").astype(U64), np.frombuffer(part.column("rows")[0].as_py(), "<i8")
+            # sorted tokens are sorted by shard, so the shards' answers in their order are those of the sorted tokens
+            level = np.frombuffer(b"".join(held[1:]), np.uint8).astype(np.int64)
+            score, probes = model.scores(h, bounds, level[np.unique(h, return_inverse=True)[1]])
+            n = len(score)
+            yield pa.record_batch([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(uid + np.arange(n)),
+                                   *(pa.nulls(n, pa.binary()),) * 3, pa.array(score)], names=_PAIR_NAMES)
+            if probes:
+                m = len(probes)
+                shard, keys, rows, more = map(list, zip(*probes))
+                yield pa.record_batch([pa.array(np.full(m, 2, np.int32)), pa.array(shard, pa.int64()), pa.array(np.full(m, uid, np.int64)),
+                                       pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), pa.array(more, pa.binary()), pa.nulls(m, pa.float64())], names=_PAIR_NAMES)
+
+
+_PAIR_NAMES = ["kind", "shard", "uid", "keys", "rows", "more", "score"]
+
+
+def _answer_pairs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """The score of all places of the pairs that blocks ask a shard for (kind 0: the shard's segment)."""
+    model: Model = shared.value
+    for batch in runs(batches, ["shard"]):
+        bounds = group_bounds([batch.column("shard").to_numpy()])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            part = batch.slice(a, b - a)
+            kind, uid, held = part.column("kind").to_numpy(), part.column("uid").to_numpy(), part.column("keys").to_pylist()
+            rows, more = part.column("rows").to_pylist(), part.column("more").to_pylist()
+            f = Filter({0: held[i] for i in np.flatnonzero(kind == 0)}, 1, 8)
+            ids, sums = [], []
+            for i in np.flatnonzero(kind != 0):
+                keys = np.frombuffer(held[i], "<u8").astype(U64)
+                n = len(keys)
+                sides, often = np.frombuffer(more[i][: 2 * n], np.uint8).astype(np.int64).reshape(2, n), np.frombuffer(more[i][2 * n :], "<u4")
+                row = np.frombuffer(rows[i], "<u4").astype(np.int64)
+                total = np.bincount(row, weights=np.repeat(model.log10(f.levels(keys), *sides), often))
+                there = np.unique(row)
+                ids.append(there + int(uid[i]))
+                sums.append(total[there])
+            if ids:
+                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], names=["uid", "score"])
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``.
 
@@ -306,40 +444,77 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                        F.coalesce(remainder(id_col, folds) == 0, F.lit(True)).alias("held_out"))
     amount = rows.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     shards = max(LEAST_SHARDS, -(-(amount[0] or 0) // SHARD_BYTES))
+    room = {1: TOKEN_BITS, 2: PAIR_BITS}
+    least = {k: max(8, b // shards // 8 * 8) for k, b in room.items()}
     parts = rows.where("not held_out").select("text").mapInArrow(partial(_count, shards=shards), _COUNTS)
     merged = materialize(parts.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(
-        partial(_merge, shards=shards), _MERGED))
-    kinds = {r[0]: r for r in merged.groupBy("kind").agg(F.sum("total"), F.sum("distinct")).collect()}
+        partial(_merge, least=least), _MERGED))
+    kinds = {r[0]: r for r in merged.groupBy("kind").agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("field"))).collect()}
     total, distinct = (int(kinds[1][1]), int(kinds[1][2])) if 1 in kinds else (0, 0)
-    fields = {k: {r[0]: bytes(r[1]) for r in merged.where(F.col("kind") == k).select("shard", "field").collect()} for k in (1, 2)}
-    frequent = merged.where("kind = 1").select("keys", "counts").mapInArrow(
-        partial(_frequent, least=max(1, -(-total // HOT))), "key binary, count binary").collect()
-    keys = np.frombuffer(b"".join(bytes(r[0]) for r in frequent), "<u8").astype(U64)
-    counts = np.frombuffer(b"".join(bytes(r[1]) for r in frequent), "<i8")
-    order = np.argsort(keys)
-    bits = [max(8, b // shards // 8 * 8) for b in (TOKEN_BITS, PAIR_BITS)]
-    model = Model(Filter(fields[1], shards, bits[0]), Filter(fields[2], shards, bits[1]), total, distinct, int(amount[1] or 0), keys[order], counts[order])
+    fits = {k: k not in kinds or 8 * kinds[k][3] <= room[k] for k in (1, 2)}
+    fits[2] = fits[1] and fits[2]  # without the levels of tokens a worker cannot score pairs
+    filters = {k: Filter({r[0]: bytes(r[1]) for r in merged.where(F.col("kind") == k).select("shard", "field").collect()}, shards, least[k])
+               if fits[k] else None for k in (1, 2)}
+    often = max(1, -(-total // HOT))
+    keys, counts = _frequent_of(merged.where("kind = 1").select("keys", "counts", "levels"), often)[:2]
+    pairs, _, pair_levels = _frequent_of(merged.where(F.lit(not fits[2]) & (F.col("kind") == 2)).select("keys", "counts", "levels"), often)
+    model = Model(filters[1], filters[2], total, distinct, int(amount[1] or 0), keys, counts, pairs, pair_levels, shards)
     shared = spark.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = materialize(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
         partial(_score, shared=shared, shards=shards),
         f"kind int, shard long, uid long, doc_id {kind}, held_out boolean, n_tokens long, hot_tokens long, "
-        "hot_score double, score double, keys binary, rows binary"))
+        "hot_score double, score double, keys binary, rows binary, more binary"))
     asked = scored.where("kind = 1").select("kind", "shard", "uid", "keys", "rows")
     known = merged.where("kind = 1").select(F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("uid"), "keys", F.col("counts").alias("rows"))
     rest = known.union(asked).repartition("shard").sortWithinPartitions("shard").mapInArrow(
         partial(_answer, total=total, distinct=distinct), "uid long, known long, rest double")
     rest = rest.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("rest").alias("rest"))
-    return scored.where("kind = 0").join(rest, "uid", "left").select(
+    found = scored.where("kind = 0").join(rest, "uid", "left")
+    if not fits[2]:
+        found = found.join(_sharded(merged, scored, shared, fits[1]), "uid", "left")
+        found = found.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
+    return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_tokens") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
 
 
+def _sharded(merged: DataFrame, scored: DataFrame, shared, tokens: bool) -> DataFrame:
+    """(uid, more_score): what the shards' segments add to the scores; ``tokens``: those of tokens were broadcast."""
+    nothing = F.lit(None).cast("binary")
+    zero = F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("uid"), F.col("field").alias("keys")
+    done = None
+    if tokens:
+        probes = scored.where("kind = 2").select("kind", "shard", "uid", "keys", "rows", "more")
+    else:
+        asked = merged.where("kind = 1").select(*zero).union(scored.where("kind = 3").select("kind", "shard", "uid", "keys"))
+        known = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+            _token_levels, "kind int, shard long, uid long, keys binary, rows binary")
+        blocks = scored.where("kind = 4").select(F.lit(0).alias("kind"), "shard", "uid", "keys", "rows")
+        probes = materialize(blocks.union(known).repartition("uid").sortWithinPartitions("uid", "kind", "shard").mapInArrow(
+            partial(_block_pairs, shared=shared), "kind int, shard long, uid long, keys binary, rows binary, more binary, score double"))
+        done = probes.where("kind = 0").select("uid", "score")
+        probes = probes.where("kind = 2").drop("score")
+    fields = merged.where("kind = 2").select(*zero, nothing.alias("rows"), nothing.alias("more"))
+    sums = fields.union(probes).repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        partial(_answer_pairs, shared=shared), "uid long, score double")
+    return (sums.union(done) if done is not None else sums).groupBy("uid").agg(F.sum("score").alias("more_score"))
+
+
+def _frequent_of(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sorted, of at least ``least``, with their counts and levels (tokens: none)."""
+    found = counted.mapInArrow(partial(_frequent, least=least), "key binary, count binary, level binary").collect()
+    keys, counts, level = (np.frombuffer(b"".join(bytes(r[i]) for r in found), t) for i, t in enumerate(("<u8", "<i8", np.uint8)))
+    order = np.argsort(keys)
+    return keys.astype(U64)[order], counts[order], level[order] if len(level) else level
+
+
 def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for held, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+        for held, counts, level in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "levels"))):
             counts = np.frombuffer(counts, "<i8")
             often = counts >= least
-            yield pa.record_batch([pa.array([np.frombuffer(held, "<u8")[often].tobytes()], pa.binary()),
-                                   pa.array([counts[often].tobytes()], pa.binary())], names=["key", "count"])
+            level = np.frombuffer(level, np.uint8)[often].tobytes() if level else b""
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in (np.frombuffer(held, "<u8")[often].tobytes(), counts[often].tobytes(), level)],
+                                  names=["key", "count", "level"])

@@ -164,6 +164,41 @@ def test_filter_never_undercounts(spark):
     assert (f.counts(ngram.constants(5000, 9) & np.uint64((1 << 56) - 1)) > 0).mean() < 0.02
 
 
+def test_filter_keeps_every_ngram_whatever_its_size():
+    import numpy as np
+    keys = ngram.constants(5000, 3) & np.uint64((1 << 56) - 1)
+    counts = np.arange(1, 5001) % 40 + 1
+    f = ngram.Filter({0: ngram.segment(keys, counts, 8)}, 1, 8)
+    assert (f.counts(keys) >= 2.0 ** (ngram.levels(counts) - 1)).all()
+    assert (f.counts(ngram.constants(5000, 9) & np.uint64((1 << 56) - 1)) > 0).mean() < 0.02
+
+
+@pytest.mark.parametrize("token_bits, pair_bits", [(1 << 26, 1 << 28), (1 << 26, 8), (8, 8)])
+def test_lm_score_beyond_the_broadcast_bound(spark, docs, rows, monkeypatch, token_bits, pair_bits):
+    monkeypatch.setattr(ngram, "TOKEN_BITS", token_bits)
+    monkeypatch.setattr(ngram, "PAIR_BITS", pair_bits)
+    monkeypatch.setattr(ngram, "HOT", 1 << 9)  # so that some pairs are frequent and some are not
+    tokens = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(LOW)) if w] + ["\0"]
+    train = [tokens(t) for i, t in rows if i is not None and crc(i) % 10]
+    one = collections.Counter(w for ts in train for w in ts)
+    two = collections.Counter(p for ts in train for p in zip([None, *ts], ts))
+    total, distinct = sum(one.values()), len(one)
+    mid = lambda c: 0 if not c else 1 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1)
+
+    def log10(a, b):
+        alone, context = (mid(one[b]) + 0.1) / (total + 0.1 * (distinct + 1)), len(train) if a is None else mid(one[a])
+        return math.log10(min((min(mid(two[a, b]), context) + ngram.PRIOR * alone) / (context + ngram.PRIOR), 1))
+
+    want = sorted((i or -1, sum(log10(a, b) for a, b in zip([None, *ts], ts)), len(ts)) for i, t in rows for ts in [tokens(t)])
+    got = sorted((r.doc_id or -1, r.score) for r in ngram.lm_scores(docs).collect())
+    assert len(got) == len(want)
+    # what the filter takes for one level more is all that may differ
+    error = [abs(g - w) / n for (_, g), (_, w, n) in zip(got, want)]
+    assert max(error[i] for i in range(len(want)) if want[i][2] > 100) < 0.05, sorted(error)[-5:]
+    assert sum(error) / len(error) < 0.01
+    assert ngram.lm_scores(empty(spark)).count() == 0
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark, docs, rows):
     import tiktoken
     path, pattern = catalog.tokenizer()
