@@ -13,13 +13,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import LOWER, UPPER
+from plaint.llm.common import LOWER, UPPER, spread_join
 from plaint.session import materialize
 
 #: (verdict, host/path) rules; a host covers its subdomains.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: URLs, first by a hash, that the trees are trained on (labelled ones) and that suffixes are counted on (all).
+#: Distinct URLs, half of them of each label, first by a hash, that the trees are trained on.
 SAMPLE_ROWS, TREES, DEPTH = 8000, 20, 4
+#: Suffixes, and bytes of them, up to which their statistics are broadcast.
+BROADCAST_SUFFIXES, BROADCAST_BYTES = 200_000, 8 << 20
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~/%=&?:#+"
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters",
             "escapes", "longest_label", "suffix_length", "suffix_count", "suffix_hosts")
@@ -76,6 +78,12 @@ def lexical(df: DataFrame) -> DataFrame:
         .drop("_counts"))
 
 
+def suffix_statistics(rows: DataFrame) -> DataFrame:
+    """(suffix, n, suffix_count, suffix_hosts): pages and distinct hosts of each suffix of ``rows``."""
+    hosts = rows.groupBy(F.substring_index("host", ".", -2).alias("suffix"), "host").agg(F.count("*").alias("n"))
+    return hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.log1p(F.sum("n")).alias("suffix_count"), F.log1p(F.count("*")).alias("suffix_hosts"))
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of each row of ``pages``.
 
@@ -88,27 +96,34 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    def first(df: DataFrame) -> DataFrame:
-        return df.orderBy(F.xxhash64("url"), "page_id").limit(SAMPLE_ROWS)
+    labelled = rows.where("ruled is not null").select("url", "host", "path", "ruled").dropDuplicates(["url"])
 
-    sample = materialize(lexical(first(rows.where("ruled is not null"))).withColumn("label", (F.col("ruled") == "block").cast("double")))
+    def first(kind: str) -> DataFrame:
+        return labelled.where(F.col("ruled") == kind).orderBy(F.xxhash64("url"), "url").limit(max(1, SAMPLE_ROWS // 2))
+
+    sample = materialize(lexical(first("allow").union(first("block"))).withColumn("label", (F.col("ruled") == "block").cast("double")))
     seen = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if len(seen) < 2:
         only = "block" if 1.0 in seen else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
     total = seen[0.0] + seen[1.0]
     weight = F.when(F.col("label") == 1.0, total / (2 * seen[1.0])).otherwise(total / (2 * seen[0.0]))
-    suffixes = materialize(first(rows).groupBy(F.substring_index("host", ".", -2).alias("suffix")).agg(
-        F.log1p(F.count("*")).alias("suffix_count"), F.log1p(F.count_distinct("host")).alias("suffix_hosts")))
-
-    def described(df: DataFrame) -> DataFrame:
-        # the suffix table has at most one row for each sampled URL
-        known = df.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_count": 0.0, "suffix_hosts": 0.0})
+    suffixes = materialize(suffix_statistics(rows))
+    amount = suffixes.agg(F.count("*"), F.sum(F.octet_length("suffix")), F.sum("n")).first()
+    small = amount[0] <= BROADCAST_SUFFIXES and amount[1] <= BROADCAST_BYTES
+
+    def described(df: DataFrame, dealt: bool = False) -> DataFrame:
+        # the table holds the suffix of every page
+        if dealt and not small:
+            df = df.withColumn("deal", F.xxhash64("page_id", "url"))
+            known = spread_join(df, suffixes, "suffix", "deal", amount[2]).drop("deal")
+        else:
+            known = df.join(F.broadcast(suffixes) if small else suffixes, "suffix")
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
 
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, labelCol="label", weightCol="weight").fit(
         described(sample).select("features", "label", weight.alias("weight")))
-    rest = trees.transform(described(lexical(rows)))
+    rest = trees.transform(described(lexical(rows), dealt=True))
     score = F.element_at(vector_to_array("probability"), 2)
     return rest.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("prediction") == 1.0, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
 

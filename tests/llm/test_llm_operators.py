@@ -339,6 +339,26 @@ def test_url_trees_learn_the_rules(spark):
     assert got.agg(F.avg(((F.col("score") > 0.5) == (F.col("verdict") == "block")).cast("int"))).first()[0] > 0.6
 
 
+def test_url_statistics_cover_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE_ROWS", 40)
+    names = [f"http://h{i}.s{i % 7}.com/" for i in range(100)]
+    low = spark.createDataFrame([(u,) for u in names], "url string").orderBy(F.xxhash64("url")).first()[0]
+    all_urls = names + [low] * 200 + [f"http://b{i}.net/es/{i}" for i in range(30)] + [f"http://u{i}.s{i % 3}.org/{i}" for i in range(60)] + [None, "x"]
+    pages = spark.createDataFrame(list(enumerate(all_urls)), "page_id long, url string")
+    hosts = [(u or "x").partition("://")[2].partition("/")[0] for u in all_urls]
+    want = collections.defaultdict(list)
+    for h in hosts:
+        want[".".join(h.split(".")[-2:])].append(h)
+    table_ = {r.suffix: r for r in urls.suffix_statistics(pages.withColumn("host", urls.host(F.col("url")))).collect()}
+    assert {k: (r.n, round(math.expm1(r.suffix_count)), round(math.expm1(r.suffix_hosts))) for k, r in table_.items()} == {
+        k: (len(v), len(v), len(set(v))) for k, v in want.items()}
+    got = sorted(urls.judge(pages).collect())
+    assert len(got) == len(all_urls) and all(r.score is not None for r in got)  # both labels are sampled
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 0)
+    dealt = sorted(urls.judge(pages).collect())
+    assert [r[:5] for r in dealt] == [r[:5] for r in got] and max(abs(a.score - b.score) for a, b in zip(got, dealt)) < 1e-6
+
+
 def test_toxicity_held_out(spark, docs):
     real, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = toxicity.toxicity(real, labels).join(labels.drop("quality"), "doc_id")
