@@ -22,7 +22,14 @@ from plaint.llm.common import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Never shown.
-UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas svg datalist".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe noembed noframes object audio video canvas datalist".split())
+#: Start tags that an open head takes; any other, and text other than white space, closes it.
+IN_HEAD = frozenset("html head base link meta title noscript noframes style script template".split())
+#: In a drawing the first are text that is shown, the second are not shown; the third end it.
+DRAWN = frozenset("text foreignobject".split())
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
+UNDRAWING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+
 #: Apart by a blank line, and by a line break.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BROKEN = frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav option search section summary tr caption".split())
@@ -113,6 +120,16 @@ def parse(page: str) -> Node:
         open_count[stack.pop().tag] -= 1
 
     for kind, name, rest in _tokens(page):
+        if stack[-1].tag == "head":
+            if kind == "text" and name.strip(" \t\n\r\f") or kind == "open" and name not in IN_HEAD or kind == "close" and name == "br":
+                pop()
+            elif kind == "open" and name in ("html", "head"):
+                continue
+        if kind == "open" and name in UNDRAWING and open_count.get("svg"):
+            if next(x.tag for x in reversed(stack) if x.tag in ("svg", "foreignobject")) == "svg":
+                while stack[-1].tag != "svg":
+                    pop()
+                pop()
         if kind == "text":
             stack[-1].children.append(name)
         elif kind == "open":
@@ -129,7 +146,7 @@ def parse(page: str) -> Node:
                         pop()
             node = Node(name, _attributes(rest))
             stack[-1].children.append(node)
-            if name not in VOID and not (rest.endswith("/") and name in ("svg", "path")):
+            if name not in VOID and not (rest.endswith("/") and (name in ("svg", "path") or open_count.get("svg") and not open_count.get("foreignobject"))):
                 stack.append(node)
                 open_count[name] = open_count.get(name, 0) + 1
         elif name == "br":
@@ -266,20 +283,28 @@ def render(root: Node) -> str:
     tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[list] = []
     quiet = 0  # depth of pre
+    drawings: list[bool] = []  # inside a drawing: whether text is not shown here
     stack: list[tuple[object, object, bool]] = [(c, root, False) for c in reversed(root.children)]
     while stack:
         node, parent, leaving = stack.pop()
         if isinstance(node, str):
             if parent.tag == "details" and "open" not in parent.attributes:
                 continue
+            if drawings and drawings[-1]:
+                continue
             if tables and parent.tag in ("table", "thead", "tbody", "tfoot", "tr") and not node.strip():
                 continue
             (flow.verbatim if quiet else flow.text)(unescape(node))
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node, parent):
+            if not shown(node, parent) or (drawings and drawings[-1] and tag in UNDRAWN):
                 continue
+            if tag == "svg":
+                drawings.append(True)
+            elif drawings and tag in DRAWN:
+                drawings.append(False)
+                flow.apart(0)
             if tag == "br":
                 flow.break_line()
                 continue
@@ -317,6 +342,11 @@ def render(root: Node) -> str:
             stack.append((node, parent, True))
             stack.extend((c, node, False) for c in reversed(node.children))
             continue
+        if tag == "svg":
+            drawings.pop()
+        elif drawings and tag in DRAWN:
+            drawings.pop()
+            flow.apart(0)
         if tag in ("td", "th") and tables:
             flow.end_line()
             lines, flow = flow.lines, flows.pop()

@@ -376,7 +376,10 @@ def test_toxicity_held_out(spark, docs):
     ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"), ("<script>x</script><style>y</style>z<!-- c -->", "z"),
     ("<div hidden>n</div><span style='display:none'>n</span>y", "y"), ("<pre>a\n  b</pre>", "a\n  b"), ("x<br>y", "x\ny"),
     ("<b>a</b><i>b</i> c", "ab c"), ("<details><summary>s</summary>h</details>", "s"), ("<blockquote><p>q</blockquote>w", "  q\n\nw"),
-    ("<p title='unclosed>x</p>", "x"), ("<div>" * 3000 + "deep", "deep"), ("<td>cell</td>", "cell"), ("</p></div>t", "t"), ("<p", "")])
+    ("<p title='unclosed>x</p>", "x"), ("<div>" * 3000 + "deep", "deep"), ("<td>cell</td>", "cell"), ("</p></div>t", "t"), ("<p", ""),
+    ("<head><title>t</title><h1>A</h1><p>text", "A\n\ntext"), ("<html><head>\n<meta a=b><link c=d><style>s</style>plain <b>text</b>", "plain text"),
+    ("<head><title>t</title><noscript><p>n</p></noscript></head><body>y", "y"), ("<head><title>t</title><body><p>x", "x"), ("<head><html lang=en><p>x", "x"),
+    ("<svg><title>t</title><defs><text>d</text></defs><g/><text x=1>A <tspan>b</tspan></text>no<text>C</text></svg>z", "A b\nC\nz"), ("<svg><g><p>out", "out")])
 def test_html_layout(page, text):
     assert html.to_text(page or "") == text
 
