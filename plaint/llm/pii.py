@@ -3,8 +3,9 @@
 Tokens with a digit or an at sign are the nodes; all others are outside any entity.  Nodes
 that follow one another are linked in a chain; nodes of a document that repeat the same
 digits or letters are linked by skip edges, from one mention to the next, however far
-apart.  All edges of a kind share one potential.  Sum-product message passing runs on the
-loopy graph of a whole batch at once.  A token inside a pattern match is evidence; other
+apart, and from each mention to every one that is evidence.  All edges of a kind share one
+potential.  Sum-product message passing runs on the loopy graph of a whole batch at once,
+until each document has converged.  A token inside a pattern match is evidence; other
 tokens become spans where the marginal of a kind is high, which makes the mentions of one
 entity in a document agree.  Weights come from the patterns' own matches in a bounded
 sample, and spoilt copies of them, by pseudo-likelihood.
@@ -86,6 +87,8 @@ def written(spans: list[Span]) -> str:
 
 LABELS = 1 + len(KINDS)  # 0: outside
 FEATURES = 1 << 12
+#: Rounds after which the messages of a document that do not converge are taken as they are.
+ROUNDS = 1000
 _EDGE = "\"'()[]{}<>,;:!?"
 
 
@@ -122,6 +125,7 @@ class Document:
         self.skip: list[tuple[int, int]] = []
         self.names: list[str] = []
         previous, held = -1, {}
+        mentions: dict[str, list[int]] = {}
         for m in _TOKEN.finditer(text):
             word = m.group()
             if not any(c in "0123456789@" for c in word):
@@ -142,6 +146,7 @@ class Document:
                 if key in held:
                     self.skip.append((held[key], here))
                 held[key] = here
+                mentions.setdefault(key, []).append(here)
         self.labels = [0] * len(self.tokens)
         at = 0
         for a, k, b in sorted(spans):
@@ -151,6 +156,20 @@ class Document:
             while i < len(self.tokens) and self.tokens[i][0] < b:
                 self.labels[i] = self.labels[i] or 1 + k
                 i += 1
+        #: For a mention that is no evidence: how many mentions are evidence of each label, but for the two next to it.
+        self.heard: dict[int, list[int]] = {}
+        for same in mentions.values():
+            marks = [self.labels[i] for i in same]
+            count = [marks.count(k) if k else 0 for k in range(LABELS)]
+            if not any(count):
+                continue
+            for j, i in enumerate(same):
+                if not marks[j]:
+                    others = count.copy()
+                    for mark in (marks[j - 1] if j else 0, marks[j + 1] if j + 1 < len(marks) else 0):
+                        if mark:
+                            others[mark] -= 1
+                    self.heard[i] = others
 
 
 class Field:
@@ -164,8 +183,11 @@ class Field:
         """No knowledge of tokens; mentions of one thing agree."""
         return Field(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 4.0 * np.eye(LABELS))
 
-    def marginals(self, scores: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Label probabilities of each node by loopy message passing; edges: rows of (from, to)."""
+    def marginals(self, scores: np.ndarray, chain: np.ndarray, skip: np.ndarray, group: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+        """Label probabilities of each node by loopy message passing; edges: rows of (from, to).
+
+        ``group``: the document of each node. Each one's messages stop when they have converged, whatever else is in the batch.
+        """
         a = np.concatenate([chain, skip]).reshape(-1, 2).astype(np.int64)
         if not len(a):
             e = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf)) if len(scores) else scores
@@ -174,17 +196,21 @@ class Field:
         source, target = np.concatenate([a[:, 0], a[:, 1]]), np.concatenate([a[:, 1], a[:, 0]])
         weight = np.concatenate([weight, weight.transpose(0, 2, 1)])
         m, half = np.zeros((len(source), LABELS)), len(a)
+        partner = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
+        of = (np.zeros(len(scores), np.int64) if group is None else group)[source]
+        active = np.arange(len(source))
         for _ in range(rounds):
             belief = scores.copy()
-            np.add.at(belief, target, m)
-            back = np.concatenate([m[half:], m[:half]])
-            x = (belief[source] - back)[:, :, None] + weight
+            np.add.at(belief, target[active], m[active])
+            x = (belief[source[active]] - m[partner[active]])[:, :, None] + weight[active]
             top = x.max(axis=1, keepdims=True)
             new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            moved = np.abs(new - m).max()
-            m = 0.5 * m + 0.5 * new
-            if moved < 1e-3:
+            moved = np.zeros(int(of.max()) + 1)
+            np.maximum.at(moved, of[active], np.abs(new - m[active]).max(axis=1))
+            m[active] = 0.5 * m[active] + 0.5 * new
+            active = active[moved[of[active]] >= 1e-3]
+            if not len(active):
                 break
         belief = scores.copy()
         np.add.at(belief, target, m)
@@ -300,7 +326,11 @@ def find(texts: list[str], field: Field, least: float = 0.9) -> list[tuple[list[
         scores[known > 0, known[known > 0]] = 0.0
     chain = np.array([(a + o, b + o) for d, o in zip(held, offset) for a, b in d.chain]).reshape(-1, 2)
     skip = np.array([(a + o, b + o) for d, o in zip(held, offset) for a, b in d.skip]).reshape(-1, 2)
-    p = field.marginals(scores, chain, skip)
+    heard = [(i + o, others) for d, o in zip(held, offset) for i, others in d.heard.items()]
+    if heard:
+        # the label of evidence is known, so its message to each mention is too
+        scores[[i for i, _ in heard]] += np.array([others for _, others in heard], float) @ field.skip
+    p = field.marginals(scores, chain, skip, np.repeat(np.arange(len(held)), np.diff(offset)))
     out = []
     for d, spans, o in zip(held, base, offset):
         added: list[Span] = []

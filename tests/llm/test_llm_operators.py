@@ -258,6 +258,17 @@ def test_pii_mentions_agree_across_a_document(spark):
     assert pii.find(["nothing here", "", "call 555-2485"], field)[0] == ([], [])
 
 
+@pytest.mark.parametrize("repeats", [3, 20, 500])
+def test_pii_evidence_reaches_every_mention(repeats):
+    field = pii.Field.prior()
+    text = "Call +1 (988) 555-2485 today. " + "Then 988 555-2485 again; " * repeats + "part 777 12-34 and 4041.8949."
+    other = "mail a@b.example and " + "words " * 5 + "ring 988 555-2485 or 988 555-2485"
+    (found, added), (_, none) = pii.find([text, other], field)
+    assert [text[a:b] for a, _, b in found] == ["+1 (988) 555-2485"]
+    assert [text[a:b] for a, _, b in added] == ["988 555-2485"] * repeats and {k for _, k, _ in added} == {3}
+    assert not none and pii.find([text], field) == [(found, added)]
+
+
 def test_redaction_keeps_rows_and_columns(spark, docs):
     out = pii.redact(docs, length_col="n_chars")
     assert out.schema == docs.schema and out.count() == docs.count()
