@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaint.llm import (bitslice, bpe, decontaminate, html, language, minhash, negatives, ngram, pii, simhash, toxicity,
-                        urls)
-from plaint.llm.common import LOWER, UPPER, table
+                        trie, urls)
+from plaint.llm.common import LOWER, UPPER, remainder, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -122,6 +122,36 @@ def op11(spark, sf_dir):
     return bitslice.top_k(table(spark, sf_dir, "embeddings"))
 
 
+#: crc32 of the bytes of a text, as in zlib: each byte is folded in, then eight shifts.
+CRC32 = """xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)),
+    CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, md5(concat(length(r), ':', r, x))) AS s,
+    {CRC32.format(text="CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t GROUP BY conv_id),
+c AS (SELECT a.conv_id, list_concat(coalesce(b.s[1:a.h], []), a.s[a.h + 1:]) AS s
+  FROM s a LEFT JOIN s b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM c),
+n AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(coalesce(strlen(s[d].x), 0)) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM m GROUP BY 1, 2),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.p, n.d, n.saved, k.n IS NULL AS leaf FROM n LEFT JOIN k ON k.p = n.p AND k.d = n.d),
+u AS (SELECT p[1:e] AS p, e AS d, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f) GROUP BY 1, 2)
+SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, u.n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN u ON u.p = n.p AND u.d = n.d LEFT JOIN k ON k.p = n.p AND k.d = n.d
+  LEFT JOIN n o ON n.d > 0 AND o.d = n.d - 1 AND o.p = n.p[1:n.d - 1]""")
+def op12(spark, sf_dir):
+    convs = trie.conversations(table(spark, sf_dir, "conversations"))
+    return trie.trie(trie.rebuilt(convs, F.col("conv_id") - F.col("conv_id") % 5, remainder("conv_id", 9)))
+
+
 @query("op13_hard_negatives", f"""
 WITH e AS (SELECT * FROM ({WHOLE.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", scale=256)}) WHERE label IS NOT NULL),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
