@@ -15,23 +15,23 @@ import argparse
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from plaint.functions.validate import validate
 from plaint.operators import analytics as A
 from plaint.operators import export as X
 from plaint.operators import store as ST
-from plaint.plans.views import accept_raw, label_accepted
+from plaint.plans.views import accepted, label_accepted, rejected
+from plaint.session import materialize
 from plaint.sources.fixtures import ntz
 
 
 def intake(raw: DataFrame, store_path: str, quarantine_path: str, batch: str) -> DataFrame:
     """Validate, quarantine rejects, triage and append accepted complaints as ``batch``."""
-    rejects = validate(raw, "raw_text").filter(~F.col("ok")).select(
-        "source_id", "ts", "error_code", "error")
-    ST.write_rejects(rejects, quarantine_path, batch)
-    accepted = label_accepted(accept_raw(raw), seeded_status=False)
-    return ST.append(accepted.drop("status"), store_path, batch=batch)
+    validated = materialize(validate(raw, "raw_text").select(
+        "source_id", "ts", "customer_name", "ok", "error_code", "error", "cleaned"))
+    ST.write_rejects(rejected(validated), quarantine_path, batch)
+    labelled = label_accepted(accepted(validated), seeded_status=False)
+    return ST.append(labelled.drop("status"), store_path, batch=batch)
 
 
 def status(changes: DataFrame, changes_path: str, batch: str) -> None:

@@ -23,16 +23,19 @@ def max_seq_per_year(existing: DataFrame) -> DataFrame:
             .groupBy(year.alias("_year")).agg(F.max(seq).alias("_max")))
 
 
-def assign_ids(df: DataFrame, key: str = "source_id", existing: DataFrame | None = None,
+def assign_ids(df: DataFrame, key: str | list[str] = "source_id", existing: DataFrame | None = None,
                ts: str = "created_at", maxes: DataFrame | None = None) -> DataFrame:
     """Add ``complaint_id``: per year of ``ts`` in (ts, key) order, after the stored max.
 
+    ``key`` (one or more columns) makes the order total.
+
     The per-year numbering is distributed (see :mod:`plaint.operators.sequence`).  The
     stored maxima — from ``maxes`` ``(_year, _max)`` or computed from ``existing`` IDs —
     are one row per year, so that table is broadcast.
     """
     staged = df.withColumn("_year", F.year(F.col(ts)))
-    numbered = sequence_within(staged, ["_year"], [ts, key], out_col="_seq")
+    keys = [key] if isinstance(key, str) else key
+    numbered = sequence_within(staged, ["_year"], [ts, *keys], out_col="_seq")
     if maxes is None and existing is not None:
         maxes = max_seq_per_year(existing)
     if maxes is not None:

@@ -5,12 +5,16 @@
   is written with dynamic partition overwrite, so replaying it (a retried streaming
   micro-batch, a re-run job) replaces its own rows instead of duplicating them; a row
   keeps the ID that its source key was given in the batch before.  ``read`` and ``lookup``
-  prune by ``year``.
+  prune by ``year``; inside a year rows lie in the order of IDs, with bloom filters on them,
+  so that a lookup skips the row groups of other IDs.
+* Every row gets an ID of its own: rows that repeat a source key are told apart by an
+  occurrence number, rows without one by their content.
 * One writer per table; IDs continue from the stored per-year maximum: the high-water
   marks, and the rows of batches that have none (a load that died between its two writes).
-* Status updates never rewrite rows: changes are appended to a log and the current
-  status is the latest valid change per complaint (``max_by``, partial-aggregated, so a
-  hot complaint does not pile up in one task).
+* Status changes are appended to a log and the current status is the latest valid change
+  per complaint (``max_by``, partial-aggregated, so a hot complaint does not pile up in one
+  task).  ``merge_status`` folds the log into the rows, rewriting only the partitions that
+  hold a changed complaint.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from plaint import domains as D
 from plaint.functions.respond import label_of
 from plaint.functions.text import ustrip
 from plaint.operators.ids import ID_PREFIX, assign_ids, max_seq_per_year
+from plaint.operators.sequence import sequence_within
 from plaint.session import materialize
 
 COMPLAINT_SCHEMA = T.StructType([
@@ -43,8 +48,11 @@ COMPLAINT_SCHEMA = T.StructType([
 ])
 COLUMNS = [f.name for f in COMPLAINT_SCHEMA.fields]
 STORED_SCHEMA = T.StructType(COMPLAINT_SCHEMA.fields + [T.StructField("source_key", T.StringType(), True),
+                                                       T.StructField("occurrence", T.LongType(), True),
                                                        T.StructField("year", T.IntegerType(), True),
                                                        T.StructField("batch", T.StringType(), True)])
+#: Rows are sorted by ID in a file; these let a reader skip row groups by their bloom filters.
+LAYOUT = {"parquet.bloom.filter.enabled#complaint_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 CREATED_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -55,7 +63,7 @@ def empty(spark: SparkSession) -> DataFrame:
 
 def read(spark: SparkSession, path: str, since: dt.datetime | None = None) -> DataFrame:
     """The stored complaints; ``since`` keeps the rows after it and prunes the years before."""
-    df = _read_stored(spark, path)
+    df = read_stored(spark, path)
     if since is not None:
         df = df.where((F.col("year") >= since.year) & (F.col("created_at") > F.lit(since.isoformat(sep=" ")).cast("timestamp_ntz")))
     return df.select(*COLUMNS)
@@ -65,7 +73,7 @@ def lookup(spark: SparkSession, path: str, complaint_id: str) -> DataFrame:
     """Point lookup in the stored table: 0 or 1 row, reading only the year that the ID names."""
     wanted = complaint_id.strip(D.WHITESPACE).upper()
     year = wanted.removeprefix(ID_PREFIX).partition("-")[0]
-    df = _read_stored(spark, path)
+    df = read_stored(spark, path)
     return df.where((F.col("year") == F.lit(int(year) if year.isascii() and year.isdigit() else None))
                     & (F.col("complaint_id") == wanted)).select(*COLUMNS)
 
@@ -73,36 +81,31 @@ def lookup(spark: SparkSession, path: str, complaint_id: str) -> DataFrame:
 def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> DataFrame:
     """Assign IDs after the stored maximum and write the rows as load ``batch``.
 
-    ``df`` carries the complaint columns except ``complaint_id`` plus a unique ``key``
-    (arrival order for ties in ``created_at``).  Defaults: status Open, mode ai, name ''.
-    Rows already stored under the same ``batch`` are replaced and keep their IDs, also when
-    other batches were loaded since; new ones continue after every ID ever issued.  Returns
-    the written rows.
+    ``df`` carries the complaint columns except ``complaint_id`` plus a ``key`` (arrival
+    order for ties in ``created_at``).  Defaults: status Open, mode ai, name ''.  Each row
+    gets one ID, also where its key is null or repeated.  Rows already stored under the same
+    ``batch`` are replaced and keep their IDs, also when other batches were loaded since; new
+    ones continue after every ID ever issued.  Returns the written rows.
+
+    ``df`` is evaluated once: its rows go to the checkpoint folder before they are told
+    apart, numbered and written.
     """
     spark = df.sparkSession
-    staged = df.select(
-        key,
-        F.date_trunc("second", F.col("created_at")).cast("timestamp_ntz").alias("created_at"),
-        ustrip(F.coalesce(F.col("customer_name"), F.lit(""))).alias("customer_name")
-        if "customer_name" in df.columns else F.lit("").alias("customer_name"),
-        "complaint", "category", "priority", "sentiment", "response",
-        (F.col("status") if "status" in df.columns else F.lit("Open")).alias("status"),
-        (F.col("mode") if "mode" in df.columns else F.lit("ai")).alias("mode"),
-        F.col(key).cast("string").alias("source_key"),
-    )
-    issued = materialize(_read_stored(spark, path).where(F.col("batch") == batch).select("source_key", "complaint_id"))
-    fresh = staged.join(issued, "source_key", "left_anti")
-    kept = staged.join(issued, "source_key")
+    staged = _occurrences(materialize(_staged(df, key)))
+    issued = read_stored(spark, path).where(F.col("batch") == batch).select(
+        "source_key", F.coalesce("occurrence", F.lit(1)).alias("occurrence"), "complaint_id")
     maxima = materialize(_stored_maxima(spark, path))
-    numbered = assign_ids(fresh.select(key, "created_at", "source_key"), key=key, maxes=maxima)
-    ids = numbered.select("source_key", "complaint_id")
-    rows = fresh.join(ids, "source_key").unionByName(kept).select(*COLUMNS, "source_key").withColumn("year", F.year("created_at"))
+    fresh, kept = staged, None
+    if not issued.isEmpty():
+        issued = materialize(issued)
+        fresh = staged.join(issued, ["source_key", "occurrence"], "left_anti")
+        kept = staged.join(issued, ["source_key", "occurrence"])
+    rows = assign_ids(fresh, key=["_key", "_content", "_row"], maxes=maxima)
+    rows = rows if kept is None else rows.unionByName(kept)
     years = {r[0] for r in staged.select(F.year("created_at")).distinct().collect()}
-    (rows.withColumn("batch", F.lit(batch))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("year", "batch").parquet(path))
+    write_rows(rows.withColumn("year", F.year("created_at")).withColumn("batch", F.lit(batch)), path)
     _drop_years(spark, path, batch, years)
-    written = _read_stored(spark, path).where(F.col("batch") == batch)
+    written = read_stored(spark, path).where(F.col("batch") == batch)
     # High-water marks: one (year, max) row per year, never lower than any ID issued before.
     marks = max_seq_per_year(written).unionByName(maxima).groupBy("_year").agg(F.max("_max").alias("_max"))
     (marks.withColumn("batch", F.lit(batch))
@@ -111,6 +114,45 @@ def append(df: DataFrame, path: str, batch: str, key: str = "source_id") -> Data
     return written.select(*COLUMNS)
 
 
+def _staged(df: DataFrame, key: str) -> DataFrame:
+    """The stored columns of new rows, and what orders them (``_key``, ``_content``)."""
+    rows = df.select(
+        F.col(key).alias("_key"),
+        F.date_trunc("second", F.col("created_at")).cast("timestamp_ntz").alias("created_at"),
+        ustrip(F.coalesce(F.col("customer_name"), F.lit(""))).alias("customer_name")
+        if "customer_name" in df.columns else F.lit("").alias("customer_name"),
+        "complaint", "category", "priority", "sentiment", "response",
+        (F.col("status") if "status" in df.columns else F.lit("Open")).alias("status"),
+        (F.col("mode") if "mode" in df.columns else F.lit("ai")).alias("mode"),
+    )
+    content = F.sha2(F.to_json(F.struct(*[c for c in rows.columns if c != "_key"])), 256)
+    rows = rows.withColumn("_content", content)
+    return rows.withColumn("source_key", F.coalesce(F.col("_key").cast("string"), F.concat(F.lit("#"), "_content")))
+
+
+def _occurrences(staged: DataFrame) -> DataFrame:
+    """Adds ``occurrence``: 1, 2, ... for the rows of one ``source_key``, the same in a replay.
+
+    Only repeated keys are numbered, and those over many tasks, so that one key may hold a
+    large share of the rows.  Rows that are equal in all columns are interchangeable.
+    """
+    staged = staged.withColumn("_row", F.monotonically_increasing_id())  # over a checkpoint: fixed
+    repeated = materialize(staged.groupBy("source_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("source_key"))
+    if repeated.isEmpty():
+        return staged.withColumn("occurrence", F.lit(1).cast("bigint"))
+    once = staged.join(repeated, "source_key", "left_anti").withColumn("occurrence", F.lit(1).cast("bigint"))
+    again = sequence_within(staged.join(repeated, "source_key", "left_semi"), ["source_key"],
+                            ["created_at", "_content", "_row"], out_col="occurrence")
+    return once.unionByName(again)
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Replaces the (year, batch) partitions that ``rows`` (of STORED_SCHEMA) fall into."""
+    (rows.select(*COLUMNS, "source_key", "occurrence", "year", "batch").sortWithinPartitions("year", "batch", "complaint_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**LAYOUT)
+     .partitionBy("year", "batch").parquet(path))
+
+
 def _drop_years(spark: SparkSession, path: str, batch: str, years: set[int]) -> None:
     """Removes the batch's partitions of years that its latest load has no row in."""
     jvm = spark._jvm
@@ -131,7 +173,7 @@ def write_rejects(rejects: DataFrame, path: str, batch: str) -> None:
 
 def _stored_maxima(spark: SparkSession, path: str) -> DataFrame:
     """(_year, _max) of every ID issued: the high-water marks, and the rows of batches without any."""
-    marks, stored = _read_marks(spark, path), _read_stored(spark, path)
+    marks, stored = _read_marks(spark, path), read_stored(spark, path)
     if marks is None:
         return max_seq_per_year(stored)
     marked = marks.select("batch").distinct()
@@ -149,7 +191,8 @@ def _read_marks(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _read_stored(spark: SparkSession, path: str) -> DataFrame:
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows with source key, occurrence, year and batch; none where nothing is stored."""
     try:
         return spark.read.schema(STORED_SCHEMA).parquet(path)
     except Exception as exc:
@@ -268,3 +311,28 @@ def read_status_changes(spark: SparkSession, path: str) -> DataFrame:
 def current(complaints: DataFrame, changes: DataFrame) -> DataFrame:
     """The complaints with the status that the log leaves them in."""
     return apply_status_updates(complaints, changes).select(*complaints.columns)
+
+
+def merge_status(spark: SparkSession, path: str, changes: DataFrame) -> DataFrame:
+    """Folds the log into the stored rows; returns (year, batch, changed) of the partitions rewritten.
+
+    Only the partitions holding a complaint whose status the log alters are written again;
+    the files of all others stay.  A changed complaint's year is part of its ID, so the search
+    for them reads the IDs and statuses of those years alone.  Merging the same log again
+    changes nothing, so a run that died half way is repeated as it is.
+    """
+    year = F.substring("complaint_id", 5, 4).try_cast("int")
+    latest = materialize(latest_status(changes).select("complaint_id", year.alias("year"), F.col("status").alias("_new"))
+                         .where("year is not null"))
+    stored = read_stored(spark, path)
+    years = [r[0] for r in latest.select("year").distinct().collect()]
+    of_years = stored.where(F.col("year").isin(years))
+    altered = of_years.select("complaint_id", "year", "batch", "status").join(latest, ["complaint_id", "year"]).where("status <> _new")
+    touched = materialize(altered.groupBy("year", "batch").agg(F.count(F.lit(1)).alias("changed")))
+    parts = touched.select("year", "batch").collect()  # folders of the store, not rows
+    if parts:
+        here = reduce(Column.__or__, [(F.col("year") == y) & (F.col("batch") == b) for y, b in parts])
+        merged = stored.where(here).join(latest, ["complaint_id", "year"], "left")
+        merged = materialize(merged.withColumn("status", F.coalesce("_new", "status")))
+        write_rows(merged.repartitionByRange("year", "batch", "complaint_id"), path)
+    return touched

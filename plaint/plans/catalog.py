@@ -543,7 +543,40 @@ TRACK_ID = " cmp-2024-007 "
                       f"strftime(created_at, '%Y-%m-%d %H:%M:%S') AS logged FROM complaints "
                       f"WHERE lower(complaint_id) = {O.lit(TRACK_ID.strip().lower())}")
 def q_track_by_id(spark, d):
-    return ST.tracking_card(ST.get(_c(spark, d), TRACK_ID))
+    return ST.tracking_card(ST.lookup(spark, V.complaints_store_path(spark, d), TRACK_ID))
+
+
+# No complaints: a listing without a hit, and the table after it was cleared.
+@query("kpi_of_no_hit", "SELECT CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS fraud, CAST(0 AS BIGINT) AS loan, "
+                        "CAST(0 AS BIGINT) AS billing, CAST(0 AS BIGINT) AS app_issue, CAST(0 AS BIGINT) AS \"open\", "
+                        "CAST(0 AS BIGINT) AS closed FROM (SELECT count(*) AS n FROM complaints WHERE complaint ILIKE '%no such text%') WHERE n = 0")
+def q_kpi_of_no_hit(spark, d):
+    return A.kpi_summary(ST.list_complaints(_c(spark, d), search="no such text", ordered=False))
+
+
+@query("counts_after_clear", "SELECT 'before' AS state, CAST(count(*) AS BIGINT) AS n FROM complaints "
+                             "UNION ALL SELECT 'after', CAST(0 AS BIGINT)")
+def q_counts_after_clear(spark, d):
+    path = _stored_by_month(spark, d)
+    before = spark.createDataFrame([("before", ST.read(spark, path).count())], "state string, n bigint")
+    ST.clear(spark, path)
+    return before.union(ST.count(ST.read(spark, path)).select(F.lit("after"), "n"))
+
+
+def _stored_by_month(spark, d) -> str:
+    """A store of its own, with the complaints of each month as one load."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/by-month-{uuid.uuid4().hex}"
+    rows = ST.read_stored(spark, V.complaints_store_path(spark, d))
+    ST.write_rows(rows.withColumn("batch", F.date_format("created_at", "yyyy-MM")), path)
+    return path
+
+
+@query("merge_status_updates", "SELECT c.complaint_id, c.created_at, coalesce(l.status, c.status) AS status FROM complaints c "
+                               "LEFT JOIN latest_status l ON l.complaint_id = c.complaint_id")
+def q_merge_status_updates(spark, d):
+    path = _stored_by_month(spark, d)
+    ST.merge_status(spark, path, FX.status_changes(spark, d))
+    return ST.read(spark, path).select("complaint_id", "created_at", "status")
 
 
 @query("complaint_detail", f"SELECT complaint_id, created_at, CASE WHEN customer_name = '' THEN 'Not provided' "

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from plaint.functions.text import ustrip
 from plaint.functions.validate import validate
+from plaint.operators import store as ST
 from plaint.operators.ids import assign_ids
 from plaint.operators.triage import rule_triage
 from plaint.session import checkpoint_dir
@@ -34,8 +35,17 @@ def complaints_triaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accept_raw(raw: DataFrame) -> DataFrame:
     """Validate and mask; keep accepted rows as (source_id, created_at, customer_name, complaint)."""
-    v = validate(raw, "raw_text").filter(F.col("ok"))
-    return v.select(
+    return accepted(validate(raw, "raw_text"))
+
+
+def rejected(validated: DataFrame) -> DataFrame:
+    """(source_id, ts, error_code, error) of the rows that validation turned down."""
+    return validated.filter(~F.col("ok")).select("source_id", "ts", "error_code", "error")
+
+
+def accepted(validated: DataFrame) -> DataFrame:
+    """(source_id, created_at, customer_name, complaint) of the rows that validation took."""
+    return validated.filter(F.col("ok")).select(
         "source_id",
         FX.whole_seconds(F.col("ts")).alias("created_at"),
         ustrip(F.col("customer_name")).alias("customer_name"),
@@ -84,20 +94,28 @@ def _fingerprint(spark: SparkSession, path: str) -> tuple:
     return (st.getPath().toString(), st.getLen(), st.getModificationTime())
 
 
-def complaints_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The intake result (IDs, labels, status, ``source_id``) as a parquet table.
+def complaints_store_path(spark: SparkSession, sf_dir: str) -> str:
+    """The intake result (IDs, labels, status) as a stored table; its path.
 
-    Written once into the shared checkpoint folder, partitioned by ``year``; later calls
-    with the same input read it back (column pruning and filter pushdown apply).
+    Written once into the shared checkpoint folder, in the store's layout (by year, rows in
+    the order of IDs); later calls with the same input give the same table.
     """
     key = (spark.sparkContext.applicationId, _fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
     path = _STORES.get(key)
     if path is None:
         path = f"{checkpoint_dir(spark).rstrip('/')}/complaints-{uuid.uuid4().hex}"
-        (complaints(spark, sf_dir, keep_source=True).withColumn("year", F.year("created_at"))
-         .write.mode("overwrite").partitionBy("year").parquet(path))
+        rows = complaints(spark, sf_dir, keep_source=True)
+        ST.write_rows(rows.select(
+            "*", F.col("source_id").cast("string").alias("source_key"), F.lit(1).cast("bigint").alias("occurrence"),
+            F.year("created_at").alias("year"), F.lit("all").alias("batch")), path)
         _STORES[key] = path
-    return spark.read.parquet(path).select(*COMPLAINT_COLUMNS, "source_id")
+    return path
+
+
+def complaints_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored complaints of ``complaints_store_path`` (column pruning and filter pushdown apply)."""
+    stored = ST.read_stored(spark, complaints_store_path(spark, sf_dir))
+    return stored.select(*COMPLAINT_COLUMNS, F.col("source_key").cast("bigint").alias("source_id"))
 
 
 def forget_stores() -> None:

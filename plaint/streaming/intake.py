@@ -23,9 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plaint.functions.validate import validate
+from plaint import jobs
 from plaint.operators import store as ST
-from plaint.plans.views import triage_raw
 from plaint.session import materialize
 from plaint.sources import fixtures as FX
 
@@ -41,12 +40,7 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
 
 def _intake_batch(store_path: str, quarantine_path: str):
     def run(batch: DataFrame, batch_id: int) -> None:
-        raw = batch
-        rejects = validate(raw, "raw_text").filter(~F.col("ok")).select(
-            "source_id", "ts", "error_code", "error")
-        ST.write_rejects(rejects, quarantine_path, str(batch_id))
-        accepted = triage_raw(raw, seeded_status=False)
-        ST.append(accepted, store_path, batch=f"stream-{batch_id:09d}")
+        jobs.intake(batch, store_path, quarantine_path, f"stream-{batch_id:09d}")
     return run
 
 

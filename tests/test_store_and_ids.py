@@ -1,6 +1,7 @@
 """Store: yearly IDs, idempotent appends, filters, search, lookup, status log."""
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Window
@@ -122,3 +123,100 @@ def test_lookup_and_window_read_one_year(spark, tmpdir_path):
     assert ST.read(spark, path, since=_at(1, 2023)).count() == 1
     plan = ST.lookup(spark, path, "CMP-2022-001")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+def _files(path):
+    return {str(f) for f in Path(path).rglob("*.parquet") if "_hwm" not in str(f)}
+
+
+KEYED = ("source_id bigint, created_at timestamp_ntz, customer_name string, complaint string, category string, "
+         "priority string, sentiment string, response string")
+
+
+def test_append_gives_every_row_its_own_id(spark, tmpdir_path):
+    """Null and repeated keys, equal rows included: one row in, one ID out; a replay keeps them."""
+    path = f"{tmpdir_path}/store"
+    rows = [(k, _at(day), "", text, "loan", "low", "neutral", "ok") for k, day, text in
+            [(1, 1, "first text"), (1, 1, "other text"), (1, 1, "other text"), (2, 2, "second"), (None, 3, "no key"),
+             (None, 3, "no key"), (None, 4, "no key either"), (7, 1, "first text")]]
+    first = ST.append(spark.createDataFrame(rows, KEYED), path, batch="a").collect()
+    assert sorted(r.complaint_id for r in first) == [f"CMP-2024-{i:03d}" for i in range(1, 9)]
+    assert sorted(r.complaint for r in first) == sorted(r[3] for r in rows)
+    # the batch comes again in another order, with one more row without a key
+    more = [*reversed(rows), (None, _at(1), "", "a new one", "loan", "low", "neutral", "ok")]
+    again = ST.append(spark.createDataFrame(more, KEYED), path, batch="a").collect()
+    assert set(first) < set(again) and len(again) == len(rows) + 1
+    assert [r.complaint_id for r in again if r.complaint == "a new one"] == ["CMP-2024-009"]
+
+
+def test_append_numbers_a_key_that_holds_most_rows(spark, tmpdir_path):
+    rows = spark.range(3000).selectExpr(
+        "if(id % 3 = 0, id, null) as source_id", "timestamp_ntz'2024-05-01 10:00:00' as created_at", "'' as customer_name",
+        "if(id % 3 = 1, 'same text here', concat('text number ', id)) as complaint", "'loan' as category", "'low' as priority",
+        "'neutral' as sentiment", "'ok' as response")
+    got = ST.append(rows, f"{tmpdir_path}/store", batch="a")
+    numbers = sorted(int(r[0][9:]) for r in got.select("complaint_id").collect())
+    assert numbers == list(range(1, 3001))
+
+
+def test_append_evaluates_its_rows_once(spark, tmpdir_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = _rows(spark, [(i % 40, _at(1 + i % 9), "", f"text {i}", "loan", "low") for i in range(50)])
+    ST.append(rows.withColumn("complaint", counted("complaint")), f"{tmpdir_path}/store", batch="a")
+    assert seen.value == 50
+
+
+def test_merge_rewrites_changed_partitions_only(spark, tmpdir_path):
+    path = f"{tmpdir_path}/store"
+    for name, day, year in (("a", 1, 2024), ("b", 2, 2024), ("c", 1, 2022)):
+        _load(spark, path, name, [(i, _at(day + i, year)) for i in range(3)])
+    ids = sorted(r.complaint_id for r in ST.read(spark, path).where(F.year("created_at") == 2024).collect())
+    t = dt.datetime(2024, 6, 1)
+    changes = spark.createDataFrame(
+        [(1, ids[0], t, "Closed"), (2, ids[0], t + dt.timedelta(days=1), "In Progress"), (3, ids[4], t, "Open"),
+         (4, "CMP-2022-777", t, "Closed"), (5, "cmp-2022-001", t, "Closed"), (6, ids[5], t, "Gone"), (7, None, t, "Closed"),
+         (8, "CMP-x", t, "Closed")], ST.CHANGE_SCHEMA)
+    before, want = _files(path), sorted(ST.current(ST.read(spark, path), changes).collect())
+    touched = [tuple(r) for r in ST.merge_status(spark, path, changes).collect()]
+    assert touched == [(2024, "a", 1)]
+    assert sorted(ST.read(spark, path).collect()) == want
+    after = _files(path)
+    assert {f for f in before if "year=2024/batch=a" not in f} == {f for f in after if "year=2024/batch=a" not in f}
+    assert not {f for f in before if "year=2024/batch=a" in f} & after
+    assert ST.merge_status(spark, path, changes).count() == 0 and _files(path) == after
+    # what an append relies on is still there
+    assert _load(spark, path, "d", [(99, _at(9))])[_at(9)] == "CMP-2024-007"
+
+
+def _scanned(df):
+    """Rows that the file scan of ``df`` hands on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_lookup_skips_row_groups_of_other_ids(spark, tmpdir_path, monkeypatch):
+    path = f"{tmpdir_path}/store"
+    monkeypatch.setitem(ST.LAYOUT, "parquet.block.size", str(1 << 16))
+    monkeypatch.setitem(ST.LAYOUT, "parquet.page.size", "4096")
+    rows = spark.range(20_000).selectExpr(
+        "id as source_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) as created_at", "'' as customer_name",
+        "repeat(md5(string(id)), 8) as complaint", "'loan' as category", "'low' as priority", "'neutral' as sentiment", "'ok' as response")
+    ST.append(rows, path, batch="a")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = ST.lookup(spark, path, "cmp-2024-12345")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(year" in plan and "EqualTo(complaint_id,CMP-2024-12345)" in plan
+        assert [r.created_at for r in found.collect()] == [dt.datetime(2024, 1, 9, 13, 44)]
+        assert _scanned(ST.lookup(spark, path, "cmp-2024-12345")) < 2000
+        assert _scanned(ST.lookup(spark, path, "cmp-2024-12345x")) == 0  # inside the bounds of a row group: its bloom filter
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
