@@ -23,10 +23,34 @@ def ask(answer_fn: Callable[[str, str, str], tuple[str, int, int]], step: str, s
         return None, 0, 0, f"{type(exc).__name__}: {str(exc)[:160]}"
 
 
-def score_prompts(prompts: DataFrame, answer_fn: Callable[[str, str, str], tuple[str, int, int]],
-                  key: str = "complaint_id") -> DataFrame:
+def ask_many(answer_fn: Callable, prompts: list[tuple[str, str, str]],
+             batched: bool = False) -> list[tuple[str | None, int, int, str | None]]:
+    """``ask`` for each prompt; with ``batched`` one call takes them all.
+
+    A batched ``answer_fn`` returns an (answer, in_tokens, out_tokens) or an exception for
+    each prompt; if it raises or returns too few, the error goes to every prompt without one.
+    """
+    if not batched:
+        return [ask(answer_fn, *p) for p in prompts]
+
+    def given(result):
+        if isinstance(result, Exception):
+            raise result
+        return result
+
+    try:
+        results = list(answer_fn(prompts))[:len(prompts)]
+    except Exception as exc:
+        results = [exc] * len(prompts)
+    results += [ValueError("no answer returned")] * (len(prompts) - len(results))
+    return [ask(lambda *_, r=r: given(r), *p) for r, p in zip(results, prompts)]
+
+
+def score_prompts(prompts: DataFrame, answer_fn: Callable, key: str = "complaint_id", batched: bool = False) -> DataFrame:
     """Call ``answer_fn(step, system, human) -> (answer, in_tokens, out_tokens)`` per prompt row.
 
+    With ``batched`` it is called once an Arrow batch, as in ``ask_many``.
+
     Returns (complaint_id, step, answer, input_tokens, output_tokens, error); the id keeps
     the type of ``key``, unreported token counts are 0.
     """
@@ -34,17 +58,11 @@ def score_prompts(prompts: DataFrame, answer_fn: Callable[[str, str, str], tuple
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {"complaint_id": [], "step": [], "answer": [], "input_tokens": [], "output_tokens": [],
-                   "error": []}
-            for k, step, system, human in zip(pdf[key], pdf["step"], pdf["system"], pdf["human"]):
-                answer, tin, tout, err = ask(answer_fn, step, system, human)
-                out["complaint_id"].append(k)
-                out["step"].append(step)
-                out["answer"].append(answer)
-                out["input_tokens"].append(tin)
-                out["output_tokens"].append(tout)
-                out["error"].append(err)
-            yield pd.DataFrame(out)
+            answers = ask_many(answer_fn, list(zip(pdf["step"], pdf["system"], pdf["human"])), batched)
+            out = pd.DataFrame(answers, columns=["answer", "input_tokens", "output_tokens", "error"])
+            out.insert(0, "complaint_id", pdf[key].to_numpy())
+            out.insert(1, "step", pdf["step"].to_numpy())
+            yield out
 
     return prompts.select(key, "step", "system", "human").mapInPandas(
         run, f"complaint_id {kind}, step string, answer string, input_tokens bigint, output_tokens bigint, error string")

@@ -54,7 +54,7 @@ def repair_labels(df: DataFrame, text_col: str, raw_category: str = "raw_categor
     return staged.withColumn("format_repairs", repairs).drop("_n_cat", "_n_pri", "_n_sen", "_lt")
 
 
-def triage_with_model(complaints: DataFrame, outputs: DataFrame, key: str = "complaint_id",
+def triage_with_model(complaints: DataFrame, outputs: DataFrame, key: str | list[str] = "complaint_id",
                       text_col: str = "complaint", company: str = D.DEFAULT_COMPANY) -> DataFrame:
     """Join model outputs ``(key, call_ok, raw_category, raw_priority, raw_sentiment, raw_response)``.
 

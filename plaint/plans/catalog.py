@@ -19,6 +19,7 @@ from plaint.functions.respond import build_response, ensure_signature, label_of,
 from plaint.functions.text import clean_text, display_time, mask_cards, preview, ustrip, word_count
 from plaint.functions.validate import validate
 from plaint.operators import analytics as A
+from plaint.operators import calls as CL
 from plaint.operators import evaluate as EV
 from plaint.operators import export as X
 from plaint.operators import prompts as PR
@@ -256,6 +257,32 @@ def q_mode_counts(spark, d):
     return _triage_with_model(spark, d).groupBy("mode").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same from long rows: one for each call of either run, attempts before the last included.
+@query("triage_from_calls", "SELECT run, source_id AS complaint_id, * EXCLUDE (run, source_id) FROM twm",
+       _TWM_SQL.replace("(SELECT * FROM model_runs_raw WHERE provider = 'hosted')", "model_runs_raw")
+       .replace("FROM triaged t LEFT JOIN", "FROM triaged t CROSS JOIN (VALUES ('hosted'), ('local')) p(run) LEFT JOIN")
+       .replace("ON m.source_id = t.source_id", "ON m.source_id = t.source_id AND m.provider = p.run")
+       .replace("SELECT t.source_id,", "SELECT p.run, t.source_id,").replace("  SELECT source_id,", "  SELECT run, source_id,"))
+def q_triage_from_calls(spark, d):
+    outputs = CL.fold_steps(FX.model_calls(spark, d), ("run", "complaint_id"))
+    runs = F.explode(F.array(*[F.lit(p[0]) for p in FX.PROVIDERS]))
+    complaints = V.complaints_triaged(spark, d).select(runs.alias("run"), F.col("source_id").alias("complaint_id"), "complaint")
+    return triage_with_model(complaints, outputs, key=["run", "complaint_id"]).select(
+        "run", "complaint_id", "category", "priority", "sentiment", "response", "mode", "warning", "format_repairs")
+
+
+@query("usage_by_call", """
+SELECT provider AS run, source_id AS complaint_id,
+  CAST(CASE WHEN ok THEN input_tokens ELSE 0 END + CASE WHEN source_id % 11 = 0 THEN 7 ELSE 0 END
+    + CASE WHEN ok AND source_id % 13 = 0 THEN 5 ELSE 0 END AS BIGINT) AS input_tokens,
+  CAST(CASE WHEN ok THEN output_tokens ELSE 0 END + CASE WHEN ok AND source_id % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS output_tokens,
+  CAST(CASE WHEN ok THEN 4 ELSE 1 END + CASE WHEN source_id % 11 = 0 THEN 1 ELSE 0 END
+    + CASE WHEN ok AND source_id % 13 = 0 THEN 1 ELSE 0 END AS BIGINT) AS calls
+FROM model_runs_raw""")
+def q_usage_by_call(spark, d):
+    return EV.usage_per_complaint(FX.model_calls(spark, d), ("run", "complaint_id"))
+
+
 def _stand_in(step: str, system: str, human: str) -> tuple[str, int, int]:
     """Stands in for a model: answers follow from the prompt, some fail and some are unusable."""
     n = len(human)

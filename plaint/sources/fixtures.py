@@ -236,3 +236,28 @@ def model_runs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return out.join(rep, "reply_id").drop("reply_id")
 
+
+
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of ``model_runs_raw`` as one row for each call: (run, complaint_id, step, attempt, answer, tokens, error).
+
+    A run that failed has one failed category call.  Every eleventh complaint has an earlier
+    category attempt that failed, every thirteenth an earlier priority attempt with another answer.
+    """
+    r = model_runs_raw(spark, sf_dir)
+    sid, ok = F.col("source_id"), F.col("ok")
+
+    def call(step, attempt, answer, error, tin, tout):
+        return F.struct(F.lit(step).alias("step"), F.lit(attempt).alias("attempt"), answer.alias("answer"),
+                        tin.cast("bigint").alias("input_tokens"), tout.cast("bigint").alias("output_tokens"), error.alias("error"))
+
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    steps = ["category", "priority", "sentiment", "response"]
+    calls = [
+        F.when(ok, call(s, 2, F.col(f"raw_{s}"), none, F.floor(F.col("input_tokens") / 4) + (F.col("input_tokens") % 4 if s == "category" else 0),
+                        F.col("output_tokens") if s == "response" else zero)) for s in steps]
+    calls += [
+        F.when(~ok, call("category", 2, none, F.concat_ws(": ", "error_type", "error_message"), zero, zero)),
+        F.when(sid % 11 == 0, call("category", 1, none, F.lit("TimeoutError: late"), F.lit(7), zero)),
+        F.when(ok & (sid % 13 == 0), call("priority", 1, F.lit("low"), none, F.lit(5), F.lit(1)))]
+    return r.select(F.col("provider").alias("run"), sid.alias("complaint_id"), F.inline(F.filter(F.array(*calls), lambda c: c.isNotNull())))
