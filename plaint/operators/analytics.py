@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaint import domains as D
@@ -81,31 +81,38 @@ def status_counts(df: DataFrame) -> DataFrame:
 
 
 def all_distributions(df: DataFrame) -> DataFrame:
-    """C2-C5 from one scan: a conditional count per (domain, code), then unpivoted.
+    """C2-C5 from one scan: (domain, ord, code, label, n) by grouping sets over the four labels.
 
-    (domain, ord, code, label, n) — 14 rows.
+    Every domain value has a row, 0 when absent.  A label outside its domain, null included,
+    is a row of its own with a null ord, its code as label, and its count, so the counts of a
+    domain always add up to the complaints.
     """
-    rows = D.domain_rows()
-    agg = df.agg(*[F.count_if(F.col(d) == c).alias(f"{d}__{o}") for d, o, c, _ in rows])
-    stacked = F.inline(F.array(*[
-        F.struct(F.lit(d).alias("domain"), F.lit(o).alias("ord"), F.lit(c).alias("code"),
-                 F.lit(lbl).alias("label"), F.col(f"{d}__{o}").alias("n"))
-        for d, o, c, lbl in rows]))
-    return agg.select(stacked)
+    names = ["category", "priority", "sentiment", "status"]
+    sets = df.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names])
+    counts = sets.agg(F.count(F.lit(1)).alias("_n"), *[F.grouping(n).alias(f"_not_{n}") for n in names])
+    domain = F.coalesce(*[F.when(F.col(f"_not_{n}") == 0, F.lit(n)) for n in names])
+    counts = counts.select(domain.alias("_domain"), F.coalesce(*names).alias("_code"), "_n")
+    known = tables.domains(df.sparkSession)
+    both = known.join(counts, (F.col("domain") == F.col("_domain")) & (F.col("code") == F.col("_code")), "full")
+    return both.select(F.coalesce("domain", "_domain").alias("domain"), "ord", F.coalesce("code", "_code").alias("code"),
+                       F.coalesce("label", "_code").alias("label"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"))
 
 
 # ------------------------------------------------------------------------------ C6, J2
 def daily_trend(df: DataFrame) -> DataFrame:
     """(day, complaints): per-day counts, gap-filled from the first to the last day.
 
-    Per-day counts (partial aggregation) joined to the calendar between their bounds, so
-    no task holds more than its share of the days however far apart they lie.
+    Days are counted once (partial aggregation); each counted day then brings the empty days
+    up to the next counted one.  The window that finds it is over one row a day of the
+    calendar, which does not grow with the complaints.
     """
-    counts = df.groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo IS NOT NULL")
-    days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    return days.join(counts, "day", "left").select(
-        "day", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("complaints"))
+    counts = df.where(F.col("created_at").isNotNull()).groupBy(F.to_date("created_at").alias("day")).agg(
+        F.count(F.lit(1)).alias("complaints"))
+    following = F.lead("day").over(Window.orderBy("day"))
+    runs = counts.select("day", "complaints", F.coalesce(F.date_sub(following, 1), "day").alias("_last"))
+    days = F.sequence("day", "_last", F.expr("INTERVAL 1 DAY"))
+    return runs.select(F.posexplode(days).alias("_i", "_day"), "complaints").select(
+        F.col("_day").alias("day"), F.when(F.col("_i") == 0, F.col("complaints")).otherwise(0).cast("bigint").alias("complaints"))
 
 
 # ------------------------------------------------------------------------------ C7

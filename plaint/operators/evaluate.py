@@ -20,7 +20,7 @@ from plaint.operators.triage import repair_labels
 from plaint.session import materialize
 
 PROMISE_REGEX = "(?i)" + NOT_WORD_BEFORE + D.PROMISE_PATTERN[2:-2] + NOT_WORD_AFTER
-_SECRET_VERBS, _SECRET_THINGS = (p.strip("\\b") for p in D.SECRET_PATTERN.split(r"\b[^.\n]{0,40}\b"))
+_SECRET_VERBS, _SECRET_THINGS = (p.removeprefix("\\b").removesuffix("\\b") for p in D.SECRET_PATTERN.split(r"\b[^.\n]{0,40}\b"))
 SECRET_REGEX = ("(?i)" + NOT_WORD_BEFORE + _SECRET_VERBS + NOT_WORD_AFTER + r"[^.\n]{0,40}"
                 + NOT_WORD_BEFORE + _SECRET_THINGS + NOT_WORD_AFTER)
 PLACEHOLDERS = ["text", "company", "cat", "priority", "sentiment"]
@@ -222,8 +222,20 @@ def provider_summary(records: DataFrame, stored: bool = False) -> DataFrame:
     return provider_metrics(records, stored).select(*SUMMARY_COLUMNS)
 
 
-def fraud_marked_high(records: DataFrame) -> DataFrame:
-    """Fraud complaints (by gold) that the back-end marked high, and how many exist."""
+def fraud_marked_high(records: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """Fraud complaints (by gold) that the back-end marked high, and how many exist.
+
+    Gold labels come from a table keyed by complaint_id (of any size; repeated keys are
+    harmless): a semi join keeps the records of its fraud complaints.  Records that carry
+    their own gold labels need none.
+    """
+    if gold is not None:
+        frauds = gold.where(F.col("g_category") == "fraud").select("complaint_id")
+        kept = records.join(frauds, "complaint_id", "left_semi").groupBy("provider").agg(
+            F.count_if(_ok() & (F.col("priority") == "high")).alias("_high"), F.count(F.lit(1)).alias("_total"))
+        none = F.lit(0).cast("bigint")
+        return records.select("provider").distinct().join(kept, "provider", "left").select(
+            "provider", F.coalesce("_high", none).alias("fraud_high"), F.coalesce("_total", none).alias("fraud_total"))
     fraud = F.col("g_category") == "fraud"
     return records.groupBy("provider").agg(
         F.count_if(_ok() & fraud & (F.col("priority") == "high")).alias("fraud_high"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plaint.sources.tolerant import Parsed, read_lines
+
 FORMULA_LEADS = ["=", "+", "-", "@"]
 
 
@@ -58,6 +60,11 @@ def write_results(records: DataFrame, path: str) -> None:
     records.select(*[f.name for f in RESULT_LINE_SCHEMA.fields]).write.mode("overwrite").json(path)
 
 
+def read_results_checked(spark: SparkSession, path: str) -> Parsed:
+    """``read_results`` of lines that may be broken: the records, and the rejected lines with a reason."""
+    return read_lines(spark, path, RESULT_LINE_SCHEMA, required=("key", "complaint_id"))
+
+
 def read_results(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
     """JSON source with an explicit schema; a missing path gives an empty result."""
     try:

@@ -7,14 +7,17 @@ differs between them; everything else is compared exactly.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaint import domains as D
 from plaint.functions import rules
+from plaint.functions import sql as SF
 from plaint.functions.respond import build_response, ensure_signature, label_of, normalize_label
 from plaint.functions.text import clean_text, display_time, mask_cards, preview, ustrip, word_count
 from plaint.functions.validate import validate
@@ -23,6 +26,7 @@ from plaint.operators import calls as CL
 from plaint.operators import evaluate as EV
 from plaint.operators import export as X
 from plaint.operators import prompts as PR
+from plaint.operators import search_index as SX
 from plaint.operators import store as ST
 from plaint.operators.model_pipeline import model_triage
 from plaint.operators.triage import triage_with_model
@@ -31,6 +35,7 @@ from plaint.plans import views as V
 from plaint.session import checkpoint_dir
 from plaint.sources import fixtures as FX
 from plaint.sources.tables import spread, table
+from plaint.sources.tolerant import read_complaints
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -78,6 +83,19 @@ def q_mask_cards_other_digits(spark, d):
     return _docs(spark, d).select("doc_id", mask_cards(_other_digits(F.col("text"))).alias("masked"))
 
 
+@query("sql_functions", f"""
+SELECT doc_id, {O.clean('text')} AS cleaned, {O.mask('text')} AS masked, {O.amount('text')} AS amount,
+  {O.category('lower(text)')} AS category, {O.sentiment('lower(text)')} AS sentiment,
+  {O.priority(O.category('lower(text)'), 'lower(text)', O.amount('text'))} AS priority FROM documents""")
+def q_sql_functions(spark, d):
+    SF.register(spark)
+    return spark.sql("""
+        SELECT doc_id, complaint_clean(text) AS cleaned, complaint_mask(text) AS masked, complaint_amount(text) AS amount,
+          complaint_category(text) AS category, complaint_sentiment(text) AS sentiment,
+          complaint_priority(complaint_category(text), text) AS priority
+        FROM {documents}""", documents=_docs(spark, d))
+
+
 @query("clean_text", f"SELECT doc_id, {O.clean('text')} AS cleaned FROM documents")
 def q_clean_text(spark, d):
     return _docs(spark, d).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
@@ -562,6 +580,21 @@ for _name, _kw in FILTERS.items():
         return fn
     query(_name, _filter_sql(**_kw))(_mkf(_kw))
 
+# Terms of all kinds: in texts, names and IDs, with wildcards, too short for the index, without a hit.
+SEARCH_TERMS = ["  emi ", "hacked", "user 1", "CMP-2024-00", "refund", "r%fund", "charged tw_ce", "₹", "no such text"]
+
+
+@query("search_by_index", " UNION ALL ".join(
+    f"SELECT {O.lit(t)} AS term, complaint_id, created_at FROM complaints WHERE complaint_id ILIKE {O.lit('%' + t.strip() + '%')} "
+    f"OR complaint ILIKE {O.lit('%' + t.strip() + '%')} OR customer_name ILIKE {O.lit('%' + t.strip() + '%')}" for t in SEARCH_TERMS))
+def q_search_by_index(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/indexed-{uuid.uuid4().hex}"
+    ST.write_rows(ST.read_stored(spark, V.complaints_store_path(spark, d)), path)
+    SX.index_batch(spark, path, "all")
+    parts = [SX.search(spark, path, t).select(F.lit(t).alias("term"), "complaint_id", "created_at") for t in SEARCH_TERMS]
+    return reduce(DataFrame.union, parts)
+
+
 TRACK_ID = " cmp-2024-007 "
 
 
@@ -799,7 +832,7 @@ def q_eval_provider_summary(spark, d):
                             "BIGINT) AS fraud_high, CAST(count_if(g_category = 'fraud') AS BIGINT) AS fraud_total "
                             "FROM records GROUP BY provider")
 def q_fraud_marked_high(spark, d):
-    return EV.fraud_marked_high(_records(spark, d))
+    return EV.fraud_marked_high(_records(spark, d).drop("g_category"), _gold(spark, d))
 
 
 _COST = (f"(avg_input_tokens * {O.dbl(D.PRICE_IN_PER_M)} + avg_output_tokens * {O.dbl(D.PRICE_OUT_PER_M)}) "
@@ -972,6 +1005,33 @@ def q_results_json_roundtrip(spark, d):
     return _flat(back)
 
 
+# Complaints as JSON lines, some cut short, some with a time that is none or without one.
+def _broken_lines(spark, d) -> str:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    sid = F.col("source_id")
+    ts = F.date_format("ts", ST.CREATED_FORMAT)
+    ts = F.when(sid % 19 == 4, F.concat(F.lit("on "), ts)).when(sid % 29 == 5, F.lit("2024-13-01 10:00:00")).when(sid % 23 != 6, ts)
+    line = F.to_json(F.struct("source_id", ts.alias("ts"), "customer_name", "raw_text"))
+    line = F.when(sid % 17 == 3, F.substring(line, 1, 20)).otherwise(line)
+    FX.complaints_raw(spark, d).select(line.alias("value")).write.text(path)
+    return path
+
+
+_BROKEN = """(SELECT source_id, customer_name, raw_text, CASE WHEN source_id % 17 = 3 THEN 'malformed'
+  WHEN source_id % 19 = 4 OR source_id % 29 = 5 THEN 'bad time: ts' WHEN source_id % 23 = 6 THEN 'missing: ts' END AS reason,
+  date_trunc('second', ts) AS ts FROM complaints_raw)"""
+
+
+@query("tolerant_rows", f"SELECT source_id, CAST(ts AS TIMESTAMP) AS ts, customer_name, raw_text FROM {_BROKEN} WHERE reason IS NULL")
+def q_tolerant_rows(spark, d):
+    return read_complaints(spark, _broken_lines(spark, d)).rows
+
+
+@query("tolerant_rejects", f"SELECT reason, CAST(count(*) AS BIGINT) AS n FROM {_BROKEN} WHERE reason IS NOT NULL GROUP BY reason")
+def q_tolerant_rejects(spark, d):
+    return read_complaints(spark, _broken_lines(spark, d)).rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ===================================================================== streaming
 def _scratch(spark) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -1007,10 +1067,43 @@ GROUP BY ws, category""")
 def q_stream_rolling_week(spark, d):
     from plaint.streaming import intake as S
     base = _scratch(spark)
-    agg = S.rolling_category_counts(V.triage_raw(S.raw_complaint_stream(spark, d)))
-    q = S.start_windows(agg, f"{base}/out", f"{base}/ckpt")
+    panes = S.daily_category_counts(V.triage_raw(S.raw_complaint_stream(spark, d)))
+    q = S.start_windows(panes, f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return S.rolling_from_panes(S.current_windows(spark, f"{base}/out", "n"))
+
+
+@query("stream_late_rows", """
+SELECT day, CAST(count_if(NOT late) AS BIGINT) AS complaints, CAST(count_if(late) AS BIGINT) AS late
+FROM (SELECT CAST(created_at AS DATE) AS day,
+        created_at < TIMESTAMP '2024-01-20' AND CAST(created_at AS DATE) + INTERVAL 1 DAY <= w AS late
+      FROM triaged, (SELECT max(created_at) - INTERVAL 1 DAY AS w FROM triaged WHERE created_at >= TIMESTAMP '2024-01-20'))
+GROUP BY day""")
+def q_stream_late_rows(spark, d):
+    """The days after the 20th arrive first; most of what follows is too late by then."""
+    from plaint.streaming import intake as S
+    base = _scratch(spark)
+    rows = V.triage_raw(FX.complaints_raw(spark, d)).select("source_id", "created_at")
+    for i, part in enumerate(("created_at >= timestamp_ntz'2024-01-20'", "created_at < timestamp_ntz'2024-01-20'")):
+        rows.where(part).coalesce(1).write.parquet(f"{base}/in/part={i}")
+        time.sleep(1.1)  # the file source takes older files first
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(f"{base}/in"))
+    q = S.start_checked_daily_counts(stream, f"{base}/out", f"{base}/late", f"{base}/ckpt")
     q.awaitTermination()
-    return S.current_windows(spark, f"{base}/out", "n").select("window_start", "window_end", "category", "n")
+    late = spark.read.parquet(f"{base}/late").groupBy(F.to_date("created_at").alias("day")).agg(F.count(F.lit(1)).alias("late"))
+    none = F.lit(0).cast("bigint")
+    return S.checked_daily_counts(spark, f"{base}/out").join(late, "day", "full").select(
+        "day", F.coalesce("complaints", none).alias("complaints"), F.coalesce("late", none).alias("late"))
+
+
+@query("stream_ending_status", "SELECT complaint_id, status, changed_at FROM latest_status")
+def q_stream_ending_status(spark, d):
+    from plaint.streaming import intake as S
+    base = _scratch(spark)
+    q = S.start_ending_status_fold(FX.changes_from_events(S.events_stream(spark, d)), f"{base}/state", f"{base}/ckpt", 86_400_000)
+    q.awaitTermination()
+    return S.latest_status_table(spark, f"{base}/state")
 
 
 @query("stream_latest_status", "SELECT complaint_id, status, changed_at FROM latest_status")

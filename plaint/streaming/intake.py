@@ -19,9 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from plaint import jobs
 from plaint.operators import store as ST
@@ -88,6 +90,78 @@ def rolling_category_counts(triaged: DataFrame, watermark: str = "1 day") -> Dat
                     "category", "n"))
 
 
+def daily_category_counts(triaged: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """One-day panes: complaints per day and category (R3's first step).
+
+    A row goes into one pane, so what is shuffled and kept in state does not depend on the
+    length of the windows that are made of the panes.
+    """
+    t = _event_time(triaged).withWatermark("event_time", watermark)
+    return (t.groupBy(F.window("event_time", "1 day").alias("w"), "category").agg(F.count(F.lit(1)).alias("n"))
+            .select(_as_ntz(F.col("w.start")).alias("pane"), "category", "n"))
+
+
+def rolling_from_panes(panes: DataFrame, days: int = 7) -> DataFrame:
+    """(window_start, window_end, category, n) over ``days``-day windows advancing daily, as sums of panes."""
+    start = F.explode(F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.timestamp_add("DAY", -i, F.col("pane"))))
+    return (panes.select(start.alias("window_start"), "category", "n").groupBy("window_start", "category").agg(F.sum("n").alias("n"))
+            .select("window_start", F.timestamp_add("DAY", F.lit(days), F.col("window_start")).alias("window_end"), "category", "n"))
+
+
+def rolling_panes_stream(triaged: DataFrame, watermark: str = "1 day", days: int = 7) -> DataFrame:
+    """R3 as chained stateful windows, for append mode: one-day panes, then ``days`` of them summed.
+
+    Each window is given once, when the watermark has passed it.
+    """
+    t = _event_time(triaged).withWatermark("event_time", watermark)
+    panes = t.groupBy(F.window("event_time", "1 day").alias("pane"), "category").agg(F.count(F.lit(1)).alias("_n"))
+    rolled = panes.groupBy(F.window(F.window_time("pane"), f"{days} days", "1 day").alias("w"), "category").agg(F.sum("_n").alias("n"))
+    return rolled.select(_as_ntz(F.col("w.start")).alias("window_start"), _as_ntz(F.col("w.end")).alias("window_end"), "category", "n")
+
+
+def start_checked_daily_counts(rows: DataFrame, path: str, late_path: str, checkpoint: str, watermark: str = "INTERVAL 1 DAY",
+                               available_now: bool = True) -> StreamingQuery:
+    """R2 that loses nothing: day counts, and the rows that came too late for them kept aside.
+
+    A batch's watermark is the newest ``created_at`` of all batches before it less
+    ``watermark``; a row whose day had ended by then is late: it goes to ``late_path``
+    with its batch and is not counted.  Each batch writes its counts, its marks and its late
+    rows as partitions of its own, so a replay replaces them and no state is held; read them
+    with ``checked_daily_counts`` and ``late_marks``.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kept = materialize(batch)
+        passed = late_marks(spark, path).where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+        limit = F.lit(passed.isoformat(sep=" ") if passed else None).cast("timestamp_ntz") - F.expr(watermark)
+        day = F.to_date("created_at")
+        late = F.coalesce(F.date_add(day, 1).cast("timestamp_ntz") <= limit, F.lit(False))
+        _write_delta(late_path)(kept.where(late), batch_id)
+        _write_delta(f"{path}/days")(kept.where(~late).groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("complaints")), batch_id)
+        _write_delta(f"{path}/marks")(kept.agg(F.max("created_at").alias("newest"), F.count(F.lit(1)).alias("n"),
+                                               F.count_if(late).alias("late")), batch_id)
+
+    writer = rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def late_marks(spark: SparkSession, path: str) -> DataFrame:
+    """(newest, n, late, batch) of each batch of ``start_checked_daily_counts``."""
+    try:
+        return spark.read.schema("newest timestamp_ntz, n bigint, late bigint, batch bigint").parquet(f"{path}/marks")
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return spark.createDataFrame([], "newest timestamp_ntz, n bigint, late bigint, batch bigint")
+        raise
+
+
+def checked_daily_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(day, complaints) over all batches of ``start_checked_daily_counts``."""
+    days = spark.read.schema("day date, complaints bigint, batch bigint").parquet(f"{path}/days")
+    return days.groupBy("day").agg(F.sum("complaints").alias("complaints"))
+
+
 def _latest() -> Column:
     return F.max_by(F.struct("status", "changed_at", "change_id"), F.struct("changed_at", "change_id"))
 
@@ -118,6 +192,49 @@ def start_status_fold(changes_stream: DataFrame, state_path: str, checkpoint: st
     return writer.start()
 
 
+STATUS = "complaint_id string, status string, changed_at timestamp_ntz, change_id bigint"
+
+
+def start_ending_status_fold(changes_stream: DataFrame, state_path: str, checkpoint: str, closed_for_ms: int,
+                             available_now: bool = True) -> StreamingQuery:
+    """R4 whose state ends: a complaint that is Closed and had no change for ``closed_for_ms`` leaves the state.
+
+    Keyed state holds the last change of each complaint; a batch writes the complaints whose
+    last change it moved.  Time is that of arrival, so no change is ever too late; state ends
+    when later batches have moved the watermark far enough.  A change that comes after its complaint's state has ended starts a
+    new one and is written; readers fold it with the deltas before it (``latest_status_table``),
+    so results do not depend on when state ended.
+    """
+    def fold(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        moved, arrived = False, 0
+        for frame in frames:
+            arrived = max(arrived, int(frame["arrived_ms"].max()))
+            for row in frame[["status", "changed_at", "change_id"]].itertuples(index=False):
+                row = (row.status, row.changed_at.to_pydatetime(), int(row.change_id))
+                if last is None or row[1:] > tuple(last)[1:]:
+                    last, moved = row, True
+        state.update(tuple(last))
+        if last[0] == "Closed":
+            state.setTimeoutTimestamp(max(arrived, state.getCurrentWatermarkMs()) + closed_for_ms)
+        if moved:
+            yield pd.DataFrame([(key[0], *last)], columns=["complaint_id", "status", "changed_at", "change_id"])
+
+    valid = ST.valid_changes(changes_stream).select(
+        "complaint_id", F.col("new_status").alias("status"), "changed_at", "change_id").where(
+        "complaint_id is not null and changed_at is not null and change_id is not null")
+    timed = valid.withColumn("arrived", F.current_timestamp()).withColumn("arrived_ms", F.unix_millis("arrived"))
+    folded = timed.withWatermark("arrived", "0 seconds").groupBy("complaint_id").applyInPandasWithState(
+        fold, STATUS, STATUS.partition(", ")[2], "update", GroupStateTimeout.EventTimeTimeout)
+    writer = (folded.writeStream.outputMode("update").foreachBatch(_write_delta(state_path))
+              .option("checkpointLocation", checkpoint))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
 def latest_status_table(spark: SparkSession, state_path: str) -> DataFrame:
     """(complaint_id, status, changed_at): the per-batch deltas folded with the same max_by."""
     try:

@@ -63,3 +63,26 @@ def test_properties_on_fixture(spark):
     wow = {r.category: (r.last_7, r.prev_7) for r in A.week_over_week_counts(t, FX.as_of()).collect()}
     assert wow == {"billing": (543, 521), "app_issue": (604, 632), "loan": (532, 532), "fraud": (422, 429)}
     t.unpersist()
+
+
+def test_distributions_show_labels_outside_their_domain(spark):
+    rows = [("fraud", "high", "angry", "Open"), ("fraud", "urgent", "angry", None), ("crypto", "high", "calm", "Closed"), ("crypto", "low", None, "Open")]
+    df = spark.createDataFrame(rows, "category string, priority string, sentiment string, status string")
+    got = {(r.domain, r.code): (r.ord, r.label, r.n) for r in A.all_distributions(df).collect()}
+    assert got["category", "fraud"][1:] == ("Fraud", 2)
+    assert got["category", "crypto"] == (None, "crypto", 2) and got["category", "billing"][2] == 0
+    assert got["priority", "urgent"] == (None, "urgent", 1) and got["status", None] == (None, None, 1) and got["sentiment", "calm"][2] == 1
+    totals = {}
+    for (domain, _), (_, _, n) in got.items():
+        totals[domain] = totals.get(domain, 0) + n
+    assert totals == dict.fromkeys(("category", "priority", "sentiment", "status"), 4)
+    empty = A.all_distributions(df.limit(0)).collect()
+    assert len(empty) == 14 and {r.n for r in empty} == {0}
+
+
+def test_daily_trend_fills_gaps(spark):
+    rows = [("2024-01-01 10:00:00",), ("2024-01-01 11:00:00",), ("2024-01-05 00:00:00",), ("2024-03-01 00:00:00",), (None,)]
+    df = spark.createDataFrame(rows, "t string").selectExpr("cast(t as timestamp_ntz) as created_at")
+    got = {str(r.day): r.complaints for r in A.daily_trend(df).collect()}
+    assert len(got) == 61 and got["2024-01-01"] == 2 and got["2024-01-02"] == 0 and got["2024-01-05"] == 1 and got["2024-03-01"] == 1
+    assert A.daily_trend(df.limit(0)).count() == 0

@@ -41,3 +41,13 @@ def test_one_scan_for_all_distributions_and_week_windows(spark):
     for name in ("all_distributions", "week_over_week_counts", "stats_text", "insights"):
         plan = _plan(REGISTRY[name][0](spark, SF001))
         assert plan.count("FileScan parquet") == 1, name
+
+
+def test_gold_join_is_a_semi_join(spark):
+    from plaint.operators import evaluate as EV
+    runs = spark.createDataFrame([("a", 1, True, "high"), ("a", 2, True, "low"), ("a", 3, False, "high"), ("b", 9, True, "high")],
+                                 "provider string, complaint_id long, ok boolean, priority string")
+    gold = spark.createDataFrame([(1, "fraud"), (1, "fraud"), (2, "fraud"), (3, "fraud"), (9, "loan"), (None, "fraud")], "complaint_id long, g_category string")
+    out = EV.fraud_marked_high(runs, gold)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 3), ("b", 0, 0)]
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -121,3 +121,65 @@ def test_compacted_deltas_keep_the_latest_status(spark, tmpdir_path):
         assert {r.batch for r in spark.read.parquet(path).select("batch").distinct().collect()} == {1, 2}
     write(2, [("B", "Open", "2024-01-04 00:00:00", 7)])  # the newest batch is written again
     assert state() == {"A": "Closed", "B": "Open", "C": "Open"}
+
+
+def _parts(spark, src, batches, schema, build):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).selectExpr(*build).coalesce(1).write.parquet(f"{src}/part={i}")
+        time.sleep(1.1)  # the file source takes older files first
+    return (spark.readStream.schema(spark.read.parquet(f"{src}/part=0").schema).option("maxFilesPerTrigger", 1)
+            .option("recursiveFileLookup", "true").parquet(src))
+
+
+TIMES = [["2024-01-02 10:00:00", "2024-01-09 08:00:00", "2024-01-10 12:00:00"],
+         ["2024-01-09 23:00:00", "2024-01-08 22:00:00", "2024-01-08 21:00:00"],  # the first is in time, its day ends after the watermark
+         ["2024-01-11 00:00:00", "2024-01-02 11:00:00"]]
+
+
+def test_late_rows_are_counted_and_kept_aside(spark, tmpdir_path):
+    stream = _parts(spark, f"{tmpdir_path}/in", [[(t,) for t in b] for b in TIMES], "t string", ["cast(t as timestamp_ntz) as created_at"])
+    args = f"{tmpdir_path}/out", f"{tmpdir_path}/late", f"{tmpdir_path}/ckpt5"
+    S.start_checked_daily_counts(stream, *args).awaitTermination(200)
+    got = {r.day.day: r.complaints for r in S.checked_daily_counts(spark, args[0]).collect()}
+    assert got == {2: 1, 9: 2, 10: 1, 11: 1}
+    assert sorted((r.batch, r.n, r.late) for r in S.late_marks(spark, args[0]).collect()) == [(0, 3, 0), (1, 3, 2), (2, 2, 1)]
+    late = spark.read.parquet(args[1])
+    assert sorted((r.batch, str(r.created_at)) for r in late.collect()) == [
+        (1, "2024-01-08 21:00:00"), (1, "2024-01-08 22:00:00"), (2, "2024-01-02 11:00:00")]
+
+
+def test_chained_panes_equal_sliding_windows(spark, tmpdir_path):
+    """Windows that the watermark has passed, from panes chained in the stream and from stored panes."""
+    rows = [[(f"2024-01-{d:02d} {h:02d}:30:00", c) for d in days for h, c in ((1, "loan"), (20, "fraud"), (21, "loan"))]
+            for days in (range(1, 9), range(9, 20), [31])]
+    stream = _parts(spark, f"{tmpdir_path}/in", rows, "t string, category string", ["cast(t as timestamp_ntz) as created_at", "category"])
+    chained = {tuple(r) for r in _memory(S.rolling_panes_stream(stream), "chained_t", "append").collect()}
+    batch = spark.read.option("recursiveFileLookup", "true").parquet(f"{tmpdir_path}/in")
+    want = {tuple(r) for r in S.rolling_category_counts(batch).collect()}
+    assert chained and chained <= want
+    assert {r for r in want if r[1] <= dt.datetime(2024, 1, 19)} <= chained
+    S.start_windows(S.daily_category_counts(stream), f"{tmpdir_path}/panes", f"{tmpdir_path}/ckpt6").awaitTermination(200)
+    panes = S.current_windows(spark, f"{tmpdir_path}/panes", "n")
+    assert {tuple(r) for r in S.rolling_from_panes(panes).collect()} == want
+    assert panes.count() == 20 * 2
+
+
+def test_state_of_long_closed_complaints_ends(spark, tmpdir_path):
+    src, args = f"{tmpdir_path}/in", (f"{tmpdir_path}/state", f"{tmpdir_path}/ckpt7", 1500)
+    build = ["c as complaint_id", "s as new_status", "cast(t as timestamp_ntz) as changed_at", "i as change_id"]
+    schema = "c string, s string, t string, i long"
+
+    def run(i, rows):
+        spark.createDataFrame(rows, schema).selectExpr(*build).coalesce(1).write.parquet(f"{src}/part={i}")
+        stream = (spark.readStream.schema(spark.read.parquet(f"{src}/part=0").schema).option("recursiveFileLookup", "true").parquet(src))
+        q = S.start_ending_status_fold(stream, *args)
+        q.awaitTermination(200)
+        time.sleep(2)
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+
+    sizes = [run(0, [(f"C{i}", "Closed", "2024-01-01 10:00:00", i) for i in range(20)] + [("A", "Open", "2024-01-01 10:00:00", 50)])]
+    sizes.append(run(1, [("A", "In Progress", "2024-01-02 10:00:00", 51), ("C1", "Open", "2024-01-05 10:00:00", 52)]))
+    sizes.append(run(2, [("C2", "Open", "2023-01-01 10:00:00", 53), ("A", "Nonsense", "2024-02-02 10:00:00", 54)]))  # older than what has ended
+    assert sizes[0] == 21 and sizes[-1] <= 4
+    changes = spark.read.option("recursiveFileLookup", "true").parquet(src)
+    assert sorted(S.latest_status_table(spark, args[0]).collect()) == sorted(ST.latest_status(changes).collect())
