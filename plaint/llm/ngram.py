@@ -1,18 +1,25 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
-Training counts every token and every pair of neighbouring tokens of all training rows.
-A count c is quantised to the level 1 + floor(log2 c), and an n-gram enters the filter
-once for each level up to its own; a reader probes level after level until one is absent.
-The filter is made of segments, one for each hash shard, and a segment is sized from the
-entries counted in its shard, so no n-gram is dropped.  A filter within its broadcast bound
-goes to the workers; beyond it the segments stay in the shards, and probes are sent to them.
-Token counts for the base score are exact and never leave the shards, except for the tokens
-so frequent that at most ``HOT`` of them can exist; so it is with probes of frequent pairs.
+The pairs of neighbouring tokens of all training rows are counted.  A count c is quantised to
+the level 1 + floor(log2 c), and a pair enters the filter once for each level up to its own; a
+reader probes level after level until one is absent, and takes 2**(level - 1), at most c.  The
+filter is made of segments, one for each hash shard, sized from the entries counted there, so
+no pair is dropped.
+
+The texts become blocks: distinct token hashes and the places of each.  Every block sends its
+distinct tokens and pairs, each once, with its training counts, to their shards; a shard adds
+them up, makes its segment, and answers each block with the tokens' exact counts and with the
+levels that the segment gives the pairs.  A filter within its broadcast bound goes to the
+workers instead, and blocks probe it themselves: the same segments, the same levels.
+
+A token's probability after another is (q + PRIOR * p) / (c + PRIOR): q the pair's quantised
+count, c the context's exact one, p the add-0.1 probability of the token alone.  Over all tokens
+they add up to at most 1, but for what the filter takes for present by mistake; what is missing
+is what quantisation rounds off.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -26,18 +33,16 @@ from plaint.session import materialize
 
 #: Text bytes for each hash shard, and the fewest shards.
 SHARD_BYTES, LEAST_SHARDS = 2 << 20, 64
-#: Tokens that make up at least 1 / HOT of all are counted in memory; there are at most HOT.
-HOT = 1 << 18
-#: A pair is frequent for a shard that holds it if it makes up at least 1 / SHARD_HOT of the shard.
-SHARD_HOT = 4096
-#: Bits up to which the filter of tokens, and that of pairs, is broadcast (and has at least);
-#: bits for each entry; probes of an entry.
-TOKEN_BITS, PAIR_BITS, ENTRY_BITS, PROBES = 1 << 26, 1 << 28, 10, 6
+#: Bits up to which the filter is broadcast (and that it has at least); bits for each entry; probes of an entry.
+PAIR_BITS, ENTRY_BITS, PROBES = 1 << 28, 10, 6
 #: Weight, in pairs, of the token distribution when it smooths the pair distribution.
 PRIOR = 200.0
 END, START = constants(2, 5)
-#: Tokens that are counted together before they are sent to the shards.
+#: Tokens of a block.
 BLOCK_TOKENS = 2_000_000
+TOKEN, PAIR = 1, 2
+#: Low bytes of a hash that are sent; its upper bits name the shard.
+_WIDTH = {TOKEN: 7, PAIR: 5}
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -73,48 +78,6 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _sliced(kind: int, keys: np.ndarray, counts: np.ndarray, width: int, shards: int) -> pa.RecordBatch:
-    shard = shard_of(keys, shards)
-    cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(keys))
-    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    counts = counts.astype("<u4")
-    return pa.record_batch(
-        [pa.array(np.full(len(cut) - 1, kind, np.int32)), pa.array(shard[cut[:-1]]),
-         pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-         pa.array([counts[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-        names=["kind", "shard", "keys", "counts"])
-
-
-_COUNTS = "kind int, shard long, keys binary, counts binary"
-#: Bytes of a hash that are kept: tokens whole, pairs without the bits that only name the shard.
-_WIDTH = {1: 8, 2: 7}
-
-
-def _count(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[np.ndarray]] = {1: [], 2: []}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        for kind, parts in held.items():
-            if parts:
-                yield _sliced(kind, *_counted(np.concatenate(parts)), _WIDTH[kind], shards)
-                parts.clear()
-
-    for batch in batches:
-        for h, bounds in _tokens(batch.column(0)):
-            held[1].append(h)
-            held[2].append(_pairs(h, bounds))
-            if sum(map(len, held[1])) >= BLOCK_TOKENS:
-                yield from out()
-    yield from out()
-
-
-def _keys(blobs: list[bytes], width: int) -> np.ndarray:
-    low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
-    full = np.zeros((len(low), 8), np.uint8)
-    full[:, :width] = low
-    return full.view("<u8").ravel().astype(U64)
-
-
 def levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
 
@@ -139,42 +102,6 @@ def segment(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     return np.packbits(field, bitorder="little").tobytes()
 
 
-def _named(keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """One key of the bits of a pair that are kept and of its shard."""
-    return splitmix((keys & U64((1 << 8 * _WIDTH[2]) - 1)) + splitmix(shard.astype(U64) + U64(1)))
-
-
-def _merge(batches: Iterator[pa.RecordBatch], least: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Adds up each (kind, shard): token counts, frequent pairs, and a filter segment of either kind (of ``least`` bits)."""
-    for batch in runs(batches, ["kind", "shard"]):
-        kind, shard = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
-        bounds = group_bounds([kind, shard])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            k = int(kind[a])
-            keys = _keys(batch.column("keys").slice(a, b - a).to_pylist(), _WIDTH[k])
-            counts = np.frombuffer(b"".join(batch.column("counts").slice(a, b - a).to_pylist()), "<u4").astype(np.int64)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, counts = keys[first], np.add.reduceat(counts, first)
-            field = segment(keys & U64((1 << 8 * _WIDTH[2]) - 1), counts, least[k])
-            total, distinct = int(counts.sum()), len(keys)
-            level = None
-            if k == 2:
-                often = counts * SHARD_HOT >= total
-                keys, counts = keys[often], counts[often]
-                level = Filter({0: field}, 1, 8).levels(keys).astype(np.uint8).tobytes()
-                keys = _named(keys, np.full(len(keys), shard[a]))
-            yield pa.record_batch(
-                [pa.array([k], pa.int32()), pa.array([int(shard[a])], pa.int64()), pa.array([field], pa.binary()),
-                 pa.array([keys.astype("<u8").tobytes()], pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary()),
-                 pa.array([level], pa.binary()), pa.array([total], pa.int64()), pa.array([distinct], pa.int64())],
-                names=["kind", "shard", "field", "keys", "counts", "levels", "total", "distinct"])
-
-
-_MERGED = "kind int, shard long, field binary, keys binary, counts binary, levels binary, total long, distinct long"
-
-
 class Filter:
     """Quantised counts of n-grams, from the segments of a kind."""
 
@@ -189,7 +116,7 @@ class Filter:
         """The level of each key; 0 for absent keys."""
         shard = shard_of(keys, self.shards)
         base, bits = self.starts[shard], self.sizes[shard].astype(U64)
-        low = keys & U64((1 << 8 * _WIDTH[2]) - 1)
+        low = keys & U64((1 << 8 * _WIDTH[PAIR]) - 1)
         level = np.zeros(len(keys), np.int64)
         there = np.arange(len(keys))
         k = 0
@@ -202,8 +129,8 @@ class Filter:
         return level
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts of each key's level; 0 for absent keys."""
-        return middle(self.levels(keys))
+        """The least count of each key's level; 0 for absent keys."""
+        return least_count(self.levels(keys))
 
     @staticmethod
     def _position(keys: np.ndarray, level: int, part: int, bits: np.ndarray) -> np.ndarray:
@@ -212,222 +139,177 @@ class Filter:
         return ((x & U64(0xFFFFFFFF)) * bits >> U64(32)).astype(np.int64)
 
 
-def middle(level: np.ndarray) -> np.ndarray:
+def least_count(level: np.ndarray) -> np.ndarray:
+    """The smallest count of a level; 0 for level 0."""
     level = level.astype(np.int64)
-    return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level.astype(float))
-
+    return np.where(level > 0, 2.0 ** np.maximum(level - 1, 0), 0.0)
+
+
+# ------------------------------------------------------------------------------ blocks
+def _packed(values: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = max((k + 1 for k in range(8) if planes[k].any()), default=0)
+    body = planes[:used].tobytes()
+    return np.array([len(values), used], "<i8").tobytes() + (pa.Codec("zstd").compress(body, asbytes=True) if body else b"")
+
+
+def _unpacked(body: bytes) -> np.ndarray:
+    n, used = np.frombuffer(body[:16], "<i8")
+    planes = np.zeros((8, n), np.uint8)
+    if n and used:
+        planes[:used] = np.frombuffer(pa.Codec("zstd").decompress(body[16:], int(n * used), asbytes=True), np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
+
+
+class Block:
+    """Rows of a block: token hashes in their order, row bounds, and which rows train."""
+
+    def __init__(self, keys: bytes, places: bytes, sizes: bytes, train: bytes):
+        self.keys = np.frombuffer(keys, "<u8").astype(U64)
+        self.places, self.sizes = _unpacked(places), _unpacked(sizes)
+        self.h = self.keys[self.places]
+        self.bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.train = np.repeat(np.frombuffer(train, np.uint8).astype(bool), self.sizes)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted distinct pairs, the place of each position's pair among them)."""
+        return np.unique(_pairs(self.h, self.bounds), return_inverse=True)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    ids: list[pa.Array] = []
+    held: list[np.ndarray] = []
+    hashes: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        keys, places, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # small places for frequent tokens
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        flags = np.concatenate(held)
+        row = [pa.array([pa.concat_arrays(ids).to_pylist()], schema.field("ids").type), pa.array([flags.tolist()], schema.field("held").type),
+               *(pa.array([b], pa.binary()) for b in (keys[order].astype("<u8").tobytes(), _packed(rank[places]), _packed(np.concatenate(sizes)),
+                                                      (~flags).astype(np.uint8).tobytes()))]
+        for part in (ids, held, hashes, sizes):
+            part.clear()
+        return pa.RecordBatch.from_arrays(row, schema=schema)
 
-#: In place of the context's level: the token is its row's first.
-FIRST = 255
+    for batch in batches:
+        at = 0
+        flags = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        for h, bounds in _tokens(batch.column("text")):
+            n = len(bounds) - 1
+            ids.append(batch.column("doc_id").slice(at, n))
+            held.append(flags[at : at + n])
+            hashes.append(h)
+            sizes.append(np.diff(bounds))
+            at += n
+            if sum(map(len, hashes)) >= BLOCK_TOKENS:
+                yield out()
+    if hashes:
+        yield out()
 
 
-class Model:
-    """What a worker needs to score: totals, frequent tokens and pairs, and the filters that are broadcast."""
-
-    def __init__(self, tokens: Filter | None, pairs: Filter | None, total: int, distinct: int, rows: int, keys: np.ndarray, counts: np.ndarray,
-                 pair_keys: np.ndarray, pair_levels: np.ndarray, shards: int):
-        self.shards = shards
-        self.tokens, self.pairs, self.total, self.distinct, self.rows = tokens, pairs, total, distinct, rows
-        self.hot_keys, self.hot_counts, self.pair_keys, self.pair_levels = keys, counts, pair_keys, pair_levels
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
-
-    def log10(self, pair: np.ndarray, own: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Smoothed log10 probability of a token after the one before it, from the levels of the pair and of both."""
-        alone = (middle(own) + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        context = np.where(before == FIRST, float(self.rows), middle(np.where(before == FIRST, 0, before)))
-        return np.log10(np.minimum((np.minimum(middle(pair), context) + PRIOR * alone) / (context + PRIOR), 1.0))
-
-    def scores(self, h: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, bytes, bytes, bytes]]]:
-        """Score of each row, from the levels of its tokens, and the probes of pairs that only their shards can answer.
-
-        A probe: (shard, keys of pairs, rows of all their places, for each key the levels of both tokens and its places).
-        """
-        before = np.empty_like(own)
-        before[1:] = own[:-1]
-        before[bounds[:-1]] = FIRST
-        pair = _pairs(h, bounds)
-        if self.pairs is not None:
-            keys, back = np.unique(pair, return_inverse=True)
-            return np.add.reduceat(self.log10(self.pairs.levels(keys)[back], own, before), bounds[:-1]), []
-        n = len(bounds) - 1
-        row = np.repeat(np.arange(n), np.diff(bounds))
-        name = _named(pair, shard_of(pair, self.shards))
-        place = np.minimum(np.searchsorted(self.pair_keys, name), max(len(self.pair_keys) - 1, 0))
-        hot = self.pair_keys[place] == name if len(self.pair_keys) else np.zeros(len(pair), bool)
-        score = np.bincount(row[hot], weights=self.log10(self.pair_levels[place[hot]], own[hot], before[hot]), minlength=n)
-        pair, row, own, before = pair[~hot], row[~hot].astype("<u4"), own[~hot], before[~hot]
-        if not len(pair):
-            return score, []
-        order = np.argsort(pair, kind="stable")
-        pair, row, own, before = pair[order], row[order], own[order], before[order]
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        ends = np.append(first, len(pair))
-        keys, sides, often = pair[first], np.stack([own[first], before[first]]).astype(np.uint8), np.diff(ends).astype("<u4")
-        shard = shard_of(keys, self.shards)
-        cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(keys))
-        return score, [(int(shard[a]), keys[a:b].astype("<u8").tobytes(), row[ends[a] : ends[b]].tobytes(), sides[:, a:b].tobytes() + often[a:b].tobytes())
-                       for a, b in zip(cut[:-1], cut[1:])]
+_SLICES = "kind int, shard long, block long, keys binary, counts binary"
+_ANSWERS = "kind int, shard long, block long, body binary, total long, distinct long"
 
 
-def _asked(kind: int, uid: int, ids: pa.DataType, shards: list[int], keys: list[bytes], rows: list[bytes | None], more: list[bytes | None]) -> pa.RecordBatch:
-    """Rows for shards; a block's rows are numbered from its first, whose id is ``uid``."""
-    m = len(shards)
+def _sliced(kind: int, block: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Sorted keys and their counts, a row for each shard."""
+    shard = shard_of(keys, shards)
+    cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(keys))
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH[kind]]
+    counts, m = counts.astype("<u4"), len(cut) - 1
+    pieces = list(zip(cut[:-1], cut[1:]))
     return pa.record_batch(
-        [pa.array(np.full(m, kind, np.int32)), pa.array(shards, pa.int64()), pa.array(np.full(m, uid, np.int64)), pa.nulls(m, ids), pa.nulls(m, pa.bool_()),
-         *(pa.nulls(m, pa.int64()),) * 2, *(pa.nulls(m, pa.float64()),) * 2, pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), pa.array(more, pa.binary())],
-        names=_SCORED_NAMES)
-
+        [pa.array(np.full(m, kind, np.int32)), pa.array(shard[cut[:-1]]), pa.array(np.full(m, block, np.int64)),
+         pa.array([low[a:b].tobytes() for a, b in pieces], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in pieces], pa.binary())],
+        names=["kind", "shard", "block", "keys", "counts"])
 
-def _score(batches: Iterator[pa.RecordBatch], shared, shards: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, its rarer tokens for each shard (kind 1), and what the filters' shards must answer.
 
-    Pairs for their shards (kind 2), or, without a filter of tokens either, the tokens of a
-    block for their shards (kind 3) and the block itself (kind 4).
-    """
-    model: Model = shared.value
-    hot_log = model.base(model.hot_counts)
+def _slices(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """Each distinct token and pair of a block once, with its count in training rows (0 if in others only)."""
     for batch in batches:
-        uid = batch.column("uid").to_numpy()
-        kind_of_id = batch.column("doc_id").type
-        at = 0
-        for h, bounds in _tokens(batch.column("text")):
-            n = len(bounds) - 1
-            own, back = np.unique(h, return_inverse=True)
-            score, probes = np.zeros(n), []
-            if model.tokens is not None:
-                score, probes = model.scores(h, bounds, model.tokens.levels(own)[back])
-            place = np.minimum(np.searchsorted(model.hot_keys, h), max(len(model.hot_keys) - 1, 0))
-            hot = model.hot_keys[place] == h if len(model.hot_keys) else np.zeros(len(h), bool)
-            some = np.zeros(len(h))
-            some[hot] = hot_log[place[hot]]
-            row = np.repeat(np.arange(n), np.diff(bounds))
-            ids = uid[at : at + n]
+        for i in range(batch.num_rows):
+            number, *body = (batch.column(c)[i].as_py() for c in ("block", "keys", "places", "sizes", "train"))
+            block = Block(*body)
+            order = np.argsort(block.keys)
+            yield _sliced(TOKEN, number, block.keys[order], np.bincount(block.places[block.train], minlength=len(order))[order], shards)
+            pairs, place = block.distinct()
+            yield _sliced(PAIR, number, pairs, np.bincount(place[block.train], minlength=len(pairs)), shards)
+
+
+def _shard_answers(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Adds up each (kind, shard) and answers its blocks; a row of block -1 has the totals and, of pairs, the segment."""
+    for batch in runs(batches, ["kind", "shard"]):
+        kinds, shards = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
+        bounds = group_bounds([kinds, shards])
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            kind, shard, part = int(kinds[a]), int(shards[a]), batch.slice(a, b - a)
+            held, blocks = part.column("keys").to_pylist(), part.column("block").to_numpy()
+            low = np.frombuffer(b"".join(held), np.uint8).reshape(-1, _WIDTH[kind])
+            full = np.zeros((len(low), 8), np.uint8)
+            full[:, :_WIDTH[kind]] = low
+            keys, place = np.unique(full.view("<u8").ravel().astype(U64), return_inverse=True)
+            counts = np.zeros(len(keys), np.int64)
+            np.add.at(counts, place, np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").astype(np.int64))
+            seen = counts > 0
+            field, answer = b"", counts
+            if kind == PAIR:
+                field = segment(keys[seen], counts[seen], least)
+                answer = Filter({0: field}, 1, 8).levels(keys)
+            ends = np.cumsum([len(x) // _WIDTH[kind] for x in held])
+            bodies = [_packed(answer[place[e - len(x) // _WIDTH[kind] : e]]) for x, e in zip(held, ends)]
+            n = len(bodies) + 1
             yield pa.record_batch(
-                [pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(ids), *(batch.column(c).slice(at, n) for c in ("doc_id", "held_out")),
-                 pa.array(np.diff(bounds)), pa.array(np.add.reduceat(hot.astype(np.int64), bounds[:-1])),
-                 pa.array(np.add.reduceat(some, bounds[:-1])), pa.array(score), *(pa.nulls(n, pa.binary()),) * 3],
-                names=_SCORED_NAMES)
-            rare, row = h[~hot], row[~hot]
-            if len(rare):
-                order = np.argsort(rare)
-                rare, row = rare[order], row[order]
-                shard = shard_of(rare, shards)
-                cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(rare))
-                keys, rows = rare.astype("<u8"), row.astype("<u4")
-                yield _asked(1, ids[0], kind_of_id, shard[cut[:-1]], [keys[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])],
-                             [rows[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], [None] * (len(cut) - 1))
-            if probes:
-                yield _asked(2, ids[0], kind_of_id, *map(list, zip(*probes)))
-            if model.tokens is None:
-                shard = shard_of(own, shards)
-                cut = np.append(np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(own))
-                m = len(cut) - 1
-                yield _asked(3, ids[0], kind_of_id, shard[cut[:-1]], [own[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:])], [None] * m, [None] * m)
-                yield _asked(4, ids[0], kind_of_id, [-1], [h.astype("<u8").tobytes()], [bounds.astype("<i8").tobytes()], [None])
-            at += n
+                [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, shard, np.int64)), pa.array(np.append(blocks, -1)),
+                 pa.array([*bodies, field], pa.binary()), pa.array([0] * (n - 1) + [int(counts.sum())], pa.int64()),
+                 pa.array([0] * (n - 1) + [int(seen.sum())], pa.int64())],
+                names=["kind", "shard", "block", "body", "total", "distinct"])
 
 
-_SCORED_NAMES = ["kind", "shard", "uid", "doc_id", "held_out", "n_tokens", "hot_tokens", "hot_score", "score", "keys", "rows", "more"]
+class Model:
+    """What a worker needs to score a block: the totals, and the filter of pairs if it is broadcast."""
 
+    def __init__(self, pairs: Filter | None, total: int, distinct: int, rows: int):
+        self.pairs, self.total, self.distinct, self.rows = pairs, total, distinct, rows
 
-def _answer(batches: Iterator[pa.RecordBatch], total: int, distinct: int) -> Iterator[pa.RecordBatch]:
-    """Looks the rarer tokens of all documents up in their shard's exact counts (kind 0 rows come first)."""
-    floor = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
-    for batch in runs(batches, ["shard"]):
-        bounds = group_bounds([batch.column("shard").to_numpy()])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            part = batch.slice(a, b - a)
-            kind = part.column("kind").to_numpy()
-            held, asked = part.column("keys").to_pylist(), part.column("rows").to_pylist()
-            own = [i for i in range(len(kind)) if kind[i] == 0]
-            keys = np.frombuffer(b"".join(held[i] for i in own), "<u8")
-            logs = np.frombuffer(b"".join(asked[i] for i in own), "<i8")
-            logs = np.log10((logs + 0.1) / (total + 0.1 * (distinct + 1)))
-            uid = part.column("uid").to_numpy(zero_copy_only=False)
-            ids, known, sums = [], [], []
-            for i in range(len(kind)):
-                if kind[i] == 0:
-                    continue
-                h, row = np.frombuffer(held[i], "<u8"), np.frombuffer(asked[i], "<u4").astype(np.int64)
-                place = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                found = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                value = np.full(len(h), floor)
-                value[found] = logs[place[found]]
-                n = int(row.max()) + 1
-                count = np.bincount(row, minlength=n)
-                there = np.flatnonzero(count)
-                ids.append(there + int(uid[i]))
-                known.append(np.bincount(row, weights=found, minlength=n)[there].astype(np.int64))
-                sums.append(np.bincount(row, weights=value, minlength=n)[there])
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(known)), pa.array(np.concatenate(sums))],
-                                      names=["uid", "known", "rest"])
-
-
-def _token_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The levels of the tokens that blocks ask a shard for (kind 0: the shard's segment)."""
-    for batch in runs(batches, ["shard"]):
-        bounds = group_bounds([batch.column("shard").to_numpy()])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            part = batch.slice(a, b - a)
-            kind, held = part.column("kind").to_numpy(), part.column("keys").to_pylist()
-            f = Filter({0: held[i] for i in np.flatnonzero(kind == 0)}, 1, 8)
-            asked = [i for i in range(len(kind)) if kind[i] != 0]
-            if asked:
-                level = [f.levels(np.frombuffer(held[i], "<u8").astype(U64)).astype(np.uint8).tobytes() for i in asked]
-                yield pa.record_batch([pa.array(np.ones(len(asked), np.int32)), part.column("shard").take(pa.array(asked)), part.column("uid").take(pa.array(asked)),
-                                       pa.array(level, pa.binary()), pa.nulls(len(asked), pa.binary())], names=["kind", "shard", "uid", "keys", "rows"])
+    def alone(self, counts: np.ndarray) -> np.ndarray:
+        """Add-0.1 probability of tokens of these counts."""
+        return (counts + 0.1) / (self.total + 0.1 * (self.distinct + 1))
+
+    def after(self, level: np.ndarray, own: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Smoothed probability of a token after the one before it: level of the pair, counts of both."""
+        return (np.minimum(least_count(level), context) + PRIOR * self.alone(own)) / (context + PRIOR)
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The pair probes of each block, and the scores that need none (kind 0), from the block and its tokens' levels by shard."""
+def _score(batches: Iterator[pa.RecordBatch], shared, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The scores of each block's rows, from the block (kind 0) and the answers of its shards, in their order."""
     model: Model = shared.value
-    for batch in runs(batches, ["uid"]):
-        groups = group_bounds([batch.column("uid").to_numpy()])
+    for batch in runs(batches, ["block"]):
+        groups = group_bounds([batch.column("block").to_numpy()])
         for a, b in zip(groups[:-1], groups[1:]):
             part = batch.slice(a, b - a)
-            uid, held = part.column("uid")[0].as_py(), part.column("keys").to_pylist()
-            h, bounds = np.frombuffer(held[0], "<u8").astype(U64), np.frombuffer(part.column("rows")[0].as_py(), "<i8")
-            # sorted tokens are sorted by shard, so the shards' answers in their order are those of the sorted tokens
-            level = np.frombuffer(b"".join(held[1:]), np.uint8).astype(np.int64)
-            score, probes = model.scores(h, bounds, level[np.unique(h, return_inverse=True)[1]])
-            n = len(score)
-            yield pa.record_batch([pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(uid + np.arange(n)),
-                                   *(pa.nulls(n, pa.binary()),) * 3, pa.array(score)], names=_PAIR_NAMES)
-            if probes:
-                m = len(probes)
-                shard, keys, rows, more = map(list, zip(*probes))
-                yield pa.record_batch([pa.array(np.full(m, 2, np.int32)), pa.array(shard, pa.int64()), pa.array(np.full(m, uid, np.int64)),
-                                       pa.array(keys, pa.binary()), pa.array(rows, pa.binary()), pa.array(more, pa.binary()), pa.nulls(m, pa.float64())], names=_PAIR_NAMES)
-
-
-_PAIR_NAMES = ["kind", "shard", "uid", "keys", "rows", "more", "score"]
-
-
-def _answer_pairs(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """The score of all places of the pairs that blocks ask a shard for (kind 0: the shard's segment)."""
-    model: Model = shared.value
-    for batch in runs(batches, ["shard"]):
-        bounds = group_bounds([batch.column("shard").to_numpy()])
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            part = batch.slice(a, b - a)
-            kind, uid, held = part.column("kind").to_numpy(), part.column("uid").to_numpy(), part.column("keys").to_pylist()
-            rows, more = part.column("rows").to_pylist(), part.column("more").to_pylist()
-            f = Filter({0: held[i] for i in np.flatnonzero(kind == 0)}, 1, 8)
-            ids, sums = [], []
-            for i in np.flatnonzero(kind != 0):
-                keys = np.frombuffer(held[i], "<u8").astype(U64)
-                n = len(keys)
-                sides, often = np.frombuffer(more[i][: 2 * n], np.uint8).astype(np.int64).reshape(2, n), np.frombuffer(more[i][2 * n :], "<u4")
-                row = np.frombuffer(rows[i], "<u4").astype(np.int64)
-                total = np.bincount(row, weights=np.repeat(model.log10(f.levels(keys), *sides), often))
-                there = np.unique(row)
-                ids.append(there + int(uid[i]))
-                sums.append(total[there])
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums))], names=["uid", "score"])
+            kind, bodies = part.column("kind").to_numpy(), part.column("body").to_pylist()
+            block = Block(*(part.column(c)[0].as_py() for c in ("keys", "places", "sizes", "train")))
+            answers = {k: np.concatenate([_unpacked(bodies[i]) for i in np.flatnonzero(kind == k)] or [np.zeros(0, np.int64)]) for k in (TOKEN, PAIR)}
+            # sorted keys are sorted by shard, so the answers one after the other are those of the sorted keys
+            of_key = np.empty(len(block.keys), np.int64)
+            of_key[np.argsort(block.keys)] = answers[TOKEN]
+            own = of_key[block.places]
+            context = np.empty_like(own)
+            context[1:] = own[:-1]
+            context[block.bounds[:-1]] = model.rows
+            pairs, place = block.distinct()
+            level = answers[PAIR] if model.pairs is None else model.pairs.levels(pairs)
+            first = block.bounds[:-1]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("ids")[0].values, part.column("held")[0].values, pa.array(block.sizes),
+                 pa.array(np.add.reduceat((own > 0).astype(np.int64), first)), pa.array(np.full(len(first), model.total, np.int64)),
+                 pa.array(np.add.reduceat(np.log10(model.alone(own)), first)),
+                 pa.array(np.add.reduceat(np.log10(model.after(level[place], own, context)), first))], schema=schema)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
@@ -441,80 +323,37 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """
     spark = docs.sparkSession
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       F.coalesce(remainder(id_col, folds) == 0, F.lit(True)).alias("held_out"))
+                                      F.coalesce(remainder(id_col, folds) == 0, F.lit(True)).alias("held_out"))
     amount = rows.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     shards = max(LEAST_SHARDS, -(-(amount[0] or 0) // SHARD_BYTES))
-    room = {1: TOKEN_BITS, 2: PAIR_BITS}
-    least = {k: max(8, b // shards // 8 * 8) for k, b in room.items()}
-    parts = rows.where("not held_out").select("text").mapInArrow(partial(_count, shards=shards), _COUNTS)
-    merged = materialize(parts.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(
-        partial(_merge, least=least), _MERGED))
-    kinds = {r[0]: r for r in merged.groupBy("kind").agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("field"))).collect()}
-    total, distinct = (int(kinds[1][1]), int(kinds[1][2])) if 1 in kinds else (0, 0)
-    fits = {k: k not in kinds or 8 * kinds[k][3] <= room[k] for k in (1, 2)}
-    fits[2] = fits[1] and fits[2]  # without the levels of tokens a worker cannot score pairs
-    filters = {k: Filter({r[0]: bytes(r[1]) for r in merged.where(F.col("kind") == k).select("shard", "field").collect()}, shards, least[k])
-               if fits[k] else None for k in (1, 2)}
-    often = max(1, -(-total // HOT))
-    keys, counts = _frequent_of(merged.where("kind = 1").select("keys", "counts", "levels"), often)[:2]
-    pairs, _, pair_levels = _frequent_of(merged.where(F.lit(not fits[2]) & (F.col("kind") == 2)).select("keys", "counts", "levels"), often)
-    model = Model(filters[1], filters[2], total, distinct, int(amount[1] or 0), keys, counts, pairs, pair_levels, shards)
-    shared = spark.sparkContext.broadcast(model)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
-        partial(_score, shared=shared, shards=shards),
-        f"kind int, shard long, uid long, doc_id {kind}, held_out boolean, n_tokens long, hot_tokens long, "
-        "hot_score double, score double, keys binary, rows binary, more binary"))
-    asked = scored.where("kind = 1").select("kind", "shard", "uid", "keys", "rows")
-    known = merged.where("kind = 1").select(F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("uid"), "keys", F.col("counts").alias("rows"))
-    rest = known.union(asked).repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        partial(_answer, total=total, distinct=distinct), "uid long, known long, rest double")
-    rest = rest.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("rest").alias("rest"))
-    found = scored.where("kind = 0").join(rest, "uid", "left")
-    if not fits[2]:
-        found = found.join(_sharded(merged, scored, shared, fits[1]), "uid", "left")
-        found = found.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
-    return found.select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_tokens") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("hot_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
-
-
-def _sharded(merged: DataFrame, scored: DataFrame, shared, tokens: bool) -> DataFrame:
-    """(uid, more_score): what the shards' segments add to the scores; ``tokens``: those of tokens were broadcast."""
-    nothing = F.lit(None).cast("binary")
-    zero = F.lit(0).alias("kind"), "shard", F.lit(0).cast("long").alias("uid"), F.col("field").alias("keys")
-    done = None
-    if tokens:
-        probes = scored.where("kind = 2").select("kind", "shard", "uid", "keys", "rows", "more")
-    else:
-        asked = merged.where("kind = 1").select(*zero).union(scored.where("kind = 3").select("kind", "shard", "uid", "keys"))
-        known = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(
-            _token_levels, "kind int, shard long, uid long, keys binary, rows binary")
-        blocks = scored.where("kind = 4").select(F.lit(0).alias("kind"), "shard", "uid", "keys", "rows")
-        probes = materialize(blocks.union(known).repartition("uid").sortWithinPartitions("uid", "kind", "shard").mapInArrow(
-            partial(_block_pairs, shared=shared), "kind int, shard long, uid long, keys binary, rows binary, more binary, score double"))
-        done = probes.where("kind = 0").select("uid", "score")
-        probes = probes.where("kind = 2").drop("score")
-    fields = merged.where("kind = 2").select(*zero, nothing.alias("rows"), nothing.alias("more"))
-    sums = fields.union(probes).repartition("shard").sortWithinPartitions("shard").mapInArrow(
-        partial(_answer_pairs, shared=shared), "uid long, score double")
-    return (sums.union(done) if done is not None else sums).groupBy("uid").agg(F.sum("score").alias("more_score"))
-
-
-def _frequent_of(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, sorted, of at least ``least``, with their counts and levels (tokens: none)."""
-    found = counted.mapInArrow(partial(_frequent, least=least), "key binary, count binary, level binary").collect()
-    keys, counts, level = (np.frombuffer(b"".join(bytes(r[i]) for r in found), t) for i, t in enumerate(("<u8", "<i8", np.uint8)))
-    order = np.argsort(keys)
-    return keys.astype(U64)[order], counts[order], level[order] if len(level) else level
-
-
-def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for held, counts, level in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "levels"))):
-            counts = np.frombuffer(counts, "<i8")
-            often = counts >= least
-            level = np.frombuffer(level, np.uint8)[often].tobytes() if level else b""
-            yield pa.record_batch([pa.array([x], pa.binary()) for x in (np.frombuffer(held, "<u8")[often].tobytes(), counts[often].tobytes(), level)],
-                                  names=["key", "count", "level"])
+    least = max(8, PAIR_BITS // shards // 8 * 8)
+    kind = rows.schema["doc_id"].dataType
+    id_type = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
+    schema = pa.schema([("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("keys", pa.binary()), ("places", pa.binary()),
+                        ("sizes", pa.binary()), ("train", pa.binary())])
+    blocks = rows.mapInArrow(partial(_blocks, schema=schema), f"ids array<{kind.simpleString()}>, held array<boolean>, "
+                             "keys binary, places binary, sizes binary, train binary")
+    blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
+    answers = _answered(blocks, shards, least)
+    found = {r[0]: r for r in answers.where("block = -1").groupBy("kind").agg(
+        F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("body"))).collect()}
+    total, distinct = (int(found[TOKEN][1]), int(found[TOKEN][2])) if TOKEN in found else (0, 0)
+    pairs = None
+    if PAIR in found and 8 * found[PAIR][3] <= PAIR_BITS:
+        fields = answers.where(f"block = -1 and kind = {PAIR}").select("shard", "body").collect()
+        pairs = Filter({r[0]: bytes(r[1]) for r in fields}, shards, least)
+    shared = spark.sparkContext.broadcast(Model(pairs, total, distinct, int(amount[1] or 0)))
+    needed = answers.where("block >= 0" if pairs is None else f"block >= 0 and kind = {TOKEN}").select("kind", "shard", "block", "body")
+    both = needed.unionByName(blocks.withColumn("kind", F.lit(0)).withColumn("shard", F.lit(-1).cast("long")), allowMissingColumns=True)
+    out = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    return both.repartition("block").sortWithinPartitions("block", "kind", "shard").mapInArrow(
+        partial(_score, shared=shared, schema=out), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, "
+        "train_tokens long, base_score double, score double")
+
+
+def _answered(blocks: DataFrame, shards: int, least: int) -> DataFrame:
+    """The shards' answers, written; the files of the shuffle before them are free to go then."""
+    slices = blocks.mapInArrow(partial(_slices, shards=shards), _SLICES)
+    return materialize(slices.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(
+        partial(_shard_answers, least=least), _ANSWERS))

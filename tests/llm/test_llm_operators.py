@@ -157,48 +157,82 @@ def test_lm_base_is_exact_and_pairs_help(spark, docs, rows):
 
 def test_filter_never_undercounts(spark):
     import numpy as np
-    keys = ngram.constants(5000, 3) & np.uint64((1 << 56) - 1)
+    keys = ngram.constants(5000, 3) & np.uint64((1 << 8 * ngram._WIDTH[ngram.PAIR]) - 1)
     counts = np.arange(1, 5001) % 40 + 1
     f = ngram.Filter({0: ngram.segment(keys, counts, 1 << 18)}, 1, 1 << 18)
     assert (f.counts(keys) >= 2.0 ** (ngram.levels(counts) - 1)).all()
-    assert (f.counts(ngram.constants(5000, 9) & np.uint64((1 << 56) - 1)) > 0).mean() < 0.02
+    assert (f.counts(ngram.constants(5000, 9) & np.uint64((1 << 8 * ngram._WIDTH[ngram.PAIR]) - 1)) > 0).mean() < 0.02
 
 
 def test_filter_keeps_every_ngram_whatever_its_size():
     import numpy as np
-    keys = ngram.constants(5000, 3) & np.uint64((1 << 56) - 1)
+    keys = ngram.constants(5000, 3) & np.uint64((1 << 8 * ngram._WIDTH[ngram.PAIR]) - 1)
     counts = np.arange(1, 5001) % 40 + 1
     f = ngram.Filter({0: ngram.segment(keys, counts, 8)}, 1, 8)
     assert (f.counts(keys) >= 2.0 ** (ngram.levels(counts) - 1)).all()
-    assert (f.counts(ngram.constants(5000, 9) & np.uint64((1 << 56) - 1)) > 0).mean() < 0.02
+    assert (f.counts(ngram.constants(5000, 9) & np.uint64((1 << 8 * ngram._WIDTH[ngram.PAIR]) - 1)) > 0).mean() < 0.02
 
 
-@pytest.mark.parametrize("token_bits, pair_bits", [(1 << 26, 1 << 28), (1 << 26, 8), (8, 8)])
-def test_lm_score_beyond_the_broadcast_bound(spark, docs, rows, monkeypatch, token_bits, pair_bits):
-    monkeypatch.setattr(ngram, "TOKEN_BITS", token_bits)
-    monkeypatch.setattr(ngram, "PAIR_BITS", pair_bits)
-    monkeypatch.setattr(ngram, "HOT", 1 << 9)  # so that some pairs are frequent and some are not
-    tokens = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(LOW)) if w] + ["\0"]
-    train = [tokens(t) for i, t in rows if i is not None and crc(i) % 10]
-    one = collections.Counter(w for ts in train for w in ts)
-    two = collections.Counter(p for ts in train for p in zip([None, *ts], ts))
-    total, distinct = sum(one.values()), len(one)
-    mid = lambda c: 0 if not c else 1 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1)
+def words_of(text):
+    return [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOW)) if w] + ["\0"]
+
+
+class PairModel:
+    """The pair model by plain counting."""
+
+    def __init__(self, rows):
+        train = [words_of(t) for i, t in rows if i is not None and crc(i) % 10]
+        self.one = collections.Counter(w for ts in train for w in ts)
+        self.two = collections.Counter(p for ts in train for p in zip([None, *ts], ts))
+        self.total, self.rows = sum(self.one.values()), len(train)
 
-    def log10(a, b):
-        alone, context = (mid(one[b]) + 0.1) / (total + 0.1 * (distinct + 1)), len(train) if a is None else mid(one[a])
-        return math.log10(min((min(mid(two[a, b]), context) + ngram.PRIOR * alone) / (context + ngram.PRIOR), 1))
+    def probability(self, a, b):
+        alone = (self.one[b] + 0.1) / (self.total + 0.1 * (len(self.one) + 1))
+        context, pair = self.rows if a is None else self.one[a], self.two[a, b]
+        return ((2 ** (pair.bit_length() - 1) if pair else 0) + ngram.PRIOR * alone) / (context + ngram.PRIOR)
 
-    want = sorted((i or -1, sum(log10(a, b) for a, b in zip([None, *ts], ts)), len(ts)) for i, t in rows for ts in [tokens(t)])
+
+@pytest.mark.parametrize("pair_bits", [1 << 28, 8])
+def test_lm_score_within_and_beyond_the_broadcast_bound(spark, docs, rows, monkeypatch, pair_bits):
+    """The filter's levels are those of the counts but for a false probe in many."""
+    model = PairModel(rows)
+    want = sorted((i or -1, sum(math.log10(model.probability(a, b)) for a, b in zip([None, *ts], ts)), len(ts)) for i, t in rows for ts in [words_of(t)])
+    monkeypatch.setattr(ngram, "PAIR_BITS", pair_bits)
     got = sorted((r.doc_id or -1, r.score) for r in ngram.lm_scores(docs).collect())
-    assert len(got) == len(want)
-    # what the filter takes for one level more is all that may differ
     error = [abs(g - w) / n for (_, g), (_, w, n) in zip(got, want)]
-    assert max(error[i] for i in range(len(want)) if want[i][2] > 100) < 0.05, sorted(error)[-5:]
+    assert len(got) == len(want) and max(error[i] for i in range(len(want)) if want[i][2] > 100) < 0.05, sorted(error)[-5:]
     assert sum(error) / len(error) < 0.01
     assert ngram.lm_scores(empty(spark)).count() == 0
 
 
+def test_lm_paths_give_equal_scores(spark, docs, monkeypatch):
+    """The same segments, broadcast and asked at their shards, in large and small blocks."""
+    def scores():
+        return sorted(((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram.lm_scores(docs).collect()))
+
+    sized = ngram.segment
+    monkeypatch.setattr(ngram, "segment", lambda keys, counts, bits: sized(keys, counts, 1 << 12))
+    broadcast = scores()
+    monkeypatch.setattr(ngram, "PAIR_BITS", 8)
+    assert scores() == broadcast
+    monkeypatch.setattr(ngram, "BLOCK_TOKENS", 3000)
+    assert scores() == broadcast
+
+
+def test_lm_probabilities_add_up(spark):
+    """After each context the brute-force model's probabilities add up to 1 but for what quantisation rounds off, never above."""
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").limit(60).collect()]
+    model = PairModel(docs)
+    unseen = 0.1 / (model.total + 0.1 * (len(model.one) + 1))
+    assert abs(sum((c + 0.1) / (model.total + 0.1 * (len(model.one) + 1)) for c in model.one.values()) + unseen - 1) < 1e-9
+    for a in [None, *list(model.one)[:40], *[w for w, _ in model.one.most_common(20)]]:
+        mass = sum(model.probability(a, b) for b in model.one) + ngram.PRIOR * unseen / ((model.rows if a is None else model.one[a]) + ngram.PRIOR)
+        pairs = {p: c for p, c in model.two.items() if p[0] == a}
+        context = model.rows if a is None else model.one[a]
+        rounded = sum(c - 2 ** (c.bit_length() - 1) for c in pairs.values()) + context - sum(pairs.values())
+        assert mass <= 1 + 1e-9 and abs(mass + rounded / (context + ngram.PRIOR) - 1) < 1e-9
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark, docs, rows):
     import tiktoken
     path, pattern = catalog.tokenizer()
