@@ -33,8 +33,8 @@ from plaint.session import materialize
 
 #: Text bytes for each hash shard, and the fewest shards.
 SHARD_BYTES, LEAST_SHARDS = 2 << 20, 64
-#: Bits up to which the filter is broadcast (and that it has at least); bits for each entry; probes of an entry.
-PAIR_BITS, ENTRY_BITS, PROBES = 1 << 28, 10, 6
+#: Bits up to which the filter is broadcast; bits that it has at least; bits for each entry; probes of an entry.
+PAIR_BITS, LEAST_BITS, ENTRY_BITS, PROBES = 1 << 28, 1 << 28, 10, 6
 #: Weight, in pairs, of the token distribution when it smooths the pair distribution.
 PRIOR = 200.0
 END, START = constants(2, 5)
@@ -177,7 +177,7 @@ class Block:
         return np.unique(_pairs(self.h, self.bounds), return_inverse=True)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     ids: list[pa.Array] = []
     held: list[np.ndarray] = []
     hashes: list[np.ndarray] = []
@@ -206,7 +206,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
             hashes.append(h)
             sizes.append(np.diff(bounds))
             at += n
-            if sum(map(len, hashes)) >= BLOCK_TOKENS:
+            if sum(map(len, hashes)) >= most:
                 yield out()
     if hashes:
         yield out()
@@ -326,12 +326,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                                       F.coalesce(remainder(id_col, folds) == 0, F.lit(True)).alias("held_out"))
     amount = rows.agg(F.sum(F.octet_length("text")), F.sum((~F.col("held_out")).cast("long"))).first()
     shards = max(LEAST_SHARDS, -(-(amount[0] or 0) // SHARD_BYTES))
-    least = max(8, PAIR_BITS // shards // 8 * 8)
+    least = max(8, LEAST_BITS // shards // 8 * 8)
     kind = rows.schema["doc_id"].dataType
     id_type = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
     schema = pa.schema([("ids", pa.list_(id_type)), ("held", pa.list_(pa.bool_())), ("keys", pa.binary()), ("places", pa.binary()),
                         ("sizes", pa.binary()), ("train", pa.binary())])
-    blocks = rows.mapInArrow(partial(_blocks, schema=schema), f"ids array<{kind.simpleString()}>, held array<boolean>, "
+    blocks = rows.mapInArrow(partial(_blocks, schema=schema, most=BLOCK_TOKENS), f"ids array<{kind.simpleString()}>, held array<boolean>, "
                              "keys binary, places binary, sizes binary, train binary")
     blocks = materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
     answers = _answered(blocks, shards, least)

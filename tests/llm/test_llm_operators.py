@@ -210,8 +210,7 @@ def test_lm_paths_give_equal_scores(spark, docs, monkeypatch):
     def scores():
         return sorted(((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram.lm_scores(docs).collect()))
 
-    sized = ngram.segment
-    monkeypatch.setattr(ngram, "segment", lambda keys, counts, bits: sized(keys, counts, 1 << 12))
+    monkeypatch.setattr(ngram, "LEAST_BITS", 1 << 20)
     broadcast = scores()
     monkeypatch.setattr(ngram, "PAIR_BITS", 8)
     assert scores() == broadcast
@@ -456,7 +455,7 @@ def test_pipeline_stages(spark, docs, rows):
 def test_queries_with_sql_match_duckdb(spark):
     import duckdb
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, (fn, sql) in catalog.REGISTRY.items():
         if sql:
