@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 columns of ``docs``.  ``run`` writes each stage's result as Parquet in the folder that the
 cluster names in ``spark.checkpoint.dir`` and reads it again.  Stages work on every row they
 are given: rows with null columns stay unless their text is the reason to go, rows that
-repeat a doc_id count as copies of one document, an empty table stays empty, and further
+repeat a doc_id are told apart by their texts, an empty table stays empty, and further
 columns pass through.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from plaint.llm import bpe, decontaminate, language, minhash, pii
 from plaint.llm.catalog import tokenizer
 from plaint.llm.common import bounded, table
+from plaint.operators.sequence import sequence_within
 from plaint.session import checkpoint_dir
 
 #: Near-duplicates share this many percent of their shingles of this many words.
@@ -30,17 +31,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; rows with a null id are no duplicates."""
-    groups = minhash.near_duplicates(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(
-        F.min(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
-    gone = ids.where("kept = 0").select("doc_id")
-    left = docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
-    repeated = ids.where("kept = 1 and n > 1").select("doc_id")
+    """Keeps the row with the smallest id of each group; rows with a null id are no duplicates.
+
+    Rows that share an id are told apart by their texts: a group that holds one of them says
+    nothing about the others, and of equal rows one stays.
+    """
+    named = docs.where("doc_id is not null")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
-        return left
-    once = left.join(bounded(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return left.join(bounded(repeated), "doc_id", "left_anti").select(docs.columns).union(once)
+        groups = minhash.near_duplicates(named, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+        gone = groups.where("not kept").select("doc_id")
+        return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    # Rows numbered in the order of (id, text) take the place of the ids.
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = sequence_within(named.withColumn("_text", text), [], ["doc_id", "_text"], out_col="_row")
+    groups = minhash.near_duplicates(rows, id_col="_row", words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_row"))
+    left = rows.join(bounded(gone), "_row", "left_anti").select(docs.columns)
+    return left.union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +79,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of ``sf_dir``."""
+    """Applies the stages to the documents of ``sf_dir``; a stage's folder goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
