@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaint.llm.common import release, small_batches, utf8
+from plaint.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -36,6 +38,7 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^ \t-\r]+")
+_MARK = re.compile(r"[0-9@]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -108,6 +111,10 @@ def features(token: str) -> list[int]:
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
+#: Features of each token.
+PER_TOKEN = len(features("0"))
+
+
 def mention(token: str) -> str:
     """What two mentions of an entity have in common: the digits, or the letters of an address."""
     if "@" in token:
@@ -117,59 +124,68 @@ def mention(token: str) -> str:
 
 
 class Document:
-    """The candidate tokens of a text, their links, and the labels that the patterns give."""
+    """The candidate tokens of a text, their links, and the labels that the patterns give, as flat arrays.
+
+    ``start``, ``end``: code points of each token; ``follows``: whether it is linked with the
+    token before it; ``skip``: rows of (mention, next mention of the same); ``labels``: of
+    tokens inside pattern matches, else 0.  ``heard`` are the mentions that are no evidence
+    while others of their key are, with the number of those of each label (but for the two
+    next to it, whose messages the skip edges carry) in ``evidence``.
+    """
 
     def __init__(self, text: str, spans: list[Span]):
-        self.tokens: list[tuple[int, int]] = []
-        self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
-        self.names: list[str] = []
-        previous, held = -1, {}
-        mentions: dict[str, list[int]] = {}
+        start, end, follows, numbers, keys = array("q"), array("q"), array("b"), array("h"), array("q")
+        linked = 0
         for m in _TOKEN.finditer(text):
             word = m.group()
-            if not any(c in "0123456789@" for c in word):
-                previous = -1
-                continue
-            core = word.strip(_EDGE).rstrip(".")
+            core = word.strip(_EDGE).rstrip(".") if _MARK.search(word) else ""
             if not core:
-                previous = -1
+                linked = 0
                 continue
-            start = m.start() + word.find(core)
-            here = len(self.tokens)
-            self.tokens.append((start, start + len(core)))
-            self.names.append(core)
-            if previous >= 0:
-                self.chain.append((previous, here))
-            previous = here
-            if key := mention(core):
-                if key in held:
-                    self.skip.append((held[key], here))
-                held[key] = here
-                mentions.setdefault(key, []).append(here)
-        self.labels = [0] * len(self.tokens)
+            a = m.start() + word.find(core)
+            start.append(a)
+            end.append(a + len(core))
+            follows.append(linked)
+            linked = 1
+            numbers.extend(features(core))
+            key = mention(core)
+            keys.append(int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "big", signed=True) | 1 if key else 0)
+        self.start, self.end = np.frombuffer(start, np.int64), np.frombuffer(end, np.int64)
+        self.follows, self.features = np.frombuffer(follows, np.int8) > 0, np.frombuffer(numbers, np.int16).reshape(-1, PER_TOKEN)
+        self.labels = np.zeros(len(start), np.int8)
         at = 0
         for a, k, b in sorted(spans):
-            while at < len(self.tokens) and self.tokens[at][1] <= a:
+            while at < len(end) and end[at] <= a:
                 at += 1
             i = at
-            while i < len(self.tokens) and self.tokens[i][0] < b:
+            while i < len(start) and start[i] < b:
                 self.labels[i] = self.labels[i] or 1 + k
                 i += 1
-        #: For a mention that is no evidence: how many mentions are evidence of each label, but for the two next to it.
-        self.heard: dict[int, list[int]] = {}
-        for same in mentions.values():
-            marks = [self.labels[i] for i in same]
-            count = [marks.count(k) if k else 0 for k in range(LABELS)]
-            if not any(count):
-                continue
-            for j, i in enumerate(same):
-                if not marks[j]:
-                    others = count.copy()
-                    for mark in (marks[j - 1] if j else 0, marks[j + 1] if j + 1 < len(marks) else 0):
-                        if mark:
-                            others[mark] -= 1
-                    self.heard[i] = others
+        self._link(np.frombuffer(keys, np.int64))
+
+    def _link(self, keys: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable").astype(np.int32)
+        order = order[keys[order] != 0]
+        keys, marks = keys[order], self.labels[order]
+        again = keys[1:] == keys[:-1]
+        self.skip = np.stack([order[:-1][again], order[1:][again]], axis=1)
+        group = np.concatenate(([0], np.cumsum(~again)))[: len(order)]
+        known = np.flatnonzero(marks)
+        count = np.zeros((int(group[-1]) + 1 if len(group) else 0, LABELS), np.int32)
+        np.add.at(count, (group[known], marks[known]), 1)
+        hears = np.flatnonzero((marks == 0) & count.any(axis=1)[group])
+        self.heard, self.evidence = order[hears], count[group[hears]]
+        for step in (-1, 1):
+            beside = hears + step
+            held = np.flatnonzero((beside >= 0) & (beside < len(order)))
+            held = held[(group[beside[held]] == group[hears[held]]) & (marks[beside[held]] > 0)]
+            self.evidence[held, marks[beside[held]]] -= 1
+
+    @property
+    def chain(self) -> np.ndarray:
+        """Rows of (token, token that follows it)."""
+        to = np.flatnonzero(self.follows).astype(np.int32)
+        return np.stack([to - 1, to], axis=1)
 
 
 class Field:
@@ -187,35 +203,48 @@ class Field:
         """Label probabilities of each node by loopy message passing; edges: rows of (from, to).
 
         ``group``: the document of each node. Each one's messages stop when they have converged, whatever else is in the batch.
+        Both messages of an edge are renewed together, so edges are worked off a slice at a time from one round's beliefs.
         """
-        a = np.concatenate([chain, skip]).reshape(-1, 2).astype(np.int64)
-        if not len(a):
-            e = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf)) if len(scores) else scores
-            return e / e.sum(axis=1, keepdims=True) if len(scores) else scores
-        weight = np.concatenate([np.broadcast_to(self.chain, (len(chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(skip), LABELS, LABELS))])
-        source, target = np.concatenate([a[:, 0], a[:, 1]]), np.concatenate([a[:, 1], a[:, 0]])
-        weight = np.concatenate([weight, weight.transpose(0, 2, 1)])
-        m, half = np.zeros((len(source), LABELS)), len(a)
-        partner = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        of = (np.zeros(len(scores), np.int64) if group is None else group)[source]
-        active = np.arange(len(source))
-        for _ in range(rounds):
-            belief = scores.copy()
-            np.add.at(belief, target[active], m[active])
-            x = (belief[source[active]] - m[partner[active]])[:, :, None] + weight[active]
+        group = np.zeros(len(scores), np.int32) if group is None else group
+        kinds = [(np.asarray(edges, np.int32).reshape(-1, 2), weight.astype(np.float32)) for edges, weight in ((chain, self.chain), (skip, self.skip))]
+        sent = [(np.zeros((len(edges), LABELS), np.float32), np.zeros((len(edges), LABELS), np.float32)) for edges, _ in kinds]
+        active = [np.arange(len(edges), dtype=np.int32) for edges, _ in kinds]
+
+        def heard(which: list[np.ndarray]) -> np.ndarray:
+            belief = scores.astype(np.float32)
+            for (edges, _), (there, back), live in zip(kinds, sent, which):
+                for part in _slices(live):
+                    np.add.at(belief, edges[part, 1], there[part])
+                    np.add.at(belief, edges[part, 0], back[part])
+            return belief
+
+        def renewed(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            x = x[:, :, None] + weight
             top = x.max(axis=1, keepdims=True)
             new = (top + np.log(np.exp(x - top).sum(axis=1, keepdims=True)))[:, 0]
-            new -= new.max(axis=1, keepdims=True)
-            moved = np.zeros(int(of.max()) + 1)
-            np.maximum.at(moved, of[active], np.abs(new - m[active]).max(axis=1))
-            m[active] = 0.5 * m[active] + 0.5 * new
-            active = active[moved[of[active]] >= 1e-3]
-            if not len(active):
+            return new - new.max(axis=1, keepdims=True)
+
+        for _ in range(rounds):
+            if not any(map(len, active)):
                 break
-        belief = scores.copy()
-        np.add.at(belief, target, m)
-        e = np.exp(belief - belief.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+            belief, moved = heard(active), np.zeros(int(group.max()) + 1, np.float32)
+            for (edges, weight), (there, back), live in zip(kinds, sent, active):
+                for part in _slices(live):
+                    a, b = edges[part].T
+                    first, second = renewed(belief[a] - back[part], weight), renewed(belief[b] - there[part], weight.T)
+                    for old, new in ((there, first), (back, second)):
+                        np.maximum.at(moved, group[a], np.abs(new - old[part]).max(axis=1))
+                        old[part] = 0.5 * old[part] + 0.5 * new
+            active = [live[moved[group[edges[live, 0]]] >= 1e-3] for (edges, _), live in zip(kinds, active)]
+        belief = heard([np.arange(len(edges), dtype=np.int32) for edges, _ in kinds])
+        for part in _slices(np.arange(len(belief))):
+            e = np.exp(belief[part] - belief[part].max(axis=1, keepdims=True))
+            belief[part] = e / e.sum(axis=1, keepdims=True)
+        return belief
+
+
+def _slices(index: np.ndarray, size: int = 1 << 16) -> Iterator[np.ndarray]:
+    return (index[i : i + size] for i in range(0, len(index), size))
 
 
 def _spoil(token: str, kind: int) -> str:
@@ -230,35 +259,28 @@ def _spoil(token: str, kind: int) -> str:
     return "9" + token.replace("+", "")
 
 
-def train(examples: list[tuple[list[str], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 150) -> Field:
-    """Pseudo-likelihood: each label given the token and the labels of its neighbours, with a prior on the weights."""
+def train(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], steps: int = 150) -> Field:
+    """Pseudo-likelihood: each label given the token and the labels of its neighbours, with a prior on the weights.
+
+    Each example: features of the tokens, their labels, rows of chain and skip edges, and features of spoilt copies.
+    """
     field = Field.prior()
     rng = np.random.default_rng(7)
     rows, labels, left, right, friends = [], [], [], [], []
-    for names, marks, chain, skip in examples:
-        before, after, same = [-1] * len(names), [-1] * len(names), [[] for _ in names]
-        for a, b in chain:
-            before[b], after[a] = marks[a], marks[b]
-        for a, b in skip:
-            same[a].append(marks[b])
-            same[b].append(marks[a])
-        rows.extend(features(x) for x in names)
-        labels.extend(marks)
-        left.extend(before)
-        right.extend(after)
-        friends.extend([sum(x == k for x in s) for k in range(LABELS)] for s in same)
-        for name, mark in zip(names, marks):
-            if mark in (1, 2, 3):
-                rows.append(features(_spoil(name, mark)))
-                labels.append(0)
-                left.append(-1)
-                right.append(-1)
-                friends.append([0] * LABELS)
-    if not rows:
+    for numbers, marks, chain, skip, spoilt in examples:
+        n, extra = len(marks), len(spoilt)
+        before, after, same = np.full(n + extra, -1), np.full(n + extra, -1), np.zeros((n + extra, LABELS))
+        before[chain[:, 1]], after[chain[:, 0]] = marks[chain[:, 0]], marks[chain[:, 1]]
+        np.add.at(same, (skip[:, 0], marks[skip[:, 1]]), 1)
+        np.add.at(same, (skip[:, 1], marks[skip[:, 0]]), 1)
+        for held, part in ((rows, np.concatenate([numbers, spoilt])), (labels, np.append(marks, np.zeros(extra, marks.dtype))), (left, before), (right, after), (friends, same)):
+            held.append(part)
+    if not sum(map(len, rows)):
         return field
-    x, y = np.array(rows), np.array(labels)
+    rows, labels, left, right, friends = map(np.concatenate, (rows, labels, left, right, friends))
+    x, y = rows, labels
     hot = np.eye(LABELS + 1)[:, :LABELS]
-    before, after, same = hot[np.array(left)], hot[np.array(right)], np.array(friends, float)
+    before, after, same = hot[left], hot[right], friends
     blind = rng.random(len(x)) < 0.1  # some labels must follow from the neighbours alone
     prior = [field.unary.copy(), field.chain.copy(), field.skip.copy()]
     weights = [w.copy() for w in prior]
@@ -283,63 +305,74 @@ def train(examples: list[tuple[list[str], list[int], list[tuple[int, int]], list
     return Field(*weights)
 
 
-SAMPLE_ROWS, SAMPLE_TOKENS = 2000, 200
+#: Distinct texts that the weights are learned from, and candidate tokens of all of them together.
+SAMPLE_ROWS, SAMPLE_TOKENS = 2000, 200_000
+_EXAMPLE = "key long, features array<int>, labels array<int>, chain array<int>, skip array<int>, spoilt array<int>"
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+            if key in seen:
+                continue
+            seen.add(key)
+            text = text.as_py()
             d = Document(text, base_spans(text))
-            n = min(len(d.tokens), SAMPLE_TOKENS)
-            out.append({"names": [x[:100] for x in d.names[:n]], "labels": d.labels[:n],
-                        "chain": [v for e in d.chain if e[1] < n for v in e], "skip": [v for e in d.skip if e[1] < n for v in e]})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-            ("names", pa.list_(pa.string())), ("labels", pa.list_(pa.int32())), ("chain", pa.list_(pa.int32())), ("skip", pa.list_(pa.int32()))]))
+            spoilt = [features(_spoil(text[d.start[i] : d.end[i]], d.labels[i])) for i in np.flatnonzero((d.labels > 0) & (d.labels < 4)).tolist()]
+            flat = [d.features, d.labels, d.chain, d.skip, np.array(spoilt)]
+            yield pa.record_batch([pa.array([key]), *(pa.ListArray.from_arrays(pa.array([0, x.size], pa.int32()), pa.array(x.ravel().astype(np.int32))) for x in flat)],
+                                  names=["key", "features", "labels", "chain", "skip", "spoilt"])
+
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, tokens: int = SAMPLE_TOKENS) -> Field:
+    """A field trained on the pattern matches of about ``rows`` distinct texts with candidates, chosen by a hash of the text.
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Field:
-    """A field trained on the pattern matches of about ``rows`` rows with candidates, chosen by a hash of the text."""
+    Texts are used whole, in the order of their hashes while they hold at most ``tokens``
+    candidates together; one that would exceed that is left out.  The sizes are known before
+    the examples come to the driver, and copies of a text are one example.
+    """
     able = small_batches(docs).select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]"))
     total = able.count()
     if not total:
         return Field.prior()
     share = min(1.0, rows / total)
-    chosen = able.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    found = chosen.mapInArrow(_examples, "names array<string>, labels array<int>, chain array<int>, skip array<int>").collect()
-    pairs = lambda flat: list(zip(flat[::2], flat[1::2]))
-    found = sorted((list(r.names), list(r.labels), pairs(r.chain), pairs(r.skip)) for r in found)
-    return train(found)
+    chosen = able.withColumn("key", F.xxhash64("text")).where(F.pmod("key", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    found = materialize(chosen.mapInArrow(_examples, _EXAMPLE).dropDuplicates(["key"]))
+    left, keys = tokens, []
+    for key, n in sorted(map(tuple, found.select("key", F.size("labels")).collect())):
+        if n <= left:
+            left -= n
+            keys.append(key)
+    examples = sorted(found.where(F.col("key").isin(keys)).collect(), key=lambda r: r.key) if keys else []
+    return train([(np.array(r.features, np.int64).reshape(-1, PER_TOKEN), np.array(r.labels, np.int64), np.array(r.chain, np.int64).reshape(-1, 2),
+                   np.array(r.skip, np.int64).reshape(-1, 2), np.array(r.spoilt, np.int64).reshape(-1, PER_TOKEN)) for r in examples])
 
 
 def find(texts: list[str], field: Field, least: float = 0.9) -> list[tuple[list[Span], list[Span]]]:
     """(pattern spans, spans that the field adds) of each text."""
     base = [base_spans(t) for t in texts]
     held = [Document(t, s) for t, s in zip(texts, base)]
-    offset = np.cumsum([0] + [len(d.tokens) for d in held])
-    scores = np.zeros((int(offset[-1]), LABELS))
-    names = [x for d in held for x in d.names]
-    if names:
-        scores = field.unary[np.array([features(x) for x in names])].sum(axis=1)
-        known = np.array([x for d in held for x in d.labels])
-        scores[known > 0] = -30.0
-        scores[known > 0, known[known > 0]] = 0.0
-    chain = np.array([(a + o, b + o) for d, o in zip(held, offset) for a, b in d.chain]).reshape(-1, 2)
-    skip = np.array([(a + o, b + o) for d, o in zip(held, offset) for a, b in d.skip]).reshape(-1, 2)
-    heard = [(i + o, others) for d, o in zip(held, offset) for i, others in d.heard.items()]
-    if heard:
+    offset = np.cumsum([0] + [len(d.labels) for d in held])
+    scores = np.zeros((int(offset[-1]), LABELS), np.float32)
+    for d, o in zip(held, offset):
+        for part in _slices(np.arange(len(d.labels))):
+            scores[o + part] = field.unary[d.features[part]].sum(axis=1)
+        known = np.flatnonzero(d.labels)
+        scores[o + known] = -30.0
+        scores[o + known, d.labels[known]] = 0.0
         # the label of evidence is known, so its message to each mention is too
-        scores[[i for i, _ in heard]] += np.array([others for _, others in heard], float) @ field.skip
-    p = field.marginals(scores, chain, skip, np.repeat(np.arange(len(held)), np.diff(offset)))
+        scores[o + d.heard] += d.evidence @ field.skip
+    chain = np.concatenate([np.zeros((0, 2), np.int32), *(d.chain + np.int32(o) for d, o in zip(held, offset))])
+    skip = np.concatenate([np.zeros((0, 2), np.int32), *(d.skip + np.int32(o) for d, o in zip(held, offset))])
+    p = field.marginals(scores, chain, skip, np.repeat(np.arange(len(held), dtype=np.int32), np.diff(offset)))
     out = []
     for d, spans, o in zip(held, base, offset):
         added: list[Span] = []
-        follows = {b for _, b in d.chain}
-        for i, (a, b) in enumerate(d.tokens):
-            if d.labels[i] or p[o + i, 1:].max() < least:
-                continue
-            kind = int(p[o + i, 1:].argmax())
-            if added and added[-1][1] == kind and i in follows and added[-1][2] == d.tokens[i - 1][1]:
+        likely = p[o : o + len(d.labels), 1:]
+        for i in np.flatnonzero((likely.max(axis=1) >= least) & (d.labels == 0)).tolist():
+            a, b, kind = int(d.start[i]), int(d.end[i]), int(likely[i].argmax())
+            if added and added[-1][1] == kind and d.follows[i] and added[-1][2] == d.end[i - 1]:
                 added[-1] = (added[-1][0], kind, b)
             else:
                 added.append((a, kind, b))
@@ -430,6 +463,9 @@ def _mask(batches: Iterator[pa.RecordBatch], field: Field, text_col: str, length
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None,
            field: Field | None = None) -> DataFrame:
-    """``docs`` with personal data in the text replaced by [EMAIL], [IP], [CARD] or [PHONE]; ``length_col`` follows."""
+    """``docs`` with personal data in the text replaced by [EMAIL], [IP], [CARD] or [PHONE]; ``length_col`` follows.
+
+    Null and empty texts and texts without personal data stay as they are; repeated rows change alike.
+    """
     field = field or fit(docs, id_col, text_col)
     return docs.mapInArrow(partial(_mask, field=field, text_col=text_col, length_col=length_col), docs.schema)

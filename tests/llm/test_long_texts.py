@@ -65,3 +65,29 @@ from plaint.llm import decontaminate as d
 words = [f"w{i * 7919 % 1000003}" for i in range(1_100_000)]
 d.Windows([(k, " ".join(words[k : k + 100])) for k in range(0, len(words), 100)])
 """) < 1000
+
+
+def test_personal_data_memory():
+    """8 MB of numbers: over a million mentions in one graph."""
+    assert peak_mb("""
+from plaint.llm import pii
+text = " ".join(str(100000 + i * 7919 % 900000) for i in range(1_170_000))
+(base, added), = pii.find([text], pii.Field.prior())
+assert not base and not added
+""") < 800
+
+
+def test_weights_come_from_distinct_whole_texts(spark, monkeypatch):
+    """A text on a third of all rows is one example; texts beyond the token bound are left out, none is cut."""
+    import plaint.llm.pii as pii
+    long = " ".join(f"+1 (988) 555-{i:04d}" for i in range(300))
+    rows = [(i, f"call +1 (988) 555-24{i:02d} or 98855524{i:02d}" if i % 3 else long) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda examples: seen.append(examples))
+    pii.fit(docs)
+    assert sorted(len(e[1]) for e in seen[0]) == [4] * 60 + [900]
+    pii.fit(docs, tokens=500)
+    assert [len(e[1]) for e in seen[1]] == [4] * 60
+    pii.fit(docs, tokens=3)
+    assert seen[2] == []
