@@ -10,6 +10,7 @@ No step recurses, so nesting may be as deep as the page makes it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -36,11 +37,13 @@ BROKEN = frozenset("address article aside body center dd details dialog dir div
 BLOCK = (SPACED | BROKEN) - {"option", "tr", "caption"}
 #: What an opening tag closes, and where the search for it stops.
 _SCOPE = frozenset("table td th caption html button object".split())
+#: An item is not closed through one of these.
+_AROUND = _SCOPE | (BLOCK - {"address", "div", "p"})
 IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     **{t: (frozenset({"p"}), _SCOPE) for t in BLOCK - {"body", "html", "li", "dd", "dt", "legend", "summary", "figcaption"}},
-    "li": (frozenset({"li", "p"}), _SCOPE | {"ul", "ol", "menu", "dir"}),
-    "dt": (frozenset({"dt", "dd", "p"}), _SCOPE | {"dl"}),
-    "dd": (frozenset({"dt", "dd", "p"}), _SCOPE | {"dl"}),
+    "li": (frozenset({"li", "p"}), _AROUND - {"li"}),
+    "dt": (frozenset({"dt", "dd", "p"}), _AROUND - {"dt", "dd"}),
+    "dd": (frozenset({"dt", "dd", "p"}), _AROUND - {"dt", "dd"}),
     "option": (frozenset({"option"}), frozenset({"select", "datalist", "optgroup"})),
     "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
     "td": (frozenset({"td", "th", "p"}), frozenset({"table", "tr"})),
@@ -53,7 +56,16 @@ _OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 _TAG_END = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _USED = re.compile(r"hidden|style|span|start|value|open", re.I)
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_CLASSED = re.compile(_USED.pattern + "|class|id", re.I)
+_COMMENT_END = re.compile(r"--!?>")
+_STYLE = re.compile(r"<style(?:\s[^>]*+)?>(.*?)(?:</style|\Z)", re.I | re.S)
+#: Comments and at-rules, whose conditions are not judged.
+_NO_RULE = re.compile(r"/\*.*?(?:\*/|\Z)|@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})", re.S)
+_RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_SEEING = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+#: Widest indentation, last column that cells are aligned to, and tables inside one another that are laid out in columns.
+DEEPEST, WIDEST, MOST_TABLES = 64, 500, 16
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -64,8 +76,8 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
 
 
-def _attributes(text: str) -> dict[str, str] | None:
-    if not _USED.search(text):
+def _attributes(text: str, used: re.Pattern = _USED) -> dict[str, str] | None:
+    if not used.search(text):
         return None
     return {k.lower(): unescape(v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(text)}
 
@@ -83,8 +95,8 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", page[at : m.start()], ""
         if m.group(2) is None:
             if m.group() == "<!--":
-                end = page.find("-->", m.end() - 2 if page.startswith(">", m.end()) else m.end())
-                at = n if end < 0 else end + 3
+                close = _COMMENT_END.search(page, m.end() - 2 if page.startswith((">", "->"), m.end()) else m.end())
+                at = close.end() if close else n
             elif page.startswith("<![CDATA[", m.start()):
                 end = page.find("]]>", m.end())
                 yield "text", page[m.start() + 9 : n if end < 0 else end].replace("&", "&amp;"), ""
@@ -110,8 +122,48 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             at = close.start() if close else n
 
 
-def parse(page: str) -> Node:
-    """The element tree of a page."""
+def rules(page: str) -> dict[str, list[tuple[str, frozenset[str], frozenset[str], str, str, tuple]]]:
+    """(tag, classes, id, property, value, precedence) of rules in the page's style elements that show or hide, by one name each asks for.
+
+    Selectors are a tag, classes and ids of one element; others and at-rules are not applied.
+    """
+    out: dict[str, list] = {}
+    count = 0
+    for sheet in _STYLE.findall(page) if "<style" in page.lower() else ():
+        for selectors, body in _RULE.findall(_NO_RULE.sub(" ", sheet)):
+            settings = _SEEING.findall(body)
+            for selector in selectors.split(",") if settings else ():
+                m = _SELECTOR.fullmatch(selector.strip())
+                if not m or not m.group():
+                    continue
+                names = re.findall(r"[.#][\w-]+", m.group(2))
+                classes, ids = (frozenset(x[1:] for x in names if x[0] == c) for c in ".#")
+                tag = "" if m.group(1) in (None, "*") else m.group(1).lower()
+                for name, value, important in settings:
+                    weight = (bool(important), False, len(ids), len(classes), bool(tag), count)
+                    out.setdefault(names[-1] if names else tag, []).append((tag, classes, ids, name.lower(), value.lower(), weight))
+                    count += 1
+    return out
+
+
+def _seen(node: Node, sheet: dict | None) -> tuple[str | None, str | None]:
+    """The values of display and visibility that hold for an element, None if nothing sets them."""
+    a = node.attributes
+    found: dict[str, tuple] = {}
+    if a.get("style"):
+        for name, value, important in _SEEING.findall(a["style"]):
+            found[name.lower()] = max(found.get(name.lower(), ((),)), ((bool(important), True), value.lower()))
+    if sheet:
+        own = frozenset(a.get("class", "").split())
+        asked = ("", node.tag, "#" + a.get("id", ""), *("." + x for x in own))
+        for tag, classes, ids, name, value, weight in (rule for key in asked for rule in sheet.get(key, ())):
+            if (not tag or tag == node.tag) and classes <= own and ids <= {a.get("id")}:
+                found[name] = max(found.get(name, ((),)), (weight, value))
+    return tuple(found[name][1] if name in found else None for name in ("display", "visibility"))
+
+
+def parse(page: str, classed: bool = False) -> Node:
+    """The element tree of a page; ``classed``: with classes and ids."""
     root = Node("#root")
     stack = [root]
     open_count: dict[str, int] = {}
@@ -144,7 +196,7 @@ def parse(page: str) -> Node:
                 if deepest is not None:
                     while len(stack) > deepest:
                         pop()
-            node = Node(name, _attributes(rest))
+            node = Node(name, _attributes(rest, _CLASSED if classed else _USED))
             stack[-1].children.append(node)
             if name not in VOID and not (rest.endswith("/") and (name in ("svg", "path") or open_count.get("svg") and not open_count.get("foreignobject"))):
                 stack.append(node)
@@ -168,9 +220,9 @@ def parse(page: str) -> Node:
     return root
 
 
-def shown(node: Node, parent: Node) -> bool:
+def shown(node: Node, parent: Node, display: str | None = None) -> bool:
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (a.get("style") and _HIDING.search(a["style"])):
+    if node.tag in UNSEEN or display == "none" or ("hidden" in a and display is None):
         return False
     if node.tag == "dialog":
         return "open" in a
@@ -241,46 +293,68 @@ def _number(value: str | None, default: int) -> int:
     return int(m.group(1)) if m else default
 
 
-def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Cells (lines, colspan, rowspan) padded to their columns."""
-    placed, taken, width = [], {}, {}
+def _grid(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """Cells (lines, colspan, rowspan) padded to their columns; None ends a row group, and spans with it.
+
+    A spanning cell pushes the columns behind it.  Columns start within WIDEST; cells beyond
+    it follow one another, so a page's text stays in proportion to the page.
+    """
+    placed: list[list[tuple[int, list[str]]]] = []
+    needs: list[tuple[int, int, int]] = []  # column, column behind, width
+    taken: list[tuple[int, int, int]] = []  # columns from, to, rows before
     for r, row in enumerate(rows):
-        column, line = 0, []
+        if row is None:
+            taken = []
+            continue
+        taken = sorted(span for span in taken if span[2] > r)
+        column, passed, line, below = 0, 0, [], []
         for lines, across, down in row:
-            while taken.get(column, 0) > r:
-                column += 1
+            while passed < len(taken) and taken[passed][0] <= column:
+                column = max(column, taken[passed][1])
+                passed += 1
             line.append((column, lines))
-            for c in range(column, column + across):
-                if down > 1:
-                    taken[c] = r + down
-            if across == 1:
-                width[column] = max(width.get(column, 0), max(map(len, lines), default=0))
-            else:
-                width.setdefault(column, 0)
+            needs.append((column, column + across, max(map(len, lines), default=0)))
+            if down != 1:
+                below.append((column, column + across, r + down if down else len(rows)))
             column += across
         placed.append(line)
-    start, at = {}, 0
-    for c in sorted(width):
+        taken += below
+    columns = sorted({c for c, _, _ in needs})
+    behind: dict[int, list[tuple[int, int]]] = {}
+    for column, after, width in needs:
+        k = bisect_left(columns, after)
+        if k < len(columns):
+            behind.setdefault(columns[k], []).append((column, width))
+    start: dict[int, int] = {}
+    at = -2
+    for c in columns:
+        at = max([at + 2, *(start[before] + width + 2 for before, width in behind.get(c, ()) if start[before] + width + 2 <= WIDEST)])
         start[c] = at
-        at += width[c] + 2
     out = []
     for line in placed:
         for k in range(max((len(lines) for _, lines in line), default=0)):
-            text = ""
+            parts, size = [], 0
             for column, lines in line:
                 if k < len(lines) and lines[k]:
-                    text = text.ljust(start[column]) if len(text) <= start[column] else text + "  "
-                    text += lines[k]
+                    if column:
+                        gap = start[column] - size if size <= start[column] <= WIDEST else 2 if size else 0
+                        parts.append(" " * gap)
+                        size += gap
+                    parts.append(lines[k])
+                    size += len(lines[k])
+            text = "".join(parts)
             if text.strip():
                 out.append(text.rstrip())
     return out
 
 
-def render(root: Node) -> str:
-    """The visible text of a tree."""
+def render(root: Node, sheet: dict | None = None) -> str:
+    """The visible text of a tree; ``sheet``: the page's rules."""
     flow = Flow()
     flows: list[Flow] = []
-    tables: list[list[list[tuple[list[str], int, int]]]] = []
+    tables: list[list] = []
+    hidden: list[tuple[Node, bool]] = []  # elements that set visibility, and whether they hide
+    outside: list[str] = []  # indentation around each open item
     lists: list[list] = []
     quiet = 0  # depth of pre
     drawings: list[bool] = []  # inside a drawing: whether text is not shown here
@@ -290,7 +364,7 @@ def render(root: Node) -> str:
         if isinstance(node, str):
             if parent.tag == "details" and "open" not in parent.attributes:
                 continue
-            if drawings and drawings[-1]:
+            if drawings and drawings[-1] or hidden and hidden[-1][1]:
                 continue
             if tables and parent.tag in ("table", "thead", "tbody", "tfoot", "tr") and not node.strip():
                 continue
@@ -298,7 +372,8 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node, parent) or (drawings and drawings[-1] and tag in UNDRAWN):
+            display, visibility = _seen(node, sheet) if node.attributes or sheet else (None, None)
+            if not shown(node, parent, display) or (drawings and drawings[-1] and tag in UNDRAWN):
                 continue
             if tag == "svg":
                 drawings.append(True)
@@ -306,10 +381,13 @@ def render(root: Node) -> str:
                 drawings.append(False)
                 flow.apart(0)
             if tag == "br":
-                flow.break_line()
+                if not (hidden and hidden[-1][1]):
+                    flow.break_line()
                 continue
             if tag in VOID and tag != "hr":
                 continue
+            if visibility in ("visible", "hidden", "collapse"):
+                hidden.append((node, visibility != "visible"))
             if tag in SPACED:
                 flow.apart(0 if tag in ("ul", "ol") and lists else 1)
             elif tag in BROKEN:
@@ -326,19 +404,25 @@ def render(root: Node) -> str:
                     kind[0] = _number(node.attributes.get("value"), kind[0])
                     mark = f"{kind[0]}. "
                     kind[0] += 1
-                flow.marker = kind[1] + mark
-                flow.indent = kind[1] + " " * len(mark)
+                outside.append(flow.indent)
+                around = kind[1] if parent.tag in ("ul", "ol") else flow.indent
+                flow.marker = around + mark
+                flow.indent = (around + " " * len(mark))[:DEEPEST]
             elif tag in ("blockquote", "dd"):
-                flow.indent += "  "
+                outside.append(flow.indent)
+                flow.indent = (flow.indent + "  ")[:DEEPEST]
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
-                flows.append(flow)
-                flow = Flow()
+                if len(tables) > MOST_TABLES:
+                    flow.apart(0)
+                else:
+                    if not tables[-1] or tables[-1][-1] is None:
+                        tables[-1].append([])
+                    flows.append(flow)
+                    flow = Flow()
             stack.append((node, parent, True))
             stack.extend((c, node, False) for c in reversed(node.children))
             continue
@@ -347,10 +431,17 @@ def render(root: Node) -> str:
         elif drawings and tag in DRAWN:
             drawings.pop()
             flow.apart(0)
+        if hidden and hidden[-1][0] is node:
+            hidden.pop()
+        if tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].append(None)
+        if tag in ("td", "th") and len(tables) > MOST_TABLES:
+            flow.apart(0)
+            continue
         if tag in ("td", "th") and tables:
             flow.end_line()
             lines, flow = flow.lines, flows.pop()
-            tables[-1][-1].append((lines, max(1, min(_number(node.attributes.get("colspan"), 1), 1000)), max(1, _number(node.attributes.get("rowspan"), 1))))
+            tables[-1][-1].append((lines, max(1, min(_number(node.attributes.get("colspan"), 1), 1000)), _number(node.attributes.get("rowspan"), 1)))
             continue
         if tag == "table":
             flow.apart(1)
@@ -364,15 +455,16 @@ def render(root: Node) -> str:
         elif tag in ("ul", "ol"):
             flow.indent = lists.pop()[1]
         elif tag == "li":
-            flow.marker, flow.indent = "", lists[-1][1] if lists else ""
+            flow.marker, flow.indent = "", outside.pop()
         elif tag in ("blockquote", "dd"):
-            flow.indent = flow.indent[:-2]
+            flow.indent = outside.pop()
     flow.end_line()
     return "\n".join(flow.lines)
 
 
 def to_text(page: str) -> str:
-    return render(parse(page))
+    sheet = rules(page)
+    return render(parse(page, bool(sheet)), sheet)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,6 +475,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, n_chars, n_lines, text) of each row of ``pages``; null and empty pages have an empty text."""
+    """(page_id, n_chars, n_lines, text) of each row of ``pages``; null and empty pages have an empty text.
+
+    Repeated rows have equal results; a null id stays null.  Pages may be nested to any depth: indentation
+    ends at DEEPEST columns, alignment at WIDEST, and tables in more than MOST_TABLES others are blocks.
+    """
     out = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"))
     return out.mapInArrow(_extract, f"page_id {out.schema['page_id'].dataType.simpleString()}, n_chars long, n_lines long, text string")
