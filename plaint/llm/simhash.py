@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaint.llm.common import U64, chunks, small_batches, spaced, splitmix, utf8
+from plaint.llm.common import U64, chunks, small_batches, spaced, splitmix, spread_join, utf8
+from plaint.session import materialize
 
 BITS = 128
 #: Rows of a neighbouring-document bucket, and the most buckets.
@@ -60,7 +61,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as hexadecimal text) of each row."""
+    """(doc_id, fingerprint as hexadecimal text) of each row; wordless and null texts have all bits zero, repeated rows each get theirs."""
     out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return out.mapInArrow(_fingerprint, f"doc_id {out.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
@@ -75,21 +76,52 @@ def distance(a: Column, b: Column) -> Column:
                F.bit_count(_half(a, 0).bitwiseXOR(_half(b, 0))))
 
 
+#: Blocks with more than this share of all rows of the block tables are dealt over several tasks.
+FREQUENT = 4000
+
+
 def neighbours(queries: DataFrame, table: DataFrame, radius: int = 3) -> DataFrame:
-    """(query, fingerprint, distance) of the distinct fingerprints of ``table`` within ``radius`` of each of ``queries``.
+    """(query, fingerprint, distance, n) of the distinct fingerprints of ``table`` within ``radius`` of each of ``queries``.
 
-    Both have a column fingerprint; equal fingerprints are one query and one answer.
-    ``radius`` + 1 must divide the hexadecimal length.
+    Both have a column fingerprint; null ones take no part, equal ones are one query and one
+    answer, ``n`` is the rows of ``table`` with it.  ``radius`` + 1 must divide the hexadecimal
+    length.  A pair is found in the table of each block that it shares and kept in the first.
+    A frequent block's fingerprints are dealt into parts and its queries repeated once a part;
+    there are fewer than FREQUENT such blocks, so their sizes are broadcast.
     """
     width = BITS // 4 // (radius + 1)
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        cut = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("fingerprint", width * k + 1, width)) for k in range(radius + 1)))
-        return df.where("fingerprint is not null").select("fingerprint").distinct().select(F.col("fingerprint").alias(name), F.explode(cut).alias("block"))
-
-    pairs = blocks(queries, "query").join(blocks(table, "fingerprint"), "block")
-    near = pairs.withColumn("distance", distance(F.col("query"), F.col("fingerprint"))).where(F.col("distance") <= radius)
-    return near.select("query", "fingerprint", "distance").distinct()
+    def block(fingerprint: str, k: int) -> Column:
+        return F.substring(fingerprint, width * k + 1, width)
+
+    def blocks(df: DataFrame) -> DataFrame:
+        return df.select("*", F.posexplode(F.array(*(block(df.columns[0], k) for k in range(radius + 1)))).alias("k", "block"))
+
+    answers = blocks(table.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n")))
+    asked = blocks(queries.where("fingerprint is not null").select(F.col("fingerprint").alias("query")).distinct())
+    sizes = answers.groupBy("k", "block").agg(F.count("*").alias("size"))
+    share = max(1, -(-(radius + 1) * table.count() // FREQUENT))
+    often = F.broadcast(sizes.where(F.col("size") > share).select("k", "block", F.ceil(F.col("size") / F.lit(share)).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = answers.join(often, ["k", "block"], "left").withColumn("part", F.pmod(F.xxhash64("fingerprint"), parts)).drop("parts")
+    copies = asked.join(often, ["k", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    pairs = copies.join(dealt, ["k", "block", "part"]).withColumn("distance", distance(F.col("query"), F.col("fingerprint")))
+    near = pairs.where(F.col("distance") <= radius)
+    for k in range(radius):
+        near = near.where((F.col("k") <= k) | (block("query", k) != block("fingerprint", k)))
+    return near.select("query", "fingerprint", "distance", "n")
+
+
+def with_neighbours(rows: DataFrame, asks: Column, radius: int = 3) -> DataFrame:
+    """``rows`` and n_near: how many other rows' fingerprints are within ``radius`` bits, where ``asks`` holds, else null."""
+    rows = materialize(rows.withColumn("_asks", F.coalesce(asks, F.lit(False))))
+    queries = rows.where("_asks")
+    near = neighbours(queries, rows, radius).groupBy("query").agg((F.sum("n") - 1).alias("n_near"))
+    per_key = near.join(queries.groupBy(F.col("fingerprint").alias("query")).agg(F.count("*").alias("n")), "query")
+    found = spread_join(queries.withColumn("query", F.col("fingerprint")).withColumn("_row", F.monotonically_increasing_id()),
+                        per_key, "query", "_row", queries.count())
+    return found.select(*rows.drop("_asks").columns, "n_near").union(
+        rows.where("not _asks").drop("_asks").withColumn("n_near", F.lit(None).cast("long")))
 
 
 def _deal(batches: Iterator[pa.RecordBatch], starts: list[int], first: int | None) -> Iterator[pa.RecordBatch]:
