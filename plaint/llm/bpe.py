@@ -1,10 +1,12 @@
-"""Byte-level BPE by replaying the merges over a block of the corpus.
-
-A block (a run of Arrow batches of documents) is split into its distinct words.  All words lie
-in one symbol array with an inverted index from pair rank to the positions where that
-pair stands.  Ranks are taken in ascending order; each merge is applied to all its
-positions at once and only the pairs that touch a merged symbol are looked up again.
-Documents are then written as the ids of their words.  No shuffle, no state across blocks.
+"""Byte-level BPE by replaying the merges over the distinct words of the corpus.
+
+The words that stand in several blocks of text (runs of Arrow batches) are counted over the
+whole corpus, dealt by hash and replayed there once: all words of a task lie in one symbol
+array with an inverted index from pair rank to the positions where that pair stands.  Ranks
+are taken in ascending order; each merge is applied to all its positions at once and only
+the pairs that touch a merged symbol are looked up again.  Their ids form a codebook of
+bounded size that workers get by broadcast.  A word of one block alone has nothing to share:
+its block replays it in the same way.  Documents are then written as the ids of their words.
 """
 
 from __future__ import annotations
@@ -13,9 +15,9 @@ import base64
 import hashlib
 import heapq
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 from itertools import count
 
 import numpy as np
@@ -25,10 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaint.llm.common import chunks, release, small_batches, utf8
+from plaint.session import materialize
 
 NONE = np.int32(1 << 30)
-#: Bytes of text whose distinct words are replayed together.
+#: Bytes of text whose distinct words are told apart together.
 BLOCK_BYTES = 2 << 20
+#: Most words of the codebook and bytes of their spelling; beyond it the words of fewest blocks stay in their blocks.
+BOOK_WORDS, BOOK_BYTES = 1_000_000, 16 << 20
+#: Code points of the longest word that is counted; longer ones stay in their blocks.
+LONG_WORD = 256
+#: Words that a task counts before it hands them on, and words that it replays together.
+COUNTED_WORDS, REPLAYED_WORDS = 500_000, 20_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -221,8 +230,99 @@ def load(path: str) -> Replay:
     return Replay(read_ranks(path))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + size[i] - 1 of each i, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class Codebook:
+    """Ids of words replayed over the whole corpus."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, begin: np.ndarray):
+        self.words, self.ids, self.begin = words, ids, begin
+
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
+    def encode(self, words: list[str], replay: Replay) -> tuple[np.ndarray, np.ndarray]:
+        """As ``Replay.encode``, which gets the words that the book does not hold."""
+        place = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        held, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        place = place[held]
+        own, cuts = replay.encode([words[i].encode() for i in rest.tolist()])
+        size = np.zeros(len(words), np.int64)
+        size[held], size[rest] = self.begin[place + 1] - self.begin[place], np.diff(cuts)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        out = np.empty(begin[-1], np.int32)
+        out[ranges(begin[held], size[held])] = self.ids[ranges(self.begin[place], size[held])]
+        out[ranges(begin[rest], size[rest])] = own
+        return out, begin
+
+
+def _count(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(word, n): words that are no token as a whole, and the blocks of text they stand in."""
+    ranks, split = load(path).ranks, splitter(pattern)
+
+    def emit(counted: Counter) -> pa.RecordBatch:
+        words = [w for w in counted if len(w) <= LONG_WORD and w.encode() not in ranks]
+        return pa.record_batch([pa.array(words, pa.string()), pa.array([counted[w] for w in words], pa.int64())], names=["word", "n"])
+
+    counted, words, size = Counter(), set(), 0
+    for batch in batches:
+        _, offsets = utf8(batch.column("text"))
+        for i, j in chunks(offsets):
+            for text in batch.column("text").slice(i, j - i).to_pylist():
+                words.update(split(text or ""))
+            size += int(offsets[j] - offsets[i])
+            if size >= BLOCK_BYTES:
+                counted.update(words)
+                words, size = set(), 0
+                if len(counted) >= COUNTED_WORDS:
+                    yield emit(counted)
+                    counted = Counter()
+    counted.update(words)
+    yield emit(counted)
+
+
+def _replay(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """(word, ids) of all words of a task, replayed together."""
+    words = [batch.column("word") for batch in batches if batch.num_rows]
+    if words:
+        words = pa.concat_arrays(words)
+        ids, begin = load(path).encode([w.encode() for w in words.to_pylist()])
+        yield pa.record_batch([words, pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids))], names=["word", "ids"])
+
+
+def codebook(texts: DataFrame, path: str, pattern: str) -> Codebook | None:
+    """The ids of the words that stand in two blocks of ``texts`` or more; None without such words.
+
+    Where these exceed BOOK_WORDS or BOOK_BYTES, those of the most blocks.
+    """
+    counted = texts.mapInArrow(partial(_count, path=path, pattern=pattern), "word string, n long")
+    shared = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"))
+    # At most 64 + 64 levels, whatever the corpus: exact ones, then powers of two.
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
+    levels = shared.groupBy(level.alias("level")).agg(F.count("*"), F.sum(F.octet_length("word"))).collect()
+    words = size = 0
+    least = None
+    for at, more, spelt in sorted(map(tuple, levels), reverse=True):
+        if words + more > BOOK_WORDS or size + spelt > BOOK_BYTES:
+            break
+        words, size, least = words + more, size + spelt, at
+    if least is None:
+        return None
+    chosen = shared.where(F.col("n") >= least).select("word").repartition(-(-words // REPLAYED_WORDS), "word")
+    out = chosen.mapInArrow(partial(_replay, path=path), "word string, ids array<int>").toArrow().combine_chunks()
+    ids = out.column("ids").combine_chunks()
+    begin = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))
+    return Codebook(out.column("word").combine_chunks(), ids.flatten().to_numpy().astype(np.int32), begin)
+
+
+def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool, shared=None) -> Iterator[pa.RecordBatch]:
     replay, split = load(path), splitter(pattern)
+    book = Codebook(pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)) if shared is None else shared.value
 
     def blocks() -> Iterator[tuple[list[pa.Array], list[np.ndarray], dict[str, int]]]:
         ids, spelt, number, size = [], [], defaultdict(count().__next__), 0
@@ -240,7 +340,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids
 
     for doc_ids, spelt, number in blocks():
         release()
-        flat, begin = replay.encode([w.encode() for w in number])
+        flat, begin = book.encode(list(number), replay)
         ids, cuts = flat.tolist(), begin.tolist()
         written = [",".join(map(str, ids[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
         decoded = [replay.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -256,9 +356,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
             words = np.concatenate(spelt)
-            ends = np.cumsum(size[words])
-            places = np.repeat(begin[words] - (ends - size[words]), size[words]) + np.arange(ends[-1] if len(ends) else 0)
-            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_tokens))), pa.int32()), pa.array(flat[places])))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_tokens))), pa.int32()),
+                                                    pa.array(flat[ranges(begin[words], size[words])])))
             names.append("ids")
         yield pa.record_batch(columns, names=names)
 
@@ -269,12 +368,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     ``path``: a rank file that every worker can read; ``pattern``: splits text into the
     pieces that are encoded separately; text that no piece covers has no ids.  The decoded
-    bytes come from the ids.  Null and empty texts have no ids; rows are independent.
+    bytes come from the ids.  Null and empty texts have no ids; repeated rows are encoded
+    as often as they stand, and an empty table gives no rows.
     """
     out = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return out.mapInArrow(partial(_encode, path=path, pattern=pattern, with_ids=with_ids), schema)
+    book = codebook(out.select("text"), path, pattern)
+    shared = None if book is None else out.sparkSession.sparkContext.broadcast(book)
+    return out.mapInArrow(partial(_encode, path=path, pattern=pattern, with_ids=with_ids, shared=shared), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import re
 import zlib
 from html import unescape
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,37 @@ def test_bpe_equals_tiktoken_and_round_trips(spark, docs, rows):
     assert bpe.encode(empty(spark), path, pattern).count() == 0
 
 
+def test_bpe_codebook_of_any_size_gives_the_same_ids(spark, docs, monkeypatch):
+    path, pattern = catalog.tokenizer()
+    texts = docs.select("text").repartition(6)
+    want = sorted(map(str, bpe.encode(docs, path, pattern, with_ids=True).collect()))
+    full = bpe.codebook(texts, path, pattern)
+    replay = bpe.load(path)
+    spelt = full.words.to_pylist()
+    assert len(set(spelt)) == len(spelt) > 300 and all(len(w) <= bpe.LONG_WORD and w.encode() not in replay.ranks for w in spelt)
+    assert [full.ids[a:b].tolist() for a, b in zip(full.begin[:-1], full.begin[1:])] == [replay.encode_alone(w.encode()) for w in spelt]
+    # Every word of two blocks or more, and no other one.
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 1)
+    split, standing = bpe.splitter(pattern), collections.Counter()
+    for r in texts.collect():
+        standing.update({w for w in split(r.text or "") if len(w) <= bpe.LONG_WORD and w.encode() not in replay.ranks})
+    by_row = lambda b: [pa.RecordBatch.from_arrays([b.column(0).slice(i, 1)], names=["text"]) for i in range(b.num_rows)]
+    table_of = pa.RecordBatch.from_arrays([pa.array([r.text for r in texts.collect()], pa.string())], names=["text"])
+    counted = collections.Counter()
+    for out in bpe._count(iter(by_row(table_of)), path, pattern):
+        counted.update(dict(zip(out.column("word").to_pylist(), out.column("n").to_pylist())))
+    assert counted == standing
+    monkeypatch.undo()
+    for words, most in ((len(spelt) // 3, 1 << 20), (1 << 20, 500), (0, 0)):
+        monkeypatch.setattr(bpe, "BOOK_WORDS", words)
+        monkeypatch.setattr(bpe, "BOOK_BYTES", most)
+        part = bpe.codebook(texts, path, pattern)
+        assert part is None or len(part.words) <= words and sum(len(w.encode()) for w in part.words.to_pylist()) <= most
+        assert (part is None) or set(part.words.to_pylist()) < set(spelt)
+        assert sorted(map(str, bpe.encode(docs, path, pattern, with_ids=True).collect())) == want
+
+
 def test_bpe_takes_a_lower_rank_that_a_merge_gives_rise_to():
     """Here merging b+c gives a pair that ranks below it, so equal merges to the right must wait."""
     ranks = {bytes([i]): i for i in range(256)}
