@@ -87,6 +87,28 @@ def splitter(pattern: str):
     return lambda text: full(text) if far(text) else near(text)
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] to first[i] + size[i] - 1 of each i, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class Pieces:
+    """Byte strings of the token ids 0, 1, ... laid end to end."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.data = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.array([len(p) for p in pieces], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
+    def spell(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """The pieces of ids[begin[i]:begin[i + 1]], joined, for each i."""
+        size = self.size[ids]
+        data = self.data[ranges(self.first[ids], size)].tobytes()
+        cuts = np.concatenate(([0], np.cumsum(size)))[begin].tolist()
+        return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 class Replay:
     """Merges of a rank table, applied to many words at once."""
 
@@ -94,6 +116,9 @@ class Replay:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        every = range(max(self.tokens) + 1)
+        self.spelt = Pieces([self.tokens.get(i, b"") for i in every])
+        self.decimal = Pieces([b"%d," % i for i in every])
         keys, values = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -230,12 +255,6 @@ def load(path: str) -> Replay:
     return Replay(read_ranks(path))
 
 
-def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers first[i] to first[i] + size[i] - 1 of each i, one after the other."""
-    end = np.cumsum(size)
-    return np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
-
-
 class Codebook:
     """Ids of words replayed over the whole corpus."""
 
@@ -341,16 +360,13 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids
     for doc_ids, spelt, number in blocks():
         release()
         flat, begin = book.encode(list(number), replay)
-        ids, cuts = flat.tolist(), begin.tolist()
-        written = [",".join(map(str, ids[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-        decoded = [replay.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        del ids, cuts
+        written, decoded = replay.decimal.spell(flat, begin), replay.spelt.spell(flat, begin)
         size = np.diff(begin)
         n_tokens, ids_hash, text_hash = [], [], []
         for words in spelt:
             at = words.tolist()
             n_tokens.append(int(size[words].sum()))
-            ids_hash.append(hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest())
+            ids_hash.append(hashlib.sha256(b"".join(map(written.__getitem__, at))[:-1]).hexdigest())
             text_hash.append(hashlib.sha256(b"".join(map(decoded.__getitem__, at))).hexdigest())
         columns = [pa.concat_arrays(doc_ids), pa.array(n_tokens, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
