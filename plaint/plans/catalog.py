@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaint import domains as D
+from plaint.functions import lexicon as LX
 from plaint.functions import rules
 from plaint.functions import sql as SF
 from plaint.functions.respond import build_response, ensure_signature, label_of, normalize_label
@@ -183,6 +184,14 @@ def q_rule_scores(spark, d):
     return rules.with_rule_scores(acc, "complaint").select("source_id", *[f"score_{c}" for c in D.CATEGORIES])
 
 
+@query("keyword_report", "SELECT u.rule, u.label, u.keyword, u.complaints FROM (SELECT unnest([" + ", ".join(
+    f"{{'rule': {O.lit(r.rule)}, 'label': {O.lit(r.label)}, 'keyword': {O.lit(r.keyword)}, "
+    f"'complaints': count(*) FILTER (WHERE {O.hit('lt', r.keyword, r.whole_word)})}}" for r in D.lexicon())
+    + "]) AS u FROM (SELECT lower(complaint) AS lt FROM accepted))")
+def q_keyword_report(spark, d):
+    return LX.keyword_report(q_intake_accepted(spark, d), "complaint", D.lexicon())
+
+
 @query("extract_amount", f"SELECT source_id, {O.amount('complaint')} AS amount FROM accepted")
 def q_extract_amount(spark, d):
     return q_intake_accepted(spark, d).select("source_id", rules.amount(F.col("complaint")).alias("amount"))
