@@ -58,3 +58,24 @@ def test_a_rare_term_reads_few_texts(spark, tmpdir_path, monkeypatch):
         assert _texts_scanned(ST.list_complaints(ST.read(spark, path), search="Zebra C", ordered=False)) == 20_000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_an_index_of_lists_a_block_at_a_time(spark, tmpdir_path, monkeypatch):
+    """One list for each trigram of a block, without a shuffle; also for complaints without a time."""
+    path = f"{tmpdir_path}/store"
+    at = dt.datetime(2024, 5, 1)
+    rows = [(f"CMP-{y or 'null'}-{i:03d}", at if y else None, "", f"parcel {'lost' if i % 3 else 'late'}", "loan", "low", "neutral", "ok", "Open", "ai",
+             str(i), 1, y, "a") for y in (2023, 2024, None) for i in range(1, 61)]
+    loose = "complaint_id string, created_at timestamp_ntz, customer_name string, complaint string, category string, priority string, " \
+            "sentiment string, response string, status string, mode string, source_key string, occurrence bigint, year int, batch string"
+    ST.write_rows(spark.createDataFrame(rows, loose).coalesce(1), path)
+    monkeypatch.setattr(SX, "BLOCK", 500)
+    SX.index_batch(spark, path, "a")
+    lists = SX.read_postings(spark, path).where("gram = 'lat'").collect()
+    assert sorted((r.year or 0, s) for r in lists for s in r.seqs) == sorted((y or 0, i) for y in (2023, 2024, None) for i in range(3, 61, 3))
+    assert 3 < len(lists) < 30
+    for few in (10_000, 5):
+        monkeypatch.setattr(SX, "CANDIDATES", few)
+        for term in ("late", "CMP-null-01", "parcel l"):
+            got = sorted(r.complaint_id for r in SX.search(spark, path, term).collect())
+            assert got and got == sorted(r.complaint_id for r in ST.list_complaints(ST.read(spark, path), search=term).collect()), term
