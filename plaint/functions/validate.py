@@ -37,13 +37,16 @@ def validate(df: DataFrame, text_col: str = "raw_text") -> DataFrame:
 
     Two projections: the whitespace clean-up is computed once, then the CASE chain
     reads it (Catalyst keeps the regexp from being duplicated into every branch).
+    ``ok`` also names the task, whose number is never negative: a filter on it then
+    stays above these projections.  Pushed into the scan or the join below, it would hold
+    the regexps once for each time the CASE chain names the cleaned text.
     """
     raw = F.col(text_col)
     staged = df.withColumn("_clean0", collapse_blanks(ustrip(raw)))
     code = _error_code(raw, F.col("_clean0"))
     staged = staged.withColumn("error_code", code)
     return (
-        staged.withColumn("ok", F.col("error_code").isNull())
+        staged.withColumn("ok", F.col("error_code").isNull() & (F.spark_partition_id() >= 0))
         .withColumn("cleaned", F.when(F.col("ok"), mask_cards(F.col("_clean0"))).otherwise(F.lit("")))
         .withColumn("error", error_message(F.col("error_code"), F.col("_clean0")))
         .drop("_clean0")

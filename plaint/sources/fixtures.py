@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plaint import domains as D
-from plaint.sources.tables import spread, table
+from plaint.sources.tables import dealt, table
 
 # Fixed reference instant for every time-relative query (events span January 2024).
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -121,7 +121,7 @@ def complaints_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spreaded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
+    return dealt(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
 
 
 def raw_from_events(e: DataFrame) -> DataFrame:

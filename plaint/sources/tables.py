@@ -62,3 +62,17 @@ def spread(df: DataFrame) -> DataFrame:
     """
     wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
     return df.repartition(int(wanted)) if wanted else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Deals short rows over all tasks of the session, for text stages that cost far more than the rows.
+
+    A parquet file is read by at most one task for each row group, so a large file of few row
+    groups would keep such a stage, and what is written from it, in few tasks that grow with
+    the input.  ``INPUT_PARTITIONS`` sets the tasks; without it there are as many as after any
+    other shuffle, and no fewer than the session has cores.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(INPUT_PARTITIONS, None):
+        return spread(df)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))

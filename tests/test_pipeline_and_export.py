@@ -89,3 +89,33 @@ def test_results_json_nested_and_missing(spark, tmpdir_path):
     X.write_results(X.read_results(spark, path, nested=True), lines)
     back = X.read_results(spark, lines)
     assert back.count() == 2 and back.filter(F.col("error") == "RuntimeError: x").count() == 1
+
+
+def _one_row_group(spark, path, n=400):
+    """Events of one file with one row group: one task reads them all, whatever their number."""
+    spark.range(n).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 37 as user_id",
+        "element_at(array('click', 'purchase', 'error'), int(id % 3 + 1)) as event_type", "id * 1.5D as value", "'' as props",
+    ).coalesce(1).write.parquet(f"{path}/events.parquet")
+
+
+def test_one_row_group_is_dealt_over_tasks(spark, tmpdir_path):
+    """Neither the intake nor the scoring of model runs stays in the task that reads the file."""
+    from plaint.plans import views as V
+    from plaint.sources import fixtures as FX
+    _one_row_group(spark, tmpdir_path)
+    for rows in (V.accept_raw(FX.complaints_raw(spark, tmpdir_path)), FX.model_runs_raw(spark, tmpdir_path)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 8
+
+
+def test_a_filter_on_validation_repeats_no_regexp(spark, tmpdir_path):
+    """The clean-up stands once in the plan of the accepted and of the rejected rows."""
+    from plaint.functions.validate import validate
+    from plaint.plans import views as V
+    from plaint.sources import fixtures as FX
+    _one_row_group(spark, tmpdir_path)
+    validated = validate(FX.complaints_raw(spark, tmpdir_path), "raw_text")
+    for rows in (V.accepted(validated), V.rejected(validated)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("[ \\t]+") == 1
+    assert V.accepted(validated).count() + V.rejected(validated).count() == 400
+    assert V.rejected(validated).count() == 5 * 8
