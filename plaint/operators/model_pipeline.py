@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +27,11 @@ STEPS = ["category", "priority", "sentiment", "response"]
 
 
 def _caller(answer_fn: Callable[[str, str, str], tuple[str, int, int]], step: str):
-    @F.pandas_udf(ANSWER)
-    def call(system: pd.Series, human: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0, None) if h is None else ask(answer_fn, step, s, h) for s, h in zip(system, human)]
-        return pd.DataFrame(rows, columns=["answer", "input_tokens", "output_tokens", "error"])
+    @F.arrow_udf(ANSWER)
+    def call(system: pa.Array, human: pa.Array) -> pa.Array:
+        rows = [(None, 0, 0, None) if h is None else ask(answer_fn, step, s, h) for s, h in zip(system.to_pylist(), human.to_pylist())]
+        kinds = {"answer": pa.string(), "input_tokens": pa.int64(), "output_tokens": pa.int64(), "error": pa.string()}
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
     return call.asNondeterministic()  # a model call is never repeated or moved by the optimizer
 
@@ -49,9 +50,9 @@ def model_triage(complaints: DataFrame, answer_fn: Callable[[str, str, str], tup
         *complaints.columns, *[F.col(n).alias(f"_r_{n}") for n in names])
     text = F.col(text_col)
 
-    def step(df: DataFrame, name: str, wanted: Column, **labels: Column) -> DataFrame:
+    def step(name: str, wanted: Column, **labels: Column) -> Column:
         system, human = step_prompt(name, {"text": text, "company": company, **labels})
-        return df.withColumn(f"_{name}", _caller(answer_fn, name)(system, F.when(wanted, human)))
+        return _caller(answer_fn, name)(system, F.when(wanted, human)).alias(f"_{name}")
 
     def fine(*steps: str) -> Column:
         return F.coalesce(*[F.col(f"_{s}.error") for s in steps], F.lit(None)).isNull()
@@ -60,15 +61,15 @@ def model_triage(complaints: DataFrame, answer_fn: Callable[[str, str, str], tup
         return F.coalesce(normalize_label(F.col(f"_{name}.answer"), allowed), rule)
 
     cat, pri, sen = F.col("_m_category"), F.col("_m_priority"), F.col("_m_sentiment")
-    df = step(ruled, "category", F.lit(True))
+    df = ruled.select("*", step("category", F.lit(True)))
     df = df.withColumn("_m_category", label("category", D.CATEGORIES, F.col("_r_category")))
-    df = step(df, "priority", fine("category"), cat=cat)
-    df = step(df, "sentiment", fine("category"))
+    # Both in one select: Spark asks them in one pass, so a task keeps three Python workers, not four.
+    df = df.select("*", step("priority", fine("category"), cat=cat), step("sentiment", fine("category")))
     by_rule = F.when(cat == F.col("_r_category"), F.col("_r_priority")).otherwise(
         rules.priority(cat, F.lower(text), rules.amount(text)))
     df = df.withColumn("_m_priority", label("priority", D.PRIORITIES, by_rule)) \
         .withColumn("_m_sentiment", label("sentiment", D.SENTIMENTS, F.col("_r_sentiment")))
-    df = step(df, "response", fine("category", "priority", "sentiment"), cat=cat, priority=pri, sentiment=sen)
+    df = df.select("*", step("response", fine("category", "priority", "sentiment"), cat=cat, priority=pri, sentiment=sen))
     reply = ensure_signature(ustrip(F.coalesce(F.col("_response.answer"), F.lit(""))), company)
     df = df.withColumn("_m_response", reply).withColumn("_ok", fine(*STEPS))
     repairs = sum(normalize_label(F.col(f"_{n}.answer"), allowed).isNull().cast("int") for n, allowed in (

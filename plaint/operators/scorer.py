@@ -8,10 +8,13 @@ so the batch (and the task) survives; the rest of the plan stays JVM-side.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 
 def ask(answer_fn: Callable[[str, str, str], tuple[str, int, int]], step: str, system: str,
         human: str) -> tuple[str | None, int, int, str | None]:
@@ -57,6 +60,8 @@ def score_prompts(prompts: DataFrame, answer_fn: Callable, key: str = "complaint
     kind = prompts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # here, so that workers which only call ``ask`` do not hold it
+
         for pdf in batches:
             answers = ask_many(answer_fn, list(zip(pdf["step"], pdf["system"], pdf["human"])), batched)
             out = pd.DataFrame(answers, columns=["answer", "input_tokens", "output_tokens", "error"])

@@ -33,6 +33,7 @@ from plaint.operators.model_pipeline import model_triage
 from plaint.operators.triage import triage_with_model
 from plaint.plans import oracle as O
 from plaint.plans import views as V
+from plaint.plans.stand_in import stand_in
 from plaint.session import checkpoint_dir
 from plaint.sources import fixtures as FX
 from plaint.sources.tables import spread, table
@@ -310,20 +311,6 @@ def q_usage_by_call(spark, d):
     return EV.usage_per_complaint(FX.model_calls(spark, d), ("run", "complaint_id"))
 
 
-def _stand_in(step: str, system: str, human: str) -> tuple[str, int, int]:
-    """Stands in for a model: answers follow from the prompt, some fail and some are unusable."""
-    n = len(human)
-    if step == "category":
-        if n % 5 == 0:
-            raise TimeoutError("no answer")
-        return "Fraud." if n % 5 == 1 else "unsure", n, 1
-    if step == "priority":
-        return "HIGH" if human.startswith("Category: fraud") and n % 3 == 0 else "??", n, 2
-    if step == "sentiment":
-        return "neutral" if n % 2 else "", n, 3
-    return human.split("\n\n")[0], n, 4
-
-
 _PIPELINE_SQL = f"""
 mp0 AS (SELECT *, length(complaint) + 11 AS n1, (length(complaint) + 11) % 5 <> 0 AS ai,
     CASE WHEN (length(complaint) + 11) % 5 = 1 THEN 'fraud' END AS n_cat FROM triaged),
@@ -353,7 +340,7 @@ mp AS (
 @query("model_pipeline", "SELECT * FROM mp", _PIPELINE_SQL)
 def q_model_pipeline(spark, d):
     complaints = V.accept_raw(FX.complaints_raw(spark, d)).select("source_id", "complaint")
-    return model_triage(complaints, _stand_in).drop("complaint")
+    return model_triage(complaints, stand_in).drop("complaint")
 
 
 @query("usage_per_complaint", "SELECT source_id, input_tokens, output_tokens, calls FROM mp", _PIPELINE_SQL)

@@ -119,3 +119,11 @@ def test_a_filter_on_validation_repeats_no_regexp(spark, tmpdir_path):
         assert rows._jdf.queryExecution().optimizedPlan().toString().count("[ \\t]+") == 1
     assert V.accepted(validated).count() + V.rejected(validated).count() == 400
     assert V.rejected(validated).count() == 5 * 8
+
+
+def test_priority_and_sentiment_are_asked_in_one_pass(spark):
+    """Three passes through Python a complaint, hence three workers a core."""
+    from plaint.operators.model_pipeline import model_triage
+    df = spark.createDataFrame([(1, "My EMI was deducted twice")], "id bigint, complaint string")
+    plan = model_triage(df, lambda step, system, human: ("x", 1, 1))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython [") == 3
