@@ -1,10 +1,10 @@
 """Near-duplicate documents: a multi-index Hamming join over b-bit MinHash signatures.
 
 A document's set is its distinct word shingles.  Its signature holds ``SYMBOLS`` MinHash
-winners of 16 bits.  The first ``chunks * SIZE`` symbols are split into chunks of ``SIZE``;
-by the pigeonhole principle two signatures at most ``2 * chunks - 1`` symbols apart there
-have a chunk with at most one error, so enumerating that error (leave one symbol of the
-chunk out) gives them a common key.  Documents that share a key and are within the
+winners of 16 bits.  Symbols are split into chunks of ``SIZE``, and so many chunks are indexed
+that by the pigeonhole principle two signatures within the distance threshold have a chunk
+with at most one error: enumerating that error (leave one symbol of the chunk out) gives every
+such pair a common key.  Keys that gather the same documents are looked at once.  Documents that share a key and are within the
 signature-distance threshold form candidate clusters; links are then confirmed on the
 full shingle sets, and components of confirmed links are the result.
 
@@ -35,25 +35,26 @@ SIGNATURE_BLOCK, SET_BLOCK = 1024, 128
 
 
 def chunk_count(percent: int, miss: float = 5e-6) -> int:
-    """Chunks needed so that a pair at the threshold shares no key with probability below ``miss``.
+    """Chunks with which every pair within the signature distance has one of at most one error.
 
-    A similarity so low that all chunks of a signature do not reach it is refused.
+    Where all chunks of a signature cannot promise that, a pair at the threshold shares no key
+    with probability below ``miss``; a similarity too low for that as well is refused.
     """
+    needed, most = max_distance(percent) // 2 + 1, SYMBOLS // SIZE
     p = 1 - percent / 100
     lost = 1 - (1 - p) ** SIZE - SIZE * p * (1 - p) ** (SIZE - 1)
-    needed = max(1, math.ceil(math.log(miss) / math.log(lost)))
-    if needed > SYMBOLS // SIZE:
-        raise ValueError(f"{percent} %: signatures have {SYMBOLS // SIZE} chunks, {needed} are needed")
-    return needed
+    if needed > most and lost**most > miss:
+        raise ValueError(f"{percent} %: signatures have {most} chunks, {needed} are needed")
+    return min(needed, most)
 
 
 def max_distance(percent: int, miss: float = 1e-5) -> int:
-    """Signature distance that a pair at the threshold exceeds with probability below ``miss``."""
+    """Odd signature distance (as chunks reach) that a pair at the threshold exceeds with probability below ``miss``."""
     p, tail = 1 - percent / 100, 0.0
     for d in range(SYMBOLS, -1, -1):
         tail += math.comb(SYMBOLS, d) * p**d * (1 - p) ** (SYMBOLS - d)
         if tail > miss:
-            return d
+            return d | 1
     return SYMBOLS
 
 
@@ -186,7 +187,11 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) whose components are the clusters of near signatures of ``nodes`` (node, signature)."""
     keys = nodes.mapInArrow(partial(_keys, chunk_total=chunk_count(percent)), "key long, node long")
-    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # Near documents share many keys: of the keys with the same members (96 bits of sums) one is kept.
+    one, two = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
+    members = [F.sum(h.bitwiseAND(0xFFFFFFFF)) for h in (one, F.shiftright(one, 32), two)]
+    common = keys.groupBy("key").agg(F.count("*").alias("n"), *[m.alias(f"_{i}") for i, m in enumerate(members)]).where("n > 1")
+    common = common.groupBy("n", "_0", "_1", "_2").agg(F.min("key").alias("key")).select("key", "n")
     total = nodes.count() * chunk_count(percent) * SIZE
     members = spread_join(keys, common, "key", "node", total).join(nodes, "node")
     dealt = _blocks(members, SIGNATURE_BLOCK).select("key", "lo", "hi", "block", "node", "signature")

@@ -123,6 +123,39 @@ def test_near_pairs_of_distance_are_found(spark, percent):
     assert len(got & set(range(2000))) >= 1980 and set(range(2000, 2500)) <= got and not got & set(range(2500, 2510))
 
 
+@pytest.mark.parametrize("percent", [90, 85, 80])
+def test_every_pair_within_the_distance_has_a_key(spark, percent):
+    """Errors dealt so that as few chunks as possible have at most one: none is left out."""
+    import numpy as np
+    rng = np.random.default_rng(9)
+    far, rows = minhash.max_distance(percent), []
+    assert 2 * minhash.chunk_count(percent) > far
+    for i in range(300):
+        sign = rng.integers(0, 1 << 16, minhash.SYMBOLS).astype("<u2")
+        other = sign.copy()
+        at = [c * minhash.SIZE + (i + j) % minhash.SIZE for c in range(minhash.SYMBOLS // minhash.SIZE) for j in range(2)][:far]
+        other[at] ^= 1
+        rows += [(2 * i, bytearray(sign.tobytes())), (2 * i + 1, bytearray(other.tobytes()))]
+    got = {min(u, v) // 2 for u, v in minhash.candidates(spark.createDataFrame(rows, "node long, signature binary"), percent).collect()}
+    assert got == set(range(300))
+
+
+def test_keys_of_the_same_members_are_compared_once(spark, monkeypatch):
+    """Equal but for one symbol: of 40 keys or more that two share, and of those that three share, one each is dealt."""
+    import numpy as np
+    sign = np.arange(minhash.SYMBOLS).astype("<u2")
+    rows = []
+    for node in range(3):
+        other = sign.copy()
+        other[node] ^= 1
+        rows.append((node, bytearray(other.tobytes())))
+    dealt = []
+    monkeypatch.setattr(minhash, "_blocks", lambda df, size, real=minhash._blocks: dealt.append(df.count()) or real(df, size))
+    got = minhash.candidates(spark.createDataFrame(rows, "node long, signature binary"), 85).collect()
+    assert len({frozenset((u, v)) for u, v in got}) == 2
+    assert sum(dealt) <= 3 + 3 * 2
+
+
 def test_a_similarity_that_chunks_cannot_promise_is_refused():
     with pytest.raises(ValueError):
         minhash.chunk_count(50)
