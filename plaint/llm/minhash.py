@@ -142,7 +142,7 @@ def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 def _forest(node: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     label = linked(near)
-    moved = label != np.arange(len(label))
+    moved = label != np.arange(len(label))  # nodes ascend, so all point to the smallest
     return node[moved], node[label[moved]]
 
 
@@ -195,8 +195,8 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     total = nodes.count() * chunk_count(percent) * SIZE
     members = spread_join(keys, common, "key", "node", total).join(nodes, "node")
     dealt = _blocks(members, SIGNATURE_BLOCK).select("key", "lo", "hi", "block", "node", "signature")
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(
-        partial(_near_signatures, most=max_distance(percent)), "u long, v long").distinct()
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(
+        partial(_near_signatures, most=max_distance(percent)), "u long, v long")
 
 
 def _write_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = chosen.select("cluster", "n", "node", "text").mapInArrow(
         partial(_write_sets, k=words), "cluster long, n long, node long, shingles binary")
     dealt = _blocks(sets, SET_BLOCK).select("cluster", "lo", "hi", "block", "node", "shingles")
-    confirmed = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(
+    confirmed = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node").mapInArrow(
         partial(_confirm, percent=percent), "u long, v long")
     found = components(confirmed)
     labels = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))

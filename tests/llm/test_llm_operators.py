@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 from html import unescape
@@ -63,6 +64,46 @@ def test_a_star_centre_is_dealt_over_parts(spark, monkeypatch):
     assert sorted(joined.collect()) == sorted(rows.join(per_key, "k").select(joined.columns).collect())
 
 
+@pytest.mark.parametrize("parts", [5, 10_000])
+def test_components_of_random_links(spark, monkeypatch, parts):
+    monkeypatch.setattr(common, "SPREAD_PARTS", parts)
+    rng = random.Random(parts)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(rng.randrange(400, 700), 400) for _ in range(200)]
+    top = {x: x for e in edges for x in e}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        top[b] = a
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    linked = {x for u, v in edges if u != v for x in (u, v)}
+    assert len(got) == len(linked) and dict(got) == {x: root(x) for x in linked}
+
+
+def test_components_take_few_tasks(spark):
+    """Links in a table of 40 parts, told apart from stars by one count; a round is five shuffles, not eight, of one scan each."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    tracker, tasks = spark.sparkContext.statusTracker(), {}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        for kind, links in (("stars", "id - id % 5"), ("chains", "if(id % 5 = 0, id, id - 1)")):
+            spark.sparkContext.setJobGroup(kind, kind)
+            assert components(spark.range(500).selectExpr("id as u", f"{links} as v")).count() == 500
+            found = {s for j in tracker.getJobIdsForGroup(kind) for s in tracker.getJobInfo(j).stageIds}
+            tasks[kind] = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, found) if i)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks["stars"] <= 40 * 8 and tasks["chains"] <= 40 * 40, tasks
+
+
 def shingles(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOW)) if x]
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
