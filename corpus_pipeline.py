@@ -19,7 +19,7 @@ from plaint.llm import bpe, decontaminate, language, minhash, pii
 from plaint.llm.catalog import tokenizer
 from plaint.llm.common import bounded, table
 from plaint.operators.sequence import sequence_within
-from plaint.session import checkpoint_dir
+from plaint.session import checkpoint_dir, materialize
 
 #: Near-duplicates share this many percent of their shingles of this many words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -40,13 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     repeated = named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         groups = minhash.near_duplicates(named, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-        gone = groups.where("not kept").select("doc_id")
+        gone = materialize(groups.where("not kept").select("doc_id"))
         return docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
     # Rows numbered in the order of (id, text) take the place of the ids.
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     rows = sequence_within(named.withColumn("_text", text), [], ["doc_id", "_text"], out_col="_row")
     groups = minhash.near_duplicates(rows, id_col="_row", words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_row"))
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias("_row")))
     left = rows.join(bounded(gone), "_row", "left_anti").select(docs.columns)
     return left.union(docs.where("doc_id is null"))
 

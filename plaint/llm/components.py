@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from plaint.llm import common
 from plaint.session import materialize
 
+#: Links for each task of a round, if the session's shuffles have more partitions than that takes.
+TASK_LINKS = 10_000
+
+
+def _few(links: DataFrame, total: int) -> DataFrame:
+    """``links``, at most ``total`` rows, in no more tasks than they fill."""
+    return links.coalesce(max(1, -(-total // TASK_LINKS)))
+
 
 def _at_least(rows: DataFrame, least: DataFrame, key: str, by: str, total: int) -> DataFrame:
     """Adds m, the ``least`` (node, m, n: rows; at most ``total`` in all) of the node in ``key``, to each row.
@@ -26,14 +34,15 @@ def _large(edges: DataFrame, total: int) -> DataFrame:
     """Each node's larger neighbours point to the smallest node around it (edges have u > v)."""
     both = edges.select(F.explode(F.array(*[F.struct(F.col(a).alias("node"), F.col(b).alias("by")) for a, b in ("uv", "vu")])).alias("end"))
     least = both.select("end.*").groupBy("node").agg(F.least(F.min("by"), F.col("node")).alias("m"), F.count("*").alias("n"))
-    return _at_least(edges, least, "v", "u", 2 * total).select("u", F.col("m").alias("v"))
+    return _few(_at_least(edges, least, "v", "u", 2 * total).select("u", F.col("m").alias("v")), total)
 
 
 def _small(edges: DataFrame, total: int) -> DataFrame:
     """Each node's smaller neighbours, and the node, point to the smallest of them (edges have u > v)."""
     least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    return _at_least(edges, least, "u", "v", total).select(
-        F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
+    moved = _at_least(edges, least, "u", "v", total).select(
+        F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+    return _few(_few(moved, total).distinct(), total)
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

@@ -104,6 +104,17 @@ def test_components_take_few_tasks(spark):
     assert tasks["stars"] <= 40 * 8 and tasks["chains"] <= 40 * 40, tasks
 
 
+def test_duplicates_are_found_once(spark, docs, monkeypatch):
+    """What the pipeline removes is counted and joined from a checkpoint, not from two runs of the last joins."""
+    import corpus_pipeline
+    plans = []
+    monkeypatch.setattr(corpus_pipeline, "bounded", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    named = docs.where("doc_id is not null and doc_id <> 9012")
+    for rows in (named, named.union(named.limit(3))):
+        corpus_pipeline.drop_near_duplicates(spark, rows, SF)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
 def shingles(text, k):
     w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOW)) if x]
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
