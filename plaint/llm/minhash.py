@@ -184,15 +184,15 @@ def _blocks(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
 
-def candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) whose components are the clusters of near signatures of ``nodes`` (node, signature)."""
+def candidates(nodes: DataFrame, percent: int, rows: int | None = None) -> DataFrame:
+    """Links (u, v) whose components are the clusters of near signatures of ``nodes`` (node, signature; ``rows`` if counted)."""
     keys = nodes.mapInArrow(partial(_keys, chunk_total=chunk_count(percent)), "key long, node long")
     # Near documents share many keys: of the keys with the same members (96 bits of sums) one is kept.
     one, two = F.xxhash64("node"), F.xxhash64("node", F.lit(1))
     members = [F.sum(h.bitwiseAND(0xFFFFFFFF)) for h in (one, F.shiftright(one, 32), two)]
     common = keys.groupBy("key").agg(F.count("*").alias("n"), *[m.alias(f"_{i}") for i, m in enumerate(members)]).where("n > 1")
     common = common.groupBy("n", "_0", "_1", "_2").agg(F.min("key").alias("key")).select("key", "n")
-    total = nodes.count() * chunk_count(percent) * SIZE
+    total = (nodes.count() if rows is None else rows) * chunk_count(percent) * SIZE
     members = spread_join(keys, common, "key", "node", total).join(nodes, "node")
     dealt = _blocks(members, SIGNATURE_BLOCK).select("key", "lo", "hi", "block", "node", "signature")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").mapInArrow(
@@ -263,9 +263,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(signatures(docs, id_col, text_col, words))
     able = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
-    clusters = components(candidates(classes.select("node", "signature"), percent)).withColumnRenamed("component", "cluster")
+    rows = classes.count()
+    clusters = components(candidates(classes.select("node", "signature"), percent, rows)).withColumnRenamed("component", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    clusters = materialize(clusters.join(sizes, "cluster"))
+    clusters = materialize(spread_join(clusters, sizes, "cluster", "node", rows).select("cluster", "node", "n"))
     chosen = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(bounded(clusters), "node")
     sets = chosen.select("cluster", "n", "node", "text").mapInArrow(
         partial(_write_sets, k=words), "cluster long, n long, node long, shingles binary")

@@ -104,6 +104,18 @@ def test_components_take_few_tasks(spark):
     assert tasks["stars"] <= 40 * 8 and tasks["chains"] <= 40 * 40, tasks
 
 
+def test_large_clusters_are_dealt_over_parts(spark, monkeypatch):
+    """The join of clusters with their sizes, like that of keys, gives no task one cluster's rows."""
+    monkeypatch.setattr(common, "SPREAD_PARTS", 10)
+    keys = []
+    monkeypatch.setattr(minhash, "spread_join", lambda rows, per, key, by, total: keys.append(key) or common.spread_join(rows, per, key, by, total))
+    base = [f"word{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(1, 41)] + [(100 + i, f"other {i // 2} " + " ".join(f"w{i // 2}x{j}" for j in range(50 + i % 2))) for i in range(40)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 1) for i in range(1, 41)} | {(100 + i, 100 + i - i % 2) for i in range(40)}
+    assert keys == ["key", "cluster"]
+
+
 def test_duplicates_are_found_once(spark, docs, monkeypatch):
     """What the pipeline removes is counted and joined from a checkpoint, not from two runs of the last joins."""
     import corpus_pipeline
